@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from ragstone.llm import token_ids
+from ragstone.llm import decontaminate, minhash, token_ids, warc
 
 QUERIES = {
     "op1_token_id_output": token_ids.query,
+    "op2_decontaminate": decontaminate.query,
+    "op3_warc": warc.query,
+    "op4_minhash_near_dedup": minhash.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_decontaminate": decontaminate.ORACLE_SQL,
+    "op3_warc": warc.ORACLE_SQL,
+    "op4_minhash_near_dedup": minhash.ORACLE_SQL,
+}
