@@ -34,6 +34,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragstone.llm.common import WordCache, shared_dir, slices, utf8_values, written
+from ragstone.llm.common import shared_dir, slices, utf8_values, written
 
 HEADER = struct.Struct("<4sIIIIQQ")
 BLOCK_IDS = 1 << 18
@@ -80,32 +81,86 @@ class WordEncoder:
     white space: every distinct word is encoded once by the library and its ids
     are kept, a text is the join of its words' ids.
 
+    Words that differ only in ASCII case or in the ASCII marks after their last
+    letter share the library's work: the tokenizer lowers case and cuts letters
+    from marks itself.  Words of letters only go to the library many at a time,
+    as one string; each then ends with the one token that ends a word.
+
     ``by_word=False`` hands whole texts to the library instead (for tokenizers
-    that keep white space)."""
+    that keep case or white space)."""
+
+    #: the ASCII marks that may follow a word's last letter; an apostrophe joins
+    #: contractions and isn't one of them
+    MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 0x27)
 
-    def __init__(self, path: str, by_word: bool = True, most: int = 300_000):
+    def __init__(self, path: str, by_word: bool = True, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.vocab_size = self.lib.get_vocab_size(with_added_tokens=True)
-        self.by_word, self.known = by_word, WordCache(None, most)
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        encoded = self.lib.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32).tobytes() for e in encoded]
+        self.by_word, self.most = by_word, most
+        self.ends = np.zeros(self.vocab_size, bool)
+        for token, i in self.lib.get_vocab(with_added_tokens=True).items():
+            self.ends[i] = token.endswith("</w>")
+        self.special = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
+        self.words: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
+
+    def _each(self, texts: list[bytes]) -> list[bytes]:
+        encoded = self.lib.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in encoded]
+
+    def _together(self, cores: list[bytes]) -> list[bytes]:
+        """_each() of words of letters, as one string."""
+        ids = np.array(self.lib.encode_batch_fast([b" ".join(cores).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(cores) or ends[-1] != len(ids):
+            return self._each(cores)
+        raw, cuts = ids.tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Puts the ids of new words into self.words."""
+        parts, asked, cores = [], {}, self.cores
+        for w in new:
+            core, marks = w, b""
+            if w[-1] in self.MARKS and not any(s in w for s in self.special):
+                core = w.rstrip(self.MARKS)
+                if core and (core[-1] | 32) in b"abcdefghijklmnopqrstuvwxyz":
+                    marks = w[len(core):]
+                else:
+                    core = w
+            if core.isascii() and b"<|" not in core:
+                core = core.lower()
+            parts.append((core, marks))
+            for x in (core, marks):
+                if x and x not in cores:
+                    asked[x] = None
+        plain = [x for x in asked if x.decode().isalpha()]
+        for at in range(0, len(plain), 1000):
+            part = plain[at: at + 1000]
+            cores.update(zip(part, self._together(part), strict=True))
+        odd = [x for x in asked if x not in cores]
+        for at in range(0, len(odd), 10_000):
+            part = odd[at: at + 10_000]
+            cores.update(zip(part, self._each(part), strict=True))
+        self.words.update((w, cores[c] + cores[m] if m else cores[c]) for w, (c, m) in zip(new, parts, strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text as little-endian u32 bytes."""
         if not self.by_word:
-            return self._library([t.decode() for t in texts])
+            return self._each(texts)
+        for kept in (self.words, self.cores):
+            if len(kept) > self.most:
+                kept.clear()
         words = [t.split() for t in texts]
-        self.known.trim()
-        known, new = self.known, list(set().union(*words) - self.known.keys()) if words else []
-        for at in range(0, len(new), 20_000):
-            part = new[at: at + 20_000]
-            known.update(zip(part, self._library([w.decode() for w in part]), strict=True))
-        return [b"".join(map(known.__getitem__, w)) for w in words]
+        coded = [[*map(self.words.get, w)] for w in words]
+        new = dict.fromkeys(w for ws, cs in zip(words, coded, strict=True) if None in cs for w, c in zip(ws, cs, strict=True) if c is None)
+        if new:
+            self._learn([*new])
+            coded = [[*map(self.words.get, w)] if None in c else c for w, c in zip(words, coded, strict=True)]
+        return [b"".join(c) for c in coded]
 
 
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
