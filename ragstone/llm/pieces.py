@@ -30,7 +30,8 @@ class Pieces:
                 self.bytes[int(name[3:5], 16)] = i
             elif not (lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i)):
                 self.ids[name], self.scores[name] = i, lib.get_score(i)
-        self.heads = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        #: every piece's score; None for what only starts a longer piece
+        self.heads: dict[str, float | None] = {p[:k]: None for p in self.ids for k in range(1, len(p))} | self.scores
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
             raise ValueError("a piece of this model reaches over the end of a segment")
         #: what each id stands for
