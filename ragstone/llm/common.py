@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,3 +82,18 @@ class WordCache(dict):
     def trim(self) -> None:
         if len(self) > self.most:
             self.clear()
+
+
+def id_text(column: str = "doc_id"):
+    """An id as the text that hold-out remainders are taken of; null is empty."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def bounded_sample(df: DataFrame, most: int, seed: int) -> DataFrame:
+    """About most rows of df (all, if it has fewer; never over twice as many), chosen
+    by a hash of doc_id, for fitting a model."""
+    n = df.count()
+    if n <= most:
+        return df
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 31)) < int((1 << 31) * most / n)
+    return df.where(chosen).limit(2 * most)
