@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from ragstone.llm import decontaminate, minhash, token_ids, warc
+from ragstone.llm import decontaminate, language_id, media, minhash, quality, segmentation, token_counts, token_ids, toxicity, warc
 
 QUERIES = {
     "op1_token_id_output": token_ids.query,
     "op2_decontaminate": decontaminate.query,
     "op3_warc": warc.query,
     "op4_minhash_near_dedup": minhash.query,
+    "op5_quality_resampling": quality.query,
+    "op6_token_counts": token_counts.query,
+    "op7_toxicity": toxicity.query,
+    "op8_sentencepiece_nbest": segmentation.query,
+    "op9_language_id": language_id.query,
+    "op10_progressive_jpeg": media.query,
 }
 
 ORACLE_SQL = {
