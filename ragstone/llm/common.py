@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
@@ -97,3 +98,38 @@ def bounded_sample(df: DataFrame, most: int, seed: int) -> DataFrame:
         return df
     chosen = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 31)) < int((1 << 31) * most / n)
     return df.where(chosen).limit(2 * most)
+
+
+def kept_rows(df: DataFrame, keep) -> DataFrame:
+    """The rows of df for which keep(batch), an array of booleans, holds.  All columns
+    stay, and no row is moved."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            yield batch.filter(pa.array(keep(batch), pa.bool_()))
+
+    return df.mapInArrow(rows, df.schema)
+
+
+#: bits of an id map, at most
+MOST_BITS = 1 << 27
+
+
+def id_map(ids: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """A bit map of fixed size that holds the hashes of the ids, and its number of
+    bits: a filter with false hits but no misses."""
+    bits, n = 1 << 15, ids.count()
+    while bits < MOST_BITS and bits < 16 * n:
+        bits *= 2
+    spot = id_spot(column, bits)
+    pages = ids.where(F.col(column).isNotNull()).select(F.floor(spot / 32768).cast("int").alias("page"), (spot % 32768).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("map"))
+    found = dict(pages.collect())  # bits / 8 bytes at most
+    return np.frombuffer(b"".join(bytes(found.get(p, bytes(4096))) for p in range(bits // 32768)), np.uint8), bits
+
+
+def id_spot(column: str, bits: int):
+    return F.pmod(F.xxhash64(column), F.lit(bits))
+
+
+def in_map(mask: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    return (mask[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1 == 1

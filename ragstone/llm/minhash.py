@@ -7,16 +7,16 @@
    aggregate, never as pairs); from here on classes stand for their rows.
 3. Buckets of two classes or more yield links.  In each pivot round every
    bucket compares its members with one pivot only and drops out once its members
-   have one component.  What is still apart then is compared in full: the
-   members outside the bucket's largest component, in blocks, with all members,
-   after a filter on set sizes and on the sketches' own estimate, which a true
-   link misses with probability below 1e-9.  So no link between different
-   components is lost, and no bucket is expanded into all its pairs.
+   have one component.  Buckets that are still apart and share members then make
+   a group, and the members outside a group's largest component meet all its
+   members in blocks, on their full sets; such a block gives links between
+   different components only.  So no link between components is lost, and no
+   bucket or group is expanded into its pairs.
 4. Every link is confirmed on the full sets.
 5. Components: least labels along links with pointer jumping, all in tables.
 
-Sets are rebuilt for candidate classes only; a bitmap of fixed size (`MOST_BITS`
-bits at most) tells which rows to rebuild, and a join removes its false hits.
+Sets are rebuilt for candidate classes only; a bit map of
+bounded size tells which rows to rebuild, and a join removes its false hits.
 
 Edge cases: null texts and texts without words have an empty set, link with
 nothing and stay; null doc_ids are never the smallest of a component that has
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragstone.llm.common import WordCache, slices, table, utf8_values, written
+from ragstone.llm.common import WordCache, id_map, id_spot, in_map, kept_rows, slices, table, utf8_values, written
 
 #: coordinates of a band
 ROWS = 5
@@ -43,8 +43,8 @@ ROWS = 5
 MISS = 1e-8
 MASK = (1 << 48) - 1
 PIVOT_ROUNDS = 2
-BLOCK = 512
-MOST_BITS = 1 << 27
+#: elements of the sets of a block
+BLOCK_ELEMENTS = 1 << 20
 
 
 def bands_for(threshold: float) -> int:
@@ -140,20 +140,18 @@ def _digests(elements: np.ndarray, bounds: np.ndarray) -> list[bytes]:
 
 
 def sketched(docs: DataFrame, size: int, count: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set and, of non-empty sets, sketch (16 bits a
-    coordinate) and bands."""
+    """doc_id, n_shingles, digest of the set and its bands."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             elements, bounds = shingle_sets(utf8_values(batch.column("text")), size)
             sketch = sketches(elements, bounds, count * ROWS)
             n = np.diff(bounds)
-            keys, empty = bands(sketch), n == 0
-            marks = [None if e else m.tobytes() for m, e in zip((sketch & np.uint64(0xFFFF)).astype("<u2"), empty, strict=True)]
+            keys = bands(sketch)
             offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * count)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(_digests(elements, bounds), pa.binary()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], ["doc_id", "n_shingles", "digest", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(_digests(elements, bounds), pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], ["doc_id", "n_shingles", "digest", "bands"])
 
-    return _slim(docs).mapInArrow(rows, "doc_id long, n_shingles long, digest binary, sketch binary, bands array<long>")
+    return _slim(docs).mapInArrow(rows, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -163,27 +161,20 @@ def _slim(docs: DataFrame) -> DataFrame:
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(digest, n, elements) of the wanted classes (digest, rep): their representatives'
     sets, rebuilt from the texts."""
-    bits = 1 << 15
-    n = wanted.count()
-    while bits < MOST_BITS and bits < 16 * n:
-        bits *= 2
-    spot = F.pmod(F.xxhash64("rep"), F.lit(bits))
-    pages = dict(wanted.where("rep is not null").select(F.floor(spot / 32768).cast("int").alias("page"), (spot % 32768).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("map")).collect())
-    mask = np.frombuffer(b"".join(bytes(pages.get(p, bytes(4096))) for p in range(bits // 32768)), np.uint8)
+    mask, bits = id_map(wanted, "rep")
     sent = docs.sparkSession.sparkContext.broadcast(mask)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = sent.value
         for batch in batches:
-            at = batch.column("spot").to_numpy()
-            hit = (mask[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            hit = in_map(mask, batch.column("spot").to_numpy())
             hit |= batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             for part in slices(iter([batch.filter(pa.array(hit))]), "text", 2 << 20):
                 elements, bounds = shingle_sets(utf8_values(part.column("text")), size)
                 cut = zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(_digests(elements, bounds), pa.binary()), pa.array(np.diff(bounds)), pa.array([elements[a:b].tobytes() for a, b in cut], pa.binary())], ["digest", "n", "elements"])
 
-    found = _slim(docs).withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(bits))).mapInArrow(rows, "digest binary, n long, elements binary")
+    found = _slim(docs).withColumn("spot", id_spot("doc_id", bits)).mapInArrow(rows, "digest binary, n long, elements binary")
     return found.join(wanted.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("n").alias("n"), F.first("elements").alias("elements"))
 
 
@@ -240,33 +231,60 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(split, "bucket")
 
 
-def _rest(apart: DataFrame, classes: DataFrame, per_cent: int, coordinates: int) -> DataFrame:
-    """Pairs that may link across components within a bucket: members outside the
-    bucket's largest component, in blocks, against blocks of all members."""
-    sizes = apart.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("all"))
-    full = apart.join(sizes, "bucket").join(classes.select("digest", "n", "sketch"), "digest").withColumn("part", F.pmod(F.xxhash64("digest"), F.ceil(F.col("all") / BLOCK)))
-    block = F.collect_list(F.struct("digest", "label", "n", "sketch"))
-    every = full.groupBy("bucket", "part").agg(block.alias("ys"))
-    odd = full.where("label <> main").groupBy("bucket", F.col("part").alias("p")).agg(block.alias("xs"))
-    share = per_cent / 100
-    least = share - 6.5 * math.sqrt(share * (1 - share) / coordinates)
+def _rest(apart: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Links (a, b) that join the components which are still apart.
+
+    Buckets that share members make a group, so a set is moved to one group only.
+    Within a group, members outside its largest component meet all members, block by
+    block, on their full sets.  A task gives one link for two components at most."""
+    hub = apart.groupBy("bucket").agg(F.min("digest").alias("hub"))
+    star = apart.join(hub, "bucket").where("digest <> hub").select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct()
+    groups = components(star).select(F.col("node").alias("digest"), F.col("label").alias("group"))
+    known = written(groups.join(apart.select("digest", "label").distinct(), "digest").join(sets, "digest"), "groups")
+    sizes = (known.groupBy("group", "label").agg(F.count("*").alias("k"), F.sum("n").alias("n")).groupBy("group")
+             .agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.ceil(F.sum("n") / BLOCK_ELEMENTS).alias("parts"), F.count("*").alias("labels")).where("labels > 1"))
+    full = known.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("digest"), "parts"))
+    block = F.collect_list(F.struct("digest", "label", "elements"))
+    every = full.groupBy("group", "part").agg(block.alias("ys"))
+    odd = full.where("label <> main").groupBy("group", F.col("part").alias("p")).agg(block.alias("xs"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for xs, ys in zip(batch.column("xs"), batch.column("ys"), strict=True):
-                x, y = xs.values, ys.values
-                xd, yd = x.field("digest").to_pylist(), y.field("digest").to_pylist()
-                xl, yl = x.field("label").to_pylist(), y.field("label").to_pylist()
-                xn, yn = x.field("n").to_numpy(), y.field("n").to_numpy()
-                sx, sy = (np.frombuffer(b"".join(v.field("sketch").to_pylist()), "<u2").reshape(-1, coordinates) for v in (x, y))
-                out = []
-                for i in range(len(xd)):
-                    likely = (np.count_nonzero(sy == sx[i], axis=1) >= least * coordinates) & (100 * np.minimum(yn, xn[i]) >= per_cent * np.maximum(yn, xn[i]))
-                    out += [(min(xd[i], yd[j]), max(xd[i], yd[j])) for j in np.flatnonzero(likely).tolist() if xl[i] != yl[j]]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["a", "b"])
-
-    return odd.join(every, "bucket").select("xs", "ys").mapInArrow(rows, "a binary, b binary").distinct()
+                links = links_between(*(v.values.field(c).to_pylist() for v in (xs, ys) for c in ("digest", "label", "elements")), per_cent)
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links, strict=True)], ["a", "b"])
+
+    return odd.join(every, "group").select("xs", "ys").mapInArrow(rows, "a binary, b binary")
+
+
+def links_between(xd: list, xl: list, xe: list, yd: list, yl: list, ye: list, per_cent: int) -> list[tuple]:
+    """Links between the sets x and y (names, labels, elements): for two components one
+    at most, none within a component."""
+    ys = np.frombuffer(b"".join(ye), "<u8")
+    yn = np.array([len(e) // 8 for e in ye], np.int64)
+    universe, place = np.unique(ys, return_inverse=True)
+    first = np.cumsum(yn) - yn
+    root = {label: label for label in (*xl, *yl)}
+
+    def find(a):
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        return a
+
+    out = []
+    for name, label, e in zip(xd, xl, xe, strict=True):
+        own = np.frombuffer(e, "<u8")
+        at = np.minimum(np.searchsorted(universe, own), len(universe) - 1)
+        mark = np.zeros(len(universe), np.int32)
+        mark[at[universe[at] == own]] = 1
+        same = np.add.reduceat(mark[place], first)
+        for j in np.flatnonzero(100 * same >= per_cent * (len(own) + yn - same)).tolist():
+            a, b = find(label), find(yl[j])
+            if a != b:
+                root[b] = a
+                out.append((name, yd[j]))
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, per_cent: int = 80) -> DataFrame:
@@ -275,7 +293,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, per_cent: int = 80) -> Da
     100 at least are linked, component_id is the least doc_id reachable."""
     count = bands_for(per_cent / 100)
     rows = written(sketched(docs, size, count), "sketches")
-    classes = written(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
+    classes = written(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     keyed = classes.select("digest", F.explode("bands").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
     members = written(keyed.join(shared, "bucket", "left_semi"), "buckets")
@@ -283,18 +301,12 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, per_cent: int = 80) -> Da
     sets = written(_full_sets(docs, classes.select("digest", "rep").join(labels, "digest", "left_semi"), size), "sets")
     labels = written(labels.withColumn("label", F.col("digest")), "classes")
     apart = members.join(labels, "digest")
-    tested = None
     for r in range(PIVOT_ROUNDS):
         pivot = apart.groupBy("bucket").agg(F.min_by("digest", F.xxhash64("digest", F.lit(r))).alias("pivot"), F.min_by("label", F.xxhash64("digest", F.lit(r))).alias("own"))
         pairs = apart.join(pivot, "bucket").where("label <> own").select(F.least("digest", "pivot").alias("a"), F.greatest("digest", "pivot").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
         labels = _merge(labels, written(_confirmed(pairs, sets, per_cent), "links"))
         apart = written(_apart(members, labels), "apart")
-    pairs = _rest(apart, classes, per_cent, count * ROWS).join(tested, ["a", "b"], "left_anti")
-    labels = _merge(labels, written(_confirmed(pairs, sets, per_cent), "links"))
+    labels = _merge(labels, written(_rest(apart, sets, per_cent), "links"))
     least = classes.select("digest", "rep").join(labels, "digest").groupBy("label").agg(F.min("rep").alias("low"))
     known = classes.select("digest", "rep").join(labels, "digest", "left").join(least, "label", "left").select("digest", F.coalesce("low", "rep").alias("low"))
     done = rows.select("doc_id", "n_shingles", "digest").join(known, "digest", "left")
@@ -302,6 +314,29 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, per_cent: int = 80) -> Da
     return done.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def deduplicated(docs: DataFrame, *, size: int = 5, per_cent: int = 80) -> DataFrame:
+    """docs with one document of each component: all columns, of the least doc_id.
+
+    Rows that repeat a doc_id and its text count as one; rows without a doc_id stay.
+    Only rows whose doc_id is in a bit map of the ids to look at are shuffled."""
+    found = near_duplicates(docs, size=size, per_cent=per_cent).where("doc_id is not null")
+    special = written(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "removed")
+    mask, bits = id_map(special, "doc_id")
+    sent = docs.sparkSession.sparkContext.broadcast(mask)
+    spotted = docs.withColumn("__spot", F.when(F.col("doc_id").isNotNull(), id_spot("doc_id", bits)))
+
+    def part(inside: bool) -> DataFrame:
+        def keep(batch: pa.RecordBatch) -> np.ndarray:
+            spot = batch.column("__spot")
+            hit = in_map(sent.value, spot.fill_null(0).to_numpy()) & ~spot.is_null().to_numpy(zero_copy_only=False)
+            return hit if inside else ~hit
+
+        return kept_rows(spotted, keep).drop("__spot")
+
+    gone = special.where("not kept").select("doc_id")
+    return part(False).unionByName(part(True).join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: all documents, three-word shingles, similarity of 0.85 and more."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, per_cent=85)
@@ -309,7 +344,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w
   FROM documents),
 s AS (
   SELECT DISTINCT doc_id, array_to_string(w[i : i + least(3, len(w)) - 1], ' ') AS g
