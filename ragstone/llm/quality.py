@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragstone.llm.common import WordCache, bounded_sample, id_text, slices, table, utf8_values, written
+from ragstone.llm.common import WordCache, bounded_sample, id_text, kept_rows, slices, table, utf8_values, written
 
 BUCKETS = 1 << 14
 TARGET = 20_000
@@ -107,15 +107,20 @@ def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _weights(ratio: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """The log weight of each text, the same whatever texts stand beside it."""
+    got, bounds = features(texts)
+    value = np.append(ratio[got], 0.0)
+    return np.where(np.diff(bounds) > 0, np.add.reduceat(value, bounds[:-1]), 0.0) if len(texts) else np.zeros(0)
+
+
 def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """doc_id, log_weight for every row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            got, bounds = features(utf8_values(batch.column("text")))
-            run = np.concatenate([[0.0], np.cumsum(sent.value[got])])
-            weight = run[bounds[1:]] - run[bounds[:-1]]
+            weight = _weights(sent.value, utf8_values(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(weight)], ["doc_id", "log_weight"])
 
     return _slim(docs).mapInArrow(rows, "doc_id long, log_weight double")
@@ -144,19 +149,38 @@ def threshold(keys: DataFrame, k: int) -> int:
     return low
 
 
+class Draw:
+    """What resampled() and accepted() share: the models, the weights and the k-th key."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, seed: int):
+        rated = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+        n, good = rated.agg(F.count("*"), F.sum((F.col("quality") == 1).cast("long"))).first()
+        chosen = np.array([r[0] for r in bounded_sample(rated.where("quality = 1"), TARGET, seed).select("doc_id").collect()], np.int64)
+        self.ratio = ratios(counts(docs, chosen)) if len(chosen) else np.zeros(BUCKETS)
+        self.rows = written(log_weights(docs, self.ratio).withColumn("key", F.floor((F.col("log_weight") + gumbel(seed)) * SCALE).cast("long")), "weights")
+        share = min(1.0, good / n + 2 * math.sqrt(good / n * (1 - good / n) / n)) if n else 1.0
+        k = math.ceil(share * self.rows.count())
+        self.least = threshold(self.rows, k) if k else 1 << 62
+
+
 def resampled(docs: DataFrame, labels: DataFrame, *, seed: int = 5) -> DataFrame:
     """doc_id, log_weight, key (with noise, in millionths) and selected for every row
     of docs (doc_id, text); labels: doc_id, quality (1 is good)."""
-    rated = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    n, good = rated.agg(F.count("*"), F.sum((F.col("quality") == 1).cast("long"))).first()
-    chosen = np.array([r[0] for r in bounded_sample(rated.where("quality = 1"), TARGET, seed).select("doc_id").collect()], np.int64)
-    weights = log_weights(docs, ratios(counts(docs, chosen)) if len(chosen) else np.zeros(BUCKETS))
-    key = F.round((F.col("log_weight") + gumbel(seed)) * SCALE).cast("long")
-    rows = written(weights.withColumn("key", key), "weights")
-    total = rows.count()
-    share = min(1.0, good / n + 2 * math.sqrt(good / n * (1 - good / n) / n)) if n else 1.0
-    k = math.ceil(share * total)
-    return rows.withColumn("selected", F.col("key") >= threshold(rows, k) if k else F.lit(False))
+    draw = Draw(docs, labels, seed)
+    return draw.rows.withColumn("selected", F.col("key") >= draw.least)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, *, seed: int = 5) -> DataFrame:
+    """The rows of docs that resampled() selects, with all their columns.  Weights are
+    computed again beside the texts, so those aren't shuffled."""
+    draw = Draw(docs, labels, seed)
+    ratio, least = docs.sparkSession.sparkContext.broadcast(draw.ratio), draw.least
+
+    def keep(batch: pa.RecordBatch) -> np.ndarray:
+        weight = _weights(ratio.value, utf8_values(batch.column("text")))
+        return np.floor((weight + batch.column("__noise").to_numpy()) * SCALE) >= least
+
+    return kept_rows(docs.withColumn("__noise", gumbel(seed)), keep).drop("__noise")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragstone.llm.common import bounded_sample, id_text, slices, table, utf8_values
+from ragstone.llm.common import bounded_sample, id_text, kept_rows, slices, table, utf8_values
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, WIDTH = 8, 10
@@ -388,6 +388,21 @@ def scored(docs: DataFrame, net: Net | None) -> DataFrame:
     return slim.mapInArrow(rows, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, net: Net | None) -> DataFrame:
+    """The rows of docs that aren't toxic (score below CUT), with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(net)
+    own: list[Scorer] = []
+
+    def keep(batch: pa.RecordBatch) -> np.ndarray:
+        if sent.value is None:
+            return np.ones(batch.num_rows, bool)
+        if not own:
+            own.append(Scorer(sent.value))
+        return own[0].score(utf8_values(batch.column("text"))) < CUT
+
+    return kept_rows(docs, keep)
+
+
 def held_out():
     return F.pmod(F.crc32(id_text().cast("binary")), F.lit(FOLDS)) == HELD
 

@@ -6,7 +6,8 @@ identical-payload-digest) that refer to the record of the smallest page_id.
 The block of a record is an HTTP response; that of a revisit holds its header
 lines only, whose Content-Length states the size of the full payload.  The
 text sink writes the records (its line end is the last byte of a record's
-closing CRLF), so files appear whole or not at all when executors are lost.
+closing CRLF), so files appear whole or not at all when executors are lost.  Files
+are compressed as one gzip member; offsets count uncompressed bytes.
 
 Reading.  Files come back through binaryFile, are parsed by length, and every
 payload's SHA-256 is computed and held against the record's own digest.
@@ -28,6 +29,7 @@ ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -79,7 +81,7 @@ def records(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str) -> str:
     """Write page_id, url, html as WARC files under path."""
-    records(pages).write.option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "none").text(path)
+    records(pages).write.option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
     return path
 
 
@@ -120,7 +122,7 @@ def captures(file: str, content: bytes) -> Iterator[tuple]:
     import calendar
     import time
 
-    for offset, length, head, block in parse(content):
+    for offset, length, head, block in parse(gzip.decompress(content)):
         http, _, payload = block.partition(b"\r\n\r\n")
         stated = dict(x.partition(": ")[::2] for x in http.decode().split("\r\n")[1:])
         size, kind, digest = int(stated["Content-Length"]), head["warc-type"], head["warc-payload-digest"].removeprefix("sha256:")
