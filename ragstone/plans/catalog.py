@@ -1,4 +1,480 @@
-"""Registered retrieval queries and their SQL."""
+"""Registered retrieval queries and the same in DuckDB's SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Tables play these parts: documents is the corpus (source as title), benchmark the
+questions, embeddings both queries and corpus with one label as relevance,
+conversations the messages.  Every query runs over its whole tables.  Scores are
+ranked rounded to nine places and given to six.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ragstone.functions import tables, text, vectors
+from ragstone.operators import aggregate, analytics, dense, generate, hybrid, lexical, metrics, rerank, sampling, windows
+from ragstone.sources import sinks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+K = 10
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def corpus(spark, d):
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text")
+
+
+def questions(spark, d):
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+
+
+def vecs(spark, d):
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def label_qrels(spark, d):
+    """Vectors of one label are relevant to each other."""
+    v = vecs(spark, d)
+    a, b = v.select(F.col("id").alias("query_id"), "label"), v.select(F.col("id").alias("corpus_id"), "label")
+    return a.join(b, "label").where("query_id <> corpus_id").select("query_id", "corpus_id", F.lit(1).alias("score"))
+
+
+def dense_run(spark, d, k=K, score="cos_sim"):
+    v = vecs(spark, d)
+    return dense.dense_topk(v, v, k, score)
+
+
+def bm25_run(spark, d, k=K):
+    return lexical.bm25_topk(questions(spark, d), corpus(spark, d), k)
+
+
+def six(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names or ("score",)})
+
+
+# parts of the SQL
+TOP = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, corpus_id DESC)"
+V = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings)"
+PAIRS = V + ", pairs AS (SELECT a.id AS query_id, b.id AS corpus_id, list_cosine_similarity(a.e, b.e) AS score FROM v a JOIN v b ON a.id <> b.id)"
+RUN = PAIRS + f", run AS (SELECT * FROM (SELECT *, {TOP} AS rank FROM pairs) WHERE rank <= {K})"
+QRELS = "qrels AS (SELECT a.vec_id AS query_id, b.vec_id AS corpus_id, 1 AS rel FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)"
+FOUND = RUN + ", " + QRELS + ", found AS (SELECT run.*, coalesce(rel, 0) AS rel FROM run LEFT JOIN qrels USING (query_id, corpus_id) WHERE query_id IN (SELECT query_id FROM qrels)), r AS (SELECT query_id, count(*) AS r FROM qrels GROUP BY 1), ideal AS (SELECT query_id, sum(rel / log2(i + 1)) AS idcg, sum((2 ** rel - 1) / log2(i + 1)) AS xdcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, corpus_id DESC) AS i FROM qrels) WHERE i <= {k} GROUP BY 1)"
+WORDS = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[ \\t\\n\\r]+'), lambda x: x <> '')"
+TOKENS = "tok AS (SELECT doc_id AS id, " + WORDS.format("text") + " AS w FROM documents), tf AS (SELECT id, token, len(any_value(w)) AS n, count(*) AS tf FROM (SELECT id, w, unnest(w) AS token FROM tok) GROUP BY id, token), st AS (SELECT count(*) AS n, avg(len(w)) AS m FROM tok), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT token, df, ln(st.n - df + 0.5) - ln(df + 0.5) AS raw FROM df, st), idf AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"
+BM25 = TOKENS + ", q AS (SELECT item_id AS query_id, token, count(*) AS times FROM (SELECT item_id, unnest(" + WORDS.format("text") + ") AS token FROM benchmark) GROUP BY 1, 2), bm AS (SELECT query_id, tf.id AS corpus_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * tf.n / st.m))) AS score FROM q JOIN tf USING (token) JOIN idf USING (token), st GROUP BY 1, 2)"
+BM_RUN = BM25 + f", run AS (SELECT * FROM (SELECT *, {TOP} AS rank FROM bm) WHERE rank <= {K})"
+
+
+# dense retrieval
+
+@query("dense_cosine_topk", f"WITH {RUN} SELECT query_id, corpus_id, round(score, 6) AS score, rank FROM run")
+def _(spark, d):
+    return six(dense_run(spark, d))
+
+
+@query("dense_dot_topk", f"WITH {V}, pairs AS (SELECT a.id AS query_id, b.id AS corpus_id, list_dot_product(a.e, b.e) AS score FROM v a JOIN v b ON a.id <> b.id) SELECT query_id, corpus_id, round(score, 6) AS score, rank FROM (SELECT *, {TOP} AS rank FROM pairs) WHERE rank <= {K}")
+def _(spark, d):
+    return six(dense_run(spark, d, score="dot"))
+
+
+@query("dense_self_excluded", f"WITH {RUN} SELECT count(*) AS n_rows, count(*) FILTER (query_id = corpus_id) AS n_self, count(DISTINCT query_id) AS n_queries FROM run")
+def _(spark, d):
+    return dense_run(spark, d).agg(F.count("*").alias("n_rows"), F.count_if(F.col("query_id") == F.col("corpus_id")).alias("n_self"), F.countDistinct("query_id").alias("n_queries"))
+
+
+@query("vector_norms", "SELECT vec_id AS id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))))), 6) AS unit_sum FROM embeddings")
+def _(spark, d):
+    e = F.col("embedding")
+    total = F.aggregate(vectors.normalized(e), F.lit(0.0), lambda s, x: s + x)
+    return six(vecs(spark, d).select("id", vectors.norm(e).alias("norm"), total.alias("unit_sum")), "norm", "unit_sum")
+
+
+# lexical retrieval
+
+@query("whitespace_tokens", "WITH " + "tok AS (SELECT doc_id AS id, " + WORDS.format("text") + " AS w FROM documents) SELECT id, CAST(len(w) AS BIGINT) AS n_tokens, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct, md5(array_to_string(w, ' ')) AS tokens_md5 FROM tok")
+def _(spark, d):
+    w = text.words(F.col("text"))
+    return corpus(spark, d).select("id", w.alias("w")).select("id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), F.md5(F.array_join("w", " ")).alias("tokens_md5"))
+
+
+@query("token_df_idf", f"WITH {TOKENS} SELECT token, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM idf")
+def _(spark, d):
+    docs = corpus(spark, d)
+    return six(lexical.inverse_frequencies(lexical.postings(docs), lexical.statistics(docs)), "idf")
+
+
+@query("bm25_scores", f"WITH {BM25} SELECT query_id, count(*) AS n_docs, round(sum(score), 4) AS total, round(max(score), 6) AS best FROM bm GROUP BY 1")
+def _(spark, d):
+    s = lexical.bm25(questions(spark, d), corpus(spark, d))
+    return s.groupBy("query_id").agg(F.count("*").alias("n_docs"), F.round(F.sum("score"), 4).alias("total"), F.round(F.max("score"), 6).alias("best"))
+
+
+@query("bm25_topk", f"WITH {BM_RUN} SELECT query_id, corpus_id, round(score, 6) AS score, rank FROM run")
+def _(spark, d):
+    return six(bm25_run(spark, d))
+
+
+# hybrid: BM25 gives the candidates, word overlap the other score
+
+OVERLAP = "len(list_intersect(list_distinct(" + WORDS.format("q.text") + "), list_distinct(" + WORDS.format("d.source || ' ' || d.text") + "))) / len(list_distinct(" + WORDS.format("q.text") + "))"
+CANDIDATES = BM25 + f", cand AS (SELECT * FROM (SELECT *, {TOP} AS rank FROM bm) WHERE rank <= {2 * K}), ov AS (SELECT c.query_id, c.corpus_id, c.score AS s1, " + OVERLAP + " AS s2 FROM cand c JOIN benchmark q ON q.item_id = c.query_id JOIN documents d ON d.doc_id = c.corpus_id)"
+SCALE = "CASE WHEN max({0}) OVER p = min({0}) OVER p THEN 1.0 ELSE ({0} - min({0}) OVER p) / (max({0}) OVER p - min({0}) OVER p) END"
+FUSED = CANDIDATES + ", fu AS (SELECT query_id, corpus_id, 0.6 * " + SCALE.format("s1") + " + 0.4 * " + SCALE.format("s2") + " AS score FROM ov WINDOW p AS (PARTITION BY query_id))"
+
+
+@query("hybrid_fusion", f"WITH {FUSED} SELECT query_id, corpus_id, round(score, 6) AS score, rank FROM (SELECT *, {TOP} AS rank FROM fu) WHERE rank <= {K}")
+def _(spark, d):
+    candidates = bm25_run(spark, d, 2 * K)
+    other = rerank.rerank(candidates, questions(spark, d), corpus(spark, d), k=2 * K)
+    return six(hybrid.fused(candidates, other, K))
+
+
+@query("minmax_normalize", f"WITH {BM_RUN} SELECT query_id, corpus_id, round({SCALE.format('score')}, 6) AS score FROM run WINDOW p AS (PARTITION BY query_id)")
+def _(spark, d):
+    return six(bm25_run(spark, d).select("query_id", "corpus_id", vectors.min_max(F.col("score"), "query_id").alias("score")))
+
+
+# chunks to documents: a vector is a chunk of the document vec_id / 5
+
+CHUNKS = PAIRS + ", cs AS (SELECT query_id, CAST(corpus_id AS VARCHAR) AS chunk_id, corpus_id // 5 AS doc_id, corpus_id % 5 AS chunk_index, score FROM pairs)"
+
+
+def chunk_scores(spark, d):
+    run = dense_run(spark, d, None)
+    return run.select("query_id", F.col("corpus_id").cast("string").alias("chunk_id"), F.expr("corpus_id div 5").alias("doc_id"), (F.col("corpus_id") % 5).alias("chunk_index"), "score")
+
+
+for _method, _sql in {
+    "max": "max(score)", "mean": "avg(score)", "sum": "sum(score)", "first": "min_by(score, chunk_index)",
+    "weighted_rank": "sum(score / i) / sum(1 / i)", "weighted_position": "sum(score / p) / sum(1 / p)",
+}.items():
+    _doc = f"SELECT query_id, doc_id AS corpus_id, {_sql} AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(score, 9) DESC, chunk_id DESC) AS i, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY chunk_index) AS p FROM cs) GROUP BY 1, 2"
+    query(f"agg_{_method}", f"WITH {CHUNKS} SELECT query_id, corpus_id, round(score, 6) AS score, rank FROM (SELECT *, {TOP} AS rank FROM ({_doc})) WHERE rank <= {K}")(lambda spark, d, m=_method: six(aggregate.to_documents(chunk_scores(spark, d), m, K)))
+
+
+# chunking
+
+CHUNKED = "SELECT doc_id, CAST(count(*) AS BIGINT) AS n_chunks, CAST(sum(length(c)) AS BIGINT) AS n_chars, md5(string_agg(c, '|' ORDER BY i)) AS chunks_md5 FROM ({0}) GROUP BY 1"
+
+
+def digest(chunks):
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"])
+    return chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"), F.md5(F.array_join(parts, "|")).alias("chunks_md5"))
+
+
+@query("chunk_none", CHUNKED.format("SELECT doc_id, 0 AS i, text AS c FROM documents"))
+def _(spark, d):
+    return digest(windows.no_chunking(corpus(spark, d)))
+
+
+WORD_WINDOWS = "SELECT {k}, unnest(CASE WHEN len(w) <= 512 THEN [{t}] ELSE list_transform(list_filter(list_transform(range(0, len(w), 384), lambda s: w[s + 1 : s + 512]), lambda x: len(x) >= 50), lambda x: array_to_string(x, ' ')) END) AS c, generate_subscripts(CASE WHEN len(w) <= 512 THEN [{t}] ELSE list_filter(list_transform(range(0, len(w), 384), lambda s: w[s + 1 : s + 512]), lambda x: len(x) >= 50) END, 1) AS i FROM (SELECT *, list_filter(string_split_regex({t}, '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM {f})"
+CHAR_PIECES = "CASE WHEN length({t}) <= 512 THEN [{t}] ELSE list_filter(list_transform(range(0, CAST(ceil((length({t}) - 512) / 462) AS BIGINT) + 1), lambda s: trim(substring({t}, s * 462 + 1, 512), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), lambda x: length(x) >= 100) END"
+CHAR_WINDOWS = "SELECT {k}, unnest(" + CHAR_PIECES + ") AS c, generate_subscripts(" + CHAR_PIECES + ", 1) AS i FROM {f}"
+
+
+@query("chunk_word_window", CHUNKED.format(WORD_WINDOWS.format(k="doc_id", t="text", f="documents")))
+def _(spark, d):
+    return digest(windows.windowed(corpus(spark, d), windows.word_windows(F.col("text"))))
+
+
+@query("chunk_char_window", CHUNKED.format(CHAR_WINDOWS.format(k="doc_id", t="text", f="documents")))
+def _(spark, d):
+    return digest(windows.windowed(corpus(spark, d), windows.char_windows(F.col("text"))))
+
+
+@query("chunk_stats", "SELECT lang, count(*) AS chunks, round(avg(length(c)), 6) AS mean_chars, CAST(min(length(c)) AS BIGINT) AS min_chars, CAST(max(length(c)) AS BIGINT) AS max_chars, round(stddev_pop(length(c)), 4) AS std_chars FROM (" + CHAR_WINDOWS.format(k="lang", t="text", f="documents") + ") GROUP BY 1")
+def _(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    c = docs.select("lang", F.explode(windows.char_windows(F.col("text"))).alias("text"))
+    s = windows.chunk_stats(c, "lang")
+    return s.select("lang", "chunks", F.round("mean_chars", 6).alias("mean_chars"), F.col("min_chars").cast("long").alias("min_chars"), F.col("max_chars").cast("long").alias("max_chars"), F.round("std_chars", 4).alias("std_chars"))
+
+
+@query("chunk_expansion", "SELECT docs, chunks, round(chunks / docs, 6) AS expansion FROM (SELECT count(*) AS docs FROM documents), (SELECT count(*) AS chunks FROM (" + CHAR_WINDOWS.format(k="doc_id", t="text", f="documents") + "))")
+def _(spark, d):
+    docs = corpus(spark, d)
+    return six(windows.expansion(windows.windowed(docs, windows.char_windows(F.col("text"))), docs), "expansion")
+
+
+@query("chunk_coverage", "SELECT doc_id, CAST(sum(length(c)) - (count(*) - 1) * 50 AS BIGINT) AS covered FROM (" + CHAR_WINDOWS.format(k="doc_id", t="text", f="documents") + ") GROUP BY 1")
+def _(spark, d):
+    return windows.coverage(windows.windowed(corpus(spark, d), windows.char_windows(F.col("text"))), 50)
+
+
+@query("length_stats", "SELECT count(*) AS docs, min(length(text)) AS min_chars, max(length(text)) AS max_chars, round(avg(length(text)), 6) AS mean_chars, median(length(text)) AS median_chars, count(*) FILTER (length(text) > 1000) AS over_1000, count(*) FILTER (length(text) > 2000) AS over_2000, count(*) FILTER (length(text) < 500) AS under_500 FROM documents")
+def _(spark, d):
+    s = six(windows.length_stats(corpus(spark, d)), "mean_chars")
+    return s.withColumns({c: F.col(c).cast("long") for c in ("min_chars", "max_chars")})
+
+
+# tables in texts
+
+COUNT = "length({0}) - length(replace({0}, '|', ''))"
+PIPE_COUNTS = "list_filter(list_transform(lines, lambda x: length(x) - length(replace(x, '|', ''))), lambda n: n > 0)"
+
+
+@query("table_flag_document", "WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents), p AS (SELECT *, " + PIPE_COUNTS + " AS pc FROM t), s AS (SELECT doc_id, text, lines, len(pc) AS n, len(list_filter(pc, lambda x: x >= 2)) AS m, len(list_filter(lines, lambda x: contains(x, chr(9)))) AS tabs, coalesce(list_max(list_transform(list_distinct(pc), lambda y: len(list_filter(pc, lambda z: z = y)))), 0) AS often FROM p), f AS (SELECT doc_id, length(text) < 20 OR len(lines) < 2 AS no, (tabs + m) / len(lines) AS share, m > 0 AND n >= 2 AND often / n > 0.7 AS even FROM s) SELECT doc_id, CASE WHEN no THEN false ELSE share > 0.3 OR even END AS lenient, CASE WHEN no THEN false ELSE share > 0.2 OR even END AS strict FROM f")
+def _(spark, d):
+    t = F.col("text")
+    return corpus(spark, d).select(F.col("id").alias("doc_id"), tables.is_table_document(t).alias("lenient"), tables.is_table_document(t, True).alias("strict"))
+
+
+@query("table_flag_paragraph", "SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, (length(x) - length(replace(x, '|', ''))) > 5 OR (length(x) - length(replace(x, chr(9), ''))) > 10 OR regexp_matches(x, '\\|.*\\|.*\\|') OR len(regexp_extract_all(x, '(?m)^\\s*[\\d,.$%]+\\s+[\\d,.$%]+\\s+[\\d,.$%]+')) > 3 AS is_table FROM (SELECT doc_id, unnest(lines) AS x, generate_subscripts(lines, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))")
+def _(spark, d):
+    lines = corpus(spark, d).select(F.col("id").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "x"))
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), tables.is_table_paragraph(F.col("x")).alias("is_table"))
+
+
+LINE_SQL = "l AS (SELECT id, n, i - 1 AS i, x FROM (SELECT id, len(lines) AS n, unnest(lines) AS x, generate_subscripts(lines, 1) AS i FROM (SELECT {k} AS id, string_split({t}, chr(10)) AS lines FROM {f}))), tl AS (SELECT id, n, i, i - row_number() OVER (PARTITION BY id ORDER BY i) AS run FROM l WHERE length(x) - length(replace(x, '|', '')) >= 2 OR length(x) - length(replace(x, chr(9), '')) >= 2 OR len(regexp_extract_all(x, '\\s{{3,}}')) >= 2), rg AS (SELECT id, greatest(a - 1, 0) AS s, CASE WHEN b = n - 1 THEN n ELSE least(b + 2, n) END AS e, b = n - 1 AS o FROM (SELECT id, any_value(n) AS n, min(i) AS a, max(i) AS b FROM tl GROUP BY id, run)), reg AS (SELECT id, s, e FROM rg WHERE o OR e - s >= 3)"
+
+
+@query("table_regions", "WITH " + LINE_SQL.format(k="doc_id", t="text", f="documents") + " SELECT id AS doc_id, CAST(s AS BIGINT) AS region_start, CAST(e AS BIGINT) AS region_end FROM reg")
+def _(spark, d):
+    r = windows.table_regions(corpus(spark, d))
+    return r.select("doc_id", F.col("region_start").cast("long").alias("region_start"), F.col("region_end").cast("long").alias("region_end"))
+
+
+#: segments of texts that are long enough, then character windows of what isn't a table
+REGION_SQL = ("WITH full_text AS (SELECT doc_id AS did, CASE WHEN coalesce(source, '') <> '' THEN source || chr(10) || text ELSE text END AS body FROM documents), long_text AS (SELECT * FROM full_text WHERE length(body) >= 768), "
+              + LINE_SQL.format(k="did", t="body", f="long_text")
+              + ", ro AS (SELECT id, s, e, row_number() OVER (PARTITION BY id ORDER BY s) AS k, lag(e, 1, 0) OVER (PARTITION BY id ORDER BY s) AS p FROM reg), sg AS (SELECT id, 2 * k - 1 AS seq, p AS s, s AS e, false AS t FROM ro UNION ALL SELECT id, 2 * k, s, e, true FROM ro UNION ALL SELECT l.did, 1000000, coalesce((SELECT max_by(e, k) FROM ro WHERE ro.id = l.did), 0), len(string_split(l.body, chr(10))), false FROM long_text l), "
+              "sb AS (SELECT id, seq, t, array_to_string(string_split(body, chr(10))[s + 1 : e], chr(10)) AS b FROM sg JOIN long_text ON did = id WHERE e > s), pc AS (SELECT id, seq, t, CASE WHEN t THEN ['[TABLE]' || chr(10) || b] ELSE " + CHAR_PIECES.format(t="b") + " END AS pieces FROM sb WHERE t OR trim(b, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) <> '' UNION ALL SELECT did, 0, false, [body] FROM full_text WHERE length(body) < 768), "
+              "ch AS (SELECT id AS doc_id, t, c, row_number() OVER (PARTITION BY id ORDER BY seq, i) - 1 AS n FROM (SELECT id, seq, t, unnest(pieces) AS c, generate_subscripts(pieces, 1) AS i FROM pc)) SELECT CAST(doc_id AS VARCHAR) || CASE WHEN t THEN '_t' ELSE '_c' END || CAST(n AS VARCHAR) AS chunk_id, doc_id, n AS chunk_index, CAST(length(c) AS BIGINT) AS n_chars, md5(c) AS text_md5, t AS is_table FROM ch")
+
+
+@query("region_chunks", REGION_SQL)
+def _(spark, d):
+    c = windows.region_char_chunks(corpus(spark, d))
+    return c.select("chunk_id", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"), "is_table")
+
+
+@query("table_chunk_stats", "SELECT t AS is_table, count(*) AS chunks, round(avg(length(c)), 6) AS mean_chars FROM (" + REGION_SQL.rpartition("SELECT CAST(doc_id AS VARCHAR)")[0] + "SELECT * FROM ch) GROUP BY 1")
+def _(spark, d):
+    return six(windows.chunk_stats(windows.region_char_chunks(corpus(spark, d)), "is_table").select("is_table", "chunks", "mean_chars"), "mean_chars")
+
+
+# text expressions
+
+@query("title_text_concat", "SELECT doc_id AS id, md5(trim(coalesce(source, '') || ' ' || coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))) AS spaced, md5('[' || source || '] ' || text) AS bracketed, md5(CASE WHEN source <> '' THEN source || chr(10) || text ELSE text END) AS lined FROM documents")
+def _(spark, d):
+    t, x = F.col("title"), F.col("text")
+    return corpus(spark, d).select("id", F.md5(text.title_text(t, x)).alias("spaced"), F.md5(text.title_bracket(t, x)).alias("bracketed"), F.md5(text.title_lines(t, x)).alias("lined"))
+
+
+@query("truncate_text", "SELECT doc_id AS id, md5(substring(text, 1, 2048)) AS text_md5, CAST(length(substring(text, 1, 2048)) AS BIGINT) AS n FROM documents")
+def _(spark, d):
+    cut = text.truncated(F.col("text"))
+    return corpus(spark, d).select("id", F.md5(cut).alias("text_md5"), F.length(cut).cast("long").alias("n"))
+
+
+CLASS_SQL = "[" + ", ".join("CASE WHEN regexp_matches(lower({0}), '%s') THEN '%s' END" % ("|".join(p), n) for n, p in text.QUERY_PATTERNS.items()) + "]"
+CLASSES = "SELECT {k}, CASE WHEN len(c) = 0 THEN ['general'] ELSE c END AS c FROM (SELECT {k}, list_filter(" + CLASS_SQL + ", lambda x: x IS NOT NULL) AS c FROM {f})"
+
+
+@query("query_classify", "SELECT item_id AS id, array_to_string(c, ',') AS classes FROM (" + CLASSES.replace("{0}", "text").format(k="item_id", f="benchmark") + ")")
+def _(spark, d):
+    return questions(spark, d).select("id", F.array_join(text.query_classes(F.col("text")), ",").alias("classes"))
+
+
+@query("route_strategy", "SELECT conv_id, turn, CASE WHEN list_contains(c, 'table_query') THEN 'table-aware' WHEN list_contains(c, 'specific_fact') THEN 'small' WHEN list_contains(c, 'contextual') THEN 'large' ELSE 'medium' END AS strategy FROM (" + CLASSES.replace("{0}", "text").format(k="conv_id, turn", f="conversations") + ")")
+def _(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", text.route(text.query_classes(F.col("text"))).alias("strategy"))
+
+
+# metrics over the dense run and labels
+
+def _mean(name: str, value: str, group: str = "found.query_id, r.r, idcg, xdcg") -> str:
+    return f"WITH {FOUND.format(k=K)} SELECT query_id, round({value}, 6) AS {name} FROM found JOIN r USING (query_id) JOIN ideal USING (query_id) GROUP BY query_id, r.r, idcg, xdcg"
+
+
+def _metric(name):
+    return lambda spark, d: six(metrics.per_query(dense_run(spark, d), label_qrels(spark, d), K).select("query_id", name), name)
+
+
+query("ndcg_trec", _mean("ndcg", "sum(rel / log2(rank + 1)) / idcg"))(_metric("ndcg"))
+query("recall", _mean("recall", "sum(rel) / r.r"))(_metric("recall"))
+query("precision", _mean("precision", "sum(rel) / 10.0"))(_metric("precision"))
+query("map", f"WITH {FOUND.format(k=K)} SELECT query_id, round(sum(CASE WHEN rel = 1 THEN so / rank ELSE 0 END) / r.r, 6) AS map FROM (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS so FROM found) JOIN r USING (query_id) GROUP BY query_id, r.r")(_metric("map"))
+query("ndcg_linear", _mean("ndcg", "sum(rel / log2(rank + 1)) / idcg"))(lambda s, d: six(metrics.ndcg_list(dense_run(s, d), label_qrels(s, d), K), "ndcg"))
+query("ndcg_exponential", _mean("ndcg", "sum((2 ** rel - 1) / log2(rank + 1)) / xdcg"))(lambda s, d: six(metrics.ndcg_list(dense_run(s, d), label_qrels(s, d), K, exponential=True), "ndcg"))
+query("ndcg_hit", f"WITH {FOUND.format(k=K)}, b AS (SELECT query_id, sum(rel / log2(rank + 1)) AS dcg, sum(rel / log2(i + 1)) AS best, sum(rel) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) AS i FROM found) GROUP BY 1) SELECT query_id, round(CASE WHEN r = 1 THEN CAST(hits > 0 AS DOUBLE) WHEN best > 0 THEN dcg / best ELSE 0 END, 6) AS ndcg, round(hits / r, 6) AS recall FROM b JOIN r USING (query_id)")(lambda s, d: six(metrics.ndcg_hit(dense_run(s, d), label_qrels(s, d), K), "ndcg", "recall"))
+query("ndcg_relevant_only", f"WITH {FOUND.format(k=K)}, x AS (SELECT q.query_id, q.corpus_id, rel, coalesce({K} + 1 - rank, 0) AS s FROM qrels q LEFT JOIN run USING (query_id, corpus_id)), y AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, corpus_id) AS i FROM x WINDOW w AS (PARTITION BY query_id)), z AS (SELECT *, CASE WHEN i <= least({K}, n) THEN 1 / log2(i + 1) ELSE 0 END AS d FROM y), u AS (SELECT *, avg(d) OVER (PARTITION BY query_id, s) AS m FROM z) SELECT query_id, round(CASE WHEN any_value(n) = 1 THEN CAST(sum(CAST(s > 0 AS INT)) > 0 AS DOUBLE) ELSE sum(rel * m) / sum(d) END, 6) AS ndcg, round(sum(CAST(s > 0 AS INT)) / any_value(n), 6) AS recall FROM u GROUP BY 1")(lambda s, d: six(metrics.ndcg_relevant_only(dense_run(s, d), label_qrels(s, d), K), "ndcg", "recall"))
+
+_KS = (1, 5, 10)
+query("metrics_by_k", "WITH " + FOUND.format(k=1).rpartition(", ideal AS")[0] + ", so AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS so FROM found), m AS (" + " UNION ALL ".join(f"SELECT {k} AS k, so.query_id, sum(rel / log2(rank + 1)) / (SELECT sum(1 / log2(i + 1)) FROM range(1, least({k}, any_value(r.r)) + 1) AS t(i)) AS ndcg, sum(CASE WHEN rel = 1 THEN so / rank ELSE 0 END) / any_value(r.r) AS map, sum(rel) / any_value(r.r) AS recall, sum(rel) / {k}.0 AS p FROM so JOIN r USING (query_id) WHERE rank <= {k} GROUP BY so.query_id" for k in _KS) + ") SELECT 'NDCG' AS metric, k, round(avg(ndcg), 5) AS value FROM m GROUP BY k UNION ALL SELECT 'MAP', k, round(avg(map), 5) FROM m GROUP BY k UNION ALL SELECT 'Recall', k, round(avg(recall), 5) FROM m GROUP BY k UNION ALL SELECT 'P', k, round(avg(p), 5) FROM m GROUP BY k")(lambda s, d: metrics.evaluate(dense_run(s, d), label_qrels(s, d), _KS))
+
+# judged: documents that have a label
+
+LABEL_QRELS = "lq AS (SELECT run.query_id, doc_id AS corpus_id, quality AS score FROM run JOIN labels ON doc_id = corpus_id)"
+
+
+def half_judged(spark, d):
+    """Judgments of the BM25 run: labelled documents."""
+    return bm25_run(spark, d).join(read(spark, d, "labels").select(F.col("doc_id").alias("corpus_id"), F.col("quality").alias("q")), "corpus_id").select("query_id", "corpus_id", F.col("q").alias("score"))
+
+
+query("semi_judged", f"WITH {BM_RUN}, {LABEL_QRELS} SELECT query_id, corpus_id, round(score, 6) AS score FROM run WHERE query_id IN (SELECT query_id FROM lq)")(lambda s, d: six(metrics.judged(bm25_run(s, d), half_judged(s, d)).select("query_id", "corpus_id", "score")))
+query("anti_unjudged", f"WITH {BM_RUN} SELECT query_id, corpus_id, round(score, 6) AS score FROM run WHERE corpus_id NOT IN (SELECT doc_id FROM labels)")(lambda s, d: six(bm25_run(s, d).join(read(s, d, "labels").select(F.col("doc_id").alias("corpus_id")), "corpus_id", "left_anti").select("query_id", "corpus_id", "score")))
+
+
+# rerank and messages
+
+@query("rerank_topk", f"WITH {BM_RUN}, o AS (SELECT c.query_id, c.corpus_id, {OVERLAP} AS score FROM run c JOIN benchmark q ON q.item_id = c.query_id JOIN documents d ON d.doc_id = c.corpus_id) SELECT query_id, corpus_id, round(score, 6) AS score, {TOP} AS rank FROM o")
+def _(spark, d):
+    return six(rerank.rerank(bm25_run(spark, d), questions(spark, d), corpus(spark, d), k=K))
+
+
+@query("best_document_per_query", f"WITH {BM_RUN} SELECT query_id, corpus_id FROM run WHERE rank = 1")
+def _(spark, d):
+    return generate.best_documents(bm25_run(spark, d))
+
+
+@query("messages_default", f"WITH {BM_RUN} SELECT query_id, 2 AS n_messages, 'You are a helpful assistant.' AS system, md5('Document: ' || source || ' ' || d.text || chr(10) || 'Generate an answer to the question from the document.' || chr(10) || 'Question: ' || b.text) AS user_md5 FROM run JOIN documents d ON doc_id = corpus_id JOIN benchmark b ON item_id = query_id WHERE rank = 1")
+def _(spark, d):
+    m = generate.default_messages(bm25_run(spark, d), questions(spark, d), corpus(spark, d))
+    return m.select("query_id", F.size("messages").alias("n_messages"), F.col("messages")[0]["content"].alias("system"), F.md5(F.col("messages")[1]["content"]).alias("user_md5"))
+
+
+@query("generate_answers", f"WITH {BM_RUN} SELECT query_id, substring('Document: ' || source || ' ' || d.text || chr(10) || 'Generate an answer to the question from the document.' || chr(10) || 'Question: ' || b.text, 1, 80) AS answer FROM run JOIN documents d ON doc_id = corpus_id JOIN benchmark b ON item_id = query_id WHERE rank = 1")
+def _(spark, d):
+    m = generate.default_messages(bm25_run(spark, d), questions(spark, d), corpus(spark, d))
+    return generate.generate(m, generate.EchoGenerator())
+
+
+# samples: a report of a sampling operator keeps its size
+
+_PLACE = "md5(CAST({0} AS VARCHAR) || ':42')"
+
+
+@query("hash_sample_queries", f"SELECT item_id AS id, md5(text) AS text_md5 FROM benchmark ORDER BY {_PLACE.format('item_id')}, item_id LIMIT 20")
+def _(spark, d):
+    return sampling.hash_sample(questions(spark, d), 20).select("id", F.md5("text").alias("text_md5"))
+
+
+@query("head_limit", "SELECT doc_id AS id FROM documents ORDER BY doc_id LIMIT 100")
+def _(spark, d):
+    return sampling.head(corpus(spark, d), 100).select("id")
+
+
+@query("smart_sample", f"WITH {BM_RUN}, rel AS (SELECT DISTINCT corpus_id FROM run), n AS (SELECT count(*) AS n FROM rel) SELECT corpus_id AS id, true AS relevant FROM rel UNION ALL SELECT id, false FROM (SELECT doc_id AS id, row_number() OVER (ORDER BY {_PLACE.format('doc_id')}, doc_id) AS i FROM documents WHERE doc_id NOT IN (SELECT corpus_id FROM rel)), n WHERE i <= greatest(500 - n, 0)")
+def _(spark, d):
+    qrels = bm25_run(spark, d).select("query_id", "corpus_id")
+    out = sampling.smart_sample(corpus(spark, d), questions(spark, d), qrels, 500).select("id")
+    return out.join(qrels.select(F.col("corpus_id").alias("id"), F.lit(True).alias("r")).distinct(), "id", "left").select("id", F.coalesce("r", F.lit(False)).alias("relevant"))
+
+
+# submissions and their checks
+
+query("submission_long", f"WITH {BM_RUN} SELECT query_id, corpus_id, rank FROM run")(lambda s, d: sinks.submission_long(bm25_run(s, d)))
+query("submission_wide", f"WITH {BM_RUN} SELECT query_id, string_agg(CAST(corpus_id AS VARCHAR), ' ' ORDER BY rank) AS corpus_ids FROM run GROUP BY 1")(lambda s, d: sinks.submission_wide(bm25_run(s, d)))
+query("first_corpus_id", f"WITH {BM_RUN} SELECT query_id, CAST(corpus_id AS VARCHAR) AS corpus_ids FROM run WHERE rank = 1")(lambda s, d: sinks.first_id(sinks.submission_wide(bm25_run(s, d))))
+query("validate_counts", f"WITH {BM_RUN}, n AS (SELECT query_id, count(*) AS n FROM run GROUP BY 1) SELECT count(*) AS queries, coalesce(bool_and(n = 10), true) AS all_equal, count(*) FILTER (n <> 10) AS violators FROM n")(lambda s, d: analytics.validate_counts(bm25_run(s, d)))
+query("results_histogram", f"WITH {BM25} SELECT n_results, count(*) AS n_queries FROM (SELECT query_id, count(*) AS n_results FROM bm GROUP BY 1) GROUP BY 1")(lambda s, d: analytics.results_per_query(lexical.bm25(questions(s, d), corpus(s, d))))
+query("null_audit", "SELECT count(*) FILTER (quality IS NULL) + count(*) FILTER (toxic IS NULL) AS nulls FROM documents LEFT JOIN labels USING (doc_id)")(lambda s, d: analytics.null_audit(read(s, d, "documents").select("doc_id").join(read(s, d, "labels"), "doc_id", "left")))
+query("union_runs", f"WITH {BM_RUN}, {{0}} SELECT 'bm25' AS name, query_id, corpus_id, rank FROM run UNION ALL SELECT 'dense', query_id, corpus_id, rank FROM drun".replace("{0}", PAIRS + f", drun AS (SELECT * FROM (SELECT *, {TOP} AS rank FROM pairs) WHERE rank <= {K})"))(lambda s, d: analytics.union_runs([bm25_run(s, d).select(F.lit("bm25").alias("name"), "query_id", "corpus_id", "rank"), dense_run(s, d).select(F.lit("dense").alias("name"), "query_id", "corpus_id", "rank")]))
+
+
+# result tables: chunk sizes by language and source stand for experiment results
+
+EXP = "ex AS (SELECT lang, source, count(*) AS n_docs, round(avg(n_chars), 6) AS m FROM documents GROUP BY 1, 2)"
+
+
+def experiments(spark, d):
+    return read(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n_docs"), F.round(F.avg("n_chars"), 6).alias("m"))
+
+
+query("argmax_per_group", f"WITH {EXP} SELECT lang, source, n_docs, m FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY m DESC, source) AS i FROM ex) WHERE i = 1")(lambda s, d: analytics.argmax(experiments(s, d), "m", "lang", tie="source"))
+query("group_mean_std", f"WITH {EXP} SELECT lang, round(avg(m), 4) AS mean, round(stddev_samp(m), 4) AS std, count(*) AS count FROM ex GROUP BY 1")(lambda s, d: analytics.group_mean_std(experiments(s, d), "m", "lang").select("lang", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "count"))
+query("pivot_mean", f"WITH {EXP} SELECT source, round(avg(m) FILTER (lang = 'en'), 4) AS en, round(avg(m) FILTER (lang = 'de'), 4) AS de, round(avg(m) FILTER (lang = 'fr'), 4) AS fr FROM ex GROUP BY 1")(lambda s, d: analytics.pivot_mean(experiments(s, d), "source", "lang", ["en", "de", "fr"], "m").select("source", *(F.round(c, 4).alias(c) for c in ("en", "de", "fr"))))
+query("nlargest_nested", f"WITH {EXP}, t AS (SELECT *, lang || ':' || source AS name FROM ex) SELECT name, n_docs, m FROM (SELECT * FROM t ORDER BY m, name LIMIT 5) ORDER BY n_docs DESC, name LIMIT 1")(lambda s, d: analytics.smallest_then_best(experiments(s, d).select(F.concat("lang", F.lit(":"), "source").alias("name"), "n_docs", "m"), "m", 5, "n_docs", "name"))
+query("range_of_best", f"WITH {EXP} SELECT min(m) AS low, max(m) AS high FROM ex WHERE n_docs = (SELECT max(n_docs) FROM ex)")(lambda s, d: analytics.range_of_best(experiments(s, d), "n_docs", "m"))
+IMPROVED = f"{EXP}, b AS (SELECT source, max(CASE WHEN lang = 'en' THEN m END) AS base, max(m) AS best FROM ex GROUP BY 1)"
+
+
+def by_source(spark, d):
+    return experiments(spark, d).groupBy("source").agg(F.max(F.when(F.col("lang") == "en", F.col("m"))).alias("base"), F.max("m").alias("best"))
+
+
+query("improvement_pct", f"WITH {IMPROVED} SELECT source, round(CASE WHEN base > 0 THEN (best - base) / base * 100 ELSE 0 END, 4) AS gain FROM b")(lambda s, d: by_source(s, d).select("source", F.round(analytics.improvement(F.col("best"), F.col("base")), 4).alias("gain")))
+query("improvement_nullsafe", f"WITH {IMPROVED} SELECT source, round((best - base) / nullif(base, 0) * 100, 4) AS gain FROM b")(lambda s, d: by_source(s, d).select("source", F.round(analytics.improvement_or_null(F.col("best"), F.col("base")), 4).alias("gain")))
+query("weighted_mean", f"WITH {EXP} SELECT round(sum(m * n_docs) / sum(n_docs), 4) AS weighted_mean FROM ex")(lambda s, d: analytics.weighted_mean(experiments(s, d), "m", "n_docs").select(F.round("weighted_mean", 4).alias("weighted_mean")))
+query("tier_bucket", f"WITH {EXP} SELECT tier, count(*) AS n FROM (SELECT CASE WHEN m >= 4000 THEN 'high' WHEN m >= 2500 THEN 'middle' ELSE 'low' END AS tier FROM ex) GROUP BY 1")(lambda s, d: experiments(s, d).groupBy(analytics.tier(F.col("m"), [(4000, "high"), (2500, "middle")], "low").alias("tier")).agg(F.count("*").alias("n")))
+query("baseline_vs_best", f"WITH {IMPROVED} SELECT source, base AS baseline, best, round(CASE WHEN base > 0 THEN (best - base) / base * 100 ELSE 0 END, 4) AS improvement FROM b")(lambda s, d: analytics.baseline_vs_best(experiments(s, d), "source", "lang", "en", "m").withColumn("improvement", F.round("improvement", 4)))
+query("rollup_mean", f"WITH {EXP} SELECT lang, round(avg(m), 4) AS mean, count(*) AS n FROM ex GROUP BY ROLLUP (lang)")(lambda s, d: analytics.rollup_mean(experiments(s, d), "lang", "m").withColumn("mean", F.round("mean", 4)))
+
+
+@query("parent_child_topk", f"WITH {PAIRS}, ch AS (SELECT * FROM (SELECT *, {TOP} AS rank FROM pairs) WHERE rank <= {3 * K}), p AS (SELECT query_id, corpus_id // 5 AS corpus_id, max(score) AS score FROM ch GROUP BY 1, 2) SELECT query_id, corpus_id AS parent_id, round(score, 6) AS score, rank FROM (SELECT *, {TOP} AS rank FROM p) WHERE rank <= {K}")
+def _(spark, d):
+    from ragstone.operators.retrievers import parents_of
+
+    links = vecs(spark, d).select(F.col("id").alias("child_id"), F.expr("id div 5").alias("parent_id"))
+    return six(parents_of(dense_run(spark, d, 3 * K).drop("rank").withColumnRenamed("corpus_id", "child_id"), links, K))
+
+
+# splitters and the retrievers on top of them have no SQL form
+
+def _chunked(method, size, overlap):
+    def run(spark, d):
+        from ragstone.operators.splitters import chunk_corpus
+
+        return digest(chunk_corpus(corpus(spark, d), method, size, overlap))
+
+    return run
+
+
+for _name, _how in {"chunk_character": ("character", 1500, 300), "chunk_fixed": ("fixed", 512, 50), "chunk_recursive": ("recursive", 1000, 100), "chunk_financial": ("financial", 1000, 200), "chunk_token_window": ("token_window", 256, 50), "chunk_preserve_tables": ("preserve_tables", 2048, 200), "chunk_table_aware": ("table_aware", 1000, 200)}.items():
+    query(_name)(_chunked(*_how))
+
+
+@query("chunk_parent_child")
+def _(spark, d):
+    from ragstone.operators.splitters import parent_child
+
+    parents, children, _ = parent_child(corpus(spark, d))
+    n = children.groupBy("parent_id").agg(F.count("*").alias("n_children"))
+    return parents.join(n, "parent_id", "left").select("parent_id", "doc_id", F.length("text").alias("n_chars"), F.coalesce("n_children", F.lit(0)).alias("n_children"))
+
+
+@query("chunk_semantic")
+def _(spark, d):
+    from ragstone.operators.encode import HashingEncoder
+    from ragstone.operators.splitters import chunk_corpus
+
+    return digest(chunk_corpus(corpus(spark, d), "semantic", encode=HashingEncoder(16).encode))
+
+
+@query("chunked_retrieve")
+def _(spark, d):
+    from ragstone.operators.retrievers import ChunkedRetriever
+
+    return six(ChunkedRetriever(corpus(spark, d)).retrieve(questions(spark, d), K).drop("best_chunk", "text"))
+
+
+@query("adaptive_retrieve")
+def _(spark, d):
+    from ragstone.operators.retrievers import AdaptiveRetriever
+
+    return six(AdaptiveRetriever(corpus(spark, d)).retrieve(questions(spark, d), 5).select("query_id", "chunk_id", "strategy", "rank", "score"))
+
+
+@query("chunked_hybrid_flow")
+def _(spark, d):
+    from ragstone.plans.flows import chunked_hybrid
+
+    return six(chunked_hybrid(corpus(spark, d), questions(spark, d)))
