@@ -13,10 +13,13 @@ from ragstone.operators.ranking import top_k
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(docs: DataFrame, tokenize: Callable[[Column], Column] = words) -> DataFrame:
-    """id, token, tf, length of docs (id, text)."""
+def postings(docs: DataFrame, tokenize: Callable[[Column], Column] = words, only: DataFrame | None = None) -> DataFrame:
+    """id, token, tf, length of docs (id, text); only those tokens, if any are given."""
     tokens = docs.select("id", tokenize(F.col("text")).alias("tokens"))
-    return tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("token")).groupBy("id", "token", "length").agg(F.count("*").alias("tf"))
+    rows = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+    if only is not None:
+        rows = rows.join(only.select("token").distinct(), "token", "left_semi")
+    return rows.groupBy("id", "token", "length").agg(F.count("*").alias("tf"))
 
 
 def statistics(docs: DataFrame, tokenize: Callable[[Column], Column] = words) -> DataFrame:
@@ -38,10 +41,10 @@ def bm25(queries: DataFrame, docs: DataFrame, *, tokenize: Callable[[Column], Co
     candidates (query_id, corpus_id) restricts the pairs before anything is summed.
     Only postings of the queries' tokens are joined; a frequent token's list is split
     by the engine's skew handling, as is its side of the join."""
-    index, stats = postings(docs, tokenize), statistics(docs, tokenize)
+    stats = statistics(docs, tokenize)
     asked = queries.select(F.col("id").alias("query_id"), F.explode(tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    idf = inverse_frequencies(index, stats, epsilon).join(asked.select("token").distinct(), "token", "left_semi")
-    weighed = index.join(idf.select("token", "idf"), "token").join(F.broadcast(stats.select("mean_length")))
+    idf = inverse_frequencies(postings(docs, tokenize), stats, epsilon).join(asked.select("token").distinct(), "token", "left_semi")
+    weighed = postings(docs, tokenize, asked).join(idf.select("token", "idf"), "token").join(F.broadcast(stats.select("mean_length")))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     pairs = weighed.select("token", F.col("id").alias("corpus_id"), part.alias("part")).join(asked, "token")
     if candidates is not None:

@@ -69,7 +69,7 @@ def segments(docs: DataFrame, text: str = "text") -> DataFrame:
                  named_struct('s', if(k = 0, 0, regions[k - 1].e), 'e', r.s, 't', false), named_struct('s', r.s, 'e', r.e, 't', true)))),
                array(named_struct('s', if(size(regions) = 0, 0, element_at(regions, -1).e), 'e', size(lines), 't', false)))"""))
     out = rows.select("doc_id", "lines", F.posexplode("parts").alias("seq", "p"))
-    out = out.where("p.e > p.s").select("doc_id", "seq", F.col("p.t").alias("is_table"), F.expr("array_join(slice(lines, p.s + 1, p.e - p.s), '\n')").alias("body"))
+    out = out.where("p.e > p.s").select("doc_id", "seq", F.col("p.t").alias("is_table"), F.expr("array_join(slice(lines, p.s + 1, greatest(p.e - p.s, 0)), '\n')").alias("body"))
     return out.where(F.col("is_table") | (strip(F.col("body")) != ""))
 
 

@@ -183,12 +183,13 @@ def _(spark, d):
     return digest(windows.no_chunking(corpus(spark, d)))
 
 
-WORD_WINDOWS = "SELECT {k}, unnest(CASE WHEN len(w) <= 512 THEN [{t}] ELSE list_transform(list_filter(list_transform(range(0, len(w), 384), lambda s: w[s + 1 : s + 512]), lambda x: len(x) >= 50), lambda x: array_to_string(x, ' ')) END) AS c, generate_subscripts(CASE WHEN len(w) <= 512 THEN [{t}] ELSE list_filter(list_transform(range(0, len(w), 384), lambda s: w[s + 1 : s + 512]), lambda x: len(x) >= 50) END, 1) AS i FROM (SELECT *, list_filter(string_split_regex({t}, '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM {f})"
+WORD_PIECES = "CASE WHEN len(w) <= 512 THEN [text] ELSE list_transform(list_filter(list_transform(range(0, len(w), 384), lambda s: w[s + 1 : s + 512]), lambda x: len(x) >= 50), lambda x: array_to_string(x, ' ')) END"
+WORD_WINDOWS = "SELECT doc_id, unnest(p) AS c, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, " + WORD_PIECES + " AS p FROM (SELECT *, list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM documents))"
 CHAR_PIECES = "CASE WHEN length({t}) <= 512 THEN [{t}] ELSE list_filter(list_transform(range(0, CAST(ceil((length({t}) - 512) / 462) AS BIGINT) + 1), lambda s: trim(substring({t}, s * 462 + 1, 512), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), lambda x: length(x) >= 100) END"
 CHAR_WINDOWS = "SELECT {k}, unnest(" + CHAR_PIECES + ") AS c, generate_subscripts(" + CHAR_PIECES + ", 1) AS i FROM {f}"
 
 
-@query("chunk_word_window", CHUNKED.format(WORD_WINDOWS.format(k="doc_id", t="text", f="documents")))
+@query("chunk_word_window", CHUNKED.format(WORD_WINDOWS))
 def _(spark, d):
     return digest(windows.windowed(corpus(spark, d), windows.word_windows(F.col("text"))))
 
