@@ -76,7 +76,7 @@ RUN = PAIRS + f", run AS (SELECT * FROM (SELECT *, {TOP} AS rank FROM pairs) WHE
 QRELS = "qrels AS (SELECT a.vec_id AS query_id, b.vec_id AS corpus_id, 1 AS rel FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)"
 FOUND = RUN + ", " + QRELS + ", found AS (SELECT run.*, coalesce(rel, 0) AS rel FROM run LEFT JOIN qrels USING (query_id, corpus_id) WHERE query_id IN (SELECT query_id FROM qrels)), r AS (SELECT query_id, count(*) AS r FROM qrels GROUP BY 1), ideal AS (SELECT query_id, sum(rel / log2(i + 1)) AS idcg, sum((2 ** rel - 1) / log2(i + 1)) AS xdcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, corpus_id DESC) AS i FROM qrels) WHERE i <= {k} GROUP BY 1)"
 WORDS = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[ \\t\\n\\r]+'), lambda x: x <> '')"
-TOKENS = "tok AS (SELECT doc_id AS id, " + WORDS.format("text") + " AS w FROM documents), tf AS (SELECT id, token, len(any_value(w)) AS n, count(*) AS tf FROM (SELECT id, w, unnest(w) AS token FROM tok) GROUP BY id, token), st AS (SELECT count(*) AS n, avg(len(w)) AS m FROM tok), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT token, df, ln(st.n - df + 0.5) - ln(df + 0.5) AS raw FROM df, st), idf AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"
+TOKENS = "tok AS (SELECT doc_id AS id, " + WORDS.format("text") + " AS w FROM documents), tf AS (SELECT id, token, any_value(n) AS n, count(*) AS tf FROM (SELECT id, len(w) AS n, unnest(w) AS token FROM tok) GROUP BY id, token), st AS (SELECT count(*) AS n, avg(len(w)) AS m FROM tok), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT token, df, ln(st.n - df + 0.5) - ln(df + 0.5) AS raw FROM df, st), idf AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"
 BM25 = TOKENS + ", q AS (SELECT item_id AS query_id, token, count(*) AS times FROM (SELECT item_id, unnest(" + WORDS.format("text") + ") AS token FROM benchmark) GROUP BY 1, 2), bm AS (SELECT query_id, tf.id AS corpus_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * tf.n / st.m))) AS score FROM q JOIN tf USING (token) JOIN idf USING (token), st GROUP BY 1, 2)"
 BM_RUN = BM25 + f", run AS (SELECT * FROM (SELECT *, {TOP} AS rank FROM bm) WHERE rank <= {K})"
 
