@@ -15,9 +15,17 @@ from pyspark.sql import functions as F
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables of a data folder."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of long texts go to Python at most so many at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
@@ -67,12 +75,15 @@ def utf8_values(col: pa.Array) -> list[bytes]:
 class WordCache(dict):
     """Word -> value, computed when first met and kept while it fits.
 
-    ``trim()`` empties it between batches once it has ``most`` entries, so a
-    worker's memory stays bounded whatever the vocabulary."""
+    ``trim()`` empties it between batches once it has ``most`` entries, and empties
+    those of other operators, which a worker process may have served before: so its
+    memory stays bounded whatever the vocabulary and the chain of operators."""
+
+    _live: list[WordCache] = []
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 400_000, owner: str | None = None):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.owner = make, most, owner or object()
 
     def __missing__(self, word):
         value = self.make(word)
@@ -81,6 +92,12 @@ class WordCache(dict):
         return value
 
     def trim(self) -> None:
+        live = WordCache._live
+        for other in [c for c in live if c.owner != self.owner]:
+            other.clear()
+            live.remove(other)
+        if not any(c is self for c in live):
+            live.append(self)
         if len(self) > self.most:
             self.clear()
 
@@ -103,6 +120,7 @@ def bounded_sample(df: DataFrame, most: int, seed: int) -> DataFrame:
 def kept_rows(df: DataFrame, keep) -> DataFrame:
     """The rows of df for which keep(batch), an array of booleans, holds.  All columns
     stay, and no row is moved."""
+    small_batches(df.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):

@@ -65,7 +65,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_WORDS = WordCache(xxhash.xxh3_64_intdigest, 500_000)
+_WORDS = WordCache(xxhash.xxh3_64_intdigest, 400_000)
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:

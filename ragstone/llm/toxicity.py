@@ -29,14 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragstone.llm.common import bounded_sample, id_text, kept_rows, slices, table, utf8_values
+from ragstone.llm.common import WordCache, bounded_sample, id_text, kept_rows, slices, table, utf8_values
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, WIDTH = 8, 10
 WORDS, TRIGRAMS = 1 << 15, 1 << 12
 #: places of the tables of log odds, and the sizes of n-grams, word ends included
 WORD_ODDS, GRAM_ODDS, SIZES = 1 << 20, 1 << 19, (3, 4, 5, 6)
-SAMPLE, SAMPLE_BYTES = 2500, 20_000
+SAMPLE, SAMPLE_BYTES = 2000, 10_000
 EPOCHS, BATCH, RATE = 4, 32, 0.006
 #: documents that hold a word of which a vector is learnt, at least
 COMMON = 5
@@ -56,13 +56,20 @@ class Words:
 
     def __init__(self, words: list[bytes]):
         h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-        self.word = (h % np.uint64(WORDS)).astype(np.int64)
-        self.odds = (h >> np.uint64(20)).astype(np.int64) % WORD_ODDS
+        self.word = (h % np.uint64(WORDS)).astype(np.int32)
+        self.odds = ((h >> np.uint64(20)) % np.uint64(WORD_ODDS)).astype(np.int32)
+        parts = [self._part(words[at: at + 8192], at) for at in range(0, len(words), 8192)] or [self._part([], 0)]
+        #: n-grams by word, and the trigrams among them with their words
+        self.gram, self.grams, self.tri, self.tri_owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.tris = np.maximum(np.bincount(self.tri_owner, minlength=len(words)), 1).astype(np.float32)
+
+    @staticmethod
+    def _part(words: list[bytes], at: int) -> tuple:
         text = np.frombuffer(b"".join(b" " + w + b" " for w in words), np.uint8).astype(np.uint64)
         n = np.array([len(w) + 2 for w in words], np.int64)
         end = np.repeat(np.cumsum(n), n)
         owner, spots, own = np.repeat(np.arange(len(words)), n), [], []
-        self.tri = self.tri_owner = np.zeros(0, np.int64)
+        tri = tri_owner = np.zeros(0, np.int32)
         for size in SIZES:
             k = max(len(text) - size + 1, 0)
             g = np.full(k, size, np.uint64)
@@ -71,15 +78,12 @@ class Words:
                 g ^= g >> np.uint64(29)
             inside = np.arange(k) + size <= end[:k]
             g, o = g[inside], owner[:k][inside]
-            spots.append((g >> np.uint64(40)).astype(np.int64) % GRAM_ODDS)
+            spots.append(((g >> np.uint64(40)) % np.uint64(GRAM_ODDS)).astype(np.int32))
             own.append(o)
             if size == 3:
-                self.tri, self.tri_owner = (g % np.uint64(TRIGRAMS)).astype(np.int64), o
+                tri, tri_owner = (g % np.uint64(TRIGRAMS)).astype(np.int32), (o + at).astype(np.int32)
         own = np.concatenate(own)
-        order = np.argsort(own, kind="stable")
-        self.gram, self.gram_owner = np.concatenate(spots)[order], own[order]
-        self.tris = np.maximum(np.bincount(self.tri_owner, minlength=len(words)), 1).astype(np.float32)
-        self.grams = np.bincount(self.gram_owner, minlength=len(words))
+        return np.concatenate(spots)[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(words)), tri, tri_owner
 
     def __len__(self) -> int:
         return len(self.word)
@@ -231,8 +235,9 @@ def _window_rows(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Scorer:
     """Scores texts under fixed weights; keeps what each distinct word adds to the gates."""
 
-    def __init__(self, net: Net, most: int = 250_000):
+    def __init__(self, net: Net, most: int = 100_000):
         self.net, self.most = net, most
+        WordCache(None, owner="toxicity").trim()  # the worker lets go of other operators' words
         self.clear()
 
     def clear(self) -> None:
@@ -251,7 +256,7 @@ class Scorer:
             end = self.size + len(self.rows.new)
             for k in range(2):
                 if end > len(self.gates[k]):
-                    self.gates[k] = np.concatenate([self.gates[k], np.zeros((max(end - len(self.gates[k]), len(self.gates[k])), 3 * HIDDEN), np.float32)])
+                    self.gates[k] = np.concatenate([self.gates[k], np.zeros((end + (1 << 14) - len(self.gates[k]), 3 * HIDDEN), np.float32)])
                 self.gates[k][self.size: end] = more[k]
             self.size, self.rows.new = end, []
         grid, owner = _window_rows(rows, n)
@@ -269,11 +274,11 @@ def train(texts: list[bytes], toxic: list[int], *, epochs: int = EPOCHS, seed: i
     if len(set(toxic)) < 2:
         return None
     net, rng, y = Net(seed), np.random.default_rng(seed), np.array(toxic, np.float32)
-    words = [words_of(t) for t in texts]
     table = _Rows()
-    rows = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(table.__getitem__, w), np.int64, len(w)) for w in words)]).astype(np.int64)
-    n = np.array([len(w) for w in words], np.int64)
+    each = [np.array([*map(table.__getitem__, words_of(t))], np.int64) for t in texts]
+    rows, n = np.concatenate(each), np.array([len(x) for x in each], np.int64)
     w = Words(table.new)
+    del each, table
     size = len(w)
     held = np.unique(np.repeat(np.arange(len(texts)), n) * size + rows - 1)  # (document, word)
     doc, word = held // size, held % size
