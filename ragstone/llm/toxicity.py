@@ -38,6 +38,8 @@ WORDS, TRIGRAMS = 1 << 15, 1 << 12
 WORD_ODDS, GRAM_ODDS, SIZES = 1 << 20, 1 << 19, (3, 4, 5, 6)
 SAMPLE, SAMPLE_BYTES = 2000, 10_000
 EPOCHS, BATCH, RATE = 4, 32, 0.006
+#: steps of training, at least: few documents are gone through more often
+STEPS = 400
 #: documents that hold a word of which a vector is learnt, at least
 COMMON = 5
 EXTRA, PARTS = 3, 3
@@ -284,7 +286,10 @@ def train(texts: list[bytes], toxic: list[int], *, epochs: int = EPOCHS, seed: i
     doc, word = held // size, held % size
     # the odds that a document sees in training come from the other parts: from its own
     # it would learn its words by heart
-    part = np.arange(len(texts)) % PARTS
+    part = np.zeros(len(texts), np.int64)
+    for label in (0, 1):
+        own = np.flatnonzero(y == label)
+        part[own] = np.arange(len(own)) % PARTS
     kind = part * 2 + y.astype(np.int64)
     total = np.bincount(kind, minlength=2 * PARTS).reshape(PARTS, 2).astype(float)
     first = np.cumsum(w.grams) - w.grams
@@ -316,7 +321,7 @@ def train(texts: list[bytes], toxic: list[int], *, epochs: int = EPOCHS, seed: i
     adam = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     bounds = np.searchsorted(wowner, np.arange(len(texts) + 1))
     step = 0
-    for epoch in range(epochs):
+    for epoch in range(max(epochs, -(-STEPS * BATCH // max(len(texts), 1)))):
         learnt, logits = net.vectors(w), np.zeros(len(grid), np.float32)
         for k in range(PARTS):
             mine = np.flatnonzero(part[wowner] == k)
