@@ -7,7 +7,9 @@ import os
 import sys
 import time
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+ROOT = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYTHONPATH")) if x)  # for the workers
 
 HEADLINE = [
     "dense_cosine_topk", "bm25_topk", "hybrid_fusion", "rerank_topk", "agg_max", "agg_weighted_rank", "ndcg_trec", "metrics_by_k", "chunk_word_window", "chunk_char_window",
@@ -28,6 +30,7 @@ def main() -> None:
         began = time.time()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     spark.stop()
     print(json.dumps({"metric": "retrieval queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}))
 
