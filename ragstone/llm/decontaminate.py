@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragstone.llm.common import shared_dir, slices, table, utf8_values
+from ragstone.llm.common import shared_dir, slices, table, utf8_values, written
 
 WINDOW = 13
 BLOCK_WORDS = 2_000_000
@@ -286,38 +286,64 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones; from the others that hold a passage, its
     words are cut out of the text (n_chars follows).  All columns stay.
 
-    The posting lists of a block live only while its documents pass, so the texts
-    are not shuffled."""
-    spark = docs.sparkSession
+    The words hit by all chunks of the benchmark are known before a text is judged
+    and cut.  With one chunk, the posting lists of a block live only while its
+    documents pass, so the texts are not shuffled; with more, the index is written
+    and the masks are joined to the texts."""
+    chunks = chunks_of(benchmark)
+    chunk = next(chunks, None)
+    if chunk is None:
+        return docs
+    if next(chunks, None) is not None:
+        chunks.close()
+        return _clean_by_index(docs, benchmark)
+    sent = docs.sparkSession.sparkContext.broadcast(chunk)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, words in _doc_blocks(batches):
+            b = Block.build(words)
+            mask, items = b.hits(sent.value)
+            yield _cut(batch, {i: mask[b.starts[i]: b.starts[i] + b.lengths[i]] for i, x in enumerate(items) if x})
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
+def _clean_by_index(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """clean() by search_windows(), which unites the masks of all chunks."""
     names = docs.columns
-    for chunk in chunks_of(benchmark):
-        sent = spark.sparkContext.broadcast(chunk)
+    # ids of rows hold only once they are written
+    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    index = build_index(keyed.select(F.col("__row").alias("doc_id"), "text"), shared_dir(docs.sparkSession, "postings"))
+    found = search_windows(index, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("__row"), F.col("n_words").alias("__n"), F.col("hits").alias("__hits"))
 
-        def rows(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch, words in _doc_blocks(batches):
-                b = Block.build(words)
-                mask, items = b.hits(sent.value)
-                keep, cut = np.ones(batch.num_rows, bool), {}
-                for i in (i for i, x in enumerate(items) if x):
-                    m = mask[b.starts[i]: b.starts[i] + b.lengths[i]]
-                    keep[i] = SHARE * m.sum() < len(m)
-                    if keep[i]:
-                        cut[i] = cut_words(batch.column("text")[i].as_py(), m)
-                if cut:
-                    texts = batch.column("text").to_pylist()
-                    for i, t in cut.items():
-                        texts[i] = t
-                    cols = {n: batch.column(n) for n in names} | {"text": pa.array(texts, batch.schema.field("text").type)}
-                    if "n_chars" in cols:
-                        n = cols["n_chars"].to_pylist()
-                        for i, t in cut.items():
-                            n[i] = len(t)
-                        cols["n_chars"] = pa.array(n, batch.schema.field("n_chars").type)
-                    batch = pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(rows, docs.schema)
-    return docs
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 6 * BLOCK_WORDS):
+            hit = zip(batch.column("__hits").to_pylist(), batch.column("__n").to_pylist(), strict=True)
+            masks = {i: np.unpackbits(np.frombuffer(h, np.uint8), count=n) for i, (h, n) in enumerate(hit) if h}
+            yield _cut(batch.select(names), masks)
+
+    return keyed.join(written(found, "hits"), "__row", "left").select(*names, "__n", "__hits").mapInArrow(rows, docs.schema)
+
+
+def _cut(batch: pa.RecordBatch, masks: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """The batch without its contaminated rows, and without the masked words of the others."""
+    keep, cut = np.ones(batch.num_rows, bool), {}
+    for i, m in masks.items():
+        keep[i] = SHARE * int(m.sum()) < len(m)
+        if keep[i]:
+            cut[i] = cut_words(batch.column("text")[i].as_py(), m)
+    if cut:
+        texts = batch.column("text").to_pylist()
+        for i, t in cut.items():
+            texts[i] = t
+        cols = {n: batch.column(n) for n in batch.schema.names} | {"text": pa.array(texts, batch.schema.field("text").type)}
+        if "n_chars" in cols:
+            n = cols["n_chars"].to_pylist()
+            for i, t in cut.items():
+                n[i] = len(t)
+            cols["n_chars"] = pa.array(n, batch.schema.field("n_chars").type)
+        batch = pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+    return batch.filter(pa.array(keep))
 
 
 def cut_words(text: str, mask: np.ndarray) -> str:

@@ -116,6 +116,27 @@ def test_proximity_and_cutting(spark):
     assert kept == {2: (f"{long}  end", len(long) + 5), 3: ("clean", 5), 4: (None, None)}
 
 
+def test_cleaning_by_chunks(spark, monkeypatch):
+    w = lambda c, n: [f"{c}{i}" for i in range(n)]
+    a, b = w("a", 15), w("b", 15)
+    over = [*a[-8:], *w("o", 8)]  # its first 8 words end a
+    items = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(over))]
+    texts = [
+        " ".join([*w("v", 300), *a, *w("x", 100), *b, *w("y", 70)]),  # 3 % of each of two items
+        " ".join([*w("v", 900), *a, *w("o", 8), "end"]),  # two passages that overlap
+        " ".join([*w("v", 900), *b, "end"]), "clean", "", None,
+    ]
+    docs = spark.createDataFrame([*((i, t, len(t or "")) for i, t in enumerate(texts)), (2, texts[2], 0), (None, texts[0], 0)], "doc_id long, text string, n_chars long")
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    cut = " ".join(w("v", 900)) + "  end"
+    want = sorted([(1, cut, len(cut)), (2, cut, len(cut)), (2, cut, len(cut)), (3, "clean", 5), (4, "", 0), (5, None, 0)], key=repr)
+    for chunk in (1, 8 << 20):  # a chunk for each item, and all in one
+        monkeypatch.setattr(decontaminate, "CHUNK_BYTES", chunk)
+        got = decontaminate.clean(docs, bench)
+        assert got.schema == docs.schema and sorted(map(tuple, got.collect()), key=repr) == want
+    assert decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
+
+
 # 3
 
 
