@@ -364,6 +364,15 @@ def test_toxicity(spark, data):
     assert toxicity.fit(docs, spark.read.parquet(f"{data}/labels.parquet").limit(0)) is None
 
 
+def test_toxicity_learns_from_long_texts(spark, monkeypatch):
+    learnt = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: learnt.extend(zip(map(len, texts), toxic, strict=True)))
+    docs = spark.createDataFrame([(1, "bad " * 3750), (2, "good " * 3990), (3, "good " * 4010), (4, "fair")], "doc_id long, text string")
+    toxicity.fit(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 0)], "doc_id long, toxic int"))
+    assert sorted(learnt) == [(4, 0), (15000, 1), (19950, 0)]
+    assert toxicity.SAMPLE >= 2500
+
+
 # 9
 
 
