@@ -51,6 +51,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while base in taken:
+        base = f"_{base}"
+    return base
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose column holds about limit bytes at most
     (a longer single value stays whole)."""

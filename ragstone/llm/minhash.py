@@ -1,27 +1,31 @@
 """Operator 4: near-duplicate detection by fast similarity sketching.
 
-1. Every row's text becomes its set of word shingles, and the set a sketch:
-   rounds of hashed bin placement, of which the last fill every coordinate for
-   certain (`sketches`).  Bands of coordinates are the bucket keys.
+1. Every row's text becomes its set of word shingles (64-bit hashes), and the set a
+   sketch: rounds of hashed bin placement, of which the last fill every coordinate
+   for certain (`sketches`).  Bands of coordinates are the bucket keys.
 2. Rows of one set form a class (exact copies meet in a map-side combined
-   aggregate, never as pairs); from here on classes stand for their rows.
-3. Buckets of two classes or more yield links.  In each pivot round every
-   bucket compares its members with one pivot only and drops out once its members
-   have one component.  Buckets that are still apart and share members then make
-   a group, and the members outside a group's largest component meet all its
-   members in blocks, on their full sets; such a block gives links between
-   different components only.  So no link between components is lost, and no
-   bucket or group is expanded into its pairs.
-4. Every link is confirmed on the full sets.
-5. Components: least labels along links with pointer jumping, all in tables.
-
-Sets are rebuilt for candidate classes only; a bit map of
-bounded size tells which rows to rebuild, and a join removes its false hits.
+   aggregate, never as pairs); from here on numbered classes stand for their rows.
+3. In a bucket of two classes or more every member meets one pivot only.  The
+   links found so give the first components.
+4. What a pivot leaves open among the classes of such buckets is settled exactly:
+   two sets of the similarity asked for share an element of their prefixes, the few
+   elements of each that are rarest among all these sets.  An element that only one
+   component holds is dropped; of the others, those outside the element's main
+   component meet the rest, and of these pairs only the ones whose sizes and places
+   still allow the similarity go on.  A set whose own elements fill its prefix meets
+   nobody, so a large group of loosely related texts doesn't give its pairs.
+5. Every link is confirmed on the full sets.
+6. Components: least labels along links with pointer jumping, all in tables.
+
+Sides of a join on a key that may be hot (bucket, element, label, class) are
+written first, so that the engine can split a large key over tasks.  Sets are
+rebuilt for the classes of step 3 only; a bit map of bounded size tells which rows
+to rebuild, and a join removes its false hits.
 
 Edge cases: null texts and texts without words have an empty set, link with
 nothing and stay; null doc_ids are never the smallest of a component that has
-others; rows that repeat a doc_id each get their row; empty tables give no rows;
-other columns are ignored.
+others; rows that repeat a doc_id each get their row, and each is grouped by its own
+text; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,17 +38,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from ragstone.llm.common import WordCache, id_map, id_spot, in_map, kept_rows, slices, table, utf8_values, written
+from ragstone.llm.common import WordCache, free_name, id_map, id_spot, in_map, kept_rows, slices, table, utf8_values, written
 
 #: coordinates of a band
 ROWS = 5
 #: probability that a pair at the threshold shares no band, at most
 MISS = 1e-8
 MASK = (1 << 48) - 1
-PIVOT_ROUNDS = 2
-#: elements of the sets of a block
-BLOCK_ELEMENTS = 1 << 20
 
 
 def bands_for(threshold: float) -> int:
@@ -69,7 +71,7 @@ _WORDS = WordCache(xxhash.xxh3_64_intdigest, 400_000)
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 48-bit hashes of each text's word shingles, one after the
+    """Sorted distinct 64-bit hashes of each text's word shingles, one after the
     other, and the bounds of each text's part."""
     _WORDS.trim()
     words = [t.translate(_ASCII_LOWER).split() for t in texts]
@@ -85,14 +87,13 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
         inside = k < span
         step = np.where(inside, h[np.minimum(at + k, max(len(h) - 1, 0))] if len(h) else 0, 0).astype(np.uint64)
         value = np.where(inside, mix(value * np.uint64(0x9FB21C651E98DF25) + step), value)
-    # the text's number above 48 bits of hash: one sort makes every set
-    if len(texts) >= 1 << 15:
-        raise ValueError("at most 32767 texts at a time")
-    keyed = (doc.astype(np.uint64) << np.uint64(48)) | (value & np.uint64(MASK))
-    keyed.sort()
-    keyed = keyed[np.concatenate([[True], keyed[1:] != keyed[:-1]])] if len(keyed) else keyed
-    bounds = np.searchsorted(keyed, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(48))
-    return keyed & np.uint64(MASK), bounds
+    value = value.view(np.int64)
+    cuts = np.concatenate([[0], np.cumsum(count)]).tolist()
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        value[low:high].sort()
+    fresh = np.ones(len(value), bool)
+    fresh[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
+    return value[fresh].view(np.uint64), np.concatenate([[0], np.cumsum(np.bincount(doc[fresh], minlength=len(texts)))])
 
 
 def sketches(elements: np.ndarray, bounds: np.ndarray, t: int) -> np.ndarray:
@@ -143,7 +144,7 @@ def sketched(docs: DataFrame, size: int, count: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set and its bands."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             elements, bounds = shingle_sets(utf8_values(batch.column("text")), size)
             sketch = sketches(elements, bounds, count * ROWS)
             n = np.diff(bounds)
@@ -159,8 +160,8 @@ def _slim(docs: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(digest, n, elements) of the wanted classes (digest, rep): their representatives'
-    sets, rebuilt from the texts."""
+    """(class, n, elements) of the wanted classes (class, digest, rep): their
+    representatives' sets, rebuilt from the texts."""
     mask, bits = id_map(wanted, "rep")
     sent = docs.sparkSession.sparkContext.broadcast(mask)
 
@@ -169,13 +170,14 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             hit = in_map(mask, batch.column("spot").to_numpy())
             hit |= batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-            for part in slices(iter([batch.filter(pa.array(hit))]), "text", 2 << 20):
+            for part in slices(iter([batch.filter(pa.array(hit))]), "text", 1 << 20):
                 elements, bounds = shingle_sets(utf8_values(part.column("text")), size)
-                cut = zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(_digests(elements, bounds), pa.binary()), pa.array(np.diff(bounds)), pa.array([elements[a:b].tobytes() for a, b in cut], pa.binary())], ["digest", "n", "elements"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_digests(elements, bounds), pa.binary()), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(elements.view(np.int64)))], ["rep", "digest", "n", "elements"])
 
-    found = _slim(docs).withColumn("spot", id_spot("doc_id", bits)).mapInArrow(rows, "digest binary, n long, elements binary")
-    return found.join(wanted.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("n").alias("n"), F.first("elements").alias("elements"))
+    found = _slim(docs).withColumn("spot", id_spot("doc_id", bits)).mapInArrow(rows, "rep long, digest binary, n long, elements array<long>")
+    # one row of a class, should several have its least doc_id
+    same = (F.col("own.digest") == F.col("found.digest")) & F.col("own.rep").eqNullSafe(F.col("found.rep"))
+    return found.alias("found").join(wanted.alias("own"), same).select("class", "n", "elements").dropDuplicates(["class"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
@@ -185,25 +187,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
-                both = np.concatenate([x, y])
+                both = np.concatenate([x.values.to_numpy(), y.values.to_numpy()])
                 both.sort(kind="stable")
                 same = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * same >= per_cent * (len(both) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = sets.select(F.col("digest").alias("a"), F.col("elements").alias("x"), F.col("n").alias("na"))
-    two = sets.select(F.col("digest").alias("b"), F.col("elements").alias("y"), F.col("n").alias("nb"))
+    one = sets.select(F.col("class").alias("a"), F.col("elements").alias("x"), F.col("n").alias("na"))
+    two = sets.select(F.col("class").alias("b"), F.col("elements").alias("y"), F.col("n").alias("nb"))
     sized = 100 * F.least("na", "nb") >= per_cent * F.greatest("na", "nb")
-    return pairs.join(one, "a").join(two, "b").where(sized).select("a", "b", "x", "y").mapInArrow(rows, "a binary, b binary")
+    return pairs.join(one, "a").join(two, "b").where(sized).select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(node, label) for every node of the edges (a, b): the least node that it is
     connected with.  Each round takes the least label among a node's neighbours, then
-    the label of that label, so a path of n nodes needs about log n rounds."""
+    the label of that label, so a path of n nodes needs about log n rounds.
+    start: (node, label) that some of the edges are known to give."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), "labels")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
+    if start is not None:
+        labels = labels.join(start, "node", "left").withColumn("low", F.least("low", "label"))
+    labels = written(labels.select("node", F.least("node", "low").alias("label")), "labels")
     while True:
         seen = labels.select(F.col("node").alias("b"), F.col("label").alias("seen"))
         low = both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("low"))
@@ -215,126 +220,101 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (digest, label) after the links (a, b) between digests."""
-    one = labels.select(F.col("digest").alias("a"), F.col("label").alias("la"))
-    two = labels.select(F.col("digest").alias("b"), F.col("label").alias("lb"))
-    edges = links.join(one, "a").join(two, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    found = components(edges).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return written(labels.join(found, "label", "left").select("digest", F.coalesce("to", "label").alias("label")), "classes")
-
-
-def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets that still hold two components, with their labels."""
-    labelled = members.join(labels, "digest")
-    split = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("bucket")
-    return labelled.join(split, "bucket")
-
-
-def _rest(apart: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Links (a, b) that join the components which are still apart.
-
-    Buckets that share members make a group, so a set is moved to one group only.
-    Within a group, members outside its largest component meet all members, block by
-    block, on their full sets.  A task gives one link for two components at most."""
-    hub = apart.groupBy("bucket").agg(F.min("digest").alias("hub"))
-    star = apart.join(hub, "bucket").where("digest <> hub").select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = components(star).select(F.col("node").alias("digest"), F.col("label").alias("group"))
-    known = written(groups.join(apart.select("digest", "label").distinct(), "digest").join(sets, "digest"), "groups")
-    sizes = (known.groupBy("group", "label").agg(F.count("*").alias("k"), F.sum("n").alias("n")).groupBy("group")
-             .agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.ceil(F.sum("n") / BLOCK_ELEMENTS).alias("parts"), F.count("*").alias("labels")).where("labels > 1"))
-    full = known.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("digest"), "parts"))
-    block = F.collect_list(F.struct("digest", "label", "elements"))
-    every = full.groupBy("group", "part").agg(block.alias("ys"))
-    odd = full.where("label <> main").groupBy("group", F.col("part").alias("p")).agg(block.alias("xs"))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for xs, ys in zip(batch.column("xs"), batch.column("ys"), strict=True):
-                links = links_between(*(v.values.field(c).to_pylist() for v in (xs, ys) for c in ("digest", "label", "elements")), per_cent)
-                if links:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links, strict=True)], ["a", "b"])
-
-    return odd.join(every, "group").select("xs", "ys").mapInArrow(rows, "a binary, b binary")
-
-
-def links_between(xd: list, xl: list, xe: list, yd: list, yl: list, ye: list, per_cent: int) -> list[tuple]:
-    """Links between the sets x and y (names, labels, elements): for two components one
-    at most, none within a component."""
-    ys = np.frombuffer(b"".join(ye), "<u8")
-    yn = np.array([len(e) // 8 for e in ye], np.int64)
-    universe, place = np.unique(ys, return_inverse=True)
-    first = np.cumsum(yn) - yn
-    root = {label: label for label in (*xl, *yl)}
-
-    def find(a):
-        while root[a] != a:
-            root[a] = a = root[root[a]]
-        return a
-
-    out = []
-    for name, label, e in zip(xd, xl, xe, strict=True):
-        own = np.frombuffer(e, "<u8")
-        at = np.minimum(np.searchsorted(universe, own), len(universe) - 1)
-        mark = np.zeros(len(universe), np.int32)
-        mark[at[universe[at] == own]] = 1
-        same = np.add.reduceat(mark[place], first)
-        for j in np.flatnonzero(100 * same >= per_cent * (len(own) + yn - same)).tolist():
-            a, b = find(label), find(yl[j])
-            if a != b:
-                root[b] = a
-                out.append((name, yd[j]))
-    return out
+def _rest(sets: DataFrame, labels: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (a, b) of classes with different labels that may have the similarity: all
+    pairs that have it are among them.
+
+    In one order of all elements, from rare to frequent, two such sets share an element
+    of their first n - ceil(per_cent * n / 100) + 1.  Where they first meet, the smaller
+    number of elements that is left must still hold the intersection."""
+    each = sets.select("class", "n", F.explode("elements").alias("element"))
+    # an element of one set only keeps its place in the order, and nobody is met there
+    shared = written(each.groupBy("element").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    order = F.array_sort(F.collect_list(F.struct("often", "element")))
+    mine = each.join(shared, "element").groupBy("class", "n").agg(order.alias("order"))
+    alone = F.col("n") - F.size("order")
+    prefix = F.col("n") - F.ceil(per_cent * F.col("n") / 100) + 1
+    mine = mine.select("class", "n", alone.cast("long").alias("alone"), F.slice("order", 1, F.greatest(prefix - alone, F.lit(0)).cast("int")).alias("order"))
+    places = mine.select("class", "n", "alone", F.posexplode("order").alias("pos", "e")).select("class", "n", (F.col("alone") + F.col("pos")).alias("at"), F.col("e.element").alias("element"))
+    places = written(places.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class")), "places")
+    held = places.groupBy("element", "label").agg(F.count("*").alias("k")).groupBy("element").agg(F.max("k").alias("k"), F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels"))
+    met = written(places.join(written(held.where("labels > 1").select("element", "main"), "elements"), "element"), "places")
+    odd = met.where("label <> main").select("element", F.col("class").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("ata"))
+    every = met.select("element", F.col("class").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("atb"), "main")
+    # two classes outside the main component meet once
+    may = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) * (100 + per_cent) >= per_cent * (F.col("na") + F.col("nb")))
+    return odd.join(every, "element").where(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _grouped(docs: DataFrame, size: int, per_cent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): doc_id, n_shingles and digest of every row; of each class of rows
+    with one non-empty set its digest, the least doc_id of its rows (rep), that of its
+    component (low), and whether it is the component's first class with that one."""
+    count = bands_for(per_cent / 100)
+    rows = written(sketched(docs, size, count), "sketches")
+    classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    # numbers of rows hold once they are written
+    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    keyed = classes.select("class", F.explode("bands").alias("bucket"))
+    pivots = written(keyed.groupBy("bucket").agg(F.min("class").alias("a"), F.count("*").alias("k")).where("k > 1").select("bucket", "a"), "buckets")
+    pairs = written(keyed.join(pivots, "bucket").where("a <> class").select("a", F.col("class").alias("b")).distinct(), "pairs")
+    names = classes.select("class", "digest", "rep")
+    several = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    sets = written(_full_sets(docs, written(names.join(several, "class", "left_semi"), "several"), size), "sets")
+    links = written(_confirmed(pairs, sets, per_cent), "links")
+    labels = components(links)
+    more = written(_confirmed(written(_rest(sets, labels, per_cent), "pairs"), sets, per_cent), "links")
+    labels = written(components(links.unionByName(more), labels).withColumnRenamed("node", "class"), "components")
+    joined = labels.join(names, "class")
+    low = joined.groupBy("label").agg(F.min("rep").alias("low"), F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "class"))).alias("with_id"), F.min("class").alias("any"))
+    low = written(low.select("label", "low", F.coalesce(F.col("with_id.class"), F.col("any")).alias("first")), "least")
+    known = written(labels.join(low, "label").select("class", "low", "first"), "known")
+    named = names.join(known, "class", "left").select("digest", "rep", F.coalesce("low", "rep").alias("low"), F.coalesce(F.col("first") == F.col("class"), F.lit(True)).alias("first"))
+    return rows.select("doc_id", "n_shingles", "digest"), written(named, "named")
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, per_cent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text):
     documents whose sets of size-word shingles have a Jaccard similarity of per_cent /
     100 at least are linked, component_id is the least doc_id reachable."""
-    count = bands_for(per_cent / 100)
-    rows = written(sketched(docs, size, count), "sketches")
-    classes = written(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    keyed = classes.select("digest", F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-    members = written(keyed.join(shared, "bucket", "left_semi"), "buckets")
-    labels = members.select("digest").distinct()
-    sets = written(_full_sets(docs, classes.select("digest", "rep").join(labels, "digest", "left_semi"), size), "sets")
-    labels = written(labels.withColumn("label", F.col("digest")), "classes")
-    apart = members.join(labels, "digest")
-    for r in range(PIVOT_ROUNDS):
-        pivot = apart.groupBy("bucket").agg(F.min_by("digest", F.xxhash64("digest", F.lit(r))).alias("pivot"), F.min_by("label", F.xxhash64("digest", F.lit(r))).alias("own"))
-        pairs = apart.join(pivot, "bucket").where("label <> own").select(F.least("digest", "pivot").alias("a"), F.greatest("digest", "pivot").alias("b")).distinct()
-        labels = _merge(labels, written(_confirmed(pairs, sets, per_cent), "links"))
-        apart = written(_apart(members, labels), "apart")
-    labels = _merge(labels, written(_rest(apart, sets, per_cent), "links"))
-    least = classes.select("digest", "rep").join(labels, "digest").groupBy("label").agg(F.min("rep").alias("low"))
-    known = classes.select("digest", "rep").join(labels, "digest", "left").join(least, "label", "left").select("digest", F.coalesce("low", "rep").alias("low"))
-    done = rows.select("doc_id", "n_shingles", "digest").join(known, "digest", "left")
+    rows, classes = _grouped(docs, size, per_cent)
+    done = rows.join(classes, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id"))
     return done.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, *, size: int = 5, per_cent: int = 80) -> DataFrame:
-    """docs with one document of each component: all columns, of the least doc_id.
-
-    Rows that repeat a doc_id and its text count as one; rows without a doc_id stay.
-    Only rows whose doc_id is in a bit map of the ids to look at are shuffled."""
-    found = near_duplicates(docs, size=size, per_cent=per_cent).where("doc_id is not null")
-    special = written(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "removed")
+    """docs with one row of each component, all columns: a row of its least doc_id (of
+    any, where no row has one).  Rows without words all stay.
+
+    Rows are told apart by doc_id and the digest of their set.  Only those that have
+    no doc_id or one in a bit map of the ids to look at are sketched again and shuffled."""
+    rows, classes = _grouped(docs, size, per_cent)
+    looked = rows.join(classes, "digest", "left").select("doc_id", "digest", (F.col("n_shingles") == 0).alias("empty"), (F.col("first") & F.col("doc_id").eqNullSafe(F.col("rep"))).alias("stays"))
+    looked = written(looked.groupBy("doc_id", "digest").agg(F.max(F.col("empty") | F.col("stays")).alias("stays"), F.max("empty").alias("empty"), F.count("*").alias("n")), "looked")
+    special = looked.where("doc_id is not null and (not stays or n > 1 and not empty)").select("doc_id").distinct()
     mask, bits = id_map(special, "doc_id")
     sent = docs.sparkSession.sparkContext.broadcast(mask)
-    spotted = docs.withColumn("__spot", F.when(F.col("doc_id").isNotNull(), id_spot("doc_id", bits)))
+    columns, spot, name = docs.columns, free_name(docs, "spot"), free_name(docs, "digest")
+    spotted = docs.withColumn(spot, F.when(F.col("doc_id").isNotNull(), id_spot("doc_id", bits)))
 
-    def part(inside: bool) -> DataFrame:
-        def keep(batch: pa.RecordBatch) -> np.ndarray:
-            spot = batch.column("__spot")
-            hit = in_map(sent.value, spot.fill_null(0).to_numpy()) & ~spot.is_null().to_numpy(zero_copy_only=False)
-            return hit if inside else ~hit
+    def inside(batch: pa.RecordBatch) -> np.ndarray:
+        own = batch.column(spot)
+        return in_map(sent.value, own.fill_null(0).to_numpy()) | own.is_null().to_numpy(zero_copy_only=False)
 
-        return kept_rows(spotted, keep).drop("__spot")
-
-    gone = special.where("not kept").select("doc_id")
-    return part(False).unionByName(part(True).join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(iter([batch.filter(pa.array(inside(batch)))]), "text", 1 << 20):
+                elements, bounds = shingle_sets(utf8_values(part.column("text").cast(pa.string())), size)
+                digest = [d if n else None for d, n in zip(_digests(elements, bounds), np.diff(bounds).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(digest, pa.binary())], [*columns, name])
+
+    rest = kept_rows(spotted, lambda batch: ~inside(batch)).select(columns)
+    odd = spotted.mapInArrow(digested, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+    stay = looked.where("stays and not empty").select(F.col("doc_id").alias("id"), F.col("digest").alias("d"))
+    chosen = odd.where(F.col(name).isNotNull()).dropDuplicates(["doc_id", name])
+    chosen = chosen.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col(name) == F.col("d")), "left_semi")
+    return rest.unionByName(odd.where(F.col(name).isNull()).drop(name)).unionByName(chosen.drop(name))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

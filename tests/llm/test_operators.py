@@ -164,7 +164,8 @@ def test_loser_tree():
 # 4
 
 
-def brute_components(rows, size, per_cent):
+def brute_groups(rows, size, per_cent):
+    """Places in rows of each component; rows without words are one each."""
     sets = []
     for _, t in rows:
         w = (t or "").encode().translate(minhash._ASCII_LOWER).split()
@@ -177,13 +178,20 @@ def brute_components(rows, size, per_cent):
         return i
 
     for i, j in itertools.combinations(range(len(rows)), 2):
-        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= per_cent * len(sets[i] | sets[j]):
-            root[find(j)] = find(i)
+        if min(len(sets[i]), len(sets[j])) * 100 >= per_cent * max(len(sets[i]), len(sets[j]), 1):
+            same = len(sets[i] & sets[j])
+            if 100 * same >= per_cent * (len(sets[i]) + len(sets[j]) - same):
+                root[find(j)] = find(i)
+    return [[j for j in range(len(rows)) if find(j) == i] for i in range(len(rows))]
+
+
+def brute_components(rows, size, per_cent):
     out = []
-    for i, (key, _) in enumerate(rows):
-        own = [rows[j][0] for j in range(len(rows)) if find(j) == find(i) and rows[j][0] is not None] if sets[i] else [key]
-        low = min([k for k in own if k is not None], default=None)
-        out.append((key, len(sets[i]), low, key == low))
+    for group in filter(None, brute_groups(rows, size, per_cent)):
+        low = min((rows[j][0] for j in group if rows[j][0] is not None), default=None)
+        for j in group:
+            w = (rows[j][1] or "").encode().translate(minhash._ASCII_LOWER).split()
+            out.append((rows[j][0], len({tuple(w[i: i + size]) for i in range(max(len(w) - size + 1, bool(w)))}), low, rows[j][0] == low))
     return sorted(out, key=repr)
 
 
@@ -204,10 +212,15 @@ def test_near_duplicates(spark, size, per_cent):
     docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, n_shingles int")
     got = minhash.near_duplicates(docs, size=size, per_cent=per_cent).collect()
     assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in got), key=repr) == brute_components(rows, size, per_cent)
-    kept = minhash.deduplicated(docs, size=size, per_cent=per_cent)
-    want = {x[0] for x in brute_components(rows, size, per_cent) if x[3] or x[0] is None}
-    ids = [x["doc_id"] for x in kept.collect()]
-    assert kept.columns == docs.columns and set(ids) == want and len(ids) == len(want)
+    # a null doc_id, or another text under the same doc_id, is decided by its own text
+    more = [*rows, (None, "nothing like it at all"), (None, "Nothing like it at all"), (60, rows[0][1]), (9, "quite another text")]
+    kept = minhash.deduplicated(spark.createDataFrame([(*x, 1, "d") for x in more], "doc_id long, text string, SPOT int, digest string"), size=size, per_cent=per_cent)
+    groups = brute_groups(more, size, per_cent)
+    want = [min((more[i][0] for i in g if more[i][0] is not None), default=None) for g in groups if g]
+    got = kept.collect()
+    assert kept.columns == ["doc_id", "text", "SPOT", "digest"] and sorted((x["doc_id"] for x in got), key=repr) == sorted(want, key=repr)
+    assert not {(60, rows[0][1])} & {(x["doc_id"], x["text"]) for x in got} and (9, "quite another text") in {(x["doc_id"], x["text"]) for x in got}
+    assert minhash.deduplicated(docs.limit(0)).count() == 0
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -219,12 +232,21 @@ def test_sketches_fill_and_agree():
     assert abs((s[4] == s[5]).mean() - 0.9) < 0.1
 
 
-def test_links_between_components():
-    e = lambda *x: np.array(x, "<u8").tobytes()
-    sets = {b"a": e(*range(10)), b"b": e(*range(9)), b"c": e(*range(1, 10)), b"d": e(50)}
-    names = [*sets]
-    links = minhash.links_between(names, names, [*sets.values()], names, names, [*sets.values()], 85)
-    assert len(links) == 2 and {x for pair in links for x in pair} == {b"a", b"b", b"c"}
+def test_large_group(spark):
+    """Thousands of near copies of one text, about half of them too far for any link, and
+    a second text that shares a long passage with it."""
+    r = random.Random(44)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for k in range(2400):
+        copy = list(base) if k % 7 else [*base[:60], *(f"o{i}" for i in range(30))]
+        for _ in range(r.choice([0, 1, 1, 2, 3, 4, 5, 6])):
+            copy[r.randrange(len(copy))] = f"x{r.randrange(400)}"
+        rows.append((k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs, size=3, per_cent=85).collect()}
+    want = {i: min(g) for g in brute_groups(rows, 3, 85) for i in g}
+    assert got == want and len(set(want.values())) > 300
 
 
 # 5
