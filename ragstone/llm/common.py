@@ -19,11 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows of long texts go to Python at most so many at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, rows)
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Rows of long texts are read from files, and go to Python, at most so many at a
+    time: a column of thousands of long texts is one huge array of the JVM's heap."""
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if not 0 < int(spark.conf.get(name)) <= rows:
+            spark.conf.set(name, rows)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
