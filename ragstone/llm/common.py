@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Rows of long texts are read from files, and go to Python, at most so many at a
-    time: a column of thousands of long texts is one huge array of the JVM's heap."""
+    time: a column of thousands of long texts is one huge array of the JVM's heap.
+    Small shuffles end in few tasks and files, whatever the number of cores."""
     for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
         if not 0 < int(spark.conf.get(name)) <= rows:
             spark.conf.set(name, rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -43,12 +46,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
     """The rows of df, written to the shared folder and read again: later
-    steps start from files, so a lost executor costs no earlier step."""
+    steps start from files, so a lost executor costs no earlier step.  A slim table (a
+    few numbers for a document) is written in four tasks for each core at most."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if slim else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -84,30 +88,71 @@ def utf8_values(col: pa.Array) -> list[bytes]:
 class WordCache(dict):
     """Word -> value, computed when first met and kept while it fits.
 
-    ``trim()`` empties it between batches once it has ``most`` entries, and empties
-    those of other operators, which a worker process may have served before: so its
-    memory stays bounded whatever the vocabulary and the chain of operators."""
+    There are two generations: once this one holds about half of ``most`` bytes, ``trim()``
+    makes it the old one and drops the one before; a word met again moves up, so what
+    is frequent stays.  ``trim()`` also empties the caches of other operators, which
+    a worker process may have served before: memory stays within one budget, whatever the
+    vocabulary and the chain of operators.  Caches of one owner share it."""
 
+    #: bytes that the caches of a worker process hold at most, by their own estimate
+    BYTES = 192 << 20
+    #: of an entry, besides its word and value
+    ENTRY = 150
     _live: list[WordCache] = []
 
-    def __init__(self, make, most: int = 400_000, owner: str | None = None):
+    def __init__(self, make=None, share: float = 1.0, owner: str | None = None):
         super().__init__()
-        self.make, self.most, self.owner = make, most, owner or object()
+        self.make, self.most, self.owner = make, int(share * self.BYTES), owner or object()
+        self.old: dict = {}
+        self.held = 0
 
-    def __missing__(self, word):
-        value = self.make(word)
+    def keep(self, word, value):
         if len(word) <= 64:
             self[word] = value
+            self.held += self.ENTRY + len(word) + getsizeof(value)
         return value
 
+    def keep_all(self, values: dict) -> list:
+        """Takes many words with bytes as values; returns those too long to be kept, which
+        drop_words() should take out after use."""
+        self.update(values)
+        self.held += (self.ENTRY + 33) * len(values) + sum(map(len, values)) + sum(map(len, values.values()))
+        return [w for w in values if len(w) > 64] if max(map(len, values), default=0) > 64 else []
+
+    def drop_words(self, words: list) -> None:
+        for w in words:
+            del self[w]
+
+    def __missing__(self, word):
+        value = self.old.get(word)
+        return self.keep(word, self.make(word) if value is None else value)
+
+    def unknown(self, words: set) -> list:
+        """Those of words without a value; all others are in this generation afterwards."""
+        out, new = [], words.difference(self)
+        if not self.old:
+            return list(new)
+        for word in new:
+            value = self.old.get(word)
+            if value is None:
+                out.append(word)
+            else:
+                self.keep(word, value)
+        return out
+
+    def drop(self) -> None:
+        self.clear()
+        self.old, self.held = {}, 0
+
     def trim(self) -> None:
         live = WordCache._live
         for other in [c for c in live if c.owner != self.owner]:
-            other.clear()
+            other.drop()
             live.remove(other)
         if not any(c is self for c in live):
             live.append(self)
-        if len(self) > self.most:
+        if 2 * self.held > self.most:
+            self.old, self.held = dict(self), 0
             self.clear()
 
 

@@ -67,7 +67,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_WORDS = WordCache(xxhash.xxh3_64_intdigest, 400_000)
+_WORDS = WordCache(xxhash.xxh3_64_intdigest)
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,17 +204,17 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     connected with.  Each round takes the least label among a node's neighbours, then
     the label of that label, so a path of n nodes needs about log n rounds.
     start: (node, label) that some of the edges are known to give."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links", slim=True)
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
     if start is not None:
         labels = labels.join(start, "node", "left").withColumn("low", F.least("low", "label"))
-    labels = written(labels.select("node", F.least("node", "low").alias("label")), "labels")
+    labels = written(labels.select("node", F.least("node", "low").alias("label")), "labels", slim=True)
     while True:
         seen = labels.select(F.col("node").alias("b"), F.col("label").alias("seen"))
         low = both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("low"))
         hung = labels.join(low, "node").select("node", "label", F.least("label", "low").alias("next"))
         further = labels.select(F.col("node").alias("next"), F.col("label").alias("jump"))
-        moved = written(hung.join(further, "next", "left").select("node", F.least("next", F.coalesce("jump", "next")).alias("new"), "label"), "labels")
+        moved = written(hung.join(further, "next", "left").select("node", F.least("next", F.coalesce("jump", "next")).alias("new"), "label"), "labels", slim=True)
         labels = moved.select("node", F.col("new").alias("label"))
         if moved.where("new <> label").isEmpty():
             return labels
@@ -256,19 +256,19 @@ def _grouped(docs: DataFrame, size: int, per_cent: int) -> tuple[DataFrame, Data
     # numbers of rows hold once they are written
     classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     keyed = classes.select("class", F.explode("bands").alias("bucket"))
-    pivots = written(keyed.groupBy("bucket").agg(F.min("class").alias("a"), F.count("*").alias("k")).where("k > 1").select("bucket", "a"), "buckets")
-    pairs = written(keyed.join(pivots, "bucket").where("a <> class").select("a", F.col("class").alias("b")).distinct(), "pairs")
+    pivots = written(keyed.groupBy("bucket").agg(F.min("class").alias("a"), F.count("*").alias("k")).where("k > 1").select("bucket", "a"), "buckets", slim=True)
+    pairs = written(keyed.join(pivots, "bucket").where("a <> class").select("a", F.col("class").alias("b")).distinct(), "pairs", slim=True)
     names = classes.select("class", "digest", "rep")
     several = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = written(_full_sets(docs, written(names.join(several, "class", "left_semi"), "several"), size), "sets")
-    links = written(_confirmed(pairs, sets, per_cent), "links")
+    sets = written(_full_sets(docs, written(names.join(several, "class", "left_semi"), "several", slim=True), size), "sets")
+    links = written(_confirmed(pairs, sets, per_cent), "links", slim=True)
     labels = components(links)
-    more = written(_confirmed(written(_rest(sets, labels, per_cent), "pairs"), sets, per_cent), "links")
-    labels = written(components(links.unionByName(more), labels).withColumnRenamed("node", "class"), "components")
+    more = written(_confirmed(written(_rest(sets, labels, per_cent), "pairs", slim=True), sets, per_cent), "links", slim=True)
+    labels = written(components(links.unionByName(more), labels).withColumnRenamed("node", "class"), "components", slim=True)
     joined = labels.join(names, "class")
     low = joined.groupBy("label").agg(F.min("rep").alias("low"), F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "class"))).alias("with_id"), F.min("class").alias("any"))
-    low = written(low.select("label", "low", F.coalesce(F.col("with_id.class"), F.col("any")).alias("first")), "least")
-    known = written(labels.join(low, "label").select("class", "low", "first"), "known")
+    low = written(low.select("label", "low", F.coalesce(F.col("with_id.class"), F.col("any")).alias("first")), "least", slim=True)
+    known = written(labels.join(low, "label").select("class", "low", "first"), "known", slim=True)
     named = names.join(known, "class", "left").select("digest", "rep", F.coalesce("low", "rep").alias("low"), F.coalesce(F.col("first") == F.col("class"), F.lit(True)).alias("first"))
     return rows.select("doc_id", "n_shingles", "digest"), written(named, "named")
 

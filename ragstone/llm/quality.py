@@ -51,7 +51,7 @@ def _word(word: bytes) -> bytes:
     return np.array([xxhash.xxh3_64_intdigest(t) >> 32 for t in _TOKENS.findall(word)], np.uint32).tobytes()
 
 
-_WORDS = WordCache(_word, 250_000)
+_WORDS = WordCache(_word)
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -52,8 +52,8 @@ class Lattice:
         self.pieces = Pieces(path)
         ordinary = [s for s in self.pieces.scores.values() if s > -1e8]
         self.unknown = min(ordinary) - UNKNOWN
-        self.best = WordCache(self._best, 700_000, path)
-        self.lists = WordCache(self._list, 50_000, path)
+        self.best = WordCache(self._best, 0.85, path)
+        self.lists = WordCache(self._list, 0.15, path)
 
     def arcs(self, text: str) -> list[list[tuple[int, float]]]:
         """For each end, the (start, score) of the arcs that reach it, short ones first."""

@@ -65,7 +65,7 @@ class Counter:
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
-        self.known = WordCache(self._segment, 800_000)
+        self.known = WordCache(self._segment)
 
     def _segment(self, key: str) -> int:
         lines, text = parts(key)

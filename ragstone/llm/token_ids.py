@@ -19,18 +19,19 @@ reader skips by length):
 Because ids have one width, id k of a block lies at bit k * bits: any
 document, or any id, can be unpacked with numpy without reading the rest.
 
-Rows are range-partitioned by doc_id, so the ascending order needs no single
-task, and the position of a shard is the sum of the totals of those before it
+Rows are range-partitioned by doc_id and a hash of the text (so that a doc_id
+which many rows repeat is dealt out too), the ascending order needs no single task, and the position of a shard is the sum of the totals of those before it
 (one number for each shard goes to the driver, none for a document).
 
 Edge cases: null text counts as empty (only the end id is stored); null
 doc_ids come first and stay null; rows that repeat a doc_id are all kept,
-ordered by text; an empty table writes no block and returns no row; columns
+ordered by a hash of the text and the text; an empty table writes no block and returns no row; columns
 other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -43,11 +44,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragstone.llm.common import shared_dir, slices, utf8_values, written
+from ragstone.llm.common import WordCache, shared_dir, slices, utf8_values, written
 
 HEADER = struct.Struct("<4sIIIIQQ")
 BLOCK_IDS = 1 << 18
-BLOCKS_PER_FILE = 64
+BLOCKS_PER_FILE = 16
 END_ID = 1
 
 
@@ -79,94 +80,119 @@ def unpack(data, bits: int, start: int, count: int) -> np.ndarray:
 class WordEncoder:
     """Ids of whole texts by a library tokenizer whose tokens never span ASCII
     white space: every distinct word is encoded once by the library and its ids
-    are kept, a text is the join of its words' ids.
+    are kept while they fit (common.WordCache), a text is the join of its words' ids.
 
     Words that differ only in ASCII case or in the ASCII marks after their last
     letter share the library's work: the tokenizer lowers case and cuts letters
     from marks itself.  Words of letters only go to the library many at a time,
     as one string; each then ends with the one token that ends a word.
 
-    ``by_word=False`` hands whole texts to the library instead (for tokenizers
-    that keep case or white space)."""
+    All this holds for tokenizer files that normalise and cut words as `_STEPS` says,
+    which is checked; other files get whole texts."""
 
     #: the ASCII marks that may follow a word's last letter; an apostrophe joins
     #: contractions and isn't one of them
     MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 0x27)
+    #: types of the normaliser's and the pre-tokeniser's steps
+    _STEPS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
+    #: how it cuts: contractions, runs of letters, single numbers, runs of other marks
+    _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, by_word: bool = True, most: int = 600_000):
+    def __init__(self, path: str, by_word: bool | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.vocab_size = self.lib.get_vocab_size(with_added_tokens=True)
-        self.by_word, self.most = by_word, most
+        self.by_word = self.cuts_words(json.loads(self.lib.to_str())) if by_word is None else by_word
+        if not self.by_word:
+            return
+        # lower-case ASCII letters are what the normaliser leaves as they are
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
         self.ends = np.zeros(self.vocab_size, bool)
         for token, i in self.lib.get_vocab(with_added_tokens=True).items():
             self.ends[i] = token.endswith("</w>")
         self.special = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.words, self.cores = WordCache(share=0.6, owner=path), WordCache(share=0.4, owner=path)
+
+    @classmethod
+    def cuts_words(cls, file: dict) -> bool:
+        """Whether a tokenizer file is of the kind that may be encoded word by word."""
+        norm, pre, model = ((file.get(k) or {}) for k in ("normalizer", "pre_tokenizer", "model"))
+        steps = [x["type"] for x in norm.get("normalizers", [])], [x["type"] for x in pre.get("pretokenizers", [])]
+        if steps != cls._STEPS or model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>" or model.get("dropout"):
+            return False
+        cut, level = pre["pretokenizers"]
+        white = norm["normalizers"][1]
+        plain = (white["pattern"], white["content"]) == ({"Regex": r"\s+"}, " ") and not level["add_prefix_space"] and not level["use_regex"]
+        return plain and cut["pattern"] == {"Regex": cls._CUT} and cut["behavior"] == "Removed" and cut["invert"] and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["special"] for t in file["added_tokens"])
 
     def _each(self, texts: list[bytes]) -> list[bytes]:
         encoded = self.lib.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in encoded]
 
-    def _together(self, cores: list[bytes]) -> list[bytes]:
+    def _together(self, cores: list[bytes], lib) -> list[bytes]:
         """_each() of words of letters, as one string."""
-        ids = np.array(self.lib.encode_batch_fast([b" ".join(cores).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(lib.encode_batch_fast([b" ".join(cores).decode()], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(cores) or ends[-1] != len(ids):
             return self._each(cores)
         raw, cuts = ids.tobytes(), (4 * ends).tolist()
         return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Puts the ids of new words into self.words."""
-        parts, asked, cores = [], {}, self.cores
-        for w in new:
-            core, marks = w, b""
-            if w[-1] in self.MARKS and not any(s in w for s in self.special):
-                core = w.rstrip(self.MARKS)
-                if core and (core[-1] | 32) in b"abcdefghijklmnopqrstuvwxyz":
-                    marks = w[len(core):]
-                else:
-                    core = w
-            if core.isascii() and b"<|" not in core:
-                core = core.lower()
-            parts.append((core, marks))
-            for x in (core, marks):
-                if x and x not in cores:
-                    asked[x] = None
-        plain = [x for x in asked if x.decode().isalpha()]
-        for at in range(0, len(plain), 1000):
-            part = plain[at: at + 1000]
-            cores.update(zip(part, self._together(part), strict=True))
-        odd = [x for x in asked if x not in cores]
+    def _core(self, w: bytes) -> tuple[bytes, bytes]:
+        """What stands for a word at the library, and the marks after it."""
+        core, marks = w, b""
+        if w[-1] in self.MARKS and not any(s in w for s in self.special):
+            core = w.rstrip(self.MARKS)
+            if core and (core[-1] | 32) in b"abcdefghijklmnopqrstuvwxyz":
+                marks = w[len(core):]
+            else:
+                core = w
+        return core.lower() if core.isascii() and b"<|" not in core else core, marks
+
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        """Puts the ids of new words into self.words; returns the words that are too long to
+        stay there."""
+        letters = [w for w in new if w.isalpha()]  # ASCII letters
+        low = [w.lower() for w in letters]
+        marked = [(w, *self._core(w)) for w in new if not w.isalpha()]
+        asked = self.cores.unknown({*low, *(c for _, c, _ in marked), *(m for _, _, m in marked if m)})
+        plain, wide = [c for c in asked if c.isalpha()], [c.decode() for c in asked if not c.isalpha()]
+        got: dict[bytes, bytes] = {}
+        for some, lib in ((plain, self.bare), ([c.encode() for c in wide if c.isalpha()], self.lib)):
+            for at in range(0, len(some), 1000):
+                part = some[at: at + 1000]
+                got.update(zip(part, self._together(part, lib), strict=True))
+        odd = [c.encode() for c in wide if not c.isalpha()]
         for at in range(0, len(odd), 10_000):
             part = odd[at: at + 10_000]
-            cores.update(zip(part, self._each(part), strict=True))
-        self.words.update((w, cores[c] + cores[m] if m else cores[c]) for w, (c, m) in zip(new, parts, strict=True))
+            got.update(zip(part, self._each(part), strict=True))
+        long, ids = self.cores.keep_all(got), self.cores
+        out = dict(zip(letters, map(ids.__getitem__, low), strict=True))
+        out.update((w, ids[c] + ids[m] if m else ids[c]) for w, c, m in marked)
+        ids.drop_words(long)
+        return self.words.keep_all(out)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text as little-endian u32 bytes."""
         if not self.by_word:
             return self._each(texts)
-        for kept in (self.words, self.cores):
-            if len(kept) > self.most:
-                kept.clear()
+        self.words.trim()
+        self.cores.trim()
         words = [t.split() for t in texts]
-        coded = [[*map(self.words.get, w)] for w in words]
-        new = dict.fromkeys(w for ws, cs in zip(words, coded, strict=True) if None in cs for w, c in zip(ws, cs, strict=True) if c is None)
-        if new:
-            self._learn([*new])
-            coded = [[*map(self.words.get, w)] if None in c else c for w, c in zip(words, coded, strict=True)]
-        return [b"".join(c) for c in coded]
+        new = self.words.unknown(set().union(*words))
+        long = self._learn(new) if new else []
+        coded = [b"".join(map(self.words.__getitem__, w)) for w in words]
+        self.words.drop_words(long)
+        return coded
 
 
-_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool | None], WordEncoder] = {}
 
 
-def encoder(path: str, by_word: bool) -> WordEncoder:
+def encoder(path: str, by_word: bool | None) -> WordEncoder:
     """The worker's encoder for a tokenizer file, made once."""
     key = (path, by_word)
     if key not in _ENCODERS:
@@ -187,7 +213,7 @@ def _block(bits: int, shard: int, number: int, first: int, docs: list, ids: list
     ])
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | None = END_ID, by_word: bool = True) -> str:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | None = END_ID, by_word: bool | None = None) -> str:
     """Encode doc_id, text into bit-packed shard files under path, ascending by doc_id."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +223,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | No
         keys: list = []
         ids: list[np.ndarray] = []
         end = b"" if end_id is None else np.array([end_id], np.uint32).tobytes()
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             coded = enc.encode(utf8_values(batch.column("text")))
             for key, raw in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
                 keys.append(key)
@@ -211,7 +237,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | No
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = ordered.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = ordered.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     made = ordered.mapInArrow(blocks, "block binary").select(F.col("block").cast("string").alias("value"))
     made.write.option("maxRecordsPerFile", BLOCKS_PER_FILE).option("compression", "none").text(path)
     return path
@@ -266,6 +292,54 @@ def read_shards(spark: SparkSession, path: str, *, with_ids: bool = False) -> Da
     return docs.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard", "block", *["ids"] * with_ids)
 
 
+def block_index(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each stored block: file, at (its first byte), low and high (the least
+    and the greatest doc_id).  Ids and texts aren't unpacked."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                view = memoryview(content.as_buffer())
+                at, found = 0, []
+                while at < len(view):
+                    _, bits, _, _, n, _, n_ids = HEADER.unpack_from(view, at)
+                    keys = np.frombuffer(view, "<i8", n, at + HEADER.size + n)[np.frombuffer(view, np.uint8, n, at + HEADER.size) == 0]
+                    found.append((file, at, int(keys.min()) if len(keys) else None, int(keys.max()) if len(keys) else None))
+                    at += HEADER.size + 13 * n + 4 + (n_ids * bits + 7) // 8 + 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["file", "at", "low", "high"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    return written(files.mapInArrow(rows, "file string, at long, low long, high long"), "token-blocks")
+
+
+def read_documents(spark: SparkSession, index: DataFrame, doc_ids: list[int]) -> DataFrame:
+    """doc_id, n_tokens, ids of the rows of a few documents: of the shard files only
+    those that may hold one are read, and of their blocks only these documents' bits
+    are unpacked.  index: block_index()."""
+    wanted = sorted(set(doc_ids))
+    names = "doc_id long, n_tokens long, ids array<long>"
+    near = F.exists(F.array(*map(F.lit, wanted)).cast("array<long>"), lambda x: x.between(F.col("low"), F.col("high")))
+    held = index.where(near).groupBy("file").agg(F.collect_list("at").alias("at")).collect() if wanted else []  # files of len(wanted) documents
+    if not held:
+        return spark.createDataFrame([], names)
+    places = {r["file"]: sorted(r["at"]) for r in held}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                view = memoryview(content.as_buffer())
+                for at in places[file]:
+                    _, bits, _, _, n, _, _ = HEADER.unpack_from(view, at)
+                    at += HEADER.size
+                    keys = np.frombuffer(view, "<i8", n, at + n)
+                    offsets = np.frombuffer(view, "<u4", n + 1, at + 9 * n).astype(np.int64)
+                    own = np.flatnonzero(np.isin(keys, wanted) & (np.frombuffer(view, np.uint8, n, at) == 0))
+                    ids = [unpack(view[at + 13 * n + 4:], bits, int(offsets[i]), int(offsets[i + 1] - offsets[i])).astype(np.int64) for i in own]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "n_tokens", "ids"])
+
+    return spark.read.format("binaryFile").load([*places]).select("path", "content").mapInArrow(rows, names)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: all of documents through word_bpe_49k, end id 1 after each document."""
     import public_tokenizers
