@@ -47,6 +47,8 @@ ROWS = 5
 #: probability that a pair at the threshold shares no band, at most
 MISS = 1e-8
 MASK = (1 << 48) - 1
+#: columns of 64 parities: how many of a set's elements hash to a bit, odd or even
+PARITY = ("p0", "p1", "p2", "p3")
 
 
 def bands_for(threshold: float) -> int:
@@ -159,8 +161,18 @@ def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def parities(elements: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A row of len(PARITY) 64-bit values for each set.  Two sets differ in at least as
+    many elements as their rows differ in bits."""
+    width = 64 * len(PARITY)
+    odd = np.zeros((len(bounds) - 1, width), np.uint8)
+    for row, a, b in zip(odd, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        row[:] = np.bincount((elements[a:b] & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(class, n, elements) of the wanted classes (class, digest, rep): their
+    """(class, n, elements, parities) of the wanted classes (class, digest, rep): their
     representatives' sets, rebuilt from the texts."""
     mask, bits = id_map(wanted, "rep")
     sent = docs.sparkSession.sparkContext.broadcast(mask)
@@ -172,12 +184,12 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             hit |= batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             for part in slices(iter([batch.filter(pa.array(hit))]), "text", 1 << 20):
                 elements, bounds = shingle_sets(utf8_values(part.column("text")), size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_digests(elements, bounds), pa.binary()), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(elements.view(np.int64)))], ["rep", "digest", "n", "elements"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_digests(elements, bounds), pa.binary()), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(elements.view(np.int64))), *map(pa.array, np.ascontiguousarray(parities(elements, bounds).T))], ["rep", "digest", "n", "elements", *PARITY])
 
-    found = _slim(docs).withColumn("spot", id_spot("doc_id", bits)).mapInArrow(rows, "rep long, digest binary, n long, elements array<long>")
+    found = _slim(docs).withColumn("spot", id_spot("doc_id", bits)).mapInArrow(rows, "rep long, digest binary, n long, elements array<long>, " + ", ".join(f"{p} long" for p in PARITY))
     # one row of a class, should several have its least doc_id
     same = (F.col("own.digest") == F.col("found.digest")) & F.col("own.rep").eqNullSafe(F.col("found.rep"))
-    return found.alias("found").join(wanted.alias("own"), same).select("class", "n", "elements").dropDuplicates(["class"])
+    return found.alias("found").join(wanted.alias("own"), same).select("class", "n", "elements", *PARITY).dropDuplicates(["class"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
@@ -222,7 +234,8 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
 
 def _rest(sets: DataFrame, labels: DataFrame, per_cent: int) -> DataFrame:
     """Pairs (a, b) of classes with different labels that may have the similarity: all
-    pairs that have it are among them.
+    pairs that have it are among them, and no pair is whose sizes, places or parities
+    rule it out.
 
     In one order of all elements, from rare to frequent, two such sets share an element
     of their first n - ceil(per_cent * n / 100) + 1.  Where they first meet, the smaller
@@ -236,13 +249,18 @@ def _rest(sets: DataFrame, labels: DataFrame, per_cent: int) -> DataFrame:
     prefix = F.col("n") - F.ceil(per_cent * F.col("n") / 100) + 1
     mine = mine.select("class", "n", alone.cast("long").alias("alone"), F.slice("order", 1, F.greatest(prefix - alone, F.lit(0)).cast("int")).alias("order"))
     places = mine.select("class", "n", "alone", F.posexplode("order").alias("pos", "e")).select("class", "n", (F.col("alone") + F.col("pos")).alias("at"), F.col("e.element").alias("element"))
-    places = written(places.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class")), "places")
+    known = sets.select("class", *PARITY).join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    places = written(places.join(known, "class"), "places")
     held = places.groupBy("element", "label").agg(F.count("*").alias("k")).groupBy("element").agg(F.max("k").alias("k"), F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels"))
     met = written(places.join(written(held.where("labels > 1").select("element", "main"), "elements"), "element"), "places")
-    odd = met.where("label <> main").select("element", F.col("class").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("ata"))
-    every = met.select("element", F.col("class").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("atb"), "main")
+    odd = met.where("label <> main").select("element", F.col("class").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("ata"), *(F.col(p).alias(f"{p}a") for p in PARITY))
+    every = met.select("element", F.col("class").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("atb"), "main", *(F.col(p).alias(f"{p}b") for p in PARITY))
     # two classes outside the main component meet once
-    may = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) * (100 + per_cent) >= per_cent * (F.col("na") + F.col("nb")))
+    once = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
+    both = F.col("na") + F.col("nb")
+    left = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) * (100 + per_cent) >= per_cent * both
+    differ = sum((F.bit_count(F.col(f"{p}a").bitwiseXOR(F.col(f"{p}b"))) for p in PARITY[1:]), F.bit_count(F.col("p0a").bitwiseXOR(F.col("p0b"))))
+    may = once & left & ((both - differ) * (100 + per_cent) >= 2 * per_cent * both)
     return odd.join(every, "element").where(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
