@@ -292,6 +292,27 @@ def read_shards(spark: SparkSession, path: str, *, with_ids: bool = False) -> Da
     return docs.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard", "block", *["ids"] * with_ids)
 
 
+def _block_ranges(view: memoryview) -> Iterator[tuple]:
+    """(first byte, least doc_id, greatest doc_id) of each block of a file."""
+    at = 0
+    while at < len(view):
+        _, bits, _, _, n, _, n_ids = HEADER.unpack_from(view, at)
+        start = at + HEADER.size
+        keys = np.frombuffer(view, "<i8", n, start + n)[np.frombuffer(view, np.uint8, n, start) == 0]
+        yield at, int(keys.min()) if len(keys) else None, int(keys.max()) if len(keys) else None
+        at = start + 13 * n + 4 + (n_ids * bits + 7) // 8 + 1
+
+
+def _documents_at(view: memoryview, at: int, wanted: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(doc_ids, their ids) of the wanted documents of the block at a byte."""
+    _, bits, _, _, n, _, _ = HEADER.unpack_from(view, at)
+    at += HEADER.size
+    keys, offsets = np.frombuffer(view, "<i8", n, at + n), np.frombuffer(view, "<u4", n + 1, at + 9 * n).astype(np.int64)
+    own = np.flatnonzero(np.isin(keys, wanted) & (np.frombuffer(view, np.uint8, n, at) == 0))
+    packed = view[at + 13 * n + 4:]
+    return keys[own], [unpack(packed, bits, int(offsets[i]), int(offsets[i + 1] - offsets[i])).astype(np.int64) for i in own]
+
+
 def block_index(spark: SparkSession, path: str) -> DataFrame:
     """One row for each stored block: file, at (its first byte), low and high (the least
     and the greatest doc_id).  Ids and texts aren't unpacked."""
@@ -299,16 +320,10 @@ def block_index(spark: SparkSession, path: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                view = memoryview(content.as_buffer())
-                at, found = 0, []
-                while at < len(view):
-                    _, bits, _, _, n, _, n_ids = HEADER.unpack_from(view, at)
-                    keys = np.frombuffer(view, "<i8", n, at + HEADER.size + n)[np.frombuffer(view, np.uint8, n, at + HEADER.size) == 0]
-                    found.append((file, at, int(keys.min()) if len(keys) else None, int(keys.max()) if len(keys) else None))
-                    at += HEADER.size + 13 * n + 4 + (n_ids * bits + 7) // 8 + 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["file", "at", "low", "high"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+                at, low, high = zip(*_block_ranges(memoryview(content.as_buffer())), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(at)), *(pa.array(x, pa.int64()) for x in (at, low, high))], ["file", "at", "low", "high"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("path", "content")
     return written(files.mapInArrow(rows, "file string, at long, low long, high long"), "token-blocks")
 
 
@@ -327,15 +342,9 @@ def read_documents(spark: SparkSession, index: DataFrame, doc_ids: list[int]) ->
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                view = memoryview(content.as_buffer())
                 for at in places[file]:
-                    _, bits, _, _, n, _, _ = HEADER.unpack_from(view, at)
-                    at += HEADER.size
-                    keys = np.frombuffer(view, "<i8", n, at + n)
-                    offsets = np.frombuffer(view, "<u4", n + 1, at + 9 * n).astype(np.int64)
-                    own = np.flatnonzero(np.isin(keys, wanted) & (np.frombuffer(view, np.uint8, n, at) == 0))
-                    ids = [unpack(view[at + 13 * n + 4:], bits, int(offsets[i]), int(offsets[i + 1] - offsets[i])).astype(np.int64) for i in own]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "n_tokens", "ids"])
+                    keys, ids = _documents_at(memoryview(content.as_buffer()), at, wanted)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "n_tokens", "ids"])
 
     return spark.read.format("binaryFile").load([*places]).select("path", "content").mapInArrow(rows, names)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import itertools
 import math
@@ -67,6 +68,17 @@ def test_token_ids(spark):
         assert (start, key, n, ids, crc) == (at, want_key, len(want), want, zlib.crc32(np.array(want, "<u4").tobytes()))
         at += n
     assert token_ids.read_shards(spark, token_ids.write_shards(empty_docs(spark), shared_dir(spark, "t"), WORDS)).count() == 0
+    index = token_ids.block_index(spark, path)
+    one = {(r["doc_id"], r["n_tokens"], tuple(r["ids"])) for r in token_ids.read_documents(spark, index, [13, 5, 404]).collect()}
+    assert one == {(r[1], r[2], tuple(r[4])) for r in got if r[1] in (13, 5)} and token_ids.read_documents(spark, index, []).count() == 0
+    own = token_ids.WordEncoder(WORDS)
+    assert own.by_word and not token_ids.WordEncoder(public_tokenizers.path("byte_bpe_50k.json")).by_word
+    r = random.Random(11)
+    for most in (2000, 1 << 20):  # caches that overflow, and that don't
+        own.words.most = own.cores.most = most
+        for _ in range(40):
+            texts = ["".join(r.choice(["ab", "The", "é", "ß", ".", ",'s", "9", " ", "\n", "<|endoftext|>", "x" * 70, "日本", "--"]) for _ in range(r.randint(0, 40))) for _ in range(5)]
+            assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in texts])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 # 2
@@ -144,7 +156,13 @@ def test_warc(spark):
     same = "payload é " * 20
     rows = [(5, "http://www.B.example/x#top", same), (3, "https://a.example/y?q=1", same), (9, None, same), (7, "http://b.example/x", "short"), (8, "http://b.example/x", "short"), (6, "bad\r\nurl", None), (None, "c", same), (3, "c", same), (1, "http://b.example/WARC/1.1\r\n\r\n", "\r\n\r\nWARC/1.1\r\n" * 20)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
-    got = warc.merged_index(warc.sorted_runs(spark, warc.write_archives(pages, shared_dir(spark, "w")))).orderBy("rank").collect()
+    path = warc.write_archives(pages, shared_dir(spark, "w"))
+    index = warc.merged_index(warc.sorted_runs(spark, path))
+    got = index.orderBy("rank").collect()
+    # every file is plain gzip, every record a member of its own
+    whole = b"".join(gzip.decompress(bytes(r["content"])) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect())
+    one = {r["page_id"]: bytes(r["record"]) for r in warc.fetch(spark, path, index, [5, 6, 404]).collect()}
+    assert whole.count(b"WARC-Record-ID") == len(rows) and set(one) == {5, 6} and all(x in whole and warc.parse(x)[0]["warc-record-id"] == f"<urn:x-page:{k}>" for k, x in one.items())
     assert [r["rank"] for r in got] == list(range(len(rows)))
     keys = [(r["urlkey"].encode(), r["captured"], -1 if r["page_id"] is None else r["page_id"]) for r in got]
     assert keys == sorted(keys)
@@ -159,6 +177,22 @@ def test_loser_tree():
     for k in range(9):
         runs = [sorted(r.randint(0, 20) for _ in range(r.randint(0, 9))) for _ in range(k)]
         assert list(warc.LoserTree([iter(x) for x in runs], lambda v: v)) == sorted(itertools.chain(*runs))
+        blocks = sorted((x[i] - r.randint(0, 1), x[i: i + 3]) for x in runs for i in range(0, len(x), 3))
+        assert list(warc.merged_blocks(iter(blocks), lambda v: v)) == sorted(itertools.chain(*runs))
+
+
+def test_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RUN_ROWS", 40)
+    monkeypatch.setattr(warc, "RUN_BLOCK", 4)
+    monkeypatch.setattr(warc, "ROW_BYTES", 3000)
+    monkeypatch.setattr(warc, "ROWS_PER_FILE", 2)
+    r = random.Random(33)
+    rows = [(i, f"http://h{r.randrange(3)}.example/{r.randrange(9)}", f"page {r.randrange(20)} " * r.randrange(40)) for i in range(700)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    path = warc.write_archives(pages, shared_dir(spark, "w"))
+    runs = warc.sorted_runs(spark, path)
+    got = [(x["urlkey"], x["captured"], x["page_id"]) for x in warc.merged_index(runs).orderBy("rank").collect()]
+    assert runs.select("run").distinct().count() > 8 and got == sorted(got) and sorted(x[2] for x in got) == list(range(700))
 
 
 # 4
