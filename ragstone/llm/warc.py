@@ -2,35 +2,43 @@
 
 Writing.  Every page becomes one WARC/1.1 record; payloads of at least
 MIN_REVISIT bytes that repeat become revisit records (profile
-identical-payload-digest) that refer to the record of the smallest page_id.
+identical-payload-digest) that refer to the record of the smallest page_id.  What
+a record becomes is decided on ids and digests alone; payloads meet the decisions
+by page_id, so a payload that very many pages share isn't gathered anywhere.
 The block of a record is an HTTP response; that of a revisit holds its header
-lines only, whose Content-Length states the size of the full payload.  The
-text sink writes the records (its line end is the last byte of a record's
-closing CRLF), so files appear whole or not at all when executors are lost.  Files
-are compressed as one gzip member; offsets count uncompressed bytes.
+lines only, whose Content-Length states the size of the full payload.
 
-Reading.  Files come back through binaryFile, are parsed by length, and every
-payload's SHA-256 is computed and held against the record's own digest.
+Every record is one gzip member, whose extra field (`sl`) states the sizes of the
+member and of the record: any record can be fetched by offset and length.  The text
+sink writes the members, about ROW_BYTES of them as a row and ROWS_PER_FILE rows to
+a file, so files appear whole or not at all when executors are lost; its line end is
+an empty gzip member.
+
+Reading.  Files come back through binaryFile, one member at a time is inflated and
+parsed, and every payload's SHA-256 is computed and held against the record's own.
 
 Index.  Each reading task sorts its captures by (URL key, timestamp, page_id)
-into runs of at most RUN_ROWS entries; the runs are stored.  Splitters of all
-keys then cut every run, and each merging task takes its key range of all runs
-through a loser tree, which gives the globally ordered capture history.  The
+into runs of at most RUN_ROWS entries; the runs are stored in blocks of RUN_BLOCK
+entries that carry their first key.  Each merging task takes its key range of all
+runs, block by block in the order of the first keys, through a loser tree: a block
+enters when the merge comes to its first key, so a task holds about one block of
+each run, never its range.  That gives the globally ordered capture history.  The
 key holds the page_id, so one very common host or URL is cut like any other
-range.  A task holds index entries only, never payloads.
+range.
 
 Edge cases: null html is an empty payload; null url gives the empty URL key and
 no target line; line ends in a URL are percent-encoded; rows that repeat a
 page_id get a record each, and those with the group's smallest page_id are all
 responses; null page_ids are never the smallest, unless all are null (then all
-are responses); an empty table gives no file and no row; other columns are
-ignored.
+are responses); captures that tie in the whole key stand in the order of their
+runs; an empty table gives no file and no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import struct
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,8 +49,8 @@ from pyspark.sql import functions as F
 from ragstone.llm.common import shared_dir, table, written
 
 MIN_REVISIT = 100
-RECORDS_PER_FILE = 1000
-RUN_ROWS = 100_000
+ROW_BYTES, ROWS_PER_FILE = 1 << 20, 16
+RUN_ROWS, RUN_BLOCK = 100_000, 512
 #: captures without a time of their own lie page_id seconds after this one
 EPOCH = 1704067200
 
@@ -50,15 +58,15 @@ CAPTURE = "urlkey string, captured long, page_id long, record_type string, refer
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """The record of each page as one string column, value, without its last byte."""
+    """The record of each page as one string column, value."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
-    first = (rows.where(F.col("size") >= MIN_REVISIT).groupBy(F.col("digest").alias("d"))
-             .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    rows = rows.join(first, (F.col("digest") == F.col("d")) & (F.col("size") >= MIN_REVISIT), "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    rows = rows.withColumn("revisit", revisit)
+    keys = written(rows.where(F.col("size") >= MIN_REVISIT).select("page_id", "digest"), "payload-keys")
+    first = written(keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n"), "payload-first")
+    again = keys.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
+    again = written(again.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first"), "payload-again")
+    rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").withColumn("revisit", F.col("first").isNotNull())
 
     def line(name: str, value, when=None):
         text = F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -76,29 +84,65 @@ def records(pages: DataFrame) -> DataFrame:
         F.coalesce(line("WARC-Target-URI", uri), F.lit("")), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.coalesce(F.when(F.col("revisit"), F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn("first")))), F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length("body").cast("string")), F.lit("\r\n"))
-    return rows.withColumn("body", body).select(F.concat(head, F.col("body"), F.lit("\r\n\r")).alias("value"))
+    return rows.withColumn("body", body).select(F.concat(head, F.col("body"), F.lit("\r\n\r\n")).alias("value"))
+
+
+_HEAD = struct.Struct("<4sIBBHccHII")
+#: an empty gzip member, the line end of the text sink
+EMPTY = b"\x1f\x8b\x08\0\0\0\0\0\0\xff\x03\0\0\0\0\0\0\0\0\0"
+
+
+def member(record: bytes) -> bytes:
+    """A record as one gzip member that states its own size and the record's."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = deflate.compress(record) + deflate.flush()
+    size = _HEAD.size + len(body) + 8
+    return _HEAD.pack(b"\x1f\x8b\x08\x04", 0, 0, 255, 12, b"s", b"l", 8, size & 0xFFFFFFFF, len(record) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+
+
+def members(content) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, record) of each member of a file, without the empty ones."""
+    view, at = memoryview(content).cast("B"), 0
+    while at < len(view):
+        if view[at: at + len(EMPTY)] == EMPTY:
+            at += len(EMPTY)
+            continue
+        size = _HEAD.unpack_from(view, at)[8]
+        yield at, size, zlib.decompress(view[at: at + size], 31)
+        at += size
 
 
 def write_archives(pages: DataFrame, path: str) -> str:
     """Write page_id, url, html as WARC files under path."""
-    records(pages).write.option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+        for batch in batches:
+            for record in batch.column("value").cast(pa.binary()):
+                held.append(member(record.as_py()))
+                size += len(held[-1])
+                if size >= ROW_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([EMPTY.join(held)], pa.binary())], ["row"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([EMPTY.join(held)], pa.binary())], ["row"])
+
+    made = records(pages).mapInArrow(rows, "row binary").select(F.col("row").cast("string").alias("value"))
+    sink = made.write.option("maxRecordsPerFile", ROWS_PER_FILE).option("compression", "none")
+    sink.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).text(path)
     return path
 
 
-def parse(content: bytes) -> Iterator[tuple[int, int, dict, bytes]]:
-    """(offset, length, header fields in lower case, block) of each record."""
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at) + 4
-        lines = content[at: end - 4].decode().split("\r\n")
-        if not lines[0].startswith("WARC/1."):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        n = int(head["content-length"])
-        if content[end + n: end + n + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} doesn't end where it says")
-        yield at, end + n + 4 - at, head, content[end: end + n]
-        at = end + n + 4
+def parse(record: bytes) -> tuple[dict, bytes]:
+    """(header fields in lower case, block) of one record."""
+    end = record.index(b"\r\n\r\n") + 4
+    lines = record[: end - 4].decode().split("\r\n")
+    head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+    n = int(head["content-length"])
+    if not lines[0].startswith("WARC/1.") or record[end + n:] != b"\r\n\r\n":
+        raise ValueError("not a WARC record")
+    return head, record[end: end + n]
 
 
 def url_key(url: str | None) -> str:
@@ -122,7 +166,8 @@ def captures(file: str, content: bytes) -> Iterator[tuple]:
     import calendar
     import time
 
-    for offset, length, head, block in parse(gzip.decompress(content)):
+    for offset, length, record in members(content):
+        head, block = parse(record)
         http, _, payload = block.partition(b"\r\n\r\n")
         stated = dict(x.partition(": ")[::2] for x in http.decode().split("\r\n")[1:])
         size, kind, digest = int(stated["Content-Length"]), head["warc-type"], head["warc-payload-digest"].removeprefix("sha256:")
@@ -139,19 +184,35 @@ def order(row: tuple) -> tuple:
 
 class LoserTree:
     """k-way merge of sorted iterators: each inner node holds the loser of its match,
-    so the next row costs one path of log2 k comparisons."""
+    so the next row costs one path of log2 k comparisons.  Iterators may join later."""
 
     def __init__(self, runs: list[Iterator], key):
-        self.runs, self.key = [iter(r) for r in runs], key
+        self.key, self.runs, self.heads = key, [], []
+        for r in runs:
+            self._enter(r)
+        self._build()
+
+    def _enter(self, run: Iterator) -> None:
+        self.runs.append(iter(run))
+        self.heads.append(self._next(len(self.runs) - 1))
+
+    def _next(self, i: int):
+        row = next(self.runs[i], None)
+        return None if row is None else (self.key(row), i, row)
+
+    def _build(self) -> None:
         self.k = len(self.runs)
-        self.heads = [self._next(i) for i in range(self.k)]
         self.losers = [-1] * max(self.k, 1)
         for i in range(self.k):
             self._replay(i)
 
-    def _next(self, i: int):
-        row = next(self.runs[i], None)
-        return None if row is None else (self.key(row), i, row)
+    def add(self, run: Iterator) -> None:
+        """Takes one more sorted iterator; those that have ended go."""
+        live = [i for i, h in enumerate(self.heads) if h is not None]
+        self.runs = [self.runs[i] for i in live]
+        self.heads = [(self.heads[i][0], n, self.heads[i][2]) for n, i in enumerate(live)]
+        self._enter(run)
+        self._build()
 
     def _beats(self, a: int, b: int) -> bool:
         x, y = self.heads[a], self.heads[b]
@@ -169,12 +230,33 @@ class LoserTree:
             node //= 2
         self.losers[0] = i
 
+    def least(self):
+        """The least key, None at the end."""
+        head = self.heads[self.losers[0]] if self.k else None
+        return head and head[0]
+
+    def pop(self):
+        i = self.losers[0]
+        row = self.heads[i][2]
+        self.heads[i] = self._next(i)
+        self._replay(i)
+        return row
+
     def __iter__(self):
-        while self.k and self.heads[self.losers[0]] is not None:
-            i = self.losers[0]
-            yield self.heads[i][2]
-            self.heads[i] = self._next(i)
-            self._replay(i)
+        while self.least() is not None:
+            yield self.pop()
+
+
+def merged_blocks(blocks: Iterator[tuple], key) -> Iterator:
+    """The rows of sorted blocks (first key, rows), which come in the order of their first
+    keys (no row of a block is below it), in the order of key."""
+    tree, following = LoserTree([], key), next(blocks, None)
+    while following is not None or tree.least() is not None:
+        if following is not None and (tree.least() is None or following[0] <= tree.least()):
+            tree.add(iter(following[1]))
+            following = next(blocks, None)
+        else:
+            yield tree.pop()
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -189,27 +271,39 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iter
 
 
 _ARROW = pa.schema([("urlkey", pa.string()), ("captured", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-_RUN = pa.schema([*_ARROW, ("run", pa.int64())])
+_FIRST = [("first_urlkey", pa.string()), ("first_captured", pa.int64()), ("first_page", pa.int64())]
+_RUN = pa.schema([*_ARROW, ("run", pa.int64()), ("place", pa.int64()), *_FIRST])
 
 
 def sorted_runs(spark: SparkSession, path: str) -> DataFrame:
-    """The captures of the archives under path in locally sorted, stored runs."""
+    """The captures of the archives under path in locally sorted, stored runs: each with
+    its run, its place in it and the key of the first capture of its block."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, held = TaskContext.get().partitionId() << 32, []
+
+        def stored() -> Iterator[tuple]:
+            held.sort(key=order)
+            for place, row in enumerate(held):
+                if place % RUN_BLOCK == 0:
+                    first = row[:3]
+                yield *row, run, place, *first
+
         def made() -> Iterator[tuple]:
-            run, held = TaskContext.get().partitionId() << 32, []
+            nonlocal run
             for batch in batches:
                 for file, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                    held += captures(file.as_py().rpartition("/")[2], content.as_py())
+                    held.extend(captures(file.as_py().rpartition("/")[2], content.as_buffer()))
                     if len(held) >= RUN_ROWS:
-                        yield from ((*r, run) for r in sorted(held, key=order))
-                        run, held = run + 1, []
-            yield from ((*r, run) for r in sorted(held, key=order))
+                        yield from stored()
+                        run += 1
+                        held.clear()
+            yield from stored()
 
         return _batches(made(), _RUN)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return written(files.mapInArrow(rows, CAPTURE + ", run long"), "capture-runs")
+    return written(files.mapInArrow(rows, CAPTURE + ", run long, place long, first_urlkey string, first_captured long, first_page long"), "capture-runs")
 
 
 def merged_index(runs: DataFrame) -> DataFrame:
@@ -218,18 +312,27 @@ def merged_index(runs: DataFrame) -> DataFrame:
     spark = runs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([*_ARROW, ("shard", pa.int64()), ("at", pa.int64())])
+    width = len(_ARROW)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_run: dict[int, list] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                by_run.setdefault(row[-1], []).append(row[:-1])
+        def blocks() -> Iterator[tuple]:
+            name, held = None, []
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own = row[width], row[width + 1] // RUN_BLOCK
+                    if own != name:
+                        if held:
+                            yield first, held
+                        name, held, first = own, [], order(row[width + 2:])
+                    held.append(row[:width])
+            if held:
+                yield first, held
+
         shard = TaskContext.get().partitionId()
-        tree = LoserTree([iter(by_run[r]) for r in sorted(by_run)], order)
-        return _batches(((*row, shard, i) for i, row in enumerate(tree)), schema)
+        return _batches(((*row, shard, i) for i, row in enumerate(merged_blocks(blocks(), order))), schema)
 
-    # within a run the rows come in its order, which the exchange's sort by run and key keeps
-    dealt = runs.repartitionByRange(parts, "urlkey", "captured", "page_id").sortWithinPartitions("run", "urlkey", "captured", F.col("page_id").asc_nulls_first())
+    by_block = ["first_urlkey", "first_captured", F.col("first_page").asc_nulls_first(), "run", "place"]
+    dealt = runs.repartitionByRange(parts, "urlkey", "captured", "page_id").sortWithinPartitions(*by_block)
     merged = written(dealt.mapInArrow(merge, CAPTURE + ", shard long, at long"), "capture-index")
     base, before = [], 0
     for r in merged.groupBy("shard").agg(F.count("*").alias("n")).orderBy("shard").collect():  # one row for each partition
@@ -238,6 +341,25 @@ def merged_index(runs: DataFrame) -> DataFrame:
     return merged.join(F.broadcast(spark.createDataFrame(base, "shard long, base long")), "shard").withColumn("rank", F.col("base") + F.col("at")).drop("shard", "base", "at")
 
 
+def fetch(spark: SparkSession, path: str, index: DataFrame, page_ids: list[int]) -> DataFrame:
+    """page_id, record (bytes) of a few pages: of the files that hold one, only these
+    members are inflated.  index: merged_index() of the archives under path."""
+    places = {}
+    for r in index.where(F.col("page_id").isin(list(page_ids))).select("file", "offset", "length", "page_id").collect():  # rows of page_ids
+        places.setdefault(r["file"], []).append((r["page_id"], r["offset"], r["length"]))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                view = memoryview(content.as_buffer())
+                own = places[file.rpartition("/")[2]]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in own], pa.int64()), pa.array([zlib.decompress(view[a: a + n], 31) for _, a, n in own], pa.binary())], ["page_id", "record"])
+
+    if not places:
+        return spark.createDataFrame([], "page_id long, record binary")
+    return spark.read.format("binaryFile").load([f"{path}/{f}" for f in places]).select("path", "content").mapInArrow(rows, "page_id long, record binary")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: every page archived, read back, and in the merged capture index."""
     path = write_archives(table(spark, sf_dir, "pages"), shared_dir(spark, "warc"))
