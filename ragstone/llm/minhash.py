@@ -274,14 +274,14 @@ def _grouped(docs: DataFrame, size: int, per_cent: int) -> tuple[DataFrame, Data
     # numbers of rows hold once they are written
     classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     keyed = classes.select("class", F.explode("bands").alias("bucket"))
-    pivots = written(keyed.groupBy("bucket").agg(F.min("class").alias("a"), F.count("*").alias("k")).where("k > 1").select("bucket", "a"), "buckets", slim=True)
-    pairs = written(keyed.join(pivots, "bucket").where("a <> class").select("a", F.col("class").alias("b")).distinct(), "pairs", slim=True)
+    pivots = written(keyed.groupBy("bucket").agg(F.min("class").alias("a"), F.count("*").alias("k")).where("k > 1").select("bucket", "a"), "buckets")
+    pairs = written(keyed.join(pivots, "bucket").where("a <> class").select("a", F.col("class").alias("b")).distinct(), "pairs")
     names = classes.select("class", "digest", "rep")
     several = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = written(_full_sets(docs, written(names.join(several, "class", "left_semi"), "several", slim=True), size), "sets")
+    sets = written(_full_sets(docs, written(names.join(several, "class", "left_semi"), "several"), size), "sets")
     links = written(_confirmed(pairs, sets, per_cent), "links", slim=True)
     labels = components(links)
-    more = written(_confirmed(written(_rest(sets, labels, per_cent), "pairs", slim=True), sets, per_cent), "links", slim=True)
+    more = written(_confirmed(written(_rest(sets, labels, per_cent), "pairs"), sets, per_cent), "links", slim=True)
     labels = written(components(links.unionByName(more), labels).withColumnRenamed("node", "class"), "components", slim=True)
     joined = labels.join(names, "class")
     low = joined.groupBy("label").agg(F.min("rep").alias("low"), F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "class"))).alias("with_id"), F.min("class").alias("any"))
