@@ -8,13 +8,15 @@ read a window of WINDOW words in both directions, attention pools their states,
 and a logistic unit scores the window.  Windows overlap by WINDOW - STRIDE
 words; all of them are scored, and the highest score is the document's.
 
-Training takes about SAMPLE labelled documents of each label of at most
-SAMPLE_BYTES bytes, chosen by a hash of doc_id among rows that aren't held out.  A document's label
-is learnt at the window that scores highest at the time, at first at that of the
+Training takes about SAMPLE labelled documents of each label, chosen by a hash of
+doc_id among rows that aren't held out, with their whole texts; only if these exceed
+SAMPLE_BYTES together, the longest are cut to stretches of one length, whose places are
+a hash too.  A document's label is learnt at the window that scores highest at the time, at first at that of the
 most telling word (multiple-instance learning), by Adam with hand-written gradients through time.
 
 Edge cases: null and empty texts, and those without words, are one empty window
-and get its score; without labels of both kinds every score is 0; a null doc_id
+and get its score; without labels of both kinds every score is 0; a doc_id with both
+labels counts as toxic, one with several texts is learnt from one of them; a null doc_id
 is hashed as empty text; rows that repeat a doc_id each get their row; an empty
 table gives no rows; other columns are ignored.
 """
@@ -29,14 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragstone.llm.common import WordCache, bounded_sample, id_text, kept_rows, slices, table, utf8_values
+from ragstone.llm.common import WordCache, bounded_sample, id_text, kept_rows, slices, table, utf8_values, written
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, WIDTH = 8, 10
 WORDS, TRIGRAMS = 1 << 15, 1 << 12
 #: places of the tables of log odds, and the sizes of n-grams, word ends included
 WORD_ODDS, GRAM_ODDS, SIZES = 1 << 20, 1 << 19, (3, 4, 5, 6)
-SAMPLE, SAMPLE_BYTES = 2500, 20_000
+SAMPLE, SAMPLE_BYTES = 2500, 24 << 20
 EPOCHS, BATCH, RATE = 4, 32, 0.006
 #: steps of training, at least: few documents are gone through more often
 STEPS = 400
@@ -366,10 +368,21 @@ def train(texts: list[bytes], toxic: list[int], *, epochs: int = EPOCHS, seed: i
     return net
 
 
+def longest(sizes: list[int], most: int) -> int:
+    """The length that texts may have so that they don't exceed most together."""
+    left = most
+    for i, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - i) > left:
+            return max(left // (len(sizes) - i), 1)
+        left -= n
+    return max(sizes, default=1)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Net | None:
     """A network for docs (doc_id, text) with labels (doc_id, toxic)."""
     rated = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    chosen = {r[0]: r[1] for kind in (rated.where("toxic = 1"), rated.where("toxic <> 1")) for r in bounded_sample(kind, SAMPLE, 7).collect()}
+    one = rated.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    chosen = {r[0]: r[1] for kind in (0, 1) for r in bounded_sample(one.where(F.col("toxic") == kind), SAMPLE, 7).collect()}
     ids = docs.sparkSession.sparkContext.broadcast(chosen)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -377,11 +390,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Net | None:
         # at most 4 * SAMPLE ids; the texts of other documents aren't moved
         wanted = ids.value
         for batch in batches:
-            size = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_pylist()
-            yield batch.filter(pa.array([k in wanted and n <= SAMPLE_BYTES for k, n in zip(batch.column("doc_id").to_pylist(), size, strict=True)], pa.bool_()))
-
-    got = sorted((r[0], r[1] or "") for r in slim.mapInArrow(rows, "doc_id long, text string").limit(4 * SAMPLE).collect())
-    return train([t.encode() for _, t in got], [int(chosen[k] == 1) for k, _ in got])
+            yield batch.filter(pa.array([k in wanted for k in batch.column("doc_id").to_pylist()], pa.bool_()))
+
+    found = written(slim.mapInArrow(rows, "doc_id long, text string").groupBy("doc_id").agg(F.max("text").alias("text")), "toxic-sample")
+    size = F.length("text")
+    length = longest([r[0] or 0 for r in found.select(size).collect()], SAMPLE_BYTES)
+    start = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.greatest(size - length + 1, F.lit(1))) + 1
+    got = sorted((r[0], r[1] or "") for r in found.select("doc_id", F.col("text").substr(start.cast("int"), F.lit(length))).collect())
+    return train([t.encode() for _, t in got], [chosen[k] for k, _ in got])
 
 
 def scored(docs: DataFrame, net: Net | None) -> DataFrame:
