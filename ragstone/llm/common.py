@@ -46,13 +46,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, slim: bool = False, options: dict | None = None) -> DataFrame:
     """The rows of df, written to the shared folder and read again: later
     steps start from files, so a lost executor costs no earlier step.  A slim table (a
     few numbers for a document) is written in four tasks for each core at most."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if slim else df).write.parquet(path)
+    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if slim else df).write.options(**options or {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,6 +14,12 @@ down.  As every AC coefficient has one size and no block has zeros, each scan's
 code words have one length, so both sides of it are array operations; decode()
 takes any scan of that kind so and walks the others bit by bit.
 
+The query stores the JPEGs as a media column in the shared folder and takes its
+digests from the bytes that it reads back.  tensors() gives the full-resolution RGB
+column of a media column; its cells are twice the payload, so the query, which has to
+keep within one and a half times its input, derives the feature from each tensor and
+doesn't write that column as well.
+
 Edge cases: null counts as empty, an empty text is one block of zeros; long
 texts are stored whole; equal texts give equal files and features; rows that
 repeat a doc_id each get their row; an empty table gives no rows; other columns
@@ -34,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragstone.llm.common import slices, table, utf8_values
+from ragstone.llm.common import slices, table, utf8_values, written
 
 BLOCK = 64
 #: bands of AC coefficients and the bit that their first scan starts from
@@ -85,7 +91,7 @@ def encode(payload: bytes) -> bytes:
     if not blocks or len(payload) % BLOCK:
         raise ValueError("a payload is a positive multiple of 64 bytes")
     mcus = -(-blocks // 6)
-    wide = min(math.isqrt(mcus - 1) + 1, 4095)
+    wide = min(mcus, 4095)  # one row of them, as long as a file can state: hardly any is empty
     tall = -(-mcus // wide)
     data = np.zeros((6 * wide * tall, BLOCK), np.uint8)
     data.reshape(-1)[: len(payload)] = np.frombuffer(payload, np.uint8)
@@ -480,4 +486,4 @@ def digests(media: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: all documents stored as progressive JPEGs and read back."""
-    return digests(to_media(table(spark, sf_dir, "documents")))
+    return digests(written(to_media(table(spark, sf_dir, "documents")), "media", options={"compression": "zstd", "parquet.compression.codec.zstd.level": 6}))

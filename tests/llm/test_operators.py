@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import math
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -421,12 +422,25 @@ def test_toxicity(spark, data):
 
 
 def test_toxicity_learns_from_long_texts(spark, monkeypatch):
+    assert toxicity.longest([5, 1, 9, 3], 18) == 9 and toxicity.longest([5, 1, 9, 3], 13) == 4 and toxicity.longest([], 9) == 1
     learnt = []
-    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: learnt.extend(zip(map(len, texts), toxic, strict=True)))
-    docs = spark.createDataFrame([(1, "bad " * 3750), (2, "good " * 3990), (3, "good " * 4010), (4, "fair")], "doc_id long, text string")
-    toxicity.fit(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 0)], "doc_id long, toxic int"))
-    assert sorted(learnt) == [(4, 0), (15000, 1), (19950, 0)]
-    assert toxicity.SAMPLE >= 2500
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: learnt.append(sorted(zip(map(len, texts), toxic, strict=True))))
+    docs = spark.createDataFrame([(1, "bad " * 9000), (2, "good " * 3990), (3, "good " * 8000), (4, "fair"), (5, None), (6, "both")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 0), (5, 0), (6, 0), (6, 1), (None, 1), (7, None)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 30_008)
+    toxicity.fit(docs, labels)
+    assert learnt == [[(0, 0), (4, 0), (4, 1), (19950, 0), (36000, 1), (40000, 0)], [(0, 0), (4, 0), (4, 1), (10000, 0), (10000, 0), (10000, 1)]]
+
+
+def test_toxicity_held_out(spark):
+    """The query over documents: held-out toxic documents score above clean ones."""
+    d = "/root/testdata/sf0.01"
+    truth = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic")
+    got = [r for r in toxicity.query(spark, d).join(truth, "doc_id").collect() if r["held_out"]]
+    bad, good = ([r["score"] for r in got if r["toxic"] == t] for t in (1, 0))
+    assert len(bad) > 5 and np.mean([[(b > g) + 0.5 * (b == g) for g in good] for b in bad]) > 0.6  # 37 toxic documents to learn from
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.3) for r in got)
 
 
 # 9
@@ -443,6 +457,33 @@ def test_language(spark, data):
     assert odd[100]["lang_pred"] == odd[0]["lang_pred"] == "und" and odd[0]["score"] == 0 and odd[13]["lang_pred"] in model.langs
     assert {r["lang_pred"] for r in language_id.identify(odd_docs(spark), None).collect()} == {"und"}
     assert language_id.identify(empty_docs(spark), model).count() == 0 and language_id.fit(empty_docs(spark)) is None
+    marks = spark.createDataFrame([(1, "½ ² ①"), (2, "12 _ !"), (3, "ª"), (4, "字"), (None, "é")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] == "und" for r in language_id.identify(marks, model).collect()} == {1: True, 2: True, 3: False, 4: False, None: False}
+
+
+def test_language_kernel():
+    """Scores against kernels of sets of n-grams and a ridge regression written apart."""
+    r = random.Random(9)
+    words = {"x": ["the", "and", "of", "this"], "y": ["der", "und", "das", "über"], "z": ["el", "que", "año", "los"]}
+    langs = [r.choice("xyzzz") for _ in range(260)]
+    texts = [" ".join(r.choice(words[g]) for _ in range(r.randint(1, 12))).upper() for g in langs]
+    model = language_id.Model(texts, langs)
+    sets = [{t.lower()[i: i + n] for n in range(1, 5) for i in range(len(t) - n + 1)} for t in texts]
+    turn = [langs[:i].count(g) for i, g in enumerate(langs)]
+    marks = sorted(range(len(texts)), key=lambda i: (turn[i], i))[: language_id.LANDMARKS]
+    k = np.array([[len(a & sets[j]) / math.sqrt(len(a) * len(sets[j])) for j in marks] for a in sets])
+    y = np.array([[1.0 if g == h else -1.0 for h in "xyz"] for g in langs])
+    c = k[marks]
+    # in the span of the landmarks: least squares of k @ w with the landmarks' own kernel as the norm
+    own = k.T * np.array([len(texts) / 3 / langs.count(g) for g in langs])
+    w = np.linalg.lstsq(own @ k + language_id.RIDGE * len(texts) * c, own @ y, rcond=1e-10)[0]
+    assert np.abs(model.scores(texts) - k @ w).max() < 1e-3, np.abs(model.scores(texts) - k @ w).max()
+
+
+def test_language_learns_from_every_language(spark):
+    rows = [(i, "the and of this " * 3, "en", 1) for i in range(6000)] + [(10_000 + i, "der und das über " * 2000, "de", 1) for i in range(5)] + [(None, "kein", None, 1)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string, score int"))
+    assert model.langs == ["de", "en"] and model.predict(["das und der"])[0] == ["de"]
 
 
 # 10
@@ -475,6 +516,93 @@ def test_media(spark):
     assert media.digests(media.to_media(empty_docs(spark))).count() == 0
 
 
+def progressive(coef: np.ndarray, restart: int) -> bytes:
+    """A grey progressive JPEG of blocks (rows, cols, 64 in zigzag order), written from the
+    standard's description: its Huffman tables give symbol s the eight bits of s, AC scans
+    have runs of zeros and of ended blocks, and every scan has restart markers."""
+    blocks = coef.reshape(-1, 64)
+    head = b"\xff\xd8" + b"\xff\xdb\0\x43\0" + b"\1" * 64
+    head += b"\xff\xc2\0\x0b\x08" + struct.pack(">HH", 8 * coef.shape[0], 8 * coef.shape[1]) + b"\1\1\x11\0"
+    for kind in (0x00, 0x10):
+        head += b"\xff\xc4" + struct.pack(">H", 19 + 255) + bytes([kind, *[0] * 7, 255, *[0] * 8]) + bytes(range(255))
+    head += b"\xff\xdd\0\4" + struct.pack(">H", restart)
+
+    def bits(v, n):
+        return [v >> k & 1 for k in range(n - 1, -1, -1)]
+
+    def signed(v):
+        n = abs(v).bit_length()
+        return n, bits(v if v > 0 else v + (1 << n) - 1, n)
+
+    def shifted(v, low):
+        return int(v) >> low if v >= 0 else -(-int(v) >> low)
+
+    def scan(first, last, high, low):
+        out = b"\xff\xda\0\x08\1\1\0" + bytes([first, last, high << 4 | low])
+        for number, at in enumerate(range(0, len(blocks), restart)):
+            got, before, ended, waiting = [], 0, 0, []
+
+            def flush():
+                nonlocal ended, waiting
+                if ended:
+                    n = ended.bit_length() - 1
+                    got.extend(bits(n << 4, 8) + bits(ended - (1 << n), n) + waiting)
+                ended, waiting = 0, []
+
+            for b in blocks[at: at + restart]:
+                if first == 0:
+                    if high:
+                        got.append(int(b[0]) >> low & 1)
+                    else:
+                        n, v = signed((int(b[0]) >> low) - before)
+                        got.extend(bits(n, 8) + v)
+                        before = int(b[0]) >> low
+                    continue
+                run, more, mark = 0, [], first - 1  # more: correction bits since the last symbol, which ended at mark
+                for k in range(first, last + 1):
+                    v = shifted(b[k], low)
+                    if high and abs(v) > 1:
+                        more.append(abs(v) & 1)
+                    elif not v:
+                        run += 1
+                    else:
+                        flush()
+                        while run > 15:
+                            # sixteen zeros, with the corrections among them
+                            zeros = taken = 0
+                            while zeros < 16:
+                                mark += 1
+                                if high and abs(shifted(b[mark], low)) > 1:
+                                    taken += 1
+                                else:
+                                    zeros += 1
+                            got.extend(bits(0xF0, 8) + more[:taken])
+                            more, run = more[taken:], run - 16
+                        n, sign = signed(v)
+                        got.extend(bits(run << 4 | n, 8) + sign + more)
+                        run, more = 0, []
+                    if v and not (high and abs(v) > 1):
+                        mark = k
+                if run or more:
+                    ended, waiting = ended + 1, waiting + more
+            flush()
+            got += [1] * (-len(got) % 8)
+            data = np.packbits(np.array(got, np.uint8)).tobytes().replace(b"\xff", b"\xff\0")
+            out += (bytes([0xFF, 0xD0 + (number - 1) % 8]) if number else b"") + data
+        return out
+
+    scans = [(0, 0, 0, 1), (1, 5, 0, 2), (6, 63, 0, 2), (1, 63, 2, 1), (0, 0, 1, 0), (1, 63, 1, 0)]
+    return head + b"".join(scan(*x) for x in scans) + b"\xff\xd9"
+
+
+def test_foreign_progressive_files():
+    r = np.random.default_rng(77)
+    for restart, share in ((5, 0.05), (12, 0.2), (3, 0.6), (4, 0.0)):
+        coef = np.where(r.random((3, 4, 64)) < share, r.integers(-60, 61, (3, 4, 64)), 0)
+        coef[..., 0] = r.integers(-500, 500, (3, 4))
+        assert (media.decode(progressive(coef, restart)).parts[0]["coef"] == coef).all()
+
+
 def test_constant_image():
     """A grey image with one DC coefficient, written by hand, and its inverse transform."""
     image = media.Image()
