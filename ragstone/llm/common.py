@@ -127,11 +127,13 @@ class WordCache(dict):
         value = self.old.get(word)
         return self.keep(word, self.make(word) if value is None else value)
 
-    def unknown(self, words: set) -> list:
-        """Those of words without a value; all others are in this generation afterwards."""
-        out, new = [], words.difference(self)
+    def unknown(self, words) -> list:
+        """Those of distinct words without a value; all others are in this generation
+        afterwards."""
+        new = [w for w in words if w not in self]
         if not self.old:
-            return list(new)
+            return new
+        out = []
         for word in new:
             value = self.old.get(word)
             if value is None:

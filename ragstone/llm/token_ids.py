@@ -141,37 +141,48 @@ class WordEncoder:
         raw, cuts = ids.tobytes(), (4 * ends).tolist()
         return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
-    def _core(self, w: bytes) -> tuple[bytes, bytes]:
-        """What stands for a word at the library, and the marks after it."""
-        core, marks = w, b""
-        if w[-1] in self.MARKS and not any(s in w for s in self.special):
-            core = w.rstrip(self.MARKS)
-            if core and (core[-1] | 32) in b"abcdefghijklmnopqrstuvwxyz":
-                marks = w[len(core):]
-            else:
-                core = w
-        return core.lower() if core.isascii() and b"<|" not in core else core, marks
+    def _low(self, w: bytes) -> bytes:
+        """The word that has the same ids and stands for w.  Below U+0130 every character
+        has one lower-case form, whatever stands beside it."""
+        if b"<|" in w:
+            return w
+        if w.isascii():
+            return w.lower()
+        text = w.decode()
+        return text.lower().encode() if max(text) < "\u0130" else w
 
     def _learn(self, new: list[bytes]) -> list[bytes]:
         """Puts the ids of new words into self.words; returns the words that are too long to
         stay there."""
         letters = [w for w in new if w.isalpha()]  # ASCII letters
         low = [w.lower() for w in letters]
-        marked = [(w, *self._core(w)) for w in new if not w.isalpha()]
-        asked = self.cores.unknown({*low, *(c for _, c, _ in marked), *(m for _, _, m in marked if m)})
-        plain, wide = [c for c in asked if c.isalpha()], [c.decode() for c in asked if not c.isalpha()]
+        other, whole, marked = [w for w in new if not w.isalpha()], [], []
+        for w, core in zip(other, [w.rstrip(self.MARKS) for w in other], strict=True):
+            n = len(core)
+            if 0 < n < len(w) and core[-1:].isalpha() and b"<|" not in w:
+                marked.append((w, core.lower() if core.isalpha() else self._low(core), w[n:]))
+            else:
+                whole.append((w, self._low(w)))
+        asked = self.cores.unknown({*low, *(c for _, c in whole), *(x for _, *cm in marked for x in cm)})
+        plain, wide, odd = [], [], []
+        for c in asked:
+            if c.isalpha():
+                plain.append(c)
+            else:
+                text = c.decode()
+                (odd if not text.isalpha() else plain if max(text) < "\u0130" else wide).append(c)
         got: dict[bytes, bytes] = {}
-        for some, lib in ((plain, self.bare), ([c.encode() for c in wide if c.isalpha()], self.lib)):
+        for some, lib in ((plain, self.bare), (wide, self.lib)):
             for at in range(0, len(some), 1000):
                 part = some[at: at + 1000]
                 got.update(zip(part, self._together(part, lib), strict=True))
-        odd = [c.encode() for c in wide if not c.isalpha()]
         for at in range(0, len(odd), 10_000):
             part = odd[at: at + 10_000]
             got.update(zip(part, self._each(part), strict=True))
         long, ids = self.cores.keep_all(got), self.cores
         out = dict(zip(letters, map(ids.__getitem__, low), strict=True))
-        out.update((w, ids[c] + ids[m] if m else ids[c]) for w, c, m in marked)
+        out.update((w, ids[c]) for w, c in whole)
+        out.update((w, ids[c] + ids[m]) for w, c, m in marked)
         ids.drop_words(long)
         return self.words.keep_all(out)
 
