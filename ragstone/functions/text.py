@@ -43,13 +43,19 @@ def truncated(text: Column, chars: int = 2048) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case tokens between white space."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\r]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\r]+"), "")
+
+
+#: the endings that a treebank tokeniser cuts off
+ENDINGS = r"('s|'m|'d|'ll|'re|'ve)\b"
 
 
 def word_marks(text: Column) -> Column:
-    """Tokens that are runs of letters and digits or single other marks: close to a
-    treebank tokeniser without its contraction rules."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), F.lit(0))
+    """Tokens as a treebank tokeniser gives them for plain prose: runs of letters and
+    digits, single other marks, and the endings of contractions (do n't, it 's)."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    parted = F.regexp_replace(F.regexp_replace(low, r"([a-z])(n't)\b", "$1 $2"), ENDINGS, " $1")
+    return F.regexp_extract_all(parted, F.lit(r"n't|'(?:s|m|d|ll|re|ve)\b|[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), F.lit(0))
 
 
 #: fixed values: classes of questions and the patterns that make them, searched anywhere

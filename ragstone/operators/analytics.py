@@ -43,6 +43,21 @@ def pivot_mean(rows: DataFrame, index: str, column: str, values: Sequence, metri
     return rows.groupBy(index).pivot(column, list(values)).avg(metric)
 
 
+def mean_by_pair(rows: DataFrame, index: str, column: str, metric: str) -> DataFrame:
+    """The cells of pivot_mean() as rows, for columns with unknown or very many values."""
+    return rows.groupBy(index, column).agg(F.avg(metric).alias("mean"))
+
+
+def score_stats(run: DataFrame, *by: str) -> DataFrame:
+    """Mean, least and greatest score of each group."""
+    return run.groupBy(*by).agg(F.avg("score").alias("mean"), F.min("score").alias("low"), F.max("score").alias("high"))
+
+
+def choices(rows: DataFrame, column: str) -> DataFrame:
+    """How often each value was chosen."""
+    return rows.groupBy(column).agg(F.count("*").alias("n"))
+
+
 def smallest_then_best(rows: DataFrame, small: str, n: int, metric: str, tie: str) -> DataFrame:
     """Of the n rows least in one column, the one best in another."""
     return rows.orderBy(small, tie).limit(n).orderBy(F.col(metric).desc(), tie).limit(1)

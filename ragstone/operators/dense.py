@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,81 +33,128 @@ def score_pairs(queries: DataFrame, corpus: DataFrame, name: str = "cos_sim", mo
     return q.join(c, F.col("query_id") != F.col("corpus_id")).select("query_id", "corpus_id", f(F.col("qe"), F.col("ce")).alias("score"))
 
 
-def _matrix(col: pa.Array) -> np.ndarray:
-    rows = col.to_pylist()
-    width = max((len(r) for r in rows if r), default=0)
-    out = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
-        if r:
-            out[i, : len(r)] = r
-    return out
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, n, out=np.full_like(m, np.nan), where=n > 0)
+def _matrix(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of width numbers, which rows are such).  A row that is null, has another
+    width or holds a null or NaN isn't; it is zeros."""
+    n = len(col)
+    size = pc.fill_null(pc.list_value_length(col), -1).to_numpy(zero_copy_only=False)
+    flat = col.flatten()
+    values = flat.to_numpy(zero_copy_only=False).astype(float)  # nulls become NaN
+    if (size == width).all():
+        out = values.reshape(n, width)
+    else:
+        out = np.zeros((n, width))
+        held = np.where(size > 0, size, 0)
+        start = np.cumsum(held) - held
+        fit = np.flatnonzero(size == width)
+        out[fit] = values[start[fit][:, None] + np.arange(width)] if len(values) else 0
+    good = (size == width) & ~np.isnan(out).any(axis=1)
+    out[~good] = 0
+    return out, good
+
+
+def _unit(m: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = np.linalg.norm(m, axis=1)
+    return m / np.where(n > 0, n, 1)[:, None], good & (n > 0)
+
+
+class _Best:
+    """The k best (score rounded, then id, both falling) of every query of a block so
+    far; everything that may still be among them is kept."""
+
+    def __init__(self, k: int | None):
+        self.k, self.parts, self.held = k, [], 0
+
+    def add(self, s: np.ndarray, ids: np.ndarray) -> None:
+        """s: queries by rows, minus infinity for pairs that don't count."""
+        r = np.round(s, PLACES)
+        if self.k is not None and self.k < s.shape[1]:
+            # all that ties with the k-th stays in
+            edge = np.partition(r, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
+            i, j = np.nonzero((r >= edge[:, None]) & np.isfinite(s))
+        else:
+            i, j = np.nonzero(np.isfinite(s))
+        self.parts.append((i, ids[j], s[i, j]))
+        self.held += len(i)
+        if self.k is not None and self.held > 8 * self.k * len(s):
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, ids, s = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        if self.k is not None:
+            rank = np.unique(ids, return_inverse=True)[1]
+            order = np.lexsort((-rank, -np.round(s, PLACES), i))
+            i, ids, s = i[order], ids[order], s[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < self.k
+            i, ids, s = i[keep], ids[keep], s[keep]
+        self.parts, self.held = [(i, ids, s)], len(i)
+        return i, ids, s
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int | None = 100, score: str = "cos_sim", block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, corpus_id, score, rank: the k best of the corpus (id, embedding) for
-    each query (id, embedding), a row never for itself; k None ranks all."""
+    each query (id, embedding), a row never for itself; k None ranks all.  A vector that
+    is null, holds a null, or has another width than most queries of its block scores -1
+    with everything, as a zero vector does by cosine."""
     if score not in ("cos_sim", "dot"):
         return top_k(score_pairs(queries, corpus, score), k)
     spark, kind = corpus.sparkSession, dict(corpus.dtypes)["id"]
     schema = f"query_id {dict(queries.dtypes)['id']}, corpus_id {kind}, score double"
 
-    def search(ids: list, vectors: np.ndarray) -> DataFrame:
-        sent = spark.sparkContext.broadcast((ids, _unit(vectors) if score == "cos_sim" else vectors))
+    def search(rows_of: DataFrame, ids: list, vectors: list) -> DataFrame:
+        col = pa.array(vectors, pa.list_(pa.float64()))
+        sizes = [len(v) for v in vectors if v is not None]
+        width = max(set(sizes), key=sizes.count) if sizes else 1
+        q, sound = _matrix(col, width)
+        if score == "cos_sim":
+            q, sound = _unit(q, sound)
+        sent = spark.sparkContext.broadcast((pa.array(ids), q, sound))
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, q = sent.value
-            own = {n: i for i, n in enumerate(names)}
-            held: list[list[tuple]] = [[] for _ in names]
+            names, q, sound = sent.value
+            own = np.array(names.to_pylist())
+            order = np.argsort(own, kind="stable")
+            best, type_ = _Best(k), None
 
-            def flush() -> Iterator[pa.RecordBatch]:
-                flat = [(names[i], c, s) for i, h in enumerate(held) for s, c in h]
-                if flat:
-                    cols = zip(*flat, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (types["q"], types["c"], pa.float64()), strict=True)], ["query_id", "corpus_id", "score"])
+            def made() -> pa.RecordBatch:
+                i, c, s = best.cut()
+                return pa.RecordBatch.from_arrays([names.take(pa.array(i)), pa.array(c, type_), pa.array(s)], ["query_id", "corpus_id", "score"])
 
-            types = {"q": pa.int64() if isinstance(names[0], int) else pa.string()}
             for batch in batches:
                 for at in range(0, batch.num_rows, ROW_BLOCK):
                     part = batch.slice(at, ROW_BLOCK)
-                    types["c"] = part.column("id").type
-                    keys = part.column("id").to_pylist()
-                    m = _matrix(part.column("embedding"))
-                    m = _unit(m) if score == "cos_sim" else m
-                    s = np.nan_to_num(q @ m.T, nan=-1.0) if m.shape[1] == q.shape[1] else np.full((len(q), len(m)), -1.0)
-                    for j, c in enumerate(keys):
-                        if c in own:
-                            s[own[c], j] = -np.inf
-                    few = len(keys) if k is None else min(k, len(keys))
-                    # everything that ties with the k-th after rounding stays in
-                    r = np.round(s, PLACES)
-                    edge = np.partition(r, len(keys) - few, axis=1)[:, len(keys) - few]
-                    for i in range(len(names)):
-                        held[i] += [(s[i, j], keys[j]) for j in np.flatnonzero((r[i] >= edge[i]) & np.isfinite(s[i])).tolist()]
-                        if k is not None and len(held[i]) > 4 * k:
-                            held[i] = sorted(held[i], key=lambda x: (round(x[0], PLACES), x[1]), reverse=True)[:k]
-                if k is None:
-                    yield from flush()
-                    held = [[] for _ in names]
-            if k is not None:
-                held = [sorted(h, key=lambda x: (round(x[0], PLACES), x[1]), reverse=True)[:k] for h in held]
-            yield from flush()
-
-        return corpus.select("id", "embedding").mapInArrow(rows, schema)
+                    type_ = part.column("id").type
+                    keys = np.array(part.column("id").to_pylist())
+                    m, good = _matrix(part.column("embedding"), q.shape[1])
+                    if score == "cos_sim":
+                        m, good = _unit(m, good)
+                    s = q @ m.T
+                    s[~sound] = -1
+                    s[:, ~good] = -1
+                    low, high = (np.searchsorted(own, keys, side, sorter=order) for side in ("left", "right"))
+                    same = np.flatnonzero(high > low)
+                    each = (high - low)[same]
+                    s[order[np.repeat(low[same], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)], np.repeat(same, each)] = -np.inf
+                    best.add(s, keys)
+                    if k is None:
+                        yield made()
+                        best = _Best(None)
+            if best.parts:
+                yield made()
+
+        return rows_of.select("id", "embedding").mapInArrow(rows, schema)
 
     parts, ids, vectors = [], [], []
     for r in queries.select("id", "embedding").toLocalIterator():
-        ids.append(r[0])
-        vectors.append(r[1])
         if len(ids) == block:
-            parts.append(search(ids, np.array(vectors, float)))
+            # read (and encoded) once for all blocks
+            corpus = corpus if parts else corpus.select("id", "embedding").persist(StorageLevel.DISK_ONLY)
+            parts.append(search(corpus, ids, vectors))
             ids, vectors = [], []
+        ids.append(r[0])
+        vectors.append(r[1])
     if ids:
-        parts.append(search(ids, np.array(vectors, float)))
+        parts.append(search(corpus, ids, vectors))
     if not parts:
         return spark.createDataFrame([], schema + ", rank int")
     out = parts[0]

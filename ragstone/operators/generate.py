@@ -17,9 +17,9 @@ class Generator(Protocol):
 
 
 class EchoGenerator:
-    """Answers with the start of the last message; needs no network."""
+    """Answers with the start of the last message (all of it for chars None); needs no network."""
 
-    def __init__(self, chars: int = 80):
+    def __init__(self, chars: int | None = 80):
         self.chars = chars
 
     def generate(self, messages: list[dict]) -> str:

@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragstone.functions.text import words
-from ragstone.operators.ranking import top_k
+from ragstone.operators.ranking import PLACES, top_k
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+class Lexical(Protocol):
+    """A lexical model fitted elsewhere: one score for each document it was fitted on."""
+
+    def get_scores(self, tokens: list[str]) -> list[float]: ...
+
+
+def frequencies(docs: DataFrame, tokenize: Callable[[Column], Column] = words) -> DataFrame:
+    """token, df, length of docs (id, text): documents that hold the token and their
+    lengths' sum.  The row without token has the number of documents and of all
+    tokens.  One pass: a document gives its distinct tokens and that one row."""
+    tokens = docs.select(tokenize(F.col("text")).alias("tokens"))
+    marked = F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))
+    return tokens.select(F.size("tokens").alias("length"), F.explode(marked).alias("token")).groupBy("token").agg(F.count("*").alias("df"), F.sum("length").alias("length"))
+
+
 def postings(docs: DataFrame, tokenize: Callable[[Column], Column] = words, only: DataFrame | None = None) -> DataFrame:
     """id, token, tf, length of docs (id, text); only those tokens, if any are given."""
     tokens = docs.select("id", tokenize(F.col("text")).alias("tokens"))
@@ -22,14 +40,15 @@ def postings(docs: DataFrame, tokenize: Callable[[Column], Column] = words, only
     return rows.groupBy("id", "token", "length").agg(F.count("*").alias("tf"))
 
 
-def statistics(docs: DataFrame, tokenize: Callable[[Column], Column] = words) -> DataFrame:
-    """One row: documents, mean length."""
-    return docs.select(F.size(tokenize(F.col("text"))).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+def statistics(counted: DataFrame) -> DataFrame:
+    """One row of frequencies(): n documents, mean_length."""
+    return counted.where("token is null").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), (F.sum("length") / F.sum("df")).alias("mean_length"))
 
 
-def inverse_frequencies(index: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
-    """token, df, idf.  A negative idf is replaced by epsilon times the mean of all raw ones."""
-    df = index.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(stats.select("n")))  # one row
+def inverse_frequencies(counted: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """token, df, idf of frequencies().  A negative idf is replaced by epsilon times the
+    mean of all raw ones."""
+    df = counted.where("token is not null").select("token", "df").join(F.broadcast(statistics(counted).select("n")))  # one row
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -38,20 +57,52 @@ def inverse_frequencies(index: DataFrame, stats: DataFrame, epsilon: float = EPS
 def bm25(queries: DataFrame, docs: DataFrame, *, tokenize: Callable[[Column], Column] = words, k1: float = K1, b: float = B, epsilon: float = EPSILON, candidates: DataFrame | None = None) -> DataFrame:
     """query_id, corpus_id, score of every pair that shares a token (others score 0).
 
-    candidates (query_id, corpus_id) restricts the pairs before anything is summed.
-    Only postings of the queries' tokens are joined; a frequent token's list is split
-    by the engine's skew handling, as is its side of the join."""
-    stats = statistics(docs, tokenize)
+    candidates (query_id, corpus_id) restricts the pairs: only their documents are
+    tokenised for postings, and only the pairs are summed.  Statistics are those of the
+    whole corpus.  Only postings of the queries' tokens are made; a frequent token's list
+    is split by the engine's skew handling, as is its side of the join."""
+    counted = frequencies(docs, tokenize)
     asked = queries.select(F.col("id").alias("query_id"), F.explode(tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    idf = inverse_frequencies(postings(docs, tokenize), stats, epsilon).join(asked.select("token").distinct(), "token", "left_semi")
-    weighed = postings(docs, tokenize, asked).join(idf.select("token", "idf"), "token").join(F.broadcast(stats.select("mean_length")))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    pairs = weighed.select("token", F.col("id").alias("corpus_id"), part.alias("part")).join(asked, "token")
+    idf = inverse_frequencies(counted, epsilon).join(asked.select("token").distinct(), "token", "left_semi")
     if candidates is not None:
-        pairs = pairs.join(candidates.select("query_id", "corpus_id"), ["query_id", "corpus_id"], "left_semi")
+        docs = docs.join(candidates.select(F.col("corpus_id").alias("id")).distinct(), "id", "left_semi")
+    weighed = postings(docs, tokenize, asked).join(idf.select("token", "idf"), "token").join(F.broadcast(statistics(counted).select("mean_length")))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
+    parts = weighed.select("token", F.col("id").alias("corpus_id"), part.alias("part"))
+    if candidates is None:
+        pairs = parts.join(asked, "token")
+    else:
+        # a candidate pair meets its query's tokens, then the document's
+        wanted = candidates.select("query_id", "corpus_id").distinct().join(asked, "query_id")
+        pairs = wanted.join(parts, ["corpus_id", "token"])
     return pairs.groupBy("query_id", "corpus_id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int | None = 100, **options) -> DataFrame:
-    """bm25() ranked, the k best of each query."""
-    return top_k(bm25(queries, docs, **options), k)
+    """bm25() ranked, the k best of each query.  With k None every document is ranked for
+    every query, which is the whole product: those that share no token score 0."""
+    scores = bm25(queries, docs, **options)
+    if k is None:
+        every = queries.select(F.col("id").alias("query_id")).distinct().join(docs.select(F.col("id").alias("corpus_id")).distinct())
+        scores = every.join(scores, ["query_id", "corpus_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return top_k(scores, k)
+
+
+def model_topk(queries: DataFrame, ids: list, model: Lexical, k: int | None = 100, tokenize: Callable[[Column], Column] = words) -> DataFrame:
+    """query_id, corpus_id, score, rank by an injected model: ids are the documents that
+    it was fitted on, in its order.  Model and ids travel once to each task."""
+    number = isinstance(ids[0], int) if len(ids) else True
+    sent = queries.sparkSession.sparkContext.broadcast((np.array(ids), model))
+    schema = f"query_id {dict(queries.dtypes)['id']}, corpus_id {'long' if number else 'string'}, score double"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, own = sent.value
+        for f in frames:
+            for q, tokens in zip(f["query_id"], f["tokens"], strict=True):
+                score = np.asarray(own.get_scores(list(tokens)), float)
+                r = np.round(score, PLACES)
+                edge = np.partition(r, len(r) - k)[len(r) - k] if k is not None and k < len(r) else -np.inf
+                at = np.flatnonzero(r >= edge)
+                yield pd.DataFrame({"query_id": q, "corpus_id": names[at], "score": score[at]})
+
+    return top_k(queries.select(F.col("id").alias("query_id"), tokenize(F.col("text")).alias("tokens")).mapInPandas(run, schema), k)

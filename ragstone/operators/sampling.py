@@ -21,11 +21,12 @@ def head(rows: DataFrame, n: int, key: str = "id") -> DataFrame:
 
 def smart_sample(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, most: int = 3000, seed: int = 42) -> DataFrame:
     """Every document relevant to a query, and others by hash up to most in all; the
-    relevant ones all stay even if they are more."""
-    wanted = qrels.join(queries.select(F.col("id").alias("query_id")), "query_id", "left_semi").select(F.col("corpus_id").alias("id")).distinct()
-    relevant = corpus.join(wanted, "id", "left_semi")
-    room = max(most - relevant.count(), 0)
-    return relevant.unionByName(hash_sample(corpus.join(wanted, "id", "left_anti"), room, seed=seed))
+    relevant ones all stay even if they are more.  A column relevant tells them apart."""
+    wanted = qrels.join(queries.select(F.col("id").alias("query_id")), "query_id", "left_semi").select(F.col("corpus_id").alias("id"), F.lit(True).alias("relevant")).distinct()
+    marked = corpus.join(wanted, "id", "left").withColumn("relevant", F.coalesce("relevant", F.lit(False)))
+    # relevant documents take the first places, so what is left of them is the others' room
+    first = marked.orderBy(F.desc("relevant"), place("id", seed), "id").limit(most)
+    return marked.where("relevant").unionByName(first.where("not relevant"))
 
 
 def demo_document(corpus: DataFrame, among: int = 20, least: int = 2000, joined: int = 5) -> DataFrame:

@@ -3,6 +3,9 @@ and both around table regions."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +18,18 @@ LEAST_WORDS, LEAST_CHARS = 50, 100
 def word_windows(text: Column, size: int = 512, overlap: int = 128) -> Column:
     """The text itself up to size words; else windows of size words every size -
     overlap words, without those under LEAST_WORDS."""
-    words = F.filter(F.split(text, r"[ \t\n\r]+"), lambda x: x != "")
-    n = F.size(words)
-    parts = F.transform(F.sequence(F.lit(0), n - 1, F.lit(size - overlap)), lambda i: F.slice(words, i + 1, F.least(F.lit(size), n - i)))
-    cut = F.transform(F.filter(parts, lambda w: F.size(w) >= LEAST_WORDS), lambda w: F.array_join(w, " "))
-    return F.when(n <= size, F.array(text)).otherwise(cut)
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        def one(t):
+            if t is None:
+                return None
+            w = [x for x in re.split("[ \t\n\r]+", t) if x]
+            return [t] if len(w) <= size else [" ".join(w[i: i + size]) for i in range(0, len(w), size - overlap) if len(w) - i >= LEAST_WORDS]
+
+        return texts.map(one)
+
+    return cut(text)
 
 
 def char_windows(text: Column, size: int = 512, overlap: int = 50) -> Column:

@@ -113,10 +113,10 @@ def _(spark, d):
     return corpus(spark, d).select("id", w.alias("w")).select("id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), F.md5(F.array_join("w", " ")).alias("tokens_md5"))
 
 
-@query("token_df_idf", f"WITH {TOKENS} SELECT token, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM idf")
+@query("token_df_idf", "WITH tok AS (SELECT list_distinct(" + WORDS.format("text") + ") AS w FROM documents), df AS (SELECT token, count(*) AS df FROM (SELECT unnest(w) AS token FROM tok) GROUP BY 1), raw AS (SELECT token, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, (SELECT count(*) AS n FROM tok)) SELECT token, CAST(df AS BIGINT) AS df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM raw, (SELECT avg(raw) AS mean FROM raw)")
 def _(spark, d):
     docs = corpus(spark, d)
-    return six(lexical.inverse_frequencies(lexical.postings(docs), lexical.statistics(docs)), "idf")
+    return six(lexical.inverse_frequencies(lexical.frequencies(docs)), "idf")
 
 
 @query("bm25_scores", f"WITH {BM25} SELECT query_id, count(*) AS n_docs, round(sum(score), 4) AS total, round(max(score), 6) AS best FROM bm GROUP BY 1")
@@ -352,10 +352,10 @@ def _(spark, d):
     return m.select("query_id", F.size("messages").alias("n_messages"), F.col("messages")[0]["content"].alias("system"), F.md5(F.col("messages")[1]["content"]).alias("user_md5"))
 
 
-@query("generate_answers", f"WITH {BM_RUN} SELECT query_id, substring('Document: ' || source || ' ' || d.text || chr(10) || 'Generate an answer to the question from the document.' || chr(10) || 'Question: ' || b.text, 1, 80) AS answer FROM run JOIN documents d ON doc_id = corpus_id JOIN benchmark b ON item_id = query_id WHERE rank = 1")
+@query("generate_answers", f"WITH {BM_RUN} SELECT query_id, md5('Document: ' || source || ' ' || d.text || chr(10) || 'Generate an answer to the question from the document.' || chr(10) || 'Question: ' || b.text) AS answer_md5 FROM run JOIN documents d ON doc_id = corpus_id JOIN benchmark b ON item_id = query_id WHERE rank = 1")
 def _(spark, d):
     m = generate.default_messages(bm25_run(spark, d), questions(spark, d), corpus(spark, d))
-    return generate.generate(m, generate.EchoGenerator())
+    return generate.generate(m, generate.EchoGenerator(None)).select("query_id", F.md5("answer").alias("answer_md5"))
 
 
 # samples: a report of a sampling operator keeps its size
@@ -376,8 +376,7 @@ def _(spark, d):
 @query("smart_sample", f"WITH {BM_RUN}, rel AS (SELECT DISTINCT corpus_id FROM run), n AS (SELECT count(*) AS n FROM rel) SELECT corpus_id AS id, true AS relevant FROM rel UNION ALL SELECT id, false FROM (SELECT doc_id AS id, row_number() OVER (ORDER BY {_PLACE.format('doc_id')}, doc_id) AS i FROM documents WHERE doc_id NOT IN (SELECT corpus_id FROM rel)), n WHERE i <= greatest(500 - n, 0)")
 def _(spark, d):
     qrels = bm25_run(spark, d).select("query_id", "corpus_id")
-    out = sampling.smart_sample(corpus(spark, d), questions(spark, d), qrels, 500).select("id")
-    return out.join(qrels.select(F.col("corpus_id").alias("id"), F.lit(True).alias("r")).distinct(), "id", "left").select("id", F.coalesce("r", F.lit(False)).alias("relevant"))
+    return sampling.smart_sample(corpus(spark, d), questions(spark, d), qrels, 500).select("id", "relevant")
 
 
 # submissions and their checks
@@ -402,7 +401,9 @@ def experiments(spark, d):
 
 query("argmax_per_group", f"WITH {EXP} SELECT lang, source, n_docs, m FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY m DESC, source) AS i FROM ex) WHERE i = 1")(lambda s, d: analytics.argmax(experiments(s, d), "m", "lang", tie="source"))
 query("group_mean_std", f"WITH {EXP} SELECT lang, round(avg(m), 4) AS mean, round(stddev_samp(m), 4) AS std, count(*) AS count FROM ex GROUP BY 1")(lambda s, d: analytics.group_mean_std(experiments(s, d), "m", "lang").select("lang", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "count"))
-query("pivot_mean", f"WITH {EXP} SELECT source, round(avg(m) FILTER (lang = 'en'), 4) AS en, round(avg(m) FILTER (lang = 'de'), 4) AS de, round(avg(m) FILTER (lang = 'fr'), 4) AS fr FROM ex GROUP BY 1")(lambda s, d: analytics.pivot_mean(experiments(s, d), "source", "lang", ["en", "de", "fr"], "m").select("source", *(F.round(c, 4).alias(c) for c in ("en", "de", "fr"))))
+LANGS = ("en", "de", "fr", "es")
+query("pivot_mean", f"WITH {EXP} SELECT source, " + ", ".join(f"round(avg(m) FILTER (lang = '{x}'), 4) AS {x}" for x in LANGS) + " FROM ex GROUP BY 1")(lambda s, d: analytics.pivot_mean(experiments(s, d), "source", "lang", LANGS, "m").select("source", *(F.round(c, 4).alias(c) for c in LANGS)))
+query("pivot_counted", f"WITH {EXP} SELECT source, lang, round(avg(m), 4) AS mean FROM ex GROUP BY 1, 2")(lambda s, d: analytics.mean_by_pair(experiments(s, d), "source", "lang", "m").withColumn("mean", F.round("mean", 4)))
 query("nlargest_nested", f"WITH {EXP}, t AS (SELECT *, lang || ':' || source AS name FROM ex) SELECT name, n_docs, m FROM (SELECT * FROM t ORDER BY m, name LIMIT 5) ORDER BY n_docs DESC, name LIMIT 1")(lambda s, d: analytics.smallest_then_best(experiments(s, d).select(F.concat("lang", F.lit(":"), "source").alias("name"), "n_docs", "m"), "m", 5, "n_docs", "name"))
 query("range_of_best", f"WITH {EXP} SELECT min(m) AS low, max(m) AS high FROM ex WHERE n_docs = (SELECT max(n_docs) FROM ex)")(lambda s, d: analytics.range_of_best(experiments(s, d), "n_docs", "m"))
 IMPROVED = f"{EXP}, b AS (SELECT source, max(CASE WHEN lang = 'en' THEN m END) AS base, max(m) AS best FROM ex GROUP BY 1)"
@@ -439,10 +440,27 @@ def _chunked(method, size, overlap):
     return run
 
 
-for _name, _how in {"chunk_character": ("character", 1500, 300), "chunk_fixed": ("fixed", 512, 50), "chunk_recursive": ("recursive", 1000, 100), "chunk_financial": ("financial", 1000, 200), "chunk_token_window": ("token_window", 256, 50), "chunk_preserve_tables": ("preserve_tables", 2048, 200), "chunk_table_aware": ("table_aware", 1000, 200)}.items():
+for _name, _how in {"chunk_character": ("character", 1500, 300), "chunk_fixed": ("fixed", 512, 50), "chunk_recursive": ("recursive", 1000, 100), "chunk_financial": ("financial", 1000, 200), "chunk_preserve_tables": ("preserve_tables", 2048, 200), "chunk_table_aware": ("table_aware", 1000, 200)}.items():
     query(_name)(_chunked(*_how))
 
 
+@query("chunk_token_words", CHUNKED.format("SELECT doc_id, unnest(p) AS c, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, list_transform(range(0, greatest(CAST(len(w) AS BIGINT) - 50, least(CAST(len(w) AS BIGINT), 1)), 206), lambda s: array_to_string(w[s + 1 : s + 256], ' ')) AS p FROM (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: x <> '') AS w FROM documents))"))
+def _(spark, d):
+    from ragstone.operators.splitters import chunk_corpus
+
+    return digest(chunk_corpus(corpus(spark, d), "token_window", 256, 50))
+
+
+@query("chunk_token_window")
+def _(spark, d):
+    import public_tokenizers
+
+    from ragstone.operators.splitters import RankedTokens, chunk_corpus
+
+    tokens = RankedTokens(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return digest(chunk_corpus(corpus(spark, d), "token_window", 256, 50, tokens=tokens))
+
+
 @query("chunk_parent_child")
 def _(spark, d):
     from ragstone.operators.splitters import parent_child
