@@ -18,7 +18,7 @@ HEADLINE = [
 
 
 def main() -> None:
-    from ragstone.plans import catalog
+    from ragstone.plans import registry
     from ragstone.session import get_session
 
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
@@ -28,7 +28,7 @@ def main() -> None:
     took = {}
     for name in HEADLINE:
         began = time.time()
-        catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
         print(name, took[name], file=sys.stderr, flush=True)
     spark.stop()

@@ -41,9 +41,10 @@ class ChunkedRetriever:
         return out.select("query_id", "corpus_id", "score", "rank", "num_chunks_matched", F.col("b.chunk_index").alias("best_chunk_index"), F.col("b.chunk").alias("best_chunk"), "text")
 
     def info(self) -> DataFrame:
-        """One row: documents, chunks, expansion, strategy."""
+        """One row: documents, chunks, expansion, the vectors' dimension, strategy."""
+        width = len(self.encoder.encode(["text"])[0])
         n = self.corpus.agg(F.count("*").alias("num_documents")).join(F.broadcast(self.chunks.agg(F.count("*").alias("num_chunks"))))
-        return n.select("num_documents", "num_chunks", (F.col("num_chunks") / F.col("num_documents")).alias("expansion"), F.lit(self.strategy).alias("strategy"))
+        return n.select("num_documents", "num_chunks", (F.col("num_chunks") / F.col("num_documents")).alias("expansion"), F.lit(width).alias("dimension"), F.lit(self.strategy).alias("strategy"))
 
 
 class ParentChildRetriever:

@@ -440,7 +440,7 @@ def _chunked(method, size, overlap):
     return run
 
 
-for _name, _how in {"chunk_character": ("character", 1500, 300), "chunk_fixed": ("fixed", 512, 50), "chunk_recursive": ("recursive", 1000, 100), "chunk_financial": ("financial", 1000, 200), "chunk_preserve_tables": ("preserve_tables", 2048, 200), "chunk_table_aware": ("table_aware", 1000, 200)}.items():
+for _name, _how in {"chunk_recursive": ("recursive", 1000, 100), "chunk_financial": ("financial", 1000, 200), "chunk_preserve_tables": ("preserve_tables", 2048, 200), "chunk_table_aware": ("table_aware", 1000, 200)}.items():
     query(_name)(_chunked(*_how))
 
 

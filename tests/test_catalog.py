@@ -5,7 +5,7 @@ from __future__ import annotations
 import compare
 import pytest
 
-from ragstone.plans import catalog
+from ragstone.plans import registry as catalog
 
 
 @pytest.fixture(scope="module")
