@@ -142,15 +142,21 @@ class Lattice:
         cuts.reverse()
         return self.ids(lines, cuts), first[-1] + lines * self.unknown, first[-1] - second[-1]
 
-    def _list(self, key: str) -> list[tuple[float, bytes]]:
+    def _list(self, key: str) -> tuple[list[tuple[float, bytes]], bool]:
+        """The n best of a segment, and whether all of them decode to the same."""
         lines, text = parts(key)
-        return [(s + lines * self.unknown, self.ids(lines, cuts)) for s, cuts in self.nbest(text, N_BEST)]
+        ways = [(s + lines * self.unknown, self.ids(lines, cuts)) for s, cuts in self.nbest(text, N_BEST)]
+        return ways, len({self._raw(ids) for _, ids in ways}) == 1
 
     def encode(self, text: str, n: int = N_BEST) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text as (score, ids), best first."""
+        return self.encode_checked(text, n)[0]
+
+    def encode_checked(self, text: str, n: int = N_BEST) -> tuple[list[tuple[float, bytes]], bool]:
+        """encode(), and whether all segmentations decode to what the best one does."""
         keys = self.pieces.segments(text)
         if not keys:
-            return [(0.0, b"")]
+            return [(0.0, b"")], True
         coded, scores, margins = zip(*map(self.best.__getitem__, keys), strict=True)
         total, margins = sum(scores), np.array(margins)
         loose = np.flatnonzero(margins < np.inf)
@@ -159,7 +165,8 @@ class Lattice:
             loose = loose[margins[loose] <= edge]
             loose = loose[np.argsort(margins[loose], kind="stable")][: n - 1]
         loose = np.sort(loose).tolist()
-        choices = [self.lists[keys[i]] for i in loose]
+        lists = [self.lists[keys[i]] for i in loose]
+        choices = [ways for ways, _ in lists]
         ways = sorted((sum(c[0][0] - c[k][0] for c, k in zip(choices, w, strict=True)), w) for w in product(*(range(len(c)) for c in choices)))[:n]
         # what stands between the loose segments is the same in every way
         kept = [b"".join(coded[a:b]) for a, b in zip([0, *(i + 1 for i in loose)], [*loose, len(coded)], strict=True)]
@@ -169,12 +176,15 @@ class Lattice:
             for c, k, rest in zip(choices, w, kept[1:], strict=True):
                 ids += c[k][1], rest
             out.append((total - less, b"".join(ids)))
-        return out
+        # they differ in their loose segments only
+        return out, all(same for _, same in lists)
+
+    def _raw(self, ids: bytes) -> bytes:
+        return b"".join(map(self.pieces.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids."""
-        text = self.pieces.text
-        return b"".join(map(text.__getitem__, np.frombuffer(ids, "<u4").tolist())).removeprefix(b" ").decode(errors="replace")
+        return self._raw(ids).removeprefix(b" ").decode(errors="replace")
 
     def trim(self) -> None:
         self.best.trim()
@@ -195,8 +205,8 @@ SCHEMA = "doc_id long, n_bytes long, n_pieces long, ids_crc32 long, score double
 def segmented(docs: DataFrame, model: str, *, n: int = N_BEST) -> DataFrame:
     """For every row of docs (doc_id, text): the best segmentation's length, ids (as
     crc32) and score, how many of the n best there are, the last one's distance in
-    score (margin), the crc32 of all of their ids, and whether the best one and the
-    last one both decode to the text."""
+    score (margin), the crc32 of all of their ids, and whether they all decode to the
+    text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(model)
@@ -205,8 +215,8 @@ def segmented(docs: DataFrame, model: str, *, n: int = N_BEST) -> DataFrame:
             out = []
             for raw in utf8_values(batch.column("text")):
                 text = raw.decode()
-                ways = own.encode(text, n)
-                same = own.decode(ways[0][1]) == text and (len(ways) == 1 or own.decode(ways[-1][1]) == text)
+                ways, same = own.encode_checked(text, n)
+                same = same and own.decode(ways[0][1]) == text
                 crc = 0
                 for _, ids in ways:
                     crc = zlib.crc32(ids, crc)
