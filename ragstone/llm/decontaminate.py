@@ -20,8 +20,9 @@ offset.  All phrases of a block take a step together in numpy.  Proximity
 search works alike, with a reach in place of the fixed offset.
 
 The phrases come to the tasks in chunks of at most CHUNK_BYTES of benchmark
-text, each read from the driver's row iterator and broadcast; more chunks mean
-more passes over the index, not more memory.
+text, each read from the driver's row iterator and broadcast, and the hits of each
+are stored before the next one is searched; more chunks mean more passes over the
+index, not more memory.
 
 Edge cases: null or word-free texts have no words (n_words 0, never
 contaminated); items without words have no window; items that repeat an
@@ -33,6 +34,7 @@ rows, or zero hits; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragstone.llm.common import shared_dir, slices, table, utf8_values, written
+from ragstone.llm.common import free_name, shared_dir, slices, table, utf8_values, written
 
 WINDOW = 13
 BLOCK_WORDS = 2_000_000
@@ -179,7 +181,7 @@ def chunks_of(benchmark: DataFrame) -> Iterator[dict]:
         w = [terms[t] for t in words_of((r[1] or "").encode())]
         for i in range(max(len(w) - WINDOW + 1, bool(w))):
             windows.setdefault(tuple(w[i: i + WINDOW]), {})[r[0] or ""] = None
-        held += len(r[1] or "")
+        held += len((r[1] or "").encode())
         if held >= CHUNK_BYTES:
             yield made()
             terms, windows, held = _Numbers(), {}, 0
@@ -240,12 +242,14 @@ def search_windows(index: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return index.mapInArrow(rows, schema)
 
-    found = [search(c) for c in chunks_of(benchmark)] or [search({"terms": [], "grams": np.zeros((0, WINDOW), np.int64), "sizes": np.zeros(0, np.int64), "items": []})]
-    if len(found) == 1:
-        return found[0]
-    merged = found[0]
-    for f in found[1:]:
-        merged = merged.unionByName(f)
+    chunks = chunks_of(benchmark)
+    first = next(chunks, {"terms": [], "grams": np.zeros((0, WINDOW), np.int64), "sizes": np.zeros(0, np.int64), "items": []})
+    second = next(chunks, None)
+    if second is None:
+        return search(first)
+    merged = written(search(first), "hits")
+    for chunk in itertools.chain([second], chunks):
+        merged = merged.unionByName(written(search(chunk), "hits"))
 
     def both(group: pa.Table) -> pa.Table:
         # as many rows as chunks, for one document
@@ -310,19 +314,19 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _clean_by_index(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """clean() by search_windows(), which unites the masks of all chunks."""
-    names = docs.columns
+    names, row, n, hits = docs.columns, free_name(docs, "row"), free_name(docs, "n"), free_name(docs, "hits")
     # ids of rows hold only once they are written
-    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
-    index = build_index(keyed.select(F.col("__row").alias("doc_id"), "text"), shared_dir(docs.sparkSession, "postings"))
-    found = search_windows(index, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("__row"), F.col("n_words").alias("__n"), F.col("hits").alias("__hits"))
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    index = build_index(keyed.select(F.col(row).alias("doc_id"), "text"), shared_dir(docs.sparkSession, "postings"))
+    found = search_windows(index, benchmark).where("n_hit > 0").select(F.col("doc_id").alias(row), F.col("n_words").alias(n), F.col("hits").alias(hits))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 6 * BLOCK_WORDS):
-            hit = zip(batch.column("__hits").to_pylist(), batch.column("__n").to_pylist(), strict=True)
-            masks = {i: np.unpackbits(np.frombuffer(h, np.uint8), count=n) for i, (h, n) in enumerate(hit) if h}
+            hit = zip(batch.column(hits).to_pylist(), batch.column(n).to_pylist(), strict=True)
+            masks = {i: np.unpackbits(np.frombuffer(h, np.uint8), count=k) for i, (h, k) in enumerate(hit) if h}
             yield _cut(batch.select(names), masks)
 
-    return keyed.join(written(found, "hits"), "__row", "left").select(*names, "__n", "__hits").mapInArrow(rows, docs.schema)
+    return keyed.join(written(found, "hits"), row, "left").select(*names, n, hits).mapInArrow(rows, docs.schema)
 
 
 def _cut(batch: pa.RecordBatch, masks: dict[int, np.ndarray]) -> pa.RecordBatch:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragstone.llm.common import WordCache, bounded_sample, id_text, kept_rows, slices, table, utf8_values, written
+from ragstone.llm.common import WordCache, bounded_sample, free_name, id_text, kept_rows, slices, table, utf8_values, written
 
 BUCKETS = 1 << 14
 TARGET = 20_000
@@ -174,13 +174,13 @@ def accepted(docs: DataFrame, labels: DataFrame, *, seed: int = 5) -> DataFrame:
     """The rows of docs that resampled() selects, with all their columns.  Weights are
     computed again beside the texts, so those aren't shuffled."""
     draw = Draw(docs, labels, seed)
-    ratio, least = docs.sparkSession.sparkContext.broadcast(draw.ratio), draw.least
+    ratio, least, noise = docs.sparkSession.sparkContext.broadcast(draw.ratio), draw.least, free_name(docs, "noise")
 
     def keep(batch: pa.RecordBatch) -> np.ndarray:
         weight = _weights(ratio.value, utf8_values(batch.column("text")))
-        return np.floor((weight + batch.column("__noise").to_numpy()) * SCALE) >= least
+        return np.floor((weight + batch.column(noise).to_numpy()) * SCALE) >= least
 
-    return kept_rows(docs.withColumn("__noise", gumbel(seed)), keep).drop("__noise")
+    return kept_rows(docs.withColumn(noise, gumbel(seed)), keep).drop(noise)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
