@@ -118,11 +118,11 @@ class LengthModel:
         return [1.0 / (1 + abs(n - 7 * len(tokens))) for n in self.lengths]
 
 
-@query("lexical_model_topk", f"WITH w AS (SELECT item_id AS query_id, len(list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '')) AS n FROM benchmark), s AS (SELECT query_id, lab.doc_id AS corpus_id, 1.0 / (1 + abs(n_chars - 7 * n)) AS score FROM w, (SELECT DISTINCT doc_id FROM labels) lab JOIN documents USING (doc_id)) SELECT query_id, corpus_id, round(score, 6) AS score, rank FROM (SELECT *, {TOP} AS rank FROM s) WHERE rank <= {K}")
+@query("lexical_model_topk", f"WITH w AS (SELECT item_id AS query_id, len(list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '')) AS n FROM benchmark), s AS (SELECT query_id, CAST(n_nationkey AS BIGINT) AS corpus_id, 1.0 / (1 + abs(length(n_name) - 7 * n)) AS score FROM w, nation) SELECT query_id, corpus_id, round(score, 6) AS score, rank FROM (SELECT *, {TOP} AS rank FROM s) WHERE rank <= {K}")
 def _(spark, d):
-    # the model's documents: those with a label
-    rows = read(spark, d, "documents").join(read(spark, d, "labels").select("doc_id").distinct(), "doc_id").select("doc_id", "n_chars").collect()
-    return six(lexical.model_topk(questions(spark, d), [r[0] for r in rows], LengthModel([r[1] for r in rows]), K))
+    # the model's documents: the names of the 25 nations
+    rows = read(spark, d, "nation").select("n_nationkey", "n_name").collect()
+    return six(lexical.model_topk(questions(spark, d), [r[0] for r in rows], LengthModel([len(r[1]) for r in rows]), K))
 
 
 # rerankers and messages with injected parts
