@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -35,6 +36,22 @@ class HashingEncoder:
         return out
 
 
+@dataclass
+class EncoderPair:
+    """One model for queries and another for documents."""
+
+    query: Encoder
+    doc: Encoder
+
+
+def pair_of(encoder: Encoder | EncoderPair | tuple) -> tuple[Encoder, Encoder]:
+    """(query model, document model): the two of a pair, or one model twice."""
+    both = (encoder.query, encoder.doc) if isinstance(encoder, EncoderPair) else encoder if isinstance(encoder, tuple) else (encoder, encoder)
+    if len(both) != 2 or any(isinstance(e, str) or not callable(getattr(e, "encode", None)) for e in both):
+        raise TypeError("an encoder, or a pair of them for queries and documents, must be given")
+    return both
+
+
 def encode(rows: DataFrame, encoder: Encoder, batch: int = 64) -> DataFrame:
     """id, embedding of rows (id, text).  The encoder travels once to each task; within
     a batch texts are taken by length, which models like."""

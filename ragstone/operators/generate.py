@@ -26,6 +26,30 @@ class EchoGenerator:
         return messages[-1]["content"][: self.chars] if messages else ""
 
 
+class ChatGenerator:
+    """Answers by a chat model.  connect makes the client, once in each task; it must have
+    chat.completions.create(model, messages, ...), as the usual clients do.  Streamed
+    answers are joined."""
+
+    ARGUMENTS = ("temperature", "top_p", "stream", "max_tokens", "presence_penalty", "frequency_penalty")
+
+    def __init__(self, connect: Callable[[], object], model: str, **arguments):
+        unknown = sorted(set(arguments) - set(self.ARGUMENTS))
+        if unknown:
+            raise ValueError(f"unknown arguments {unknown}; there are {self.ARGUMENTS}")
+        self.connect, self.model, self.arguments, self.client = connect, model, arguments, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"client": None}
+
+    def generate(self, messages: list[dict]) -> str:
+        self.client = self.client or self.connect()
+        answer = self.client.chat.completions.create(model=self.model, messages=messages, **self.arguments)
+        if self.arguments.get("stream"):
+            return "".join(part.choices[0].delta.content or "" for part in answer)
+        return answer.choices[0].message.content or ""
+
+
 def best_documents(run: DataFrame) -> DataFrame:
     """query_id, corpus_id of the highest score."""
     return run.groupBy("query_id").agg(F.max_by("corpus_id", F.struct(F.round("score", 9), "corpus_id")).alias("corpus_id"))

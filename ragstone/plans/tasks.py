@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ragstone.operators import generate as generation
 from ragstone.operators import metrics, rerank
+from ragstone.plans.protocols import Generation, Reranker, Retrieval
 from ragstone.sources import sinks
 from ragstone.sources.readers import Loader
 
@@ -107,13 +108,13 @@ class Task:
         return run
 
     def retrieve(self, retriever, k: int | None = 100) -> DataFrame:
-        if not callable(getattr(retriever, "retrieve", None)):
+        if not isinstance(retriever, Retrieval):
             raise TypeError(f"{type(retriever).__name__} has no retrieve()")
         self.retrieve_run = retriever.retrieve(self.corpus, self.queries, k)
         return self.retrieve_run
 
     def rerank(self, reranker, run: DataFrame | None = None, k: int = 100) -> DataFrame:
-        if not callable(getattr(reranker, "rerank", None)):
+        if not isinstance(reranker, Reranker):
             raise TypeError(f"{type(reranker).__name__} has no rerank()")
         run = run if run is not None else self.retrieve_run
         if run is None:
@@ -122,7 +123,7 @@ class Task:
         return self.rerank_run
 
     def generate(self, generator, run: DataFrame | None = None, prepare: Callable | None = None) -> DataFrame:
-        if not callable(getattr(generator, "generate", None)):
+        if not isinstance(generator, Generation):
             raise TypeError(f"{type(generator).__name__} has no generate()")
         run = self._best(run)
         if prepare is None:
@@ -163,9 +164,10 @@ class DenseRetriever:
 
     def retrieve(self, corpus: DataFrame, queries: DataFrame, k: int | None = 100) -> DataFrame:
         from ragstone.operators.dense import dense_topk
-        from ragstone.operators.encode import encode_corpus, encode_queries
+        from ragstone.operators.encode import encode_corpus, encode_queries, pair_of
 
-        return dense_topk(encode_queries(queries, self.encoder, self.prompts[0]), encode_corpus(corpus, self.encoder, self.prompts[1]), k, self.score)
+        by_query, by_doc = pair_of(self.encoder)
+        return dense_topk(encode_queries(queries, by_query, self.prompts[0]), encode_corpus(corpus, by_doc, self.prompts[1]), k, self.score)
 
 
 class HybridRetriever:

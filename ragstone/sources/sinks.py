@@ -1,5 +1,5 @@
 """Writers of results.  Files appear under a folder of the given name, as Spark
-writes them; one=True asks for a single part."""
+writes them; one=True asks for a single part, written by one task."""
 
 from __future__ import annotations
 
@@ -31,30 +31,31 @@ def _csv(df: DataFrame, path: str, one: bool) -> str:
     return path
 
 
-def save_results(rerank_run: DataFrame | None, retrieve_run: DataFrame | None, output_dir: str | None, task: str, k: int = 10) -> str | None:
+def save_results(rerank_run: DataFrame | None, retrieve_run: DataFrame | None, output_dir: str | None, task: str, k: int = 10, one: bool = False) -> str | None:
     """The k best of the reranked run, or of the retrieved one, under output_dir/task."""
     run = rerank_run if rerank_run is not None else retrieve_run
     if output_dir is None or run is None:
         return None
     rows = submission_long(run, k).orderBy("query_id", "rank").select("query_id", "corpus_id")
-    return _csv(rows, f"{output_dir}/{task}/results.csv", True)
+    return _csv(rows, f"{output_dir}/{task}/results.csv", one)
 
 
-def save_answers(answers: DataFrame | None, output_dir: str | None, task: str) -> str | None:
+def save_answers(answers: DataFrame | None, output_dir: str | None, task: str, one: bool = False) -> str | None:
     if output_dir is None or answers is None:
         return None
     path = f"{output_dir}/{task}/answers.jsonl"
-    answers.select("query_id", "answer").coalesce(1).write.mode("overwrite").json(path)
+    rows = answers.select("query_id", "answer")
+    (rows.coalesce(1) if one else rows).write.mode("overwrite").json(path)
     return path
 
 
-def save_submission(runs: list[DataFrame], path: str, k: int = 10, wide: bool = False) -> str:
-    """All datasets' runs in one file."""
+def save_submission(runs: list[DataFrame], path: str, k: int = 10, wide: bool = False, one: bool = False) -> str:
+    """All datasets' runs together."""
     rows = [submission_wide(r, k) if wide else submission_long(r, k).select("query_id", "corpus_id") for r in runs]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
-    return _csv(out, path, True)
+    return _csv(out, path, one)
 
 
 def save_chunks(chunks: DataFrame, path: str, dataset: str | None = None, nested: bool = False) -> str:
@@ -68,12 +69,12 @@ def save_chunks(chunks: DataFrame, path: str, dataset: str | None = None, nested
     return path
 
 
-def save_table(df: DataFrame, path: str) -> str:
-    return _csv(df, path, True)
+def save_table(df: DataFrame, path: str, one: bool = False) -> str:
+    return _csv(df, path, one)
 
 
-def save_json(df: DataFrame, path: str) -> str:
-    df.coalesce(1).write.mode("overwrite").json(path)
+def save_json(df: DataFrame, path: str, one: bool = False) -> str:
+    (df.coalesce(1) if one else df).write.mode("overwrite").json(path)
     return path
 
 

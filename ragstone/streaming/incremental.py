@@ -12,7 +12,8 @@ from ragstone.operators.ranking import top_k
 def follow_topk(vectors: DataFrame, queries: DataFrame, path: str, checkpoint: str, k: int = 10, score: str = "cos_sim") -> StreamingQuery:
     """Keeps the k best (query_id, corpus_id, score) for queries under path while
     vectors (id, embedding) stream in.  A batch is written as a version of its own, so
-    a batch that comes again writes the same version."""
+    a batch that comes again writes the same version from the one before; older versions
+    are deleted."""
     spark = queries.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -20,6 +21,9 @@ def follow_topk(vectors: DataFrame, queries: DataFrame, path: str, checkpoint: s
         if number:
             run = top_k(run.unionByName(spark.read.parquet(f"{path}/v={number - 1}")).dropDuplicates(["query_id", "corpus_id"]), k).drop("rank")
         run.write.mode("overwrite").parquet(f"{path}/v={number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return vectors.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
