@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,13 +47,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, slim: bool = False, options: dict | None = None) -> DataFrame:
+#: rows of numbers that a task writes at least, where there are more tasks than four a core
+TASK_ROWS = 2_000_000
+
+
+def written(df: DataFrame, name: str, rows: float | None = None, options: dict | None = None) -> DataFrame:
     """The rows of df, written to the shared folder and read again: later
-    steps start from files, so a lost executor costs no earlier step.  A slim table (a
-    few numbers for a document) is written in four tasks for each core at most."""
+    steps start from files, so a lost executor costs no earlier step.  rows, about how
+    many rows of numbers the last step goes through, keeps small tables in few tasks
+    and files: four for each core, more only if each has TASK_ROWS."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if slim else df).write.options(**options or {}).parquet(path)
+    if rows is not None:
+        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS)))
+    df.write.options(**options or {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

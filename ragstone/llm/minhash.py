@@ -211,38 +211,40 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(sized).select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
 
 
-def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame, rows: float, start: DataFrame | None = None) -> DataFrame:
     """(node, label) for every node of the edges (a, b): the least node that it is
     connected with.  Each round takes the least label among a node's neighbours, then
     the label of that label, so a path of n nodes needs about log n rounds.
-    start: (node, label) that some of the edges are known to give."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links", slim=True)
+    rows: about how many nodes and edges there are.  start: (node, label) that some of
+    the edges are known to give."""
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links", rows)
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
     if start is not None:
         labels = labels.join(start, "node", "left").withColumn("low", F.least("low", "label"))
-    labels = written(labels.select("node", F.least("node", "low").alias("label")), "labels", slim=True)
+    labels = written(labels.select("node", F.least("node", "low").alias("label")), "labels", rows)
     while True:
         seen = labels.select(F.col("node").alias("b"), F.col("label").alias("seen"))
         low = both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("low"))
         hung = labels.join(low, "node").select("node", "label", F.least("label", "low").alias("next"))
         further = labels.select(F.col("node").alias("next"), F.col("label").alias("jump"))
-        moved = written(hung.join(further, "next", "left").select("node", F.least("next", F.coalesce("jump", "next")).alias("new"), "label"), "labels", slim=True)
+        moved = written(hung.join(further, "next", "left").select("node", F.least("next", F.coalesce("jump", "next")).alias("new"), "label"), "labels", rows)
         labels = moved.select("node", F.col("new").alias("label"))
         if moved.where("new <> label").isEmpty():
             return labels
 
 
-def _rest(sets: DataFrame, labels: DataFrame, per_cent: int) -> DataFrame:
+def _rest(sets: DataFrame, labels: DataFrame, per_cent: int, rows: float) -> DataFrame:
     """Pairs (a, b) of classes with different labels that may have the similarity: all
     pairs that have it are among them, and no pair is whose sizes, places or parities
     rule it out.
 
     In one order of all elements, from rare to frequent, two such sets share an element
     of their first n - ceil(per_cent * n / 100) + 1.  Where they first meet, the smaller
-    number of elements that is left must still hold the intersection."""
+    number of elements that is left must still hold the intersection.  rows: about how
+    many elements the sets have together."""
     each = sets.select("class", "n", F.explode("elements").alias("element"))
     # an element of one set only keeps its place in the order, and nobody is met there
-    shared = written(each.groupBy("element").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    shared = written(each.groupBy("element").agg(F.count("*").alias("often")).where("often > 1"), "often", rows)
     order = F.array_sort(F.collect_list(F.struct("often", "element")))
     mine = each.join(shared, "element").groupBy("class", "n").agg(order.alias("order"))
     alone = F.col("n") - F.size("order")
@@ -250,9 +252,9 @@ def _rest(sets: DataFrame, labels: DataFrame, per_cent: int) -> DataFrame:
     mine = mine.select("class", "n", alone.cast("long").alias("alone"), F.slice("order", 1, F.greatest(prefix - alone, F.lit(0)).cast("int")).alias("order"))
     places = mine.select("class", "n", "alone", F.posexplode("order").alias("pos", "e")).select("class", "n", (F.col("alone") + F.col("pos")).alias("at"), F.col("e.element").alias("element"))
     known = sets.select("class", *PARITY).join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    places = written(places.join(known, "class"), "places")
+    places = written(places.join(known, "class"), "places", rows)
     held = places.groupBy("element", "label").agg(F.count("*").alias("k")).groupBy("element").agg(F.max("k").alias("k"), F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels"))
-    met = written(places.join(written(held.where("labels > 1").select("element", "main"), "elements"), "element"), "places")
+    met = written(places.join(written(held.where("labels > 1").select("element", "main"), "elements", rows), "element"), "places", rows)
     odd = met.where("label <> main").select("element", F.col("class").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("ata"), *(F.col(p).alias(f"{p}a") for p in PARITY))
     every = met.select("element", F.col("class").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("atb"), "main", *(F.col(p).alias(f"{p}b") for p in PARITY))
     # two classes outside the main component meet once
@@ -270,25 +272,29 @@ def _grouped(docs: DataFrame, size: int, per_cent: int) -> tuple[DataFrame, Data
     component (low), and whether it is the component's first class with that one."""
     count = bands_for(per_cent / 100)
     rows = written(sketched(docs, size, count), "sketches")
+    many, elements = rows.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    # numbers of rows hold once they are written
-    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    # numbers of rows hold once they are written; a row has as many numbers as bands
+    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes", count * many)
     keyed = classes.select("class", F.explode("bands").alias("bucket"))
-    pivots = written(keyed.groupBy("bucket").agg(F.min("class").alias("a"), F.count("*").alias("k")).where("k > 1").select("bucket", "a"), "buckets")
-    pairs = written(keyed.join(pivots, "bucket").where("a <> class").select("a", F.col("class").alias("b")).distinct(), "pairs")
+    pivots = written(keyed.groupBy("bucket").agg(F.min("class").alias("a"), F.count("*").alias("k")).where("k > 1").select("bucket", "a"), "buckets", count * many)
+    pairs = written(keyed.join(pivots, "bucket").where("a <> class").select("a", F.col("class").alias("b")).distinct(), "pairs", count * many)
     names = classes.select("class", "digest", "rep")
     several = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = written(_full_sets(docs, written(names.join(several, "class", "left_semi"), "several"), size), "sets")
-    links = written(_confirmed(pairs, sets, per_cent), "links", slim=True)
-    labels = components(links)
-    more = written(_confirmed(written(_rest(sets, labels, per_cent), "pairs"), sets, per_cent), "links", slim=True)
-    labels = written(components(links.unionByName(more), labels).withColumnRenamed("node", "class"), "components", slim=True)
+    several = written(names.join(several, "class", "left_semi"), "several", many)
+    elements *= several.count() / max(many, 1)
+    sets = written(_full_sets(docs, several, size), "sets", elements)
+    links = written(_confirmed(pairs, sets, per_cent), "links", elements)
+    labels = components(links, many)
+    more = written(_rest(sets, labels, per_cent, elements), "pairs", elements)
+    more = written(_confirmed(more, sets, per_cent), "links", elements)
+    labels = written(components(links.unionByName(more), many, labels).withColumnRenamed("node", "class"), "components", many)
     joined = labels.join(names, "class")
     low = joined.groupBy("label").agg(F.min("rep").alias("low"), F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "class"))).alias("with_id"), F.min("class").alias("any"))
-    low = written(low.select("label", "low", F.coalesce(F.col("with_id.class"), F.col("any")).alias("first")), "least", slim=True)
-    known = written(labels.join(low, "label").select("class", "low", "first"), "known", slim=True)
+    low = written(low.select("label", "low", F.coalesce(F.col("with_id.class"), F.col("any")).alias("first")), "least", many)
+    known = written(labels.join(low, "label").select("class", "low", "first"), "known", many)
     named = names.join(known, "class", "left").select("digest", "rep", F.coalesce("low", "rep").alias("low"), F.coalesce(F.col("first") == F.col("class"), F.lit(True)).alias("first"))
-    return rows.select("doc_id", "n_shingles", "digest"), written(named, "named")
+    return rows.select("doc_id", "n_shingles", "digest"), written(named, "named", many)
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, per_cent: int = 80) -> DataFrame:
@@ -309,7 +315,7 @@ def deduplicated(docs: DataFrame, *, size: int = 5, per_cent: int = 80) -> DataF
     no doc_id or one in a bit map of the ids to look at are sketched again and shuffled."""
     rows, classes = _grouped(docs, size, per_cent)
     looked = rows.join(classes, "digest", "left").select("doc_id", "digest", (F.col("n_shingles") == 0).alias("empty"), (F.col("first") & F.col("doc_id").eqNullSafe(F.col("rep"))).alias("stays"))
-    looked = written(looked.groupBy("doc_id", "digest").agg(F.max(F.col("empty") | F.col("stays")).alias("stays"), F.max("empty").alias("empty"), F.count("*").alias("n")), "looked")
+    looked = written(looked.groupBy("doc_id", "digest").agg(F.max(F.col("empty") | F.col("stays")).alias("stays"), F.max("empty").alias("empty"), F.count("*").alias("n")), "looked", rows.count())
     special = looked.where("doc_id is not null and (not stays or n > 1 and not empty)").select("doc_id").distinct()
     mask, bits = id_map(special, "doc_id")
     sent = docs.sparkSession.sparkContext.broadcast(mask)
