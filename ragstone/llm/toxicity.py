@@ -38,7 +38,7 @@ HIDDEN, WIDTH = 8, 10
 WORDS, TRIGRAMS = 1 << 15, 1 << 12
 #: places of the tables of log odds, and the sizes of n-grams, word ends included
 WORD_ODDS, GRAM_ODDS, SIZES = 1 << 20, 1 << 19, (3, 4, 5, 6)
-SAMPLE, SAMPLE_BYTES = 2500, 24 << 20
+SAMPLE, SAMPLE_BYTES = 2500, 12 << 20
 EPOCHS, BATCH, RATE = 4, 32, 0.006
 #: steps of training, at least: few documents are gone through more often
 STEPS = 400
@@ -392,7 +392,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Net | None:
         for batch in batches:
             yield batch.filter(pa.array([k in wanted for k in batch.column("doc_id").to_pylist()], pa.bool_()))
 
-    found = written(slim.mapInArrow(rows, "doc_id long, text string").groupBy("doc_id").agg(F.max("text").alias("text")), "toxic-sample")
+    found = written(slim.mapInArrow(rows, "doc_id long, text string").groupBy("doc_id").agg(F.max("text").alias("text")), "toxic-sample", 0)
     size = F.length("text")
     length = longest([r[0] or 0 for r in found.select(size).collect()], SAMPLE_BYTES)
     start = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.greatest(size - length + 1, F.lit(1))) + 1
