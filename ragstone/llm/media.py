@@ -9,7 +9,7 @@ encode() stores bytes losslessly, one for each quantised coefficient, 64 to a
 block in zigzag order, over the blocks of Y, Cb and Cr (4:2:0).  The DC
 coefficient is the byte itself; an AC coefficient has the byte's high bit as its
 sign and 128 plus the other bits as its magnitude.  DC values come in nine scans
-from bit 8 (always 0) down, AC values in two bands of three scans from bit 2
+from bit 8 (always 0) down, AC values in two bands of two scans from bit 1
 down.  As every AC coefficient has one size and no block has zeros, each scan's
 code words have one length, so both sides of it are array operations; decode()
 takes any scan of that kind so and walks the others bit by bit.
@@ -44,7 +44,7 @@ from ragstone.llm.common import slices, table, utf8_values, written
 
 BLOCK = 64
 #: bands of AC coefficients and the bit that their first scan starts from
-BANDS, AC_FROM, DC_FROM = ((1, 5), (6, 63)), 2, 8
+BANDS, AC_FROM, DC_FROM = ((1, 5), (6, 63)), 1, 8
 #: components as (id, horizontal and vertical sampling)
 COMPONENTS = ((1, 2, 2), (2, 1, 1), (3, 1, 1))
 
