@@ -635,3 +635,31 @@ def test_pipeline(spark, data):
     for name, stage in corpus_pipeline.STAGES:
         empty = stage(spark, spark.read.parquet(f"{data}/documents.parquet").limit(0) if name == "quality" else empty, data)
     assert empty.count() == 0
+
+
+def test_pipeline_run_over_odd_documents(spark, data, tmp_path):
+    """run() over documents with nulls, repeats and empty texts: near_dedup and
+    decontaminate against brute force over what the learnt stages keep."""
+    import corpus_pipeline
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").limit(60).collect()]
+    rows += [(900 + i, t, "en", "s", len(t)) for i, t in enumerate(ODD)] + [(None, None, None, None, None), (950, None, None, None, None), (None, rows[0][1], "en", "s", 1), rows[3], rows[3], (951, rows[5][1], None, None, None)]
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows += [(960, passage, "en", "s", 1), (961, " ".join(f"q{i}" for i in range(900)) + " " + passage, "en", "s", 1)]
+    d = f"file://{tmp_path}"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.read.parquet(f"{data}/labels.parquet").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, passage), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for stage in (corpus_pipeline.keep_quality, corpus_pipeline.drop_toxic):
+        docs = corpus_pipeline.written(stage(spark, docs, d), "s")
+    left = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = []
+    for group in filter(None, brute_groups(left, 5, 80)):
+        ids = [left[i][0] for i in group if left[i][0] is not None]
+        text = next((left[i][1] for i in group if left[i][0] == min(ids, default=None)), left[group[0]][1])
+        n, hit, _, _ = brute_windows(text, [(1, passage)])
+        if not (hit and 20 * hit >= n):
+            want.append((min(ids, default=None), len((text or "").encode()) - (len(passage) if hit else 0)))
+    got = [(r["doc_id"], r["n_bytes"]) for r in corpus_pipeline.run(spark, d).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) > 20
