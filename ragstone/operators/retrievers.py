@@ -33,12 +33,13 @@ class ChunkedRetriever:
         """query_id, corpus_id, score, rank, num_chunks_matched, best_chunk_index, best_chunk, text."""
         if return_chunks:
             return _search(queries, self.chunks, self.encoder, k).join(self.chunks, "chunk_id")
-        scores = _search(queries, self.chunks, self.encoder, None).join(self.chunks.select("chunk_id", "doc_id", "chunk_index", F.col("text").alias("chunk")), "chunk_id")
+        scores = _search(queries, self.chunks, self.encoder, None).join(self.chunks.select("chunk_id", "doc_id", "chunk_index"), "chunk_id")
         best = scores.groupBy("query_id", F.col("doc_id").alias("corpus_id")).agg(
-            F.count("*").alias("num_chunks_matched"), F.max_by(F.struct("chunk_index", "chunk"), F.struct(F.round("score", 9), "chunk_id")).alias("b"))
-        docs = to_documents(scores, self.aggregation, k)
-        out = docs.join(best, ["query_id", "corpus_id"]).join(self.corpus.select(F.col("id").alias("corpus_id"), "text"), "corpus_id")
-        return out.select("query_id", "corpus_id", "score", "rank", "num_chunks_matched", F.col("b.chunk_index").alias("best_chunk_index"), F.col("b.chunk").alias("best_chunk"), "text")
+            F.count("*").alias("num_chunks_matched"), F.max_by(F.struct("chunk_index", "chunk_id"), F.struct(F.round("score", 9), "chunk_id")).alias("b"))
+        # texts meet the k documents of each query, not all scores
+        docs = to_documents(scores, self.aggregation, k).join(best, ["query_id", "corpus_id"]).select("*", F.col("b.chunk_index").alias("best_chunk_index"), F.col("b.chunk_id").alias("chunk_id"))
+        out = docs.join(self.chunks.select("chunk_id", F.col("text").alias("best_chunk")), "chunk_id").join(self.corpus.select(F.col("id").alias("corpus_id"), "text"), "corpus_id")
+        return out.select("query_id", "corpus_id", "score", "rank", "num_chunks_matched", "best_chunk_index", "best_chunk", "text")
 
     def info(self) -> DataFrame:
         """One row: documents, chunks, expansion, the vectors' dimension, strategy."""
