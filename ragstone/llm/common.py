@@ -129,7 +129,7 @@ class WordCache(dict):
 
     def drop_words(self, words: list) -> None:
         for w in words:
-            del self[w]
+            self.pop(w, None)
 
     def __missing__(self, word):
         value = self.old.get(word)

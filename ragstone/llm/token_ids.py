@@ -114,7 +114,8 @@ class WordEncoder:
         for token, i in self.lib.get_vocab(with_added_tokens=True).items():
             self.ends[i] = token.endswith("</w>")
         self.special = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
-        self.words, self.cores = WordCache(share=0.6, owner=path), WordCache(share=0.4, owner=path)
+        #: words as they stand, and the words and marks that stand for others
+        self.words = WordCache(owner=path)
 
     @classmethod
     def cuts_words(cls, file: dict) -> bool:
@@ -152,8 +153,9 @@ class WordEncoder:
         return text.lower().encode() if max(text) < "\u0130" else w
 
     def _learn(self, new: list[bytes]) -> list[bytes]:
-        """Puts the ids of new words into self.words; returns the words that are too long to
-        stay there."""
+        """Puts the ids of new words, and of the words and marks that stand for them, into
+        self.words; returns those that are too long to stay there."""
+        ids = self.words
         letters = [w for w in new if w.isalpha()]  # ASCII letters
         low = [w.lower() for w in letters]
         other, whole, marked = [w for w in new if not w.isalpha()], [], []
@@ -163,7 +165,7 @@ class WordEncoder:
                 marked.append((w, core.lower() if core.isalpha() else self._low(core), w[n:]))
             else:
                 whole.append((w, self._low(w)))
-        asked = self.cores.unknown({*low, *(c for _, c in whole), *(x for _, *cm in marked for x in cm)})
+        asked = ids.unknown({*low, *(c for _, c in whole), *(x for _, *cm in marked for x in cm)})
         plain, wide, odd = [], [], []
         for c in asked:
             if c.isalpha():
@@ -179,19 +181,17 @@ class WordEncoder:
         for at in range(0, len(odd), 10_000):
             part = odd[at: at + 10_000]
             got.update(zip(part, self._each(part), strict=True))
-        long, ids = self.cores.keep_all(got), self.cores
-        out = dict(zip(letters, map(ids.__getitem__, low), strict=True))
-        out.update((w, ids[c]) for w, c in whole)
+        long = ids.keep_all(got)
+        out = {w: ids[c] for w, c in zip(letters, low, strict=True) if w != c}
+        out.update((w, ids[c]) for w, c in whole if w != c)
         out.update((w, ids[c] + ids[m]) for w, c, m in marked)
-        ids.drop_words(long)
-        return self.words.keep_all(out)
+        return long + ids.keep_all(out)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text as little-endian u32 bytes."""
         if not self.by_word:
             return self._each(texts)
         self.words.trim()
-        self.cores.trim()
         words = [t.split() for t in texts]
         new = self.words.unknown(set().union(*words))
         long = self._learn(new) if new else []
@@ -234,7 +234,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | No
         keys: list = []
         ids: list[np.ndarray] = []
         end = b"" if end_id is None else np.array([end_id], np.uint32).tobytes()
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             coded = enc.encode(utf8_values(batch.column("text")))
             for key, raw in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
                 keys.append(key)

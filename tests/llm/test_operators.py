@@ -76,7 +76,7 @@ def test_token_ids(spark):
     assert own.by_word and not token_ids.WordEncoder(public_tokenizers.path("byte_bpe_50k.json")).by_word
     r = random.Random(11)
     for most in (2000, 1 << 20):  # caches that overflow, and that don't
-        own.words.most = own.cores.most = most
+        own.words.most = most
         for _ in range(40):
             texts = ["".join(r.choice(["ab", "The", "é", "ß", ".", ",'s", "9", " ", "\n", "<|endoftext|>", "x" * 70, "日本", "--"]) for _ in range(r.randint(0, 40))) for _ in range(5)]
             assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in texts])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
