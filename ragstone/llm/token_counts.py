@@ -60,12 +60,22 @@ def merged(text: str, scores: dict[str, float]) -> tuple[int, list[str]]:
     return merges, [s for s in symbols if s]
 
 
+#: texts that a normaliser, white-space folding or user-defined symbols would change
+PROBES = ("", " a  b ", "\uff21\ufb01 \u00e9 e\u0301", "a\u00a0b\tc\n\nd", "<s> </s> <unk> <0x41>", "\u2581x \u65e5\u672c \U0001f600", "Don't 3.14%")
+
+
 class Counter:
-    """Token counts under one model."""
+    """Token counts under one model.  A model that treats one of PROBES otherwise than
+    merging does (it normalises texts, say) is refused."""
 
     def __init__(self, path: str):
+        import sentencepiece
+
         self.pieces = Pieces(path)
         self.known = WordCache(self._segment)
+        lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        if any(self.count(t) != len(lib.encode(t)) for t in PROBES):
+            raise ValueError(f"{path}: this model does more than merge the pairs of a text")
 
     def _segment(self, key: str) -> int:
         lines, text = parts(key)
