@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: three marks on one line; three numbers on one line
+#: fixed values: three marks on one line; three numbers on one line
 PIPES = r"\|.*\|.*\|"
 NUMBERS = r"(?m)^\s*[\d,.$%]+\s+[\d,.$%]+\s+[\d,.$%]+"
 
