@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragstone.operators.ranking import PLACES
+
 SYSTEM = "You are a helpful assistant."
 
 
@@ -64,10 +66,11 @@ def default_messages(run: DataFrame, queries: DataFrame, corpus: DataFrame) -> D
 
 
 def custom_messages(run: DataFrame, queries: DataFrame, corpus: DataFrame, prepare: Callable[[str, list[tuple[str, float]]], list[dict]]) -> DataFrame:
-    """query_id, messages by prepare(question, [(document text, score), ...] best first)."""
+    """query_id, messages by prepare(question, [(document text, score), ...] best first, in
+    the one order of scores: the last bits of a sum depend on partitioning)."""
     schema = "query_id string, messages array<struct<role:string,content:string>>"
     docs = corpus.select(F.col("id").alias("corpus_id"), F.concat_ws(" ", "title", "text").alias("d"))
-    rows = run.join(docs, "corpus_id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("score", "corpus_id", "d")), asc=False).alias("docs")).join(queries.select(F.col("id").alias("query_id"), F.col("text").alias("q")), "query_id")
+    rows = run.join(docs, "corpus_id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(F.round("score", PLACES).alias("place"), "corpus_id", "d", "score")), asc=False).alias("docs")).join(queries.select(F.col("id").alias("query_id"), F.col("text").alias("q")), "query_id")
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

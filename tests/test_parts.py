@@ -57,6 +57,16 @@ def test_chat_generator(spark):
         generate.ChatGenerator(_connect, "m", seed=1)
 
 
+def test_custom_messages_of_equal_scores(spark):
+    # sums of the same parts in another order: the greater id is first, as in every ranking
+    run = spark.createDataFrame([(1, "a", 0.1 + 0.2 + 0.3), (1, "b", 0.3 + 0.2 + 0.1), (2, "a", 0.5), (2, "b", 0.25)], "query_id long, corpus_id string, score double")
+    queries = spark.createDataFrame([(1, "x"), (2, "y")], "id long, text string")
+    corpus = spark.createDataFrame([("a", "A", "one"), ("b", "B", "two")], "id string, title string, text string")
+    prepare = lambda q, docs: [{"role": q, "content": repr(docs)}]
+    got = {r["query_id"]: r["messages"][0]["content"] for r in generate.custom_messages(run, queries, corpus, prepare).collect()}
+    assert got == {"1": repr([("B two", 0.6), ("A one", 0.6000000000000001)]), "2": repr([("A one", 0.5), ("B two", 0.25)])}
+
+
 class Reversed:
     def get_scores(self, tokens):
         return [float(len(tokens)), 3.0, 3.0, 0.0]
