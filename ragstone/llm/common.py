@@ -141,14 +141,11 @@ class WordCache(dict):
         new = [w for w in words if w not in self]
         if not self.old:
             return new
-        out = []
-        for word in new:
-            value = self.old.get(word)
-            if value is None:
-                out.append(word)
-            else:
-                self.keep(word, value)
-        return out
+        values = list(map(self.old.get, new))
+        found = {w: v for w, v in zip(new, values, strict=True) if v is not None}
+        self.update(found)
+        self.held += self.ENTRY * len(found) + sum(map(len, found)) + sum(map(getsizeof, found.values()))
+        return [w for w, v in zip(new, values, strict=True) if v is None]
 
     def drop(self) -> None:
         self.clear()

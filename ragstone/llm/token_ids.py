@@ -50,6 +50,8 @@ HEADER = struct.Struct("<4sIIIIQQ")
 BLOCK_IDS = 1 << 18
 BLOCKS_PER_FILE = 16
 END_ID = 1
+#: text that is encoded at once: distinct words are looked up once in it
+SLICE_BYTES = 4 << 20
 
 
 def width(vocab_size: int) -> int:
@@ -156,7 +158,8 @@ class WordEncoder:
         """Puts the ids of new words, and of the words and marks that stand for them, into
         self.words; returns those that are too long to stay there."""
         ids = self.words
-        letters = [w for w in new if w.isalpha()]  # ASCII letters
+        plain = [w for w in new if w.isalpha() and w.islower()]  # ASCII letters that stand for themselves
+        letters = [w for w in new if w.isalpha() and not w.islower()]
         low = [w.lower() for w in letters]
         other, whole, marked = [w for w in new if not w.isalpha()], [], []
         for w, core in zip(other, [w.rstrip(self.MARKS) for w in other], strict=True):
@@ -165,8 +168,8 @@ class WordEncoder:
                 marked.append((w, core.lower() if core.isalpha() else self._low(core), w[n:]))
             else:
                 whole.append((w, self._low(w)))
-        asked = ids.unknown({*low, *(c for _, c in whole), *(x for _, *cm in marked for x in cm)})
-        plain, wide, odd = [], [], []
+        asked = ids.unknown({*low, *(c for _, c in whole), *(x for _, *cm in marked for x in cm)}.difference(plain))
+        wide, odd = [], []
         for c in asked:
             if c.isalpha():
                 plain.append(c)
@@ -182,16 +185,59 @@ class WordEncoder:
             part = odd[at: at + 10_000]
             got.update(zip(part, self._each(part), strict=True))
         long = ids.keep_all(got)
-        out = {w: ids[c] for w, c in zip(letters, low, strict=True) if w != c}
+        out = {w: ids[c] for w, c in zip(letters, low, strict=True)}
         out.update((w, ids[c]) for w, c in whole if w != c)
         out.update((w, ids[c] + ids[m]) for w, c, m in marked)
         return long + ids.keep_all(out)
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each UTF-8 text as little-endian u32 bytes."""
-        if not self.by_word:
-            return self._each(texts)
-        self.words.trim()
+    #: A-Z as a-z, white space as a space
+    _LOWER = bytes(32 if bytes([b]).isspace() else ord(chr(b).lower()) if b < 128 else b for b in range(256))
+    #: bytes that only characters from U+0100 on have
+    _HIGH = bytes(range(0xC4, 256))
+    _IS_LETTER = np.array([97 <= b <= 122 for b in range(256)])
+    _IS_MARK = np.isin(np.arange(256), list(MARKS))
+
+    def _pieces(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, ends, last) of texts without special tokens whose characters lie below
+        U+0100: lower-cased words and the marks behind their last letter, each with a
+        space after it, where each ends, and how many there are up to each text's end.
+
+        A run of letters always ends a piece of the tokenizer's own, so a cut behind it changes
+        no token; below U+0100 nothing is composed, and case goes by single characters."""
+        raw = np.frombuffer(bytearray(b" ".join([*texts, b""]).translate(self._LOWER)), np.uint8)
+        letter = self._IS_LETTER[raw]
+        at = np.flatnonzero(raw[:-1] == 0xC3) + 1
+        if len(at):  # U+00C0 to U+00FF: letters but for the signs of times and division
+            c = raw[at]
+            raw[at[(c <= 0x9E) & (c != 0x97)]] += 0x20
+            letter[at[(c != 0x97) & (c != 0xB7)]] = True
+        cut = np.flatnonzero(letter[:-1] & self._IS_MARK[raw[1:]]) + 1
+        last = np.cumsum([len(t) + 1 for t in texts])
+        last += np.searchsorted(cut, last)
+        raw = np.insert(raw, cut, 32)
+        ends = np.flatnonzero(raw == 32) + 1
+        return raw, ends, np.searchsorted(ends, last) + 1
+
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
+        """encode() of such texts, all at once: Python sees distinct words only."""
+        raw, ends, last = self._pieces(texts)
+        words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(raw)]).dictionary_encode()
+        distinct = words.dictionary.buffers()[2].to_pybytes()[:-1].split(b" ")
+        del raw, ends
+        ids = list(map(self.words.get, distinct))
+        missing = [w for w, x in zip(distinct, ids, strict=True) if x is None and w]
+        new = self.words.unknown(missing) if missing else []
+        long = self._learn(new) if new else []
+        if missing or b"" in distinct:
+            ids = [x if x is not None else self.words[w] if w else b"" for w, x in zip(distinct, ids, strict=True)]
+        self.words.drop_words(long)
+        coded = pa.array(ids, pa.large_binary()).take(words.indices)
+        _, offsets, held = coded.buffers()
+        cuts = np.frombuffer(offsets, np.int64)[last].tolist()
+        return [held[a:b].to_pybytes() for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def _words(self, texts: list[bytes]) -> list[bytes]:
+        """encode() of any texts, by their words as they stand."""
         words = [t.split() for t in texts]
         new = self.words.unknown(set().union(*words))
         long = self._learn(new) if new else []
@@ -199,6 +245,16 @@ class WordEncoder:
         self.words.drop_words(long)
         return coded
 
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each UTF-8 text as little-endian u32 bytes."""
+        if not self.by_word:
+            return self._each(texts)
+        self.words.trim()
+        simple = [b"<|" not in t and (t.isascii() or len(t.translate(None, self._HIGH)) == len(t)) for t in texts]
+        some = iter(self._whole([t for t, x in zip(texts, simple, strict=True) if x]) if any(simple) else [])
+        others = iter(self._words([t for t, x in zip(texts, simple, strict=True) if not x]) if not all(simple) else [])
+        return [next(some if x else others) for x in simple]
+
 
 _ENCODERS: dict[tuple[str, bool | None], WordEncoder] = {}
 
@@ -224,6 +280,20 @@ def _block(bits: int, shard: int, number: int, first: int, docs: list, ids: list
     ])
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list[bytes]]]:
+    """(doc_ids, texts) of about limit bytes, from as many batches as that takes."""
+    keys, texts, held = [], [], 0
+    for batch in slices(batches, "text", limit):
+        keys += batch.column("doc_id").to_pylist()
+        texts += utf8_values(batch.column("text"))
+        held += batch.column("text").nbytes
+        if held >= limit:
+            yield keys, texts
+            keys, texts, held = [], [], 0
+    if keys:
+        yield keys, texts
+
+
 def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | None = END_ID, by_word: bool | None = None) -> str:
     """Encode doc_id, text into bit-packed shard files under path, ascending by doc_id."""
 
@@ -234,9 +304,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | No
         keys: list = []
         ids: list[np.ndarray] = []
         end = b"" if end_id is None else np.array([end_id], np.uint32).tobytes()
-        for batch in slices(batches, "text", 2 << 20):
-            coded = enc.encode(utf8_values(batch.column("text")))
-            for key, raw in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
+        for some, texts in gathered(batches, SLICE_BYTES):
+            for key, raw in zip(some, enc.encode(texts), strict=True):
                 keys.append(key)
                 ids.append(np.frombuffer(raw + end, np.uint32))
                 held += len(ids[-1])

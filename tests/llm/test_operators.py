@@ -11,6 +11,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("ragstone.llm")
@@ -82,6 +83,29 @@ def test_token_ids(spark):
             assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in texts])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_whole_slices_of_tokens():
+    from tokenizers import Tokenizer
+
+    lib, own, r = Tokenizer.from_file(WORDS), token_ids.WordEncoder(WORDS), random.Random(12)
+    some = "The fox, the FOX. (fox) Été été; the\tfox", "", "É", "  fox  "
+    ids = lambda texts: [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in texts])]
+    want = lambda texts: [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids(some) == want(some) and ids([]) == []
+    # a word is kept once, whatever its case and the marks behind it
+    assert set(own.words) == {b"the", b"fox", b",", b".", b"(fox", b")", "été".encode(), b";", "é".encode()}
+    every = [chr(c) for c in range(0x100)] + ["ab"] * 40 + [" "] * 40 + ["'s", "<|endoftext|>", "<|ENDOFTEXT|>", "\u0301", "H\u0331", "\u0130", "\u212a", "\u00a0", "日"]
+    for most in (2000, 1 << 20):
+        own.words.most = most
+        for below in (len(every), 0x100 + 80):  # with and without what isn't taken whole
+            for _ in range(30):
+                texts = ["".join(r.choices(every[:below], k=r.randint(0, 60))) for _ in range(r.randint(0, 9))]
+                assert ids(texts) == want(texts)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i, None], "text": ["x" * i, None]}) for i in range(9)]
+    got = list(token_ids.gathered(iter(batches), 40))
+    assert len(got) > 1 and [k for ks, _ in got for k in ks] == [x for i in range(9) for x in (i, None)]
+    assert b"".join(t for _, ts in got for t in ts) == b"x" * 36
+
+
 # 2
 
 
