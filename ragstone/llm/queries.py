@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ragstone.llm import decontaminate, language_id, media, minhash, quality, segmentation, token_counts, token_ids, toxicity, warc
+from ragstone.llm import byte_bpe, decontaminate, language_id, media, minhash, quality, runs, segmentation, token_counts, token_ids, toxicity, variants, warc
 
 QUERIES = {
     "op1_token_id_output": token_ids.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sentencepiece_nbest": segmentation.query,
     "op9_language_id": language_id.query,
     "op10_progressive_jpeg": media.query,
+    "op11_byte_bpe": byte_bpe.query,
+    "op12_periodic_runs": runs.query,
+    "op13_spelling_variants": variants.query,
 }
 
 ORACLE_SQL = {
