@@ -41,6 +41,11 @@ class Pieces:
         for b, i in enumerate(self.bytes):
             self.text[i] = bytes([b])
 
+    def round_scores(self, unit: int) -> None:
+        """Rounds the scores to multiples of 1 / unit."""
+        for some in (self.scores, self.heads):
+            some.update((p, round(x * unit) / unit) for p, x in some.items() if x is not None and abs(x) < 1e8)
+
     def segments(self, text: str) -> list[str]:
         """Keys of a text's segments, in order; parts() tells what a key stands for.
 

@@ -20,7 +20,8 @@ Decoding joins the pieces' texts, bytes included, and drops the dummy space.
 Edge cases: null counts as empty: no pieces, score 0, one (empty) segmentation,
 which decodes to the empty text; a text that holds the space mark itself decodes
 with spaces in its place, so its round trip is false; long texts are segmented
-whole; ties between paths go to the path whose last differing piece is shorter;
+whole; the best of tied paths is the one whose last pieces are longer, and the other
+tied ones follow as the agenda comes to them, those nearest to the text's start first;
 rows that repeat a doc_id each get their row; an empty table gives no rows;
 other columns are ignored.
 """
@@ -50,6 +51,9 @@ class Lattice:
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
+        # multiples of 2 ** -24, to which a model's 32-bit scores are rounded: sums are exact,
+        # so that paths of the same pieces in another order tie exactly
+        self.pieces.round_scores(1 << 24)
         ordinary = [s for s in self.pieces.scores.values() if s > -1e8]
         self.unknown = min(ordinary) - UNKNOWN
         self.best = WordCache(self._best, 0.85, path)
@@ -82,12 +86,16 @@ class Lattice:
         return into, best
 
     def nbest(self, text: str, n: int) -> list[tuple[float, list[str]]]:
-        """The n best paths as (score, pieces), best first."""
+        """The n best paths as (score, pieces), best first.
+
+        Of partial paths with equal totals the one that is nearest to the text's start goes
+        first: it is completed before others are begun, so that ties, however many, cost no more
+        than a path's length each."""
         into, best = self.forward(text)
-        agenda: list[tuple] = [(-best[-1], 0, len(text), 0.0, None)]
+        agenda: list[tuple] = [(-best[-1], len(text), 0, 0.0, None)]
         found, count = [], 0
         while agenda and len(found) < n:
-            _, _, at, behind, path = heappop(agenda)
+            _, at, _, behind, path = heappop(agenda)
             if at == 0:
                 cuts = []
                 while path:
@@ -97,7 +105,7 @@ class Lattice:
                 continue
             for start, score in into[at]:
                 count += 1
-                heappush(agenda, (-(best[start] + score + behind), count, start, behind + score, (start, at, path)))
+                heappush(agenda, (-(best[start] + score + behind), start, count, behind + score, (start, at, path)))
         return found
 
     def ids(self, lines: int, cuts: list[str]) -> bytes:
@@ -130,7 +138,7 @@ class Lattice:
                         break
                     score = self.unknown
                 one = first[j]
-                if x + score >= one:  # a later start, so a shorter last piece, wins a tie
+                if x + score > one:  # of ties the earliest start stays, as in nbest()
                     first[j], back[j] = x + score, i
                     second[j] = max(one, second[j], y + score)
                 elif x + score > second[j]:
