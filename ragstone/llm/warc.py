@@ -19,48 +19,71 @@ parsed, and every payload's SHA-256 is computed and held against the record's ow
 
 Index.  Each reading task sorts its captures by (URL key, timestamp, page_id)
 into runs of at most RUN_ROWS entries; the runs are stored in blocks of RUN_BLOCK
-entries that carry their first key.  Each merging task takes its key range of all
-runs, block by block in the order of the first keys, through a loser tree: a block
-enters when the merge comes to its first key, so a task holds about one block of
-each run, never its range.  That gives the globally ordered capture history.  The
-key holds the page_id, so one very common host or URL is cut like any other
-range.
+entries that carry their first key.  The key range is dealt out, about RANGE_ROWS
+entries a task, and in each range at most about FAN runs are merged at a time, through a
+loser tree: a block enters when the merge comes to its first key, so a task holds
+about one block of each of FAN runs, however many there are.  More runs than FAN are
+merged in rounds: what a round merges is a run of the next, stored between them.
+That gives the globally ordered capture history.  The key holds the page_id, so one
+very common host or URL is cut like any other range.
 
 Edge cases: null html is an empty payload; null url gives the empty URL key and
 no target line; line ends in a URL are percent-encoded; rows that repeat a
 page_id get a record each, and those with the group's smallest page_id are all
 responses; null page_ids are never the smallest, unless all are null (then all
 are responses); captures that tie in the whole key stand in the order of their
-runs; an empty table gives no file and no row; other columns are ignored.
+runs; page_ids may be any long; pages have the time EPOCH, unless a column of times is
+named, and where that is null or beyond the years 1 to 9999; an empty table gives no
+file and no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import struct
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ragstone.llm.common import shared_dir, table, written
 
 MIN_REVISIT = 100
 ROW_BYTES, ROWS_PER_FILE = 1 << 20, 16
 RUN_ROWS, RUN_BLOCK = 100_000, 512
-#: captures without a time of their own lie page_id seconds after this one
-EPOCH = 1704067200
+#: runs that a task merges at a time, about, and entries of its range
+FAN, RANGE_ROWS = 64, 1_000_000
+#: when captures without a time of their own were made, and the times a record can state
+EPOCH, TIMES = 1704067200, (-62135596800, 253402300799)
 
 CAPTURE = "urlkey string, captured long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, file string, offset long, length long"
 
 
-def records(pages: DataFrame) -> DataFrame:
+def date(pages: DataFrame, time: str | None) -> Column:
+    """The WARC-Date of each page: its column time (a timestamp, or seconds since 1970), in UTC
+    whatever the session's time zone."""
+    if time is None:
+        seconds = F.lit(EPOCH).cast("long")
+    else:
+        own = F.col(time)
+        own = own.cast("long") if isinstance(pages.schema[time].dataType, NumericType) else own.cast("timestamp").cast("long")
+        seconds = F.when(own.between(*TIMES), own).otherwise(F.lit(EPOCH)).cast("long")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")).cast("string")
+    two = (F.lpad(F.floor(F.pmod(seconds, F.lit(86400)) / unit % 60).cast("string"), 2, "0") for unit in (60, 1))
+    hour = F.lpad(F.floor(F.pmod(seconds, F.lit(86400)) / 3600).cast("string"), 2, "0")
+    return F.concat(day, F.lit("T"), hour, F.lit(":"), next(two), F.lit(":"), next(two), F.lit("Z"))
+
+
+def records(pages: DataFrame, time: str | None = None) -> DataFrame:
     """The record of each page as one string column, value."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), date(pages, time).alias("date"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
     keys = written(rows.where(F.col("size") >= MIN_REVISIT).select("page_id", "digest"), "payload-keys")
     first = written(keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n"), "payload-first")
@@ -78,9 +101,8 @@ def records(pages: DataFrame) -> DataFrame:
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\n"), line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.col("size").cast("string")), F.lit("\r\n"))
     body = F.when(F.col("revisit"), http).otherwise(F.concat(http, F.col("payload")))
     uri = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     head = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")), line("WARC-Record-ID", urn("page_id")), line("WARC-Date", date),
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")), line("WARC-Record-ID", urn("page_id")), line("WARC-Date", F.col("date")),
         F.coalesce(line("WARC-Target-URI", uri), F.lit("")), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.coalesce(F.when(F.col("revisit"), F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn("first")))), F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length("body").cast("string")), F.lit("\r\n"))
@@ -112,8 +134,8 @@ def members(content) -> Iterator[tuple[int, int, bytes]]:
         at += size
 
 
-def write_archives(pages: DataFrame, path: str) -> str:
-    """Write page_id, url, html as WARC files under path."""
+def write_archives(pages: DataFrame, path: str, time: str | None = None) -> str:
+    """Write page_id, url, html as WARC files under path, captured when the column time says."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -128,7 +150,7 @@ def write_archives(pages: DataFrame, path: str) -> str:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([EMPTY.join(held)], pa.binary())], ["row"])
 
-    made = records(pages).mapInArrow(rows, "row binary").select(F.col("row").cast("string").alias("value"))
+    made = records(pages, time).mapInArrow(rows, "row binary").select(F.col("row").cast("string").alias("value"))
     sink = made.write.option("maxRecordsPerFile", ROWS_PER_FILE).option("compression", "none")
     sink.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).text(path)
     return path
@@ -184,7 +206,8 @@ def order(row: tuple) -> tuple:
 
 class LoserTree:
     """k-way merge of sorted iterators: each inner node holds the loser of its match,
-    so the next row costs one path of log2 k comparisons.  Iterators may join later."""
+    so the next row costs one path of log2 k comparisons.  Iterators may join later, which
+    costs k comparisons: little, as k stays about FAN and an iterator holds a block."""
 
     def __init__(self, runs: list[Iterator], key):
         self.key, self.runs, self.heads = key, [], []
@@ -272,6 +295,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iter
 
 _ARROW = pa.schema([("urlkey", pa.string()), ("captured", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 _FIRST = [("first_urlkey", pa.string()), ("first_captured", pa.int64()), ("first_page", pa.int64())]
+_RUN_COLUMNS = "run long, place long, first_urlkey string, first_captured long, first_page long"
 _RUN = pa.schema([*_ARROW, ("run", pa.int64()), ("place", pa.int64()), *_FIRST])
 
 
@@ -303,39 +327,62 @@ def sorted_runs(spark: SparkSession, path: str) -> DataFrame:
         return _batches(made(), _RUN)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return written(files.mapInArrow(rows, CAPTURE + ", run long, place long, first_urlkey string, first_captured long, first_page long"), "capture-runs")
+    return written(files.mapInArrow(rows, f"{CAPTURE}, {_RUN_COLUMNS}"), "capture-runs")
 
 
-def merged_index(runs: DataFrame) -> DataFrame:
-    """All captures with rank, their place (from 0) in the global order of
-    (URL key, timestamp, page_id)."""
-    spark = runs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = pa.schema([*_ARROW, ("shard", pa.int64()), ("at", pa.int64())])
-    width = len(_ARROW)
+def _blocks(rows: Iterator[tuple], width: int) -> Iterator[tuple]:
+    """(first key, captures) of each block of stored runs, as they come."""
+    for _, held in itertools.groupby(rows, lambda r: (r[width], r[width + 1] // RUN_BLOCK)):
+        held = list(held)
+        yield order(held[0][width + 2:]), [r[:width] for r in held]
+
+
+def merge_round(runs: DataFrame, parts: int, last: bool) -> DataFrame:
+    """The runs of each group merged: into runs again, or, if this is the last round, into
+    the captures of each shard with their place (at).  Without a column shard the key
+    range is dealt out first."""
+    width, ranged = len(_ARROW), "shard" not in runs.columns
+    runs = runs.select(*_RUN.names, "group", *([] if ranged else ["shard"]))
+    out, names = (pa.schema([*_ARROW, ("shard", pa.int64()), ("at", pa.int64())]), "shard long, at long") if last else (pa.schema([*_RUN, ("shard", pa.int64())]), _RUN_COLUMNS + ", shard long")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def blocks() -> Iterator[tuple]:
-            name, held = None, []
-            for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    own = row[width], row[width + 1] // RUN_BLOCK
-                    if own != name:
-                        if held:
-                            yield first, held
-                        name, held, first = own, [], order(row[width + 2:])
-                    held.append(row[:width])
-            if held:
-                yield first, held
-
-        shard = TaskContext.get().partitionId()
-        return _batches(((*row, shard, i) for i, row in enumerate(merged_blocks(blocks(), order))), schema)
+        own = TaskContext.get().partitionId()
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
 
+        def made() -> Iterator[tuple]:
+            for (group, *shard), some in itertools.groupby(rows, lambda r: r[width + 5:]):
+                shard = own if ranged else shard[0]
+                for place, row in enumerate(merged_blocks(_blocks(some, width), order)):
+                    if last:
+                        yield *row, shard, place
+                        continue
+                    if place % RUN_BLOCK == 0:
+                        first = row[:3]
+                    yield *row, group, place, *first, shard
+
+        return _batches(made(), out)
+
+    dealt = runs.repartitionByRange(parts, "urlkey", "captured", "page_id") if ranged else runs.repartition(parts, "shard")
     by_block = ["first_urlkey", "first_captured", F.col("first_page").asc_nulls_first(), "run", "place"]
-    dealt = runs.repartitionByRange(parts, "urlkey", "captured", "page_id").sortWithinPartitions(*by_block)
-    merged = written(dealt.mapInArrow(merge, CAPTURE + ", shard long, at long"), "capture-index")
+    by_group = ["group"] if ranged else ["group", "shard"]
+    return written(dealt.sortWithinPartitions(*by_group, *by_block).mapInArrow(merge, f"{CAPTURE}, {names}"), "capture-index")
+
+
+def merged_index(runs: DataFrame) -> DataFrame:
+    """All captures with rank, their place (from 0) in the global order of
+    (URL key, timestamp, page_id)."""
+    spark = runs.sparkSession
+    n, captures = runs.agg(F.count_distinct("run"), F.count("*")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(captures / RANGE_ROWS))
+    if n > FAN:  # run numbers aren't consecutive: by their hash a group has about half of FAN
+        n = math.ceil(2 * n / FAN)
+        runs = merge_round(runs.withColumn("group", F.pmod(F.xxhash64("run"), F.lit(n))), parts, False)
+    while n > FAN:
+        n = math.ceil(n / FAN)
+        runs = merge_round(runs.withColumn("group", F.floor(F.col("run") / FAN)), parts, False)
+    merged = merge_round(runs.withColumn("group", F.lit(0).cast("long")), parts, True)
     base, before = [], 0
-    for r in merged.groupBy("shard").agg(F.count("*").alias("n")).orderBy("shard").collect():  # one row for each partition
+    for r in merged.groupBy("shard").agg(F.count("*").alias("n")).orderBy("shard").collect():  # one row for each range
         base.append((r["shard"], before))
         before += r["n"]
     return merged.join(F.broadcast(spark.createDataFrame(base, "shard long, base long")), "shard").withColumn("rank", F.col("base") + F.col("at")).drop("shard", "base", "at")
