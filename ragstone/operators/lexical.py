@@ -11,10 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragstone.functions.text import words
+from ragstone.operators.inverted import EPSILON, K1, B, Index
 from ragstone.operators.ranking import PLACES, top_k
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
-
 
 class Lexical(Protocol):
     """A lexical model fitted elsewhere: one score for each document it was fitted on."""
@@ -78,10 +77,14 @@ def bm25(queries: DataFrame, docs: DataFrame, *, tokenize: Callable[[Column], Co
     return pairs.groupBy("query_id", "corpus_id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int | None = 100, **options) -> DataFrame:
-    """bm25() ranked, the k best of each query.  With k None every document is ranked for
-    every query, which is the whole product: those that share no token score 0."""
-    scores = bm25(queries, docs, **options)
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int | None = 100, *, tokenize: Callable[[Column], Column] = words, candidates: DataFrame | None = None, **options) -> DataFrame:
+    """bm25() ranked, the k best of each query, from an inverted index of the corpus
+    (inverted.py); with candidates from bm25(), which makes their pairs only.  With k None
+    every document is ranked for every query, which is the whole product: those that
+    share no token score 0."""
+    if k is not None and candidates is None:
+        return Index.build(docs, tokenize).search(queries, k, **options)
+    scores = bm25(queries, docs, tokenize=tokenize, candidates=candidates, **options)
     if k is None:
         every = queries.select(F.col("id").alias("query_id")).distinct().join(docs.select(F.col("id").alias("corpus_id")).distinct())
         scores = every.join(scores, ["query_id", "corpus_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
