@@ -14,18 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragstone.operators.ranking import PLACES
-from ragstone.session import written
 
 
-def paired(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every block of corpus with every block of queries (one row a block, at most a few MB
-    each)."""
-    queries = written(queries, "query-blocks")
-    n = queries.count()
+def paired(corpus: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """Every block of corpus with every one of n blocks of queries (one row a block, at most
+    some MB each).  Both sides are tables: a grid reads the corpus once for each block of queries."""
     if n <= 1:
         return corpus.join(F.broadcast(queries))
-    # the grid: a partition for each block of queries
-    return corpus.crossJoin(queries.repartition(n, F.monotonically_increasing_id()))
+    return corpus.crossJoin(queries.repartition(n))  # a partition for each block, about
 
 
 class Best:
@@ -45,21 +41,22 @@ class Best:
             if self.k is not None and self.held > max(4 * self.k * self.n, 1 << 16):
                 self.cut()
 
-    def add_matrix(self, s: np.ndarray, ids: np.ndarray, *more: np.ndarray) -> None:
-        """Scores of all queries (rows) with ids (columns), minus infinity for pairs that
-        don't count; more matrices of the same shape."""
-        r = np.round(s, PLACES)
-        low = self.edge[:, None]
-        if self.k is not None and self.k < s.shape[1]:
-            some = np.count_nonzero(r >= low, axis=1) > self.k
-            if some.any():
-                low = self.edge.copy()
-                part = r[some]
-                low[some] = np.maximum(low[some], np.partition(part, part.shape[1] - self.k, axis=1)[:, part.shape[1] - self.k])
-                low = low[:, None]
-        i, j = np.nonzero((r >= low) & np.isfinite(s))
-        self.add(i, ids[j], s[i, j], *(m[i, j] for m in more))
-        if self.k is not None and self.parts and not np.isfinite(self.edge).all():
+    def add_matrix(self, s: np.ndarray, ids: np.ndarray, *more, first: int = 0) -> None:
+        """Scores of the queries from first on (rows) with ids (columns), minus infinity for
+        pairs that don't count; more(i, j) gives what else belongs to pairs of row and column."""
+        low = self.edge[first: first + len(s)]
+        new = ~np.isfinite(low)
+        if self.k is not None and self.k < s.shape[1] and new.any():
+            # no edge yet: that of these columns alone
+            low = low.copy()
+            part = np.round(s[new], PLACES)
+            low[new] = np.partition(part, part.shape[1] - self.k, axis=1)[:, part.shape[1] - self.k]
+        i, j = np.nonzero(s >= (low - 2 * 10.0**-PLACES)[:, None] if self.k is not None and np.isfinite(low).any() else np.isfinite(s))
+        value = s[i, j]
+        keep = np.isfinite(value) & (np.round(value, PLACES) >= low[i])
+        i, j, value = i[keep], j[keep], value[keep]
+        self.add(i + first, ids[j], value, *(m(i, j) for m in more))
+        if self.k is not None and self.parts and (new.any() or self.held > 2 * self.k * self.n):
             self.cut()
 
     def cut(self) -> tuple[np.ndarray, ...]:

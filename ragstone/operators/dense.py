@@ -1,28 +1,35 @@
-"""Exact dense retrieval.
+"""Exact dense retrieval, of vectors and of documents that are made of chunks.
 
-`score_pairs` states all pairs as an expression, for small inputs.  `dense_topk`
-is the way for large corpora: queries go to the tasks in blocks of at most
-QUERY_BLOCK vectors, each task multiplies its batches of the corpus with a block
-and keeps k rows of each query, and one exchange of k rows for each query and
-task makes the ranking.
+`score_pairs` states all pairs as an expression, for small inputs.  `dense_topk` and
+`dense_documents` are the way for large sides: queries are packed into blocks of at most
+QUERY_BLOCK vectors, a task multiplies its part of the corpus with a block, PRODUCT_BYTES of
+scores at a time, and sends on k rows of each query.  A query's k-th score so far is
+the edge that later products must reach (blocks.py).  One block of queries goes to the tasks as it is, and the
+corpus isn't moved; more blocks meet the blocks of the stored corpus in a grid.
+
+`dense_documents` has a document's chunks beside each other and reduces their scores to
+the document's in the task, so neither pairs of query and chunk nor those of query
+and document leave it, but for the k best.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragstone.functions.vectors import score_function
+from ragstone.operators.aggregate import METHODS
+from ragstone.operators.blocks import Best, paired
 from ragstone.operators.ranking import PLACES, top_k
+from ragstone.session import written
 
-QUERY_BLOCK = 4096
-ROW_BLOCK = 8192
+#: queries of a block, vectors of a block of the corpus, bytes of a product of two
+QUERY_BLOCK, ROW_BLOCK, PRODUCT_BYTES = 4096, 8192, 32 << 20
 
 
 def score_pairs(queries: DataFrame, corpus: DataFrame, name: str = "cos_sim", more: dict | None = None) -> DataFrame:
@@ -58,37 +65,158 @@ def _unit(m: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m / np.where(n > 0, n, 1)[:, None], good & (n > 0)
 
 
-class _Best:
-    """The k best (score rounded, then id, both falling) of every query of a block so
-    far; everything that may still be among them is kept."""
-
-    def __init__(self, k: int | None):
-        self.k, self.parts, self.held = k, [], 0
-
-    def add(self, s: np.ndarray, ids: np.ndarray) -> None:
-        """s: queries by rows, minus infinity for pairs that don't count."""
-        r = np.round(s, PLACES)
-        if self.k is not None and self.k < s.shape[1]:
-            # all that ties with the k-th stays in
-            edge = np.partition(r, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
-            i, j = np.nonzero((r >= edge[:, None]) & np.isfinite(s))
-        else:
-            i, j = np.nonzero(np.isfinite(s))
-        self.parts.append((i, ids[j], s[i, j]))
-        self.held += len(i)
-        if self.k is not None and self.held > 8 * self.k * len(s):
-            self.cut()
-
-    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        i, ids, s = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        if self.k is not None:
-            rank = np.unique(ids, return_inverse=True)[1]
-            order = np.lexsort((-rank, -np.round(s, PLACES), i))
-            i, ids, s = i[order], ids[order], s[order]
-            keep = np.arange(len(i)) - np.searchsorted(i, i) < self.k
-            i, ids, s = i[keep], ids[keep], s[keep]
-        self.parts, self.held = [(i, ids, s)], len(i)
-        return i, ids, s
+def _packed(df: DataFrame, rows: int, whole: str | None = None) -> DataFrame:
+    """df in blocks of at most so many rows, one row each with a list of every column; rows
+    that are equal in the column whole, which stand together, aren't parted."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in gathered(batches, rows, whole):
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in part.columns], part.schema.names)
+
+    return df.mapInArrow(pack, ", ".join(f"{n} array<{t}>" for n, t in df.dtypes))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int, whole: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in batches of at most so many; see _packed()."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            if held and count + part.num_rows > rows:
+                if whole is None:
+                    yield joined(held)
+                    held, count = [], 0
+                else:
+                    every = joined([*held, part])
+                    names = every.column(whole)
+                    other = pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False)
+                    cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+                    if cut:
+                        yield every.slice(0, cut)
+                    held, count = [every.slice(cut)], every.num_rows - cut
+                    continue
+            held.append(part)
+            count += part.num_rows
+    if held:
+        yield joined(held)
+
+
+class Queries:
+    """A block of query vectors."""
+
+    def __init__(self, ids: pa.Array, embeddings: pa.Array, score: str):
+        self.ids, self.score = ids, score
+        size = pc.value_counts(pc.drop_null(pc.list_value_length(embeddings))).to_pylist()
+        self.width = max(size, key=lambda x: (x["counts"], -x["values"]))["values"] if size else 1
+        self.m, self.sound = _matrix(embeddings, self.width)
+        if score == "cos_sim":
+            self.m, self.sound = _unit(self.m, self.sound)
+        self.order: np.ndarray | None = None
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def same(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, key) of those that have the same id."""
+        if self.order is None:
+            own = np.array(self.ids.to_pylist())
+            self.text = own.dtype.kind == "U" or keys.dtype.kind == "U"
+            own = own.astype(str) if self.text else own
+            self.order = np.argsort(own, kind="stable")
+            self.sorted = own[self.order]
+        keys = keys.astype(str) if self.text else keys
+        low, high = (np.searchsorted(self.sorted, keys, side) for side in ("left", "right"))
+        found = np.flatnonzero(high > low)
+        each = (high - low)[found]
+        at = np.repeat(low[found], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        return self.order[at], np.repeat(found, each)
+
+    def products(self, embeddings: pa.Array, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(first query, scores of the queries from there on with all vectors), minus infinity for
+        pairs of one id."""
+        m, good = _matrix(embeddings, self.width)
+        if self.score == "cos_sim":
+            m, good = _unit(m, good)
+        q, c = self.same(keys)
+        step = max(PRODUCT_BYTES // (8 * max(len(m), 1)), 1)
+        for at in range(0, len(self.m), step):
+            s = self.m[at: at + step] @ m.T
+            s[~self.sound[at: at + step]] = -1
+            s[:, ~good] = -1
+            here = (q >= at) & (q < at + step)
+            s[q[here] - at, c[here]] = -np.inf
+            yield at, s
+
+
+def _search(queries: DataFrame, corpus: DataFrame, score: str, block: int, make: Callable[[Queries], object], schema: str, whole: str | None = None) -> DataFrame:
+    """Every block of queries (id, embedding) with all rows of the corpus, which come to
+    make(block).add(rows) in batches; make(block).rows() gives what is left."""
+    spark = corpus.sparkSession
+    blocks = written(_packed(queries.select("id", "embedding").coalesce(8), block), "query-blocks")
+    n = blocks.count()
+    if n == 0:
+        return spark.createDataFrame([], schema)
+    if n == 1:
+        row = blocks.toArrow()  # one block
+        sent = spark.sparkContext.broadcast((row.column("id").chunk(0)[0].values, row.column("embedding").chunk(0)[0].values))
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = make(Queries(*sent.value, score))
+            for part in gathered(batches, ROW_BLOCK, whole):
+                yield from own.add(part)
+            yield from own.rows()
+
+        return corpus.mapInArrow(rows, schema)
+    stored = written(_packed(corpus, ROW_BLOCK, whole), "corpus-blocks")
+    names = stored.columns
+    numbered = blocks.select(F.monotonically_increasing_id().alias("query_block"), F.col("id").alias("query_ids"), F.col("embedding").alias("query_embeddings"))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, object] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number = batch.column("query_block")[i].as_py()
+                if number not in held:
+                    held[number] = make(Queries(batch.column("query_ids")[i].values, batch.column("query_embeddings")[i].values, score))
+                yield from held[number].add(pa.RecordBatch.from_arrays([batch.column(c)[i].values for c in names], names))
+        for own in held.values():
+            yield from own.rows()
+
+    return paired(stored, numbered, n).mapInArrow(pairs, schema)
+
+
+def _keys(col: pa.Array) -> np.ndarray:
+    return np.array(col.to_pylist())
+
+
+class _Vectors:
+    """The k best vectors of each query of a block."""
+
+    def __init__(self, queries: Queries, k: int | None):
+        self.queries, self.k, self.best, self.type = queries, k, Best(len(queries), k), None
+
+    def add(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        # parts may be wide: of the product a slice of the vectors at a time
+        step = max(PRODUCT_BYTES // (8 * max(len(self.queries), 1)), 256)
+        self.type = part.column("id").type
+        for at in range(0, part.num_rows, step):
+            some = part.slice(at, step)
+            keys = _keys(some.column("id"))
+            for first, s in self.queries.products(some.column("embedding"), keys):
+                self.best.add_matrix(s, keys, first=first)
+            if self.k is None:
+                yield from self.rows()
+                self.best = Best(len(self.queries), None)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.best.parts:
+            i, ids, s = self.best.cut()
+            yield pa.RecordBatch.from_arrays([self.queries.ids.take(pa.array(i)), pa.array(ids, self.type), pa.array(s)], ["query_id", "corpus_id", "score"])
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int | None = 100, score: str = "cos_sim", block: int = QUERY_BLOCK) -> DataFrame:
@@ -98,66 +226,118 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int | None = 100, score
     with everything, as a zero vector does by cosine."""
     if score not in ("cos_sim", "dot"):
         return top_k(score_pairs(queries, corpus, score), k)
-    spark, kind = corpus.sparkSession, dict(corpus.dtypes)["id"]
-    schema = f"query_id {dict(queries.dtypes)['id']}, corpus_id {kind}, score double"
-
-    def search(rows_of: DataFrame, ids: list, vectors: list) -> DataFrame:
-        col = pa.array(vectors, pa.list_(pa.float64()))
-        sizes = [len(v) for v in vectors if v is not None]
-        width = max(set(sizes), key=sizes.count) if sizes else 1
-        q, sound = _matrix(col, width)
-        if score == "cos_sim":
-            q, sound = _unit(q, sound)
-        sent = spark.sparkContext.broadcast((pa.array(ids), q, sound))
+    schema = f"query_id {dict(queries.dtypes)['id']}, corpus_id {dict(corpus.dtypes)['id']}, score double"
+    return top_k(_search(queries, corpus.select("id", "embedding"), score, block, lambda q: _Vectors(q, k), schema), k)
 
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, q, sound = sent.value
-            own = np.array(names.to_pylist())
-            order = np.argsort(own, kind="stable")
-            best, type_ = _Best(k), None
-
-            def made() -> pa.RecordBatch:
-                i, c, s = best.cut()
-                return pa.RecordBatch.from_arrays([names.take(pa.array(i)), pa.array(c, type_), pa.array(s)], ["query_id", "corpus_id", "score"])
-
-            for batch in batches:
-                for at in range(0, batch.num_rows, ROW_BLOCK):
-                    part = batch.slice(at, ROW_BLOCK)
-                    type_ = part.column("id").type
-                    keys = np.array(part.column("id").to_pylist())
-                    m, good = _matrix(part.column("embedding"), q.shape[1])
-                    if score == "cos_sim":
-                        m, good = _unit(m, good)
-                    s = q @ m.T
-                    s[~sound] = -1
-                    s[:, ~good] = -1
-                    low, high = (np.searchsorted(own, keys, side, sorter=order) for side in ("left", "right"))
-                    same = np.flatnonzero(high > low)
-                    each = (high - low)[same]
-                    s[order[np.repeat(low[same], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)], np.repeat(same, each)] = -np.inf
-                    best.add(s, keys)
-                    if k is None:
-                        yield made()
-                        best = _Best(None)
-            if best.parts:
-                yield made()
-
-        return rows_of.select("id", "embedding").mapInArrow(rows, schema)
-
-    parts, ids, vectors = [], [], []
-    for r in queries.select("id", "embedding").toLocalIterator():
-        if len(ids) == block:
-            # read (and encoded) once for all blocks
-            corpus = corpus if parts else corpus.select("id", "embedding").persist(StorageLevel.DISK_ONLY)
-            parts.append(search(corpus, ids, vectors))
-            ids, vectors = [], []
-        ids.append(r[0])
-        vectors.append(r[1])
-    if ids:
-        parts.append(search(corpus, ids, vectors))
-    if not parts:
-        return spark.createDataFrame([], schema + ", rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top_k(out, k)
+
+def _one(method: str, s: np.ndarray, r: np.ndarray, ids: np.ndarray) -> float:
+    """A document's score from its chunks' (s, rounded r), in their order in the document."""
+    if method == "first":
+        return float(s[0])
+    if method == "weighted_rank":
+        s = s[np.lexsort((ids, r))[::-1]]
+    if method.startswith("weighted"):
+        w = 1 / np.arange(1, len(s) + 1)
+        return float((s * w).sum() / w.sum())
+    return float({"max": np.max, "mean": np.mean, "sum": np.sum}[method](s))
+
+
+class _Documents:
+    """The k best documents of each query of a block, from whole documents' chunks."""
+
+    def __init__(self, queries: Queries, k: int | None, method: str, best: bool):
+        self.queries, self.k, self.method, self.with_best = queries, k, method, best
+        self.best, self.types = Best(len(queries), k), None
+
+    def add(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        docs = part.column("doc_id")
+        self.types = docs.type, part.column("chunk_index").type
+        new = pc.not_equal(docs.slice(1), docs.slice(0, len(docs) - 1)).to_numpy(zero_copy_only=False)
+        cut = np.concatenate([[0], np.flatnonzero(new) + 1, [len(docs)]]).astype(np.int64)
+        # of the product some whole documents at a time
+        step, low = max(PRODUCT_BYTES // (8 * max(len(self.queries), 1)), 256), 0
+        while low < len(cut) - 1:
+            high = max(int(np.searchsorted(cut, cut[low] + step, "right")) - 1, low + 1)
+            self._add(part.slice(cut[low], cut[high] - cut[low]), cut[low: high + 1] - cut[low])
+            low = high
+        if self.k is None:
+            yield from self.rows()
+            self.best = Best(len(self.queries), None)
+
+    def _add(self, part: pa.RecordBatch, cut: np.ndarray) -> None:
+        start, size = cut[:-1], np.diff(cut)
+        keys, place = _keys(part.column("chunk_id")), _keys(part.column("chunk_index"))
+        names = _keys(part.column("doc_id").take(pa.array(start)))
+        owner = np.repeat(np.arange(len(size)), size)
+        by_id = np.lexsort((keys, owner))  # within each document by the chunks' ids, rising
+        for first, s in self.queries.products(part.column("embedding"), keys):
+            gone = np.argwhere(np.isneginf(s))
+            r = np.round(s, PLACES)
+            with np.errstate(invalid="ignore"):  # where a chunk doesn't count
+                d = self._reduced(s, r, by_id, start, size)
+            n = np.broadcast_to(size, d.shape).copy() if len(gone) and self.with_best else np.broadcast_to(size, d.shape)
+            for q, j in {(q, owner[c]) for q, c in gone.tolist()}:  # a chunk that doesn't count for a query
+                at = np.arange(cut[j], cut[j + 1])
+                at = at[np.isfinite(s[q, at])]
+                d[q, j] = _one(self.method, s[q, at], r[q, at], keys[at]) if len(at) else -np.inf
+                if self.with_best:
+                    n[q, j] = len(at)
+            more = []
+            if self.with_best:
+                def found(i, j, r=r):
+                    """The best chunk of each pair: highest score, then highest id."""
+                    out = np.zeros(len(i), np.int64)
+                    for doc in np.unique(j):
+                        mine = np.flatnonzero(j == doc)
+                        at = by_id[cut[doc]: cut[doc + 1]]
+                        out[mine] = at[len(at) - 1 - np.argmax(r[np.ix_(i[mine], at[::-1])], axis=1)]
+                    return out
+
+                more = [lambda i, j, n=n: n[i, j], lambda i, j: place[at] if len(at := found(i, j)) else place[:0], lambda i, j: keys[at] if len(at := found(i, j)) else keys[:0]]
+            self.best.add_matrix(d, names, *more, first=first)
+
+    def _reduced(self, s: np.ndarray, r: np.ndarray, by_id: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Queries by documents."""
+        if self.method == "max":
+            return np.maximum.reduceat(s, start, axis=1)
+        if self.method == "first":
+            return s[:, start]
+        if self.method in ("mean", "sum"):
+            total = np.add.reduceat(s, start, axis=1)
+            return total / size if self.method == "mean" else total
+        if self.method == "weighted_position":
+            w = 1 / (np.arange(len(by_id)) - np.repeat(start, size) + 1)
+            return np.add.reduceat(s * w, start, axis=1) / np.add.reduceat(w, start)
+        out = np.empty((len(s), len(size)))
+        for n in np.unique(size):  # documents of one number of chunks are sorted at once
+            docs = np.flatnonzero(size == n)
+            at = by_id[start[docs][:, None] + np.arange(n)[::-1]]  # by id, falling
+            order = np.argsort(-r[:, at], axis=2, kind="stable")
+            w = 1 / np.arange(1, n + 1)
+            out[:, docs] = (np.take_along_axis(s[:, at], order, 2) * w).sum(axis=2) / w.sum()
+        return out
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.best.parts:
+            i, ids, s, *more = self.best.cut()
+            types = [pa.int64(), self.types[1], pa.string()] if self.with_best else []
+            cols = [pa.array(x, t) for x, t in zip(more, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([self.queries.ids.take(pa.array(i)), pa.array(ids, self.types[0]), pa.array(s), *cols], ["query_id", "corpus_id", "score", "num_chunks_matched", "best_chunk_index", "chunk_id"][: 3 + len(cols)])
+
+
+def dense_documents(queries: DataFrame, chunks: DataFrame, method: str = "max", k: int | None = 100, score: str = "cos_sim", *, best: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, corpus_id (the document), score, rank: the k best documents of each query (id,
+    embedding), each scored by its chunks (chunk_id string, doc_id, chunk_index, embedding) as
+    aggregate.to_documents() does; a chunk of the query's own id doesn't count.  With best
+    also num_chunks_matched, and best_chunk_index and chunk_id of the chunk that scores
+    highest.  A document's chunks go to one task, so its vectors must fit there."""
+    if method not in METHODS:
+        raise ValueError(f"unknown aggregation {method!r}; there are {METHODS}")
+    score_function(score)
+    kinds = dict(chunks.dtypes)
+    schema = f"query_id {dict(queries.dtypes)['id']}, corpus_id {kinds['doc_id']}, score double"
+    if best:
+        schema += f", num_chunks_matched long, best_chunk_index {kinds['chunk_index']}, chunk_id string"
+    rows = chunks.select("doc_id", "chunk_index", F.col("chunk_id").cast("string").alias("chunk_id"), "embedding")
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index", "chunk_id")
+    return top_k(_search(queries, rows, score, block, lambda q: _Documents(q, k, method, best), schema, whole="doc_id"), k)

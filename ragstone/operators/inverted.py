@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ragstone.functions.text import words
 from ragstone.operators.blocks import Best, paired
 from ragstone.operators.ranking import PLACES, top_k
-from ragstone.session import shared_path
+from ragstone.session import shared_path, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 20_000
@@ -147,7 +147,7 @@ class Index:
 
         # few tasks make full blocks
         blocks = lists.coalesce(8).mapInArrow(packed, f"query_ids array<{kinds[0]}>, sizes array<int>, tokens array<string>, weights array<double>")
-        blocks = blocks.withColumn("block", F.monotonically_increasing_id())
+        blocks = written(blocks.withColumn("block", F.monotonically_increasing_id()), "query-blocks")
         mean = self.length / self.n if self.length else 1.0
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +162,7 @@ class Index:
             for own in held.values():
                 yield from own.rows()
 
-        return top_k(paired(self.blocks, blocks).mapInArrow(rows, schema), k)
+        return top_k(paired(self.blocks, blocks, blocks.count()).mapInArrow(rows, schema), k)
 
 
 class _Search:

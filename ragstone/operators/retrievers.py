@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragstone.functions.text import query_classes, route
-from ragstone.operators.aggregate import to_documents
-from ragstone.operators.dense import dense_topk
+from ragstone.operators.dense import dense_documents, dense_topk
 from ragstone.operators.encode import Encoder, HashingEncoder, encode
 from ragstone.operators.ranking import top_k
 from ragstone.operators.splitters import STRATEGIES, chunk_corpus, parent_child
@@ -33,11 +32,9 @@ class ChunkedRetriever:
         """query_id, corpus_id, score, rank, num_chunks_matched, best_chunk_index, best_chunk, text."""
         if return_chunks:
             return _search(queries, self.chunks, self.encoder, k).join(self.chunks, "chunk_id")
-        scores = _search(queries, self.chunks, self.encoder, None).join(self.chunks.select("chunk_id", "doc_id", "chunk_index"), "chunk_id")
-        best = scores.groupBy("query_id", F.col("doc_id").alias("corpus_id")).agg(
-            F.count("*").alias("num_chunks_matched"), F.max_by(F.struct("chunk_index", "chunk_id"), F.struct(F.round("score", 9), "chunk_id")).alias("b"))
-        # texts meet the k documents of each query, not all scores
-        docs = to_documents(scores, self.aggregation, k).join(best, ["query_id", "corpus_id"]).select("*", F.col("b.chunk_index").alias("best_chunk_index"), F.col("b.chunk_id").alias("chunk_id"))
+        vectors = encode(self.chunks.select(F.struct("chunk_id", "doc_id", "chunk_index").alias("id"), "text"), self.encoder)
+        docs = dense_documents(encode(queries, self.encoder), vectors.select("id.*", "embedding"), self.aggregation, k, best=True)
+        # texts meet the k documents of each query
         out = docs.join(self.chunks.select("chunk_id", F.col("text").alias("best_chunk")), "chunk_id").join(self.corpus.select(F.col("id").alias("corpus_id"), "text"), "corpus_id")
         return out.select("query_id", "corpus_id", "score", "rank", "num_chunks_matched", "best_chunk_index", "best_chunk", "text")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragstone.functions import tables, text, vectors
-from ragstone.operators import aggregate, analytics, dense, generate, hybrid, lexical, metrics, rerank, sampling, windows
+from ragstone.operators import analytics, dense, generate, hybrid, lexical, metrics, rerank, sampling, windows
 from ragstone.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,9 +155,10 @@ def _(spark, d):
 CHUNKS = PAIRS + ", cs AS (SELECT query_id, CAST(corpus_id AS VARCHAR) AS chunk_id, corpus_id // 5 AS doc_id, corpus_id % 5 AS chunk_index, score FROM pairs)"
 
 
-def chunk_scores(spark, d):
-    run = dense_run(spark, d, None)
-    return run.select("query_id", F.col("corpus_id").cast("string").alias("chunk_id"), F.expr("corpus_id div 5").alias("doc_id"), (F.col("corpus_id") % 5).alias("chunk_index"), "score")
+def label_documents(spark, d, method):
+    v = vecs(spark, d)
+    chunks = v.select(F.col("id").cast("string").alias("chunk_id"), F.expr("id div 5").alias("doc_id"), (F.col("id") % 5).alias("chunk_index"), "embedding")
+    return dense.dense_documents(v, chunks, method, K)
 
 
 for _method, _sql in {
@@ -165,7 +166,7 @@ for _method, _sql in {
     "weighted_rank": "sum(score / i) / sum(1 / i)", "weighted_position": "sum(score / p) / sum(1 / p)",
 }.items():
     _doc = f"SELECT query_id, doc_id AS corpus_id, {_sql} AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(score, 9) DESC, chunk_id DESC) AS i, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY chunk_index) AS p FROM cs) GROUP BY 1, 2"
-    query(f"agg_{_method}", f"WITH {CHUNKS} SELECT query_id, corpus_id, round(score, 6) AS score, rank FROM (SELECT *, {TOP} AS rank FROM ({_doc})) WHERE rank <= {K}")(lambda spark, d, m=_method: six(aggregate.to_documents(chunk_scores(spark, d), m, K)))
+    query(f"agg_{_method}", f"WITH {CHUNKS} SELECT query_id, corpus_id, round(score, 6) AS score, rank FROM (SELECT *, {TOP} AS rank FROM ({_doc})) WHERE rank <= {K}")(lambda spark, d, m=_method: six(label_documents(spark, d, m)))
 
 
 # chunking

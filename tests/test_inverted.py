@@ -82,7 +82,9 @@ def test_best_of_many_blocks():
         s[2, ::3] = -np.inf
         ids = r.permutation(200)
         for at in range(0, 200, 17):
-            best.add_matrix(s[:, at: at + 17], ids[at: at + 17], -s[:, at: at + 17])
+            part = s[:, at: at + 17]
+            for low in (0, 2):
+                best.add_matrix(part[low: low + 2 if low == 0 else None], ids[at: at + 17], lambda i, j, p=part, a=low: -p[i + a, j], first=low)
         i, name, score, more = best.cut()
         want = [(q, n, x) for q in range(6) for x, n in sorted(((x, n) for x, n in zip(s[q], ids, strict=True) if np.isfinite(x)), reverse=True)[:k]]
         got = [(a, b, c) for a, b, c in zip(i.tolist(), name.tolist(), score.tolist(), strict=True)]
