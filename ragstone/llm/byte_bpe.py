@@ -9,7 +9,8 @@ for every way to cut it in two tokens of lower rank.
 Texts are cut before spaces that a visible character follows.  The pattern always
 cuts there, whatever stands around it: its matches end before such a space, or
 start with it.  So pieces may be encoded apart, and each distinct piece is encoded
-once per worker while it is kept.  Other patterns get whole texts.
+once per worker while it is kept; new ones are cut on at line ends and before marks, and go
+to the library a thousand at a time.  Other patterns get whole texts.
 
 ``encoded`` gives ids and the character at which each token starts; a token that
 starts inside a character has that character's number, as in the library's own
@@ -44,6 +45,7 @@ from ragstone.llm.common import WordCache, slices, table, utf8_values
 SPACE_CUTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: a space that ends no piece, and one that starts none
 _CUT, _UNCUT = re.compile(r" (?=\S)"), re.compile(r" (?:\s|\Z)")
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: in pieces longer than LONG characters, where a run of letters ends at a mark
 _INNER, LONG = re.compile("(?<=[A-Za-zぁ-ゖァ-ヺ一-龥가-힣])(?=[!-&(-/:-@\\[-`{-~、。！，])"), 1 << 16
 
@@ -94,20 +96,64 @@ class Encoder:
         parts[0] = " " + parts[0]
         return parts
 
+    @staticmethod
+    def _parts(key: str) -> list[str]:
+        """The pieces that a piece is the join of: its lines, the line ends between them, and what
+        stands before and from the ASCII marks at their ends.  A letter or number ends a match
+        where a mark follows, and a single line end between visible characters is one."""
+        bare = key[:1] == " "
+        text = key[1:] if bare else key
+        lines = text.split("\n")
+        if text.split() != lines:  # other white space, or line ends side by side
+            return [key]
+        out = []
+        for line in lines:
+            core = line.rstrip(_MARKS)
+            if not 0 < len(core) < len(line) or core[-1] > "\u024f" or not core[-1].isalnum():
+                core = line
+            out += [" " + core if bare else core, *([" " + line[len(core):]] if core != line else []), " \n"]
+            bare = True
+        return out[:-1]
+
+    def _together(self, texts: list[str], between: str) -> list[bytes]:
+        """The ids of each text, from one string in which they stand side by side, or with a
+        character between them that is a match of its own."""
+        ids = np.array(self.lib.encode_batch_fast([between.join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        sizes = np.array([len(t.encode()) for t in texts])
+        start = np.cumsum(sizes + len(between)) - sizes - len(between)
+        at = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        low, high = (4 * np.searchsorted(at, x) for x in (start, start + sizes))
+        raw = ids.tobytes()
+        return [raw[a:z] for a, z in zip(low.tolist(), high.tolist(), strict=True)]
+
     def _learn(self, keys: list[str]) -> list[str]:
-        """Puts the ids of new pieces into self.pieces; returns those too long to stay."""
-        texts, owner = [], []
-        for k in keys:
+        """Puts the ids of new pieces, and of those they are the join of, into self.pieces;
+        returns those too long to stay."""
+        spaced = [k for k in keys if k.isalpha()]  # words, which have no parts
+        parts = {k: self._parts(k) for k in keys if not k.isalpha()}
+        bare, other = [], []
+        if spaced and max(map(len, spaced)) > LONG:
+            other, spaced = [k for k in spaced if len(k) > LONG], [k for k in spaced if len(k) <= LONG]
+        for k in self.pieces.unknown(set().union(*parts.values()).difference(spaced, other)):
+            if len(k) > LONG:
+                other.append(k)
+            elif k[0] != " ":
+                spaced.append(k)
+            else:
+                (bare if k[1:].split() == [k[1:]] else other).append(k)
+        got: dict[str, bytes] = {}
+        for at in range(0, len(spaced), 1000):
+            some = spaced[at: at + 1000]
+            got.update(zip(some, self._together([" " + k for k in some], ""), strict=True))
+        for at in range(0, len(bare), 1000):
+            some = bare[at: at + 1000]
+            got.update(zip(some, self._together([k[1:] for k in some], "\n"), strict=True))
+        for k in other:
             text = k[1:] if k[0] == " " else " " + k
-            for part in _INNER.split(text) if len(text) > LONG else (text,):
-                texts.append(part)
-                owner.append(k)
-        got = dict.fromkeys(keys, b"")
-        for at in range(0, len(texts), 4096):
-            some = self.lib.encode_batch_fast(texts[at: at + 4096], add_special_tokens=False)
-            for k, e in zip(owner[at: at + 4096], some, strict=True):
-                got[k] += array("I", e.ids).tobytes()
-        return self.pieces.keep_all(got)
+            some = self.lib.encode_batch_fast(_INNER.split(text) if len(text) > LONG else [text], add_special_tokens=False)
+            got[k] = b"".join(array("I", e.ids).tobytes() for e in some)
+        long, ids = self.pieces.keep_all(got), self.pieces
+        return long + ids.keep_all({k: b"".join(map(ids.__getitem__, x)) for k, x in parts.items() if len(x) > 1})
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""

@@ -3,10 +3,9 @@ and both around table regions."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragstone.functions.tables import is_table_line
@@ -15,21 +14,21 @@ from ragstone.functions.text import strip, title_lines
 LEAST_WORDS, LEAST_CHARS = 50, 100
 
 
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is worked out once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def word_windows(text: Column, size: int = 512, overlap: int = 128) -> Column:
     """The text itself up to size words; else windows of size words every size -
     overlap words, without those under LEAST_WORDS."""
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None:
-                return None
-            w = [x for x in re.split("[ \t\n\r]+", t) if x]
-            return [t] if len(w) <= size else [" ".join(w[i: i + size]) for i in range(0, len(w), size - overlap) if len(w) - i >= LEAST_WORDS]
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - LEAST_WORDS, F.lit(0)), F.lit(size - overlap))
+        parts = F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+        return F.when(F.size(w) <= size, F.array(text)).otherwise(F.filter(parts, lambda x, i: F.size(w) - i * (size - overlap) >= LEAST_WORDS))
 
-        return texts.map(one)
-
-    return cut(text)
+    return F.when(text.isNotNull(), _with(F.array_remove(F.split(text, "[ \t\n\r]+"), ""), cut))
 
 
 def char_windows(text: Column, size: int = 512, overlap: int = 50) -> Column:
@@ -53,71 +52,94 @@ def no_chunking(docs: DataFrame) -> DataFrame:
     return windowed(docs, F.array("text"), "_chunk_")
 
 
-def table_regions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, region_start, region_end (lines, half open) of docs (id, text).
+def _regions(lines: Column) -> Column:
+    """The table regions (s, e: lines, half open) of a text's lines, in order, as an array.
 
     A run of table lines takes the line before it and the line after it; a run that
     ends within the text makes a region only if that has three lines or more."""
-    lines = docs.select(F.col("id").alias("doc_id"), F.split(text, "\n").alias("lines")).select("doc_id", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
-    w = Window.partitionBy("doc_id").orderBy("i")
-    table = lines.where(is_table_line(F.col("line"))).select("doc_id", "n", "i", (F.col("i") - F.row_number().over(w)).alias("run"))
-    runs = table.groupBy("doc_id", "run").agg(F.first("n").alias("n"), F.min("i").alias("a"), F.max("i").alias("b"))
-    start = F.greatest(F.col("a") - 1, F.lit(0))
-    open_end = F.col("b") == F.col("n") - 1
-    end = F.when(open_end, F.col("n")).otherwise(F.least(F.col("b") + 2, F.col("n")))
-    return runs.select("doc_id", start.alias("region_start"), end.alias("region_end"), open_end.alias("o")).where("o or region_end - region_start >= 3").drop("o")
-
-
-def segments(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, seq, is_table, body: each document cut at its table regions; blank text
-    between regions is left out.  Documents without regions give one segment."""
-    regions = table_regions(docs, text).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("region_start").alias("s"), F.col("region_end").alias("e")))).alias("regions"))
-    rows = docs.select(F.col("id").alias("doc_id"), F.split(text, "\n").alias("lines")).join(regions, "doc_id", "left").withColumn("regions", F.coalesce("regions", F.expr("cast(array() as array<struct<s:int,e:int>>)")))
-    # before each region, the region, and what follows the last one
-    rows = rows.withColumn("parts", F.expr("""
-        concat(flatten(transform(regions, (r, k) -> array(
-                 named_struct('s', if(k = 0, 0, regions[k - 1].e), 'e', r.s, 't', false), named_struct('s', r.s, 'e', r.e, 't', true)))),
-               array(named_struct('s', if(size(regions) = 0, 0, element_at(regions, -1).e), 'e', size(lines), 't', false)))"""))
-    out = rows.select("doc_id", "lines", F.posexplode("parts").alias("seq", "p"))
-    out = out.where("p.e > p.s").select("doc_id", "seq", F.col("p.t").alias("is_table"), F.expr("array_join(slice(lines, p.s + 1, greatest(p.e - p.s, 0)), '\n')").alias("body"))
-    return out.where(F.col("is_table") | (strip(F.col("body")) != ""))
-
-
-def _region_chunks(parts: DataFrame, pieces: Column) -> DataFrame:
-    """chunk_id (_t or _c with one count), doc_id, chunk_index, text, is_table."""
-    out = parts.select("doc_id", "seq", "is_table", F.posexplode(pieces).alias("pos", "text"))
-    w = Window.partitionBy("doc_id").orderBy("seq", "pos")
-    out = out.withColumn("chunk_index", F.row_number().over(w) - 1)
-    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("is_table"), "_t").otherwise("_c"), F.col("chunk_index").cast("string"))
-    return out.select(name.alias("chunk_id"), "doc_id", "chunk_index", "text", "is_table")
+
+    def of(flags: Column) -> Column:
+        n = F.size(flags)
+        at = F.sequence(F.lit(0), n - 1)
+        beside = lambda i: F.coalesce(F.get(flags, i), F.lit(False))
+        first = F.filter(at, lambda i: F.get(flags, i) & ~beside(i - 1))
+        last = F.filter(at, lambda i: F.get(flags, i) & ~beside(i + 1))
+
+        def region(a: Column, b: Column) -> Column:
+            return F.struct(F.greatest(a - 1, F.lit(0)).alias("s"), F.when(b == n - 1, n).otherwise(F.least(b + 2, n)).alias("e"))
+
+        return F.filter(F.zip_with(first, last, region), lambda r: (r["e"] - r["s"] >= 3) | F.coalesce(F.get(flags, r["e"] - 1) & (r["e"] == n), F.lit(False)))
+
+    return _with(F.transform(lines, is_table_line), of)
+
+
+def _lined(docs: DataFrame, text: str) -> DataFrame:
+    """docs with lines and regions beside the other columns."""
+    return docs.withColumn("lines", F.split(text, "\n")).withColumn("regions", _regions(F.col("lines")))
+
+
+def table_regions(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, region_start, region_end (lines, half open) of docs (id, text); see _regions()."""
+    found = _lined(docs.select(F.col("id").alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", F.explode("regions").alias("r"))
+    return found.select("doc_id", F.col("r.s").alias("region_start"), F.col("r.e").alias("region_end"))
+
+
+#: a text cut at its regions (columns lines, regions): before each region, the region, and what
+#: follows the last one
+_PARTS = """
+    transform(filter(concat(flatten(transform(regions, (r, k) -> array(
+        named_struct('s', if(k = 0, 0, regions[k - 1].e), 'e', r.s, 't', false), named_struct('s', r.s, 'e', r.e, 't', true)))),
+        array(named_struct('s', if(size(regions) = 0, 0, element_at(regions, -1).e), 'e', size(lines), 't', false))), p -> p.e > p.s),
+      p -> named_struct('t', p.t, 'body', array_join(slice(lines, p.s + 1, greatest(p.e - p.s, 0)), '\n')))"""
+
+
+def _segments(docs: DataFrame, text: str) -> DataFrame:
+    """docs with parts (t: is it a table, body): the text cut at its table regions, without
+    blank text between them."""
+    cut = _lined(docs, text).withColumn("parts", F.expr(_PARTS)).drop("lines", "regions")
+    return cut.withColumn("parts", F.filter("parts", lambda p: p["t"] | (strip(p["body"]) != "")))
+
+
+def _piece(table: bool | Column, text: Column) -> Column:
+    return F.struct((F.lit(table) if isinstance(table, bool) else table).alias("t"), text.alias("x"))
+
+
+def _region_chunks(docs: DataFrame, pieces: Column) -> DataFrame:
+    """chunk_id (_t or _c with one count), doc_id, chunk_index, text, is_table of docs (id, parts):
+    pieces gives the chunks of all parts of a row, in order."""
+    out = docs.select(F.col("id").alias("doc_id"), F.posexplode(pieces).alias("chunk_index", "p"))
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("p.t"), "_t").otherwise("_c"), F.col("chunk_index").cast("string"))
+    return out.select(name.alias("chunk_id"), "doc_id", "chunk_index", F.col("p.x").alias("text"), F.col("p.t").alias("is_table"))
 
 
 def region_word_chunks(docs: DataFrame, size: int = 512, overlap: int = 128, preserve: bool = True) -> DataFrame:
     """Word windows around table regions of docs (id, title, text), every chunk with
-    its title; texts under 500 characters aren't searched for tables."""
-    named = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    whole = named.select(F.col("id").alias("doc_id"), F.lit(0).alias("seq"), F.lit(False).alias("is_table"), F.col("text").alias("body"))
-    if preserve:
-        short = F.length("body") < 500
-        parts = segments(named.where(F.length("text") >= 500)).unionByName(whole.where(short))
-    else:
-        parts = whole
-    parts = parts.join(named.select(F.col("id").alias("doc_id"), "title"), "doc_id")
-    title = F.coalesce("title", F.lit(""))
-    pieces = F.when(F.col("is_table"), F.array(F.concat(F.lit("[TABLE from "), title, F.lit("]\n"), F.col("body")))).otherwise(F.transform(word_windows(F.col("body"), size, overlap), lambda x: F.concat(F.lit("["), title, F.lit("] "), x)))
-    return _region_chunks(parts, pieces)
+    its title; texts under 500 characters aren't searched for tables.  A row's chunks are
+    made within the row."""
+    named = docs.select("id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = F.array(F.struct(F.lit(False).alias("t"), F.col("text").alias("body")))
+    rows = _segments(named, "text").withColumn("parts", F.when(F.length("text") < 500, whole).otherwise(F.col("parts"))) if preserve else named.withColumn("parts", whole)
+
+    def one(p: Column) -> Column:
+        title = F.col("title")
+        plain = F.transform(word_windows(p["body"], size, overlap), lambda x: _piece(False, F.concat(F.lit("["), title, F.lit("] "), x)))
+        return F.when(p["t"], F.array(_piece(True, F.concat(F.lit("[TABLE from "), title, F.lit("]\n"), p["body"])))).otherwise(plain)
+
+    return _region_chunks(rows, F.flatten(F.transform("parts", one)))
 
 
 def region_char_chunks(docs: DataFrame, size: int = 512, overlap: int = 50, preserve: bool = True) -> DataFrame:
     """Character windows around table regions of title and text; texts under one and a
-    half times the size stay whole."""
+    half times the size stay whole.  A row's chunks are made within the row."""
     full = docs.select("id", title_lines(F.col("title"), F.coalesce("text", F.lit(""))).alias("text"))
-    short = full.where(F.length("text") < size * 1.5).select(F.col("id").alias("doc_id"), F.lit(0).alias("seq"), F.lit(False).alias("is_table"), F.array("text").alias("pieces"))
-    rest = full.where(F.length("text") >= size * 1.5)
-    cut = segments(rest) if preserve else rest.select(F.col("id").alias("doc_id"), F.lit(0).alias("seq"), F.lit(False).alias("is_table"), F.col("text").alias("body"))
-    pieces = F.when(F.col("is_table"), F.array(F.concat(F.lit("[TABLE]\n"), F.col("body")))).otherwise(char_windows(F.col("body"), size, overlap))
-    both = cut.select("doc_id", "seq", "is_table", pieces.alias("pieces")).unionByName(short)
-    return _region_chunks(both, F.col("pieces"))
+    rows = _segments(full, "text") if preserve else full.withColumn("parts", F.array(F.struct(F.lit(False).alias("t"), F.col("text").alias("body"))))
+
+    def one(p: Column) -> Column:
+        plain = F.transform(char_windows(p["body"], size, overlap), lambda x: _piece(False, x))
+        return F.when(p["t"], F.array(_piece(True, F.concat(F.lit("[TABLE]\n"), p["body"])))).otherwise(plain)
+
+    short = F.length("text") < size * 1.5
+    return _region_chunks(rows, F.when(short, F.array(_piece(False, F.col("text")))).otherwise(F.flatten(F.transform("parts", one))))
 
 
 def chunk_stats(chunks: DataFrame, *by: str) -> DataFrame:
