@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 #: fixed values: three marks on one line; three numbers on one line
 PIPES = r"\|.*\|.*\|"
 NUMBERS = r"(?m)^\s*[\d,.$%]+\s+[\d,.$%]+\s+[\d,.$%]+"
+#: fixed values: of documents, the least characters and lines, pipes of a marked line, the share of
+#: lines with equally many, the shares of marked lines (lenient, strict); of paragraphs, pipes, tabs
+#: and lines of numbers that a text must exceed
+LEAST_CHARS, LEAST_LINES, LINE_PIPES, EVEN, SHARES = 20, 2, 2, 0.7, (0.3, 0.2)
+PARAGRAPH_PIPES, PARAGRAPH_TABS, PARAGRAPH_NUMBERS = 5, 10, 3
 
 
 def pipes(line: Column) -> Column:
@@ -20,18 +25,18 @@ def is_table_document(text: Column, strict: bool = False) -> Column:
     lines = F.split(text, "\n")
     counts = F.filter(F.transform(lines, pipes), lambda n: n > 0)
     tabs = F.size(F.filter(lines, lambda x: x.contains("\t")))
-    marked = F.size(F.filter(counts, lambda n: n >= 2))
+    marked = F.size(F.filter(counts, lambda n: n >= LINE_PIPES))
     often = F.array_max(F.transform(F.array_distinct(counts), lambda n: F.size(F.filter(counts, lambda m: m == n))))
-    even = (marked > 0) & (F.size(counts) >= 2) & (often / F.size(counts) > 0.7)
+    even = (marked > 0) & (F.size(counts) >= 2) & (often / F.size(counts) > EVEN)
     share = (tabs + marked) / F.size(lines)
-    return F.when(text.isNull() | (F.length(text) < 20) | (F.size(lines) < 2), F.lit(False)).otherwise((share > (0.2 if strict else 0.3)) | F.coalesce(even, F.lit(False)))
+    return F.when(text.isNull() | (F.length(text) < LEAST_CHARS) | (F.size(lines) < LEAST_LINES), F.lit(False)).otherwise((share > SHARES[strict]) | F.coalesce(even, F.lit(False)))
 
 
 def is_table_paragraph(text: Column) -> Column:
     """Whether a paragraph has many pipes or tabs, a line of three pipes, or lines of
     three numbers."""
     tabs = F.length(text) - F.length(F.replace(text, F.lit("\t"), F.lit("")))
-    return F.coalesce((pipes(text) > 5) | (tabs > 10) | text.rlike(PIPES) | (F.regexp_count(text, F.lit(NUMBERS)) > 3), F.lit(False))
+    return F.coalesce((pipes(text) > PARAGRAPH_PIPES) | (tabs > PARAGRAPH_TABS) | text.rlike(PIPES) | (F.regexp_count(text, F.lit(NUMBERS)) > PARAGRAPH_NUMBERS), F.lit(False))
 
 
 def is_table_line(line: Column) -> Column:

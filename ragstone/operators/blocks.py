@@ -56,7 +56,7 @@ class Best:
         keep = np.isfinite(value) & (np.round(value, PLACES) >= low[i])
         i, j, value = i[keep], j[keep], value[keep]
         self.add(i + first, ids[j], value, *(m(i, j) for m in more))
-        if self.k is not None and self.parts and (new.any() or self.held > 2 * self.k * self.n):
+        if self.k is not None and self.parts and ((new.any() and len(s) > 1) or self.held > 2 * self.k * max(self.n, 8)):
             self.cut()
 
     def cut(self) -> tuple[np.ndarray, ...]:

@@ -109,8 +109,8 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int, whole: str | None = N
 class Queries:
     """A block of query vectors."""
 
-    def __init__(self, ids: pa.Array, embeddings: pa.Array, score: str):
-        self.ids, self.score = ids, score
+    def __init__(self, ids: pa.Array, embeddings: pa.Array, score: str, groups: pa.Array | None = None):
+        self.ids, self.embeddings, self.score, self.groups = ids, embeddings, score, groups
         size = pc.value_counts(pc.drop_null(pc.list_value_length(embeddings))).to_pylist()
         self.width = max(size, key=lambda x: (x["counts"], -x["values"]))["values"] if size else 1
         self.m, self.sound = _matrix(embeddings, self.width)
@@ -121,6 +121,13 @@ class Queries:
     def __len__(self) -> int:
         return len(self.ids)
 
+    def of(self, group) -> Queries:
+        """Those of one group; all, where queries have none."""
+        if self.groups is None:
+            return self
+        at = pc.indices_nonzero(pc.equal(self.groups, group))
+        return Queries(self.ids.take(at), self.embeddings.take(at), self.score)
+
     def same(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, key) of those that have the same id."""
         if self.order is None:
@@ -153,20 +160,24 @@ class Queries:
             yield at, s
 
 
+def _queries(columns: list[pa.Array], score: str) -> Queries:
+    return Queries(*columns[:2], score, *columns[2:])
+
+
 def _search(queries: DataFrame, corpus: DataFrame, score: str, block: int, make: Callable[[Queries], object], schema: str, whole: str | None = None) -> DataFrame:
-    """Every block of queries (id, embedding) with all rows of the corpus, which come to
+    """Every block of queries (id, embedding, and their group if there are groups) with all rows of the corpus, which come to
     make(block).add(rows) in batches; make(block).rows() gives what is left."""
     spark = corpus.sparkSession
-    blocks = written(_packed(queries.select("id", "embedding").coalesce(8), block), "query-blocks")
+    blocks = written(_packed(queries.coalesce(8), block), "query-blocks")
     n = blocks.count()
     if n == 0:
         return spark.createDataFrame([], schema)
     if n == 1:
         row = blocks.toArrow()  # one block
-        sent = spark.sparkContext.broadcast((row.column("id").chunk(0)[0].values, row.column("embedding").chunk(0)[0].values))
+        sent = spark.sparkContext.broadcast([row.column(c).chunk(0)[0].values for c in row.column_names])
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = make(Queries(*sent.value, score))
+            own = make(_queries(sent.value, score))
             for part in gathered(batches, ROW_BLOCK, whole):
                 yield from own.add(part)
             yield from own.rows()
@@ -174,7 +185,8 @@ def _search(queries: DataFrame, corpus: DataFrame, score: str, block: int, make:
         return corpus.mapInArrow(rows, schema)
     stored = written(_packed(corpus, ROW_BLOCK, whole), "corpus-blocks")
     names = stored.columns
-    numbered = blocks.select(F.monotonically_increasing_id().alias("query_block"), F.col("id").alias("query_ids"), F.col("embedding").alias("query_embeddings"))
+    numbered = blocks.select(F.monotonically_increasing_id().alias("query_block"), *(F.col(c).alias(f"query_{c}") for c in blocks.columns))
+    asked = numbered.columns[1:]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, object] = {}
@@ -182,7 +194,7 @@ def _search(queries: DataFrame, corpus: DataFrame, score: str, block: int, make:
             for i in range(batch.num_rows):
                 number = batch.column("query_block")[i].as_py()
                 if number not in held:
-                    held[number] = make(Queries(batch.column("query_ids")[i].values, batch.column("query_embeddings")[i].values, score))
+                    held[number] = make(_queries([batch.column(c)[i].values for c in asked], score))
                 yield from held[number].add(pa.RecordBatch.from_arrays([batch.column(c)[i].values for c in names], names))
         for own in held.values():
             yield from own.rows()
@@ -219,15 +231,48 @@ class _Vectors:
             yield pa.RecordBatch.from_arrays([self.queries.ids.take(pa.array(i)), pa.array(ids, self.type), pa.array(s)], ["query_id", "corpus_id", "score"])
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int | None = 100, score: str = "cos_sim", block: int = QUERY_BLOCK) -> DataFrame:
+class _Groups:
+    """The k best vectors of each query of a block in each group of the corpus."""
+
+    def __init__(self, queries: Queries, k: int | None, by: str):
+        self.queries, self.k, self.by, self.own, self.type = queries, k, by, {}, None
+
+    def add(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        groups = part.column(self.by)
+        self.type = groups.type
+        for g in pc.unique(groups):
+            if g.as_py() not in self.own:
+                self.own[g.as_py()] = _Vectors(self.queries.of(g), self.k)
+            own = self.own[g.as_py()]
+            if len(own.queries):
+                yield from self._named(g, own.add(part.filter(pc.equal(groups, g))))
+
+    def _named(self, group: pa.Scalar, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([group.as_py()] * b.num_rows, self.type), *b.columns], [self.by, *b.schema.names])
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for g, own in self.own.items():
+            yield from self._named(pa.scalar(g, self.type), own.rows())
+
+
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int | None = 100, score: str = "cos_sim", block: int = QUERY_BLOCK, by: str | None = None) -> DataFrame:
     """query_id, corpus_id, score, rank: the k best of the corpus (id, embedding) for
     each query (id, embedding), a row never for itself; k None ranks all.  A vector that
     is null, holds a null, or has another width than most queries of its block scores -1
-    with everything, as a zero vector does by cosine."""
+    with everything, as a zero vector does by cosine.
+
+    by names a column of the corpus, not null, of few values: each gives a ranking of its own, in
+    one pass over all of them.  Queries that have the column too are ranked in their own
+    group only."""
     if score not in ("cos_sim", "dot"):
         return top_k(score_pairs(queries, corpus, score), k)
     schema = f"query_id {dict(queries.dtypes)['id']}, corpus_id {dict(corpus.dtypes)['id']}, score double"
-    return top_k(_search(queries, corpus.select("id", "embedding"), score, block, lambda q: _Vectors(q, k), schema), k)
+    if by is None:
+        return top_k(_search(queries.select("id", "embedding"), corpus.select("id", "embedding"), score, block, lambda q: _Vectors(q, k), schema), k)
+    asked = queries.select("id", "embedding", *([by] if by in queries.columns else []))
+    found = _search(asked, corpus.select("id", "embedding", by), score, block, lambda q: _Groups(q, k, by), f"`{by}` {dict(corpus.dtypes)[by]}, {schema}")
+    return top_k(found, k, by=[by, "query_id"])
 
 
 def _one(method: str, s: np.ndarray, r: np.ndarray, ids: np.ndarray) -> float:
@@ -340,4 +385,4 @@ def dense_documents(queries: DataFrame, chunks: DataFrame, method: str = "max",
         schema += f", num_chunks_matched long, best_chunk_index {kinds['chunk_index']}, chunk_id string"
     rows = chunks.select("doc_id", "chunk_index", F.col("chunk_id").cast("string").alias("chunk_id"), "embedding")
     rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index", "chunk_id")
-    return top_k(_search(queries, rows, score, block, lambda q: _Documents(q, k, method, best), schema, whole="doc_id"), k)
+    return top_k(_search(queries.select("id", "embedding"), rows, score, block, lambda q: _Documents(q, k, method, best), schema, whole="doc_id"), k)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
+from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragstone.functions.text import prompted, title_text
@@ -24,18 +26,44 @@ class HashingEncoder:
     def __init__(self, width: int = 64):
         self.width = width
 
-    def encode(self, texts: list[str]) -> list[list[float]]:
+    def sums(self, texts: list[str]) -> list[list[float]]:
+        """The counts; those of texts joined by white space are the sums of theirs."""
         out = []
         for t in texts:
             v = [0.0] * self.width
             for w in t.lower().split():
                 h = zlib.crc32(w.encode())
                 v[h % self.width] += 1.0 if h >> 31 else -1.0
+            out.append(v)
+        return out
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        out = []
+        for v in self.sums(texts):
             n = sum(x * x for x in v) ** 0.5
             out.append([x / n for x in v] if n else v)
         return out
 
 
+#: the encoders that this process has made, by the names of their WorkerEncoders
+_MADE: dict[str, Encoder] = {}
+
+
+@dataclass
+class WorkerEncoder:
+    """An encoder that each worker process makes once, when it first needs it: only its name
+    and the function that makes it (loads its weights, say) travel with a task."""
+
+    name: str
+    make: Callable[[], Encoder]
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        own = _MADE.get(self.name)
+        if own is None:
+            own = _MADE[self.name] = self.make()
+        return own.encode(texts)
+
+
 @dataclass
 class EncoderPair:
     """One model for queries and another for documents."""
@@ -52,9 +80,45 @@ def pair_of(encoder: Encoder | EncoderPair | tuple) -> tuple[Encoder, Encoder]:
     return both
 
 
+@dataclass
+class EmbeddingStore:
+    """Vectors by encoder and text, kept under a path: a text is encoded once, however many
+    corpora, chunkings and runs hold it.
+
+    A row of the store is the SHA-256 of a text and its vector, in a folder for each encoder's
+    name.  New texts are those whose digest isn't there (an anti join); they are encoded,
+    once each, and appended, and the rows then meet the store by their digest.  Two runs that
+    add one text at a time leave two equal rows, of which one counts."""
+
+    path: str
+
+    def _folder(self, name: str) -> str:
+        return f"{self.path.rstrip('/')}/encoder={quote(name, safe='')}"
+
+    def vectors(self, spark: SparkSession, name: str) -> DataFrame:
+        """digest, embedding of all texts that the encoder of this name has seen."""
+        schema = "digest string, embedding array<float>"
+        try:
+            return spark.read.schema(schema).parquet(self._folder(name)).dropDuplicates(["digest"])
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], schema)
+
+    def encode(self, rows: DataFrame, encoder: Encoder, name: str, batch: int = 64) -> DataFrame:
+        """encode() of rows (id, text) by way of the store; name stands for the encoder and its
+        version."""
+        spark = rows.sparkSession
+        keyed = rows.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
+        new = keyed.groupBy("digest").agg(F.first("text").alias("text")).join(self.vectors(spark, name).select("digest"), "digest", "left_anti")
+        made = encode(new.select(F.col("digest").alias("id"), "text"), encoder, batch)
+        made.withColumnRenamed("id", "digest").write.mode("append").parquet(self._folder(name))
+        return keyed.select("id", "digest").join(self.vectors(spark, name), "digest").select("id", "embedding")
+
+
 def encode(rows: DataFrame, encoder: Encoder, batch: int = 64) -> DataFrame:
-    """id, embedding of rows (id, text).  The encoder travels once to each task; within
-    a batch texts are taken by length, which models like."""
+    """id, embedding of rows (id, text).  The encoder travels once to each task (see
+    WorkerEncoder for large ones); within a batch texts are taken by length, which models like."""
     schema = f"id {dict(rows.dtypes)['id']}, embedding array<float>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

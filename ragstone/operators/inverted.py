@@ -69,7 +69,7 @@ def _cuts(sizes: np.ndarray, most: int, rows: int) -> list[int]:
     return [*cuts, len(sizes)]
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], column: str, most: int, rows: int) -> Iterator[pa.Table]:
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int, rows: int) -> Iterator[pa.Table]:
     """The rows in tables whose list column has about most values; a longer single list stays
     whole."""
     parts: list[pa.RecordBatch] = []
@@ -106,7 +106,7 @@ class Index:
         path = path or shared_path(spark, "inverted")
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in _gathered(batches, "tokens", BLOCK_TOKENS, BLOCK_DOCS):
+            for part in gathered(batches, "tokens", BLOCK_TOKENS, BLOCK_DOCS):
                 part = part.combine_chunks()
                 yield pa.RecordBatch.from_arrays(_block(part.column("id").chunk(0), part.column("tokens").chunk(0)), ["ids", "lengths", "terms", "df", "docs", "tf"])
 
@@ -140,7 +140,7 @@ class Index:
         lists = weighed.groupBy("query_id").agg(F.collect_list(F.struct("token", "weight")).alias("x")).select("query_id", F.col("x.token").alias("tokens"), F.col("x.weight").alias("weights"))
 
         def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in _gathered(batches, "tokens", BLOCK_TERMS, BLOCK_QUERIES):
+            for part in gathered(batches, "tokens", BLOCK_TERMS, BLOCK_QUERIES):
                 part = part.combine_chunks()
                 columns = part.column("query_id").chunk(0), pc.list_value_length(part.column("tokens").chunk(0)).cast(pa.int32()), part.column("tokens").chunk(0).flatten(), part.column("weights").chunk(0).flatten()
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], ["query_ids", "sizes", "tokens", "weights"])

@@ -7,12 +7,16 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragstone.functions.text import words
-from ragstone.operators.inverted import EPSILON, K1, B, Index
+from ragstone.operators.blocks import Best, paired
+from ragstone.operators.inverted import BLOCK_DOCS, BLOCK_QUERIES, BLOCK_TERMS, BLOCK_TOKENS, EPSILON, K1, B, Index, gathered
 from ragstone.operators.ranking import PLACES, top_k
+from ragstone.session import written
 
 
 class Lexical(Protocol):
@@ -109,3 +113,59 @@ def model_topk(queries: DataFrame, ids: list, model: Lexical, k: int | None = 10
                 yield pd.DataFrame({"query_id": q, "corpus_id": names[at], "score": score[at]})
 
     return top_k(queries.select(F.col("id").alias("query_id"), tokenize(F.col("text")).alias("tokens")).mapInPandas(run, schema), k)
+
+
+def _token_blocks(rows: DataFrame, tokenize: Callable[[Column], Column], prefix: str, tokens: int, most: int) -> DataFrame:
+    """rows (id, text) in blocks: one row with their ids, numbers of tokens, and tokens."""
+    kind = dict(rows.dtypes)["id"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in gathered(batches, "tokens", tokens, most):
+            part = part.combine_chunks()
+            ids, lists = part.column("id").chunk(0), part.column("tokens").chunk(0)
+            columns = ids, pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int32()), lists.flatten()
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], [f"{prefix}ids", f"{prefix}sizes", f"{prefix}tokens"])
+
+    return rows.select("id", tokenize(F.col("text")).alias("tokens")).mapInArrow(pack, f"{prefix}ids array<{kind}>, {prefix}sizes array<int>, {prefix}tokens array<string>")
+
+
+def _lists(row: dict, prefix: str) -> list[list[str]]:
+    words_, ends = row[f"{prefix}tokens"].values.to_pylist(), np.cumsum(row[f"{prefix}sizes"].values.to_numpy()).tolist()
+    return [words_[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def shard_topk(queries: DataFrame, docs: DataFrame, fit: Callable[[list[list[str]]], Lexical], k: int = 100, tokenize: Callable[[Column], Column] = words, *, tokens: int = BLOCK_TOKENS, most: int = BLOCK_DOCS) -> DataFrame:
+    """query_id, corpus_id, score, rank by a model that is fitted on shards of the corpus.
+
+    A shard is at most so many documents (id, text) and about so many tokens; fit(token lists of its
+    documents) gives its model, whose scores are theirs in order.  A task keeps the k best of
+    each query; documents' ids stay with their shard.  What a model takes from its corpus (document
+    frequencies, say) it takes from its shard."""
+    kind = dict(docs.dtypes)["id"]
+    schema = f"query_id {dict(queries.dtypes)['id']}, corpus_id {kind}, score double"
+    asked = written(_token_blocks(queries.coalesce(8), tokenize, "query_", BLOCK_TERMS, BLOCK_QUERIES).withColumn("block", F.monotonically_increasing_id()), "query-blocks")
+    n, shards = asked.count(), _token_blocks(docs, tokenize, "", tokens, most)
+    if n > 1:
+        shards = written(shards, "shards")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        type_ = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = {name: batch.column(name)[i] for name in batch.schema.names}
+                number = one["block"].as_py()
+                if number not in held:
+                    names = one["query_ids"].values
+                    held[number] = names, _lists(one, "query_"), Best(len(names), k)
+                _, own, best = held[number]
+                type_ = one["ids"].values.type
+                ids, model = np.array(one["ids"].values.to_pylist()), fit(_lists(one, ""))
+                for q, some in enumerate(own):
+                    best.add_matrix(np.asarray(model.get_scores(some), float)[None, :], ids, first=q)
+        for names, _, best in held.values():
+            if best.parts:
+                q, ids, s = best.cut()
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(ids, type_), pa.array(s)], ["query_id", "corpus_id", "score"])
+
+    return top_k(paired(shards, asked, n).mapInArrow(rows, schema), k)

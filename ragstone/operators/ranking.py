@@ -12,12 +12,13 @@ def order(score: str = "score", key: str = "corpus_id") -> list[Column]:
     return [F.round(F.col(score), PLACES).desc(), F.col(key).desc()]
 
 
-def ranked(run: DataFrame, score: str = "score", key: str = "corpus_id", by: str = "query_id") -> DataFrame:
+def ranked(run: DataFrame, score: str = "score", key: str = "corpus_id", by: str | list[str] = "query_id") -> DataFrame:
     """run with rank, from 1."""
-    return run.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order(score, key))))
+    by = [by] if isinstance(by, str) else by
+    return run.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order(score, key))))
 
 
-def top_k(run: DataFrame, k: int | None, score: str = "score", key: str = "corpus_id", by: str = "query_id") -> DataFrame:
+def top_k(run: DataFrame, k: int | None, score: str = "score", key: str = "corpus_id", by: str | list[str] = "query_id") -> DataFrame:
     """The first k rows of each query with their rank.  The filter stands beside the
     window, so every task drops all but k rows of a query before the exchange."""
     out = ranked(run, score, key, by)

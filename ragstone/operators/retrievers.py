@@ -9,7 +9,8 @@ from ragstone.functions.text import query_classes, route
 from ragstone.operators.dense import dense_documents, dense_topk
 from ragstone.operators.encode import Encoder, HashingEncoder, encode
 from ragstone.operators.ranking import top_k
-from ragstone.operators.splitters import STRATEGIES, chunk_corpus, parent_child
+from ragstone.operators.splitters import STRATEGIES, chunk_configs, chunk_corpus, parent_child
+from ragstone.session import written
 
 
 def _search(queries: DataFrame, chunks: DataFrame, encoder: Encoder, k: int | None) -> DataFrame:
@@ -64,21 +65,31 @@ def parents_of(children_run: DataFrame, relationships: DataFrame, k: int) -> Dat
 
 
 class AdaptiveRetriever:
-    """Four chunk sets; a question's classes choose the one that is searched."""
+    """Four chunk sets; a question's classes choose the one that is searched.
+
+    The sets are one table with the set's name: one scan cuts the corpus for those names that
+    the questions ask for, one search ranks each question within its own set."""
 
     #: fixed values: size and overlap of the chunk sets
     SETS = {"small": ("recursive", 300, 50), "medium": ("recursive", 800, 150), "large": ("recursive", 1500, 300), "table-aware": ("table_aware", 1000, 200)}
 
     def __init__(self, corpus: DataFrame, encoder: Encoder | None = None):
-        self.encoder = encoder or HashingEncoder()
-        docs = corpus.select("id", "text")
-        self.chunks = {name: chunk_corpus(docs, *how) for name, how in self.SETS.items()}
+        self.encoder, self.docs = encoder or HashingEncoder(), corpus.select("id", "text")
+
+    def chunks(self, names: list[str]) -> DataFrame:
+        """The chunk sets of these names, with a column strategy."""
+        cells = [dict(zip(("method", "size", "overlap"), self.SETS[n], strict=True)) for n in names]
+        cut = chunk_configs(self.docs, cells)
+        return cut.withColumn("strategy", F.element_at(F.lit(names), F.col("no") + 1)).drop("no")
 
     def retrieve(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """query_id, chunk_id, score, rank, strategy, text: chunks, not documents."""
         routed = queries.withColumn("strategy", route(query_classes(F.col("text"))))
-        out = None
-        for name, chunks in self.chunks.items():
-            own = _search(routed.where(F.col("strategy") == name).select("id", "text"), chunks, self.encoder, k).join(chunks.select("chunk_id", "text"), "chunk_id").withColumn("strategy", F.lit(name))
-            out = own if out is None else out.unionByName(own)
-        return out
+        names = sorted(r[0] for r in routed.select("strategy").distinct().collect())  # four at most
+        if not names:
+            return self.docs.sparkSession.createDataFrame([], f"query_id {dict(queries.dtypes)['id']}, chunk_id string, score double, rank int, text string, strategy string")
+        chunks = written(self.chunks(names), "chunk-sets")
+        asked = encode(routed.select(F.struct("id", "strategy").alias("id"), "text"), self.encoder).select("id.*", "embedding")
+        vectors = encode(chunks.select(F.struct("chunk_id", "strategy").alias("id"), "text"), self.encoder).select(F.col("id.chunk_id").alias("id"), "id.strategy", "embedding")
+        found = dense_topk(asked, vectors, k, by="strategy").withColumnRenamed("corpus_id", "chunk_id")
+        return found.join(chunks.select("strategy", "chunk_id", "text"), ["strategy", "chunk_id"]).select("query_id", "chunk_id", "score", "rank", "text", "strategy")

@@ -113,12 +113,23 @@ def _(spark, d):
     return corpus(spark, d).select("id", w.alias("w")).select("id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), F.md5(F.array_join("w", " ")).alias("tokens_md5"))
 
 
-@query("token_df_idf", "WITH tok AS (SELECT list_distinct(" + WORDS.format("text") + ") AS w FROM documents), df AS (SELECT token, count(*) AS df FROM (SELECT unnest(w) AS token FROM tok) GROUP BY 1), raw AS (SELECT token, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, (SELECT count(*) AS n FROM tok)) SELECT token, CAST(df AS BIGINT) AS df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM raw, (SELECT avg(raw) AS mean FROM raw)")
+#: distinct words of each document, and from them the idf of every word
+IDF = "t AS (SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\r]+')) AS token FROM documents) WHERE token <> ''), df AS (SELECT token, count(*) AS df FROM t GROUP BY 1), raw AS (SELECT token, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, (SELECT count(*) AS n FROM documents)), idf AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw, (SELECT avg(raw) AS mean FROM raw))"
+
+
+@query("token_df_idf", f"WITH {IDF} SELECT token, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM idf")
 def _(spark, d):
     docs = corpus(spark, d)
     return six(lexical.inverse_frequencies(lexical.frequencies(docs)), "idf")
 
 
+@query("index_idf_by_df", f"WITH {IDF} SELECT CAST(df AS BIGINT) AS df, count(*) AS n_tokens, CAST(sum(CAST('0x' || substr(md5(token), 1, 8) AS BIGINT)) AS BIGINT) AS tokens_sum, round(max(idf), 6) AS idf FROM idf GROUP BY 1")
+def _(spark, d):
+    own = lexical.Index.build(corpus(spark, d)).inverse_frequencies()
+    digest_ = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long")
+    return own.groupBy("df").agg(F.count("*").alias("n_tokens"), F.sum(digest_).alias("tokens_sum"), F.round(F.max("idf"), 6).alias("idf"))
+
+
 @query("bm25_scores", f"WITH {BM25} SELECT query_id, count(*) AS n_docs, round(sum(score), 4) AS total, round(max(score), 6) AS best FROM bm GROUP BY 1")
 def _(spark, d):
     s = lexical.bm25(questions(spark, d), corpus(spark, d))

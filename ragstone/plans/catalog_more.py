@@ -3,15 +3,13 @@ files written and read back, and operators with injected parts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragstone.functions import text
 from ragstone.operators import analytics, dense, generate, hybrid, lexical, metrics, rerank, sampling, windows
-from ragstone.plans.catalog import BM25, BM_RUN, CHUNKED, FOUND, K, LINE_SQL, PAIRS, QRELS, RUN, TOP, V, WORD_PIECES, bm25_run, corpus, dense_run, digest, half_judged, label_qrels, query, questions, read, six, vecs
+from ragstone.plans.catalog import BM25, BM_RUN, CHUNKED, FOUND, K, LINE_SQL, PAIRS, QRELS, RUN, TOP, V, WORD_PIECES, WORDS, bm25_run, corpus, dense_run, digest, half_judged, label_qrels, query, questions, read, six, vecs
+from ragstone.session import shared_path
 from ragstone.sources import readers, sinks
 
 #: what Python's strip() takes off, as a SQL string
@@ -19,14 +17,7 @@ BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def folder(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share; a local session
-    without one (a test) gets a temporary folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="ragstone-")
-    return f"{base.rstrip('/')}/results-{uuid.uuid4().hex}"
+    return shared_path(spark, "results")
 
 
 # text expressions
@@ -108,21 +99,25 @@ def _(spark, d):
     return run.groupBy("query_id").agg(F.count("*").alias("n_docs"), F.count_if(F.col("score") == 0).alias("n_zero"), F.round(F.sum("score"), 4).alias("total"), F.max_by("corpus_id", "rank").alias("last"))
 
 
-class LengthModel:
-    """A stand-in for a lexical model: documents score by their length and the question's."""
+class OverlapModel:
+    """A lexical model of a shard of documents: the distinct words of a question that a document
+    holds, a little less for longer ones."""
 
-    def __init__(self, lengths: list[int]):
-        self.lengths = lengths
+    def __init__(self, docs: list[list[str]]):
+        self.docs = [(set(d), len(d)) for d in docs]
 
     def get_scores(self, tokens: list[str]) -> list[float]:
-        return [1.0 / (1 + abs(n - 7 * len(tokens))) for n in self.lengths]
+        asked = set(tokens)
+        return [len(asked & d) / (1.0 + n / 1000.0) for d, n in self.docs]
+
+
+#: every document's distinct words that a question has
+_SHARED = "tok AS (SELECT doc_id, " + WORDS.format("text") + " AS w FROM documents), dw AS (SELECT DISTINCT doc_id, unnest(w) AS token FROM tok), qw AS (SELECT DISTINCT item_id, unnest(" + WORDS.format("text") + ") AS token FROM benchmark), sh AS (SELECT item_id, doc_id, count(*) AS n FROM qw JOIN dw USING (token) GROUP BY 1, 2)"
 
 
-@query("lexical_model_topk", f"WITH w AS (SELECT item_id AS query_id, len(list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '')) AS n FROM benchmark), s AS (SELECT query_id, CAST(n_nationkey AS BIGINT) AS corpus_id, 1.0 / (1 + abs(length(n_name) - 7 * n)) AS score FROM w, nation) SELECT query_id, corpus_id, round(score, 6) AS score, rank FROM (SELECT *, {TOP} AS rank FROM s) WHERE rank <= {K}")
+@query("lexical_model_topk", f"WITH {_SHARED}, s AS (SELECT b.item_id AS query_id, t.doc_id AS corpus_id, coalesce(n, 0) / (1.0 + len(w) / 1000.0) AS score FROM benchmark b CROSS JOIN tok t LEFT JOIN sh ON sh.item_id = b.item_id AND sh.doc_id = t.doc_id) SELECT query_id, corpus_id, round(score, 6) AS score, rank FROM (SELECT *, {TOP} AS rank FROM s) WHERE rank <= {K}")
 def _(spark, d):
-    # the model's documents: the names of the 25 nations
-    rows = read(spark, d, "nation").select("n_nationkey", "n_name").collect()
-    return six(lexical.model_topk(questions(spark, d), [r[0] for r in rows], LengthModel([len(r[1]) for r in rows]), K))
+    return six(lexical.shard_topk(questions(spark, d), corpus(spark, d), OverlapModel, K))
 
 
 # rerankers and messages with injected parts

@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from ragstone.functions.text import title_sentence
 from ragstone.operators.aggregate import to_documents
-from ragstone.operators.dense import dense_topk
+from ragstone.operators.dense import dense_documents, dense_topk
 from ragstone.operators.encode import Encoder, HashingEncoder, encode
 from ragstone.operators.hybrid import hybrid_search
 from ragstone.operators.metrics import ndcg_hit, summary
 from ragstone.operators.ranking import top_k
 from ragstone.operators.rerank import rerank
+from ragstone.operators.sampling import head
 from ragstone.operators.splitters import STRATEGIES, chunk_corpus
 from ragstone.operators.tuning import each_dataset
 from ragstone.operators.windows import region_char_chunks, region_word_chunks
+from ragstone.session import written
+from ragstone.sources import readers, sinks
 
 
 @dataclass
@@ -67,6 +70,56 @@ def chunks_against_whole(corpus: DataFrame, queries: DataFrame, qrels: DataFrame
     return one.join(F.broadcast(two)).select("*", gain("ndcg", "base_ndcg").alias("ndcg_gain"), gain("recall", "base_recall").alias("recall_gain"))
 
 
+def production(datasets: dict[str, tuple], best: DataFrame, folder: str, *, k: int = 10, judged_queries: int = 50, least: int = 500, settings: Settings | None = None, encoder: Encoder | None = None, model=None) -> tuple[dict[str, DataFrame], dict[str, str], DataFrame | None]:
+    """From a table of best configurations (dataset, method, size, overlap; tuning.best_strategy) to results.
+
+    Every dataset (corpus, queries, judgments or None) that the table names is cut by its own configuration;
+    its chunks are kept under folder and read from there, searched and reranked to documents, and the k
+    best of each query are kept too.  With judgments, whole documents and chunks are compared
+    over the first judged_queries queries (and the first least documents where there are no chunks).
+    Returns (runs, errors of datasets that failed, a report row for each dataset); the mapping of datasets to configurations,
+    the report and what failed are files beside the chunks."""
+    spark, s, e = best.sparkSession, settings or Settings(), encoder or HashingEncoder()
+    chosen = {r["dataset"]: r for r in best.select("dataset", "method", "size", "overlap").collect()}  # a row a dataset
+    rows: list[tuple] = []
+
+    def one(name: str) -> DataFrame:
+        corpus, queries, qrels = datasets[name]
+        how = chosen[name]
+        cut = chunk_corpus(corpus.select("id", "text"), how["method"], how["size"], how["overlap"])
+        path = sinks.save_chunks(cut.withColumn("doc_id", F.col("doc_id").cast("string")), f"{folder}/{name}_chunked.jsonl")
+        chunks = readers.read_chunks(spark, path)
+        docs = corpus.withColumn("id", F.col("id").cast("string"))
+        asked = queries.withColumn("id", F.col("id").cast("string"))
+        run = written(chunked_hybrid(docs, asked, chunks=chunks, settings=s, encoder=e, model=model), "production")
+        sinks.save_results(None, run, folder, name, k)
+        n_docs, n_chunks = docs.count(), chunks.count()
+        gain: tuple = (None,) * 3
+        if qrels is not None:
+            own = qrels.select(F.col("query_id").cast("string").alias("query_id"), F.col("corpus_id").cast("string").alias("corpus_id"), "score")
+            few = encode(head(asked, judged_queries), e)
+            whole = dense_topk(few, encode(head(docs, least).select("id", "text"), e), k)
+            found = dense_documents(few, encode(chunks.select(F.struct("chunk_id", "doc_id", "chunk_index").alias("id"), "text"), e).select("id.*", "embedding"), "max", k)
+            base, now = (ndcg_hit(r, own, k).agg(F.coalesce(F.avg("ndcg"), F.lit(0.0))).first()[0] for r in (whole, found))
+            gain = base, now, (now - base) / base * 100 if base else None
+        rows.append((name, how["method"], how["size"], how["overlap"], n_docs, n_chunks, n_chunks / n_docs if n_docs else None, *gain))
+        return run
+
+    runs, failed = each_dataset([n for n in datasets if n in chosen], one)
+    failed |= {n: "no configuration" for n in datasets if n not in chosen}
+    table = spark.createDataFrame(rows, REPORT) if rows else None
+    if table is not None:
+        sinks.save_json(table.select("dataset", "method", "size", "overlap", "expansion", "ndcg"), f"{folder}/mapping.json")
+        sinks.save_table(table, f"{folder}/report.csv")
+    if failed:
+        sinks.save_json(spark.createDataFrame(sorted(failed.items()), "dataset string, error string"), f"{folder}/failed.json")
+    return runs, failed, table
+
+
+#: of production(): ndcg of whole documents and of chunks, and the gain in per cent
+REPORT = "dataset string, method string, size int, overlap int, num_docs long, num_chunks long, expansion double, base_ndcg double, ndcg double, gain double"
+
+
 def over_datasets(datasets: dict[str, tuple], flow=chunked_hybrid, **options) -> tuple[dict[str, DataFrame], dict[str, str], DataFrame | None]:
     """(runs, errors, a summary row for each judged dataset) of datasets given as
     (corpus, queries, judgments or None)."""
