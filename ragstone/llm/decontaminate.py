@@ -20,9 +20,9 @@ offset.  All phrases of a block take a step together in numpy.  Proximity
 search works alike, with a reach in place of the fixed offset.
 
 The phrases come to the tasks in chunks of at most CHUNK_BYTES of benchmark
-text, each read from the driver's row iterator and broadcast, and the hits of each
-are stored before the next one is searched; more chunks mean more passes over the
-index, not more memory.
+text (about 100 MB of numbers on the driver), each read from its row iterator and broadcast. The
+documents that a chunk hits, and only those, are stored before the next one is searched; more
+chunks mean more passes over the index, not more memory.
 
 Edge cases: null or word-free texts have no words (n_words 0, never
 contaminated); items without words have no window; items that repeat an
@@ -34,7 +34,6 @@ rows, or zero hits; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +46,7 @@ from ragstone.llm.common import free_name, shared_dir, slices, table, utf8_value
 
 WINDOW = 13
 BLOCK_WORDS = 2_000_000
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 CANDIDATES = 2_000_000
 #: a document is contaminated if at least one word in SHARE is hit
 SHARE = 20
@@ -161,31 +160,39 @@ class Block:
         np.add.at(edge, at + chunk["sizes"][phrase], -1)
         items: list[set] = [set() for _ in self.lengths]
         doc = np.searchsorted(self.starts, at, side="right") - 1
+        names, owners, starts = chunk["names"], chunk["owners"], chunk["starts"]
         for d, p in np.unique(np.stack([doc, phrase], 1), axis=0).tolist():
-            items[d].update(chunk["items"][p])
+            items[d].update(names[i] for i in owners[starts[p]: starts[p + 1]].tolist())
         return np.cumsum(edge) > 0, items
 
 
 def chunks_of(benchmark: DataFrame) -> Iterator[dict]:
-    """The windows of all items, in chunks of bounded size."""
-    terms, windows, held = _Numbers(), {}, 0
+    """The windows of all items, in chunks of bounded size: distinct windows (grams: numbers into
+    terms, -1 beyond their sizes), and of each the items (owners, from starts on: numbers into names)."""
+    terms, names = _Numbers(), _Numbers()
+    parts, owner, held = [], [], 0
 
     def made() -> dict:
-        sizes = np.array([len(w) for w in windows], np.int64)
-        grams = np.full((len(windows), WINDOW), -1, np.int64)
-        for i, w in enumerate(windows):
-            grams[i, : len(w)] = w
-        return {"terms": list(terms), "grams": grams, "sizes": sizes, "items": [tuple(x) for x in windows.values()]}
+        rows = np.concatenate(parts)
+        grams, of = np.unique(rows.view([("", rows.dtype)] * WINDOW).ravel(), return_inverse=True)
+        grams = grams.view(rows.dtype).reshape(-1, WINDOW)
+        pairs = np.unique(of.astype(np.int64) * len(names) + np.repeat([n for n, _ in owner], [k for _, k in owner]))
+        starts = np.searchsorted(pairs, np.arange(len(grams) + 1) * len(names))
+        return {"terms": list(terms), "grams": grams, "sizes": (grams >= 0).sum(axis=1), "owners": (pairs % len(names)).astype(np.int32), "starts": starts, "names": list(names)}
 
     for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        w = [terms[t] for t in words_of((r[1] or "").encode())]
-        for i in range(max(len(w) - WINDOW + 1, bool(w))):
-            windows.setdefault(tuple(w[i: i + WINDOW]), {})[r[0] or ""] = None
+        w = np.array([terms[t] for t in words_of((r[1] or "").encode())], np.int32)
+        if 0 < len(w) < WINDOW:
+            w = np.concatenate([w, np.full(WINDOW - len(w), -1, np.int32)])
+        if len(w):
+            parts.append(np.lib.stride_tricks.sliding_window_view(w, WINDOW).copy())
+            owner.append((names[r[0] or ""], len(parts[-1])))
         held += len((r[1] or "").encode())
-        if held >= CHUNK_BYTES:
+        if held >= CHUNK_BYTES and parts:
             yield made()
-            terms, windows, held = _Numbers(), {}, 0
-    if windows:
+            terms, names = _Numbers(), _Numbers()
+            parts, owner, held = [], [], 0
+    if parts:
         yield made()
 
 
@@ -220,48 +227,52 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Block]]:
             yield r, block
 
 
+_HITS = "shard int, block int, pos int, hits binary, items array<string>"
+_KEY = ["shard", "block", "pos"]
+
+
+def _hit_rows(index: DataFrame, chunk: dict) -> DataFrame:
+    """The documents that hold a window of one chunk."""
+    sent = index.sparkSession.sparkContext.broadcast(chunk)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, b in _blocks(batches):
+            mask, items = b.hits(sent.value)
+            some = [i for i, x in enumerate(items) if x]
+            bits = [np.packbits(mask[b.starts[i]: b.starts[i] + b.lengths[i]]).tobytes() for i in some]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([r["shard"].as_py()] * len(some), pa.int32()), pa.array([r["block"].as_py()] * len(some), pa.int32()), pa.array(some, pa.int32()),
+                pa.array(bits, pa.binary()), pa.array([sorted(items[i]) for i in some], pa.list_(pa.string())),
+            ], [*_KEY, "hits", "items"])
+
+    return index.mapInArrow(rows, _HITS)
+
+
 def search_windows(index: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per indexed document: shard, block, pos (its key), doc_id, n_words, n_hit,
-    hits (bit mask of its words, null if none) and items (distinct item ids)."""
-    spark = index.sparkSession
-    schema = "shard int, block int, pos int, doc_id long, n_words long, n_hit long, hits binary, items array<string>"
-
-    def search(chunk) -> DataFrame:
-        sent = spark.sparkContext.broadcast(chunk)
-
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for r, b in _blocks(batches):
-                mask, items = b.hits(sent.value)
-                n = len(b.lengths)
-                per = [mask[s: s + k] for s, k in zip(b.starts[:-1].tolist(), b.lengths.tolist(), strict=True)]
-                got = [int(m.sum()) if i else 0 for m, i in zip(per, items, strict=True)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([r["shard"].as_py()] * n, pa.int32()), pa.array([r["block"].as_py()] * n, pa.int32()), pa.array(range(n), pa.int32()), r["doc_ids"].values, pa.array(b.lengths),
-                    pa.array(got, pa.int64()), pa.array([np.packbits(m).tobytes() if k else None for m, k in zip(per, got, strict=True)], pa.binary()), pa.array([sorted(i) for i in items], pa.list_(pa.string())),
-                ], ["shard", "block", "pos", "doc_id", "n_words", "n_hit", "hits", "items"])
-
-        return index.mapInArrow(rows, schema)
-
-    chunks = chunks_of(benchmark)
-    first = next(chunks, {"terms": [], "grams": np.zeros((0, WINDOW), np.int64), "sizes": np.zeros(0, np.int64), "items": []})
-    second = next(chunks, None)
-    if second is None:
-        return search(first)
-    merged = written(search(first), "hits")
-    for chunk in itertools.chain([second], chunks):
-        merged = merged.unionByName(written(search(chunk), "hits"))
-
-    def both(group: pa.Table) -> pa.Table:
-        # as many rows as chunks, for one document
-        one = group.slice(0, 1).to_pylist()[0]
-        masks = [np.frombuffer(h, np.uint8) for h in group.column("hits").to_pylist() if h]
-        if masks:
-            mask = np.bitwise_or.reduce(masks)
-            one |= {"hits": mask.tobytes(), "n_hit": int(np.unpackbits(mask)[: one["n_words"]].sum())}
-        one["items"] = sorted({i for row in group.column("items").to_pylist() for i in row})
-        return pa.Table.from_pylist([one], schema=group.schema)
-
-    return merged.groupBy("shard", "block", "pos").applyInArrow(both, schema)
+    hits (bit mask of its words, null if none) and items (distinct item ids).
+
+    Each chunk of the benchmark gives rows of the documents that it hits, which are stored
+    before the next is made; a document's rows, one for each chunk at most, are united, and
+    all documents, with their lengths from the index, join what hits them."""
+    every = index.select("shard", "block", F.posexplode(F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.col("lengths").alias("n"))).alias("pos", "x"))
+    every = every.select(*_KEY, F.col("x.doc_id").alias("doc_id"), F.col("x.n").cast("long").alias("n_words"))
+    found = None
+    for chunk in chunks_of(benchmark):
+        rows = written(_hit_rows(index, chunk), "hits")
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        found = index.sparkSession.createDataFrame([], _HITS)
+    found = found.groupBy(*_KEY).agg(F.collect_list("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masks = [np.bitwise_or.reduce([np.frombuffer(h, np.uint8) for h in hs]) for hs in batch.column("hits").to_pylist()]
+            n = [int(np.unpackbits(m).sum()) for m in masks]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), pa.array(n, pa.int64()), pa.array([m.tobytes() for m in masks], pa.binary()), batch.column("items")], [*_KEY, "n_hit", "hits", "items"])
+
+    found = found.mapInArrow(united, "shard int, block int, pos int, n_hit long, hits binary, items array<string>")
+    return every.join(found, _KEY, "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
 
 
 def search_near(index: DataFrame, queries: dict[str, list[str]], span: int) -> DataFrame:

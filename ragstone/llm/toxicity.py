@@ -383,16 +383,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Net | None:
     rated = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     one = rated.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     chosen = {r[0]: r[1] for kind in (0, 1) for r in bounded_sample(one.where(F.col("toxic") == kind), SAMPLE, 7).collect()}
-    ids = docs.sparkSession.sparkContext.broadcast(chosen)
+    spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # at most 4 * SAMPLE ids; the texts of other documents aren't moved
-        wanted = ids.value
-        for batch in batches:
-            yield batch.filter(pa.array([k in wanted for k in batch.column("doc_id").to_pylist()], pa.bool_()))
-
-    found = written(slim.mapInArrow(rows, "doc_id long, text string").groupBy("doc_id").agg(F.max("text").alias("text")), "toxic-sample", 0)
+    # at most 4 * SAMPLE ids; the texts of other documents aren't moved, nor sent to Python
+    ids = spark.createDataFrame([(k,) for k in chosen], "doc_id long")
+    found = written(slim.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "toxic-sample", 0)
     size = F.length("text")
     length = longest([r[0] or 0 for r in found.select(size).collect()], SAMPLE_BYTES)
     start = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.greatest(size - length + 1, F.lit(1))) + 1
