@@ -51,7 +51,7 @@ ENDINGS = r"('s|'m|'d|'ll|'re|'ve)\b"
 
 
 def word_marks(text: Column) -> Column:
-    """Tokens as a treebank tokeniser gives them for plain prose: runs of letters and
+    """Tokens of plain prose, more simply than treebank.py has them: runs of letters and
     digits, single other marks, and the endings of contractions (do n't, it 's)."""
     low = F.lower(F.coalesce(text, F.lit("")))
     parted = F.regexp_replace(F.regexp_replace(low, r"([a-z])(n't)\b", "$1 $2"), ENDINGS, " $1")
@@ -84,7 +84,7 @@ def route(classes: Column) -> Column:
     return out
 
 
-#: words that call for more search terms, and those terms
+#: fixed values: words that call for more search terms, and those terms
 ENHANCEMENTS = [("revenue|sales", " revenue total sales income"), ("profit|earnings", " net income earnings profit margin"), ("debt|liabilit", " total debt liabilities borrowings")]
 
 

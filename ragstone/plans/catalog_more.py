@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragstone.functions import text
+from ragstone.functions import text, treebank
 from ragstone.operators import analytics, dense, generate, hybrid, lexical, metrics, rerank, sampling, windows
 from ragstone.plans.catalog import BM25, BM_RUN, CHUNKED, FOUND, K, LINE_SQL, PAIRS, QRELS, RUN, TOP, V, WORD_PIECES, WORDS, bm25_run, corpus, dense_run, digest, half_judged, label_qrels, query, questions, read, six, vecs
 from ragstone.session import shared_path
@@ -91,6 +91,38 @@ def _(spark, d):
     return six(hybrid.hybrid_search(questions(spark, d), corpus(spark, d).select("id", "text"), letters_run(spark, d, 2 * K), K))
 
 
+# treebank words: the rules in DuckDB's syntax, abbreviations counted over the documents
+
+def _sql(text: str) -> str:
+    return text.replace("'", "''")
+
+
+def _rules(value: str, rules: list[tuple[str, str]]) -> str:
+    for pattern, to in rules:
+        value = f"regexp_replace({value}, '{_sql(pattern)}', '{_sql(to)}', 'g')"
+    return value
+
+
+_BLANKS = "[ \\t\\n\\r\\f]+"
+_TYPES = f"ty AS (SELECT regexp_replace(w, '\\.$', '') AS token, w LIKE '%.' AS stop FROM (SELECT lower({_rules('w', [(treebank.OPENING, ''), (treebank.CLOSING, '')])}) AS w FROM (SELECT unnest(string_split_regex(coalesce(text, ''), '{_BLANKS}')) AS w FROM documents) WHERE w <> '') WHERE regexp_matches(regexp_replace(w, '\\.$', ''), '^\\p{{L}}[\\p{{L}}.]*$')), ct AS (SELECT token, count(*) AS n, count(*) FILTER (stop) AS k FROM ty GROUP BY 1), tt AS (SELECT sum(k) / sum(n) AS p FROM ct)"
+ABBREVIATIONS = _TYPES + f", sc AS (SELECT token, n, k, length(replace(token, '.', '')) AS l, length(token) - length(replace(token, '.', '')) AS d, -2 * ((k * ln(p) + (n - k) * ln(1 - p)) - (k * ln({treebank.SURE}) + (n - k) * ln({1 - treebank.SURE}))) AS ll FROM ct, tt WHERE k > 0 AND p < 1), ab AS (SELECT token, n, k AS with_stop, ll * exp(-l) * (d + 1) * pow(l, k - n) AS score FROM sc WHERE ll * exp(-l) * (d + 1) * pow(l, k - n) >= {treebank.LEAST})"
+_TREEBANK = f"list_filter(string_split_regex({{0}}, '{_BLANKS}'), lambda x: x <> '')"
+_FULL = _TREEBANK.format(_rules(f"(' ' || {_rules('part', treebank.RULES)} || ' ')", treebank.ENDINGS))
+_OPEN = _TREEBANK.format(_rules(f"(' ' || {_rules('part', [r for r in treebank.RULES if r[0] != treebank.FINAL])} || ' ')", treebank.ENDINGS))
+
+
+@query("abbreviations", f"WITH {ABBREVIATIONS} SELECT token, n, with_stop, round(score, 6) AS score FROM ab")
+def _(spark, d):
+    return six(treebank.abbreviations(corpus(spark, d)))
+
+
+@query("treebank_tokens", f"WITH {ABBREVIATIONS}, pa AS (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS i, len(p) AS m FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '{_sql(treebank.END)}', '\\1' || chr(1), 'g'), chr(1)) AS p FROM documents)), lw AS (SELECT *, regexp_replace(regexp_extract(part, '(\\S+)$', 1), '{_sql(treebank.OPENING)}', '') AS w FROM pa), go AS (SELECT doc_id, i, part, w LIKE '%.' AND (w LIKE '%..' OR regexp_matches(lower(regexp_replace(w, '\\.$', '')), '^\\p{{L}}$') OR lower(regexp_replace(w, '\\.$', '')) IN (SELECT token FROM ab)) AND i < m AS go FROM lw), tw AS (SELECT doc_id, i, CASE WHEN go THEN {_OPEN} ELSE {_FULL} END AS w FROM go) SELECT doc_id AS id, CAST(sum(len(w)) AS BIGINT) AS n_tokens, md5(string_agg(array_to_string(w, ' '), ' ' ORDER BY i) FILTER (len(w) > 0)) AS tokens_md5 FROM tw GROUP BY 1")
+def _(spark, d):
+    known = [r[0] for r in treebank.abbreviations(corpus(spark, d)).select("token").collect()]
+    w = treebank.treebank_words(F.col("text"), known)
+    return corpus(spark, d).select("id", w.alias("w")).select("id", F.size("w").cast("long").alias("n_tokens"), F.when(F.size("w") > 0, F.md5(F.array_join("w", " "))).alias("tokens_md5"))
+
+
 # BM25 over every document
 
 @query("bm25_all_documents", f"WITH {BM25}, al AS (SELECT b.item_id AS query_id, d.doc_id AS corpus_id, coalesce(bm.score, 0) AS score FROM benchmark b CROSS JOIN documents d LEFT JOIN bm ON bm.query_id = b.item_id AND bm.corpus_id = d.doc_id), rk AS (SELECT *, {TOP} AS rank FROM al) SELECT query_id, count(*) AS n_docs, count(*) FILTER (score = 0) AS n_zero, round(sum(score), 4) AS total, max_by(corpus_id, rank) AS last FROM rk GROUP BY 1")
