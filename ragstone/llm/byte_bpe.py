@@ -9,8 +9,8 @@ for every way to cut it in two tokens of lower rank.
 Texts are cut before spaces that a visible character follows.  The pattern always
 cuts there, whatever stands around it: its matches end before such a space, or
 start with it.  So pieces may be encoded apart, and each distinct piece is encoded
-once per worker while it is kept; new ones are cut on at line ends and before marks, and go
-to the library a thousand at a time.  Other patterns get whole texts.
+once per worker while it is kept; new ones go to the library a thousand at a time, as one
+string, which is cut between them again.  Other patterns get whole texts.
 
 ``encoded`` gives ids and the character at which each token starts; a token that
 starts inside a character has that character's number, as in the library's own
@@ -45,7 +45,6 @@ from ragstone.llm.common import WordCache, slices, table, utf8_values
 SPACE_CUTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: a space that ends no piece, and one that starts none
 _CUT, _UNCUT = re.compile(r" (?=\S)"), re.compile(r" (?:\s|\Z)")
-_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: in pieces longer than LONG characters, where a run of letters ends at a mark
 _INNER, LONG = re.compile("(?<=[A-Za-zぁ-ゖァ-ヺ一-龥가-힣])(?=[!-&(-/:-@\\[-`{-~、。！，])"), 1 << 16
 
@@ -80,9 +79,9 @@ class Encoder:
             merges += [(names[a], names[b]) for a, b in cuts if ranks.get(a, most) < most and ranks.get(b, most) < most]
         # a match that is a token itself needs no merges, as in the rank file's own library
         self.lib = Tokenizer(models.BPE(vocab={n: ranks[t] for t, n in names.items()}, merges=merges, ignore_merges=True))
-        cut = pre_tokenizers.Split(Regex(pattern), "isolated")
-        self.lib.pre_tokenizer = pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
         self.by_piece = pattern == SPACE_CUTS
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=self.by_piece)  # that is its own pattern
+        self.lib.pre_tokenizer = level if self.by_piece else pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), level])
         self.pieces = WordCache(owner=(path, pattern))
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for t, r in ranks.items():
@@ -96,50 +95,31 @@ class Encoder:
         parts[0] = " " + parts[0]
         return parts
 
-    @staticmethod
-    def _parts(key: str) -> list[str]:
-        """The pieces that a piece is the join of: its lines, the line ends between them, and what
-        stands before and from the ASCII marks at their ends.  A letter or number ends a match
-        where a mark follows, and a single line end between visible characters is one."""
-        bare = key[:1] == " "
-        text = key[1:] if bare else key
-        lines = text.split("\n")
-        if text.split() != lines:  # other white space, or line ends side by side
-            return [key]
-        out = []
-        for line in lines:
-            core = line.rstrip(_MARKS)
-            if not 0 < len(core) < len(line) or core[-1] > "\u024f" or not core[-1].isalnum():
-                core = line
-            out += [" " + core if bare else core, *([" " + line[len(core):]] if core != line else []), " \n"]
-            bare = True
-        return out[:-1]
-
     def _together(self, texts: list[str], between: str) -> list[bytes]:
         """The ids of each text, from one string in which they stand side by side, or with a
         character between them that is a match of its own."""
-        ids = np.array(self.lib.encode_batch_fast([between.join(texts)], add_special_tokens=False)[0].ids, "<u4")
-        sizes = np.array([len(t.encode()) for t in texts])
-        start = np.cumsum(sizes + len(between)) - sizes - len(between)
-        at = np.concatenate([[0], np.cumsum(self.sizes[ids])])
-        low, high = (4 * np.searchsorted(at, x) for x in (start, start + sizes))
-        raw = ids.tobytes()
-        return [raw[a:z] for a, z in zip(low.tolist(), high.tolist(), strict=True)]
+        whole = between.join(texts)
+        ids = np.array(self.lib.encode_batch_fast([whole], add_special_tokens=False)[0].ids, "<u4")
+        end = np.cumsum([len(t) + len(between) for t in texts]) - len(between)
+        start = np.concatenate([[0], end[:-1] + len(between)])
+        if not whole.isascii():
+            raw = np.frombuffer(whole.encode(), np.uint8)
+            at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where each character starts
+            start, end = at[start], at[end]
+        token = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        low, high = (4 * np.searchsorted(token, x) for x in (start, end))
+        coded = ids.tobytes()
+        return [coded[a:z] for a, z in zip(low.tolist(), high.tolist(), strict=True)]
 
     def _learn(self, keys: list[str]) -> list[str]:
-        """Puts the ids of new pieces, and of those they are the join of, into self.pieces;
-        returns those too long to stay."""
-        spaced = [k for k in keys if k.isalpha()]  # words, which have no parts
-        parts = {k: self._parts(k) for k in keys if not k.isalpha()}
-        bare, other = [], []
-        if spaced and max(map(len, spaced)) > LONG:
-            other, spaced = [k for k in spaced if len(k) > LONG], [k for k in spaced if len(k) <= LONG]
-        for k in self.pieces.unknown(set().union(*parts.values()).difference(spaced, other)):
+        """Puts the ids of new pieces into self.pieces; returns those too long to stay."""
+        spaced, bare, other = [], [], []
+        for k in keys:
             if len(k) > LONG:
                 other.append(k)
             elif k[0] != " ":
                 spaced.append(k)
-            else:
+            else:  # a single line end between visible characters is a match of its own
                 (bare if k[1:].split() == [k[1:]] else other).append(k)
         got: dict[str, bytes] = {}
         for at in range(0, len(spaced), 1000):
@@ -152,8 +132,7 @@ class Encoder:
             text = k[1:] if k[0] == " " else " " + k
             some = self.lib.encode_batch_fast(_INNER.split(text) if len(text) > LONG else [text], add_special_tokens=False)
             got[k] = b"".join(array("I", e.ids).tobytes() for e in some)
-        long, ids = self.pieces.keep_all(got), self.pieces
-        return long + ids.keep_all({k: b"".join(map(ids.__getitem__, x)) for k, x in parts.items() if len(x) > 1})
+        return self.pieces.keep_all(got)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -187,6 +166,9 @@ class Decoder:
         self.tokens = [self.UNKNOWN] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             self.tokens[r] = t
+        self.size = np.array([len(t) for t in self.tokens], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
 
     def raw(self, ids: list[int]) -> bytes:
         try:
@@ -197,6 +179,21 @@ class Decoder:
         n = len(self.tokens)
         return b"".join(self.tokens[i] if 0 <= i < n else self.UNKNOWN for i in ids if i is not None)
 
+    def raws(self, lists: pa.ListArray) -> pa.Array:
+        """raw() of each list."""
+        ids = lists.flatten()
+        if lists.null_count or ids.null_count or not len(ids):
+            return pa.array([self.raw(x or []) for x in lists.to_pylist()], pa.binary())
+        ids = ids.to_numpy()
+        if ids.min() < 0 or ids.max() >= len(self.tokens):
+            return pa.array([self.raw(x) for x in lists.to_pylist()], pa.binary())
+        size = self.size[ids]
+        end = np.cumsum(size)
+        flat = self.flat[np.arange(end[-1]) + np.repeat(self.start[ids] - (end - size), size)]
+        last = lists.offsets.to_numpy()
+        cut = np.concatenate([[0], end])[last - last[0]]
+        return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+
     def stream(self, parts: Iterable[list[int]]) -> Iterator[str]:
         """The text of each list of ids of one text; a character that is split between
         lists comes with the list of its last byte."""
@@ -243,8 +240,7 @@ def decoded(coded: DataFrame, ranks: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = made(Decoder, ranks)
         for batch in batches:
-            raw = [own.raw(ids or []) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, own.raws(batch.column("ids"))], [*batch.schema.names, "decoded"])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
     return coded.mapInArrow(rows, f"{names}, decoded binary")

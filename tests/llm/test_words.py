@@ -87,6 +87,16 @@ def test_decoder_holds_back_split_characters(library):
     assert back.raw([None, 10**6, -1, ids[0]]) == "\ufffd\ufffd".encode() + back.raw(ids[:1])
 
 
+def test_lists_are_decoded_as_single_ones():
+    import pyarrow as pa
+
+    back, r = byte_bpe.made(byte_bpe.Decoder, RANKS), random.Random(4)
+    plain = [[r.randrange(50256) for _ in range(r.randint(0, 9))] for _ in range(50)]
+    for lists in (plain, [], [[]], [None, *plain], [[None, 5], [7]], [[10**7], [-1, 3]]):
+        for col in (pa.array(lists, pa.list_(pa.int32())), pa.array([[1], *lists], pa.list_(pa.int32())).slice(1)):
+            assert back.raws(col).to_pylist() == [back.raw(x or []) for x in lists]
+
+
 def bpe_row(library, doc, text):
     ids = library.encode_ordinary(text or "")
     return doc, len(ids), sha(",".join(map(str, ids))), sha((text or "").encode())
