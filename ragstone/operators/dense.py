@@ -1,8 +1,8 @@
 """Exact dense retrieval, of vectors and of documents that are made of chunks.
 
 `score_pairs` states all pairs as an expression, for small inputs.  `dense_topk` and
-`dense_documents` are the way for large sides: queries are packed into blocks of at most
-QUERY_BLOCK vectors, a task multiplies its part of the corpus with a block, PRODUCT_BYTES of
+`dense_documents` are the way for large sides: queries are packed into blocks (at most
+QUERY_BLOCK vectors, fewer for a large k), a task multiplies its part of the corpus with a block, PRODUCT_BYTES of
 scores at a time, and sends on k rows of each query.  A query's k-th score so far is
 the edge that later products must reach (blocks.py).  One block of queries goes to the tasks as it is, and the
 corpus isn't moved; more blocks meet the blocks of the stored corpus in a grid.
@@ -28,8 +28,9 @@ from ragstone.operators.blocks import Best, paired
 from ragstone.operators.ranking import PLACES, top_k
 from ragstone.session import written
 
-#: queries of a block, vectors of a block of the corpus, bytes of a product of two
-QUERY_BLOCK, ROW_BLOCK, PRODUCT_BYTES = 4096, 8192, 32 << 20
+#: queries of a block at most, and rows that a task keeps of them (k of each); vectors of a block of
+#: the corpus, bytes of a product of two
+QUERY_BLOCK, KEPT, ROW_BLOCK, PRODUCT_BYTES = 16384, 400_000, 8192, 32 << 20
 
 
 def score_pairs(queries: DataFrame, corpus: DataFrame, name: str = "cos_sim", more: dict | None = None) -> DataFrame:
@@ -160,6 +161,11 @@ class Queries:
             yield at, s
 
 
+def _block(block: int | None, k: int | None) -> int:
+    """Queries of a block."""
+    return block or max(min(QUERY_BLOCK, KEPT // (k or 100)), 1)
+
+
 def _queries(columns: list[pa.Array], score: str) -> Queries:
     return Queries(*columns[:2], score, *columns[2:])
 
@@ -256,7 +262,7 @@ class _Groups:
             yield from self._named(pa.scalar(g, self.type), own.rows())
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int | None = 100, score: str = "cos_sim", block: int = QUERY_BLOCK, by: str | None = None) -> DataFrame:
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int | None = 100, score: str = "cos_sim", block: int | None = None, by: str | None = None) -> DataFrame:
     """query_id, corpus_id, score, rank: the k best of the corpus (id, embedding) for
     each query (id, embedding), a row never for itself; k None ranks all.  A vector that
     is null, holds a null, or has another width than most queries of its block scores -1
@@ -269,9 +275,9 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int | None = 100, score
         return top_k(score_pairs(queries, corpus, score), k)
     schema = f"query_id {dict(queries.dtypes)['id']}, corpus_id {dict(corpus.dtypes)['id']}, score double"
     if by is None:
-        return top_k(_search(queries.select("id", "embedding"), corpus.select("id", "embedding"), score, block, lambda q: _Vectors(q, k), schema), k)
+        return top_k(_search(queries.select("id", "embedding"), corpus.select("id", "embedding"), score, _block(block, k), lambda q: _Vectors(q, k), schema), k)
     asked = queries.select("id", "embedding", *([by] if by in queries.columns else []))
-    found = _search(asked, corpus.select("id", "embedding", by), score, block, lambda q: _Groups(q, k, by), f"`{by}` {dict(corpus.dtypes)[by]}, {schema}")
+    found = _search(asked, corpus.select("id", "embedding", by), score, _block(block, k), lambda q: _Groups(q, k, by), f"`{by}` {dict(corpus.dtypes)[by]}, {schema}")
     return top_k(found, k, by=[by, "query_id"])
 
 
@@ -370,7 +376,7 @@ class _Documents:
             yield pa.RecordBatch.from_arrays([self.queries.ids.take(pa.array(i)), pa.array(ids, self.types[0]), pa.array(s), *cols], ["query_id", "corpus_id", "score", "num_chunks_matched", "best_chunk_index", "chunk_id"][: 3 + len(cols)])
 
 
-def dense_documents(queries: DataFrame, chunks: DataFrame, method: str = "max", k: int | None = 100, score: str = "cos_sim", *, best: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+def dense_documents(queries: DataFrame, chunks: DataFrame, method: str = "max", k: int | None = 100, score: str = "cos_sim", *, best: bool = False, block: int | None = None) -> DataFrame:
     """query_id, corpus_id (the document), score, rank: the k best documents of each query (id,
     embedding), each scored by its chunks (chunk_id string, doc_id, chunk_index, embedding) as
     aggregate.to_documents() does; a chunk of the query's own id doesn't count.  With best
@@ -385,4 +391,4 @@ def dense_documents(queries: DataFrame, chunks: DataFrame, method: str = "max",
         schema += f", num_chunks_matched long, best_chunk_index {kinds['chunk_index']}, chunk_id string"
     rows = chunks.select("doc_id", "chunk_index", F.col("chunk_id").cast("string").alias("chunk_id"), "embedding")
     rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index", "chunk_id")
-    return top_k(_search(queries.select("id", "embedding"), rows, score, block, lambda q: _Documents(q, k, method, best), schema, whole="doc_id"), k)
+    return top_k(_search(queries.select("id", "embedding"), rows, score, _block(block, k), lambda q: _Documents(q, k, method, best), schema, whole="doc_id"), k)

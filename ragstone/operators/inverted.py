@@ -98,6 +98,7 @@ class Index:
     tokenize: Callable[[Column], Column]
     n: int
     length: int
+    df: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, tokenize: Callable[[Column], Column] = words, path: str | None = None) -> Index:
@@ -124,12 +125,18 @@ class Index:
     def inverse_frequencies(self, epsilon: float = EPSILON) -> DataFrame:
         """token, df, idf of all terms.  A negative idf is replaced by epsilon times the mean of
         all raw ones."""
-        each = self.blocks.select(F.explode(F.arrays_zip(F.col("terms").alias("token"), F.col("df").alias("df"))).alias("x"))
-        df = each.groupBy(F.col("x.token").alias("token")).agg(F.sum("x.df").alias("df"))
+        if self.df is None:
+            self.df = written(self._frequencies(), "df")  # for the mean, and for the terms that are asked
+        df = self.df
         raw = df.withColumn("raw", F.log(F.lit(self.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         mean = raw.agg(F.avg("raw")).first()[0]
         return raw.select("token", "df", F.when(F.col("raw") < 0, F.lit(None if mean is None else epsilon * mean)).otherwise(F.col("raw")).alias("idf"))
 
+    def _frequencies(self) -> DataFrame:
+        """token, df: in how many documents each term is."""
+        each = self.blocks.select(F.explode(F.arrays_zip(F.col("terms").alias("token"), F.col("df").alias("df"))).alias("x"))
+        return each.groupBy(F.col("x.token").alias("token")).agg(F.sum("x.df").alias("df"))
+
     def search(self, queries: DataFrame, k: int = 100, *, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
         """query_id, corpus_id, score, rank: the k best of each query (id, text) among the
         documents that share a token with it."""
