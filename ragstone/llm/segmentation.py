@@ -13,7 +13,7 @@ cheaper spelling of itself, because bytes are used only there.
 Segments (pieces.py) are independent, so a text's best path joins its segments'
 best paths, and its n best replace at most n - 1 of them, those whose second
 path costs least.  Each distinct segment is searched once per worker while it
-is kept.
+is kept; new ones of one length go through the forward pass together, over a trie of the pieces.
 
 Decoding joins the pieces' texts, bytes included, and drops the dummy space.
 
@@ -44,6 +44,8 @@ from ragstone.llm.pieces import Pieces, parts
 
 N_BEST = 4
 UNKNOWN = 10.0
+#: segments of more characters are searched one by one
+WIDE = 40
 
 
 class Lattice:
@@ -58,6 +60,7 @@ class Lattice:
         self.unknown = min(ordinary) - UNKNOWN
         self.best = WordCache(self._best, 0.85, path)
         self.lists = WordCache(self._list, 0.15, path)
+        self.trie: tuple | None = None
 
     def arcs(self, text: str) -> list[list[tuple[int, float]]]:
         """For each end, the (start, score) of the arcs that reach it, short ones first."""
@@ -137,12 +140,13 @@ class Lattice:
                     if j > i + 1:
                         break
                     score = self.unknown
-                one = first[j]
-                if x + score > one:  # of ties the earliest start stays, as in nbest()
-                    first[j], back[j] = x + score, i
-                    second[j] = max(one, second[j], y + score)
-                elif x + score > second[j]:
-                    second[j] = x + score
+                one, total = first[j], x + score
+                if total > one:  # of ties the earliest start stays, as in nbest()
+                    first[j], back[j] = total, i
+                    other = y + score
+                    second[j] = one if one > other else other  # the second was no better than one
+                elif total > second[j]:
+                    second[j] = total
         cuts, end = [], len(text)
         while end:
             cuts.append(text[back[end]: end])
@@ -150,6 +154,90 @@ class Lattice:
         cuts.reverse()
         return self.ids(lines, cuts), first[-1] + lines * self.unknown, first[-1] - second[-1]
 
+    def _trie(self) -> tuple:
+        """The heads of pieces as a trie: sorted keys (node and character) and the nodes they lead to, those
+        from the root by character, and each node's score (minus infinity if it only starts
+        a piece) and id."""
+        heads = self.pieces.heads
+        number = {"": 0} | {h: i for i, h in enumerate(heads, 1)}
+        key = np.array([number[h[:-1]] << 21 | ord(h[-1]) for h in heads], np.int64)
+        order = np.argsort(key)
+        root = np.full(0x110000, -1, np.int32)
+        for h in heads:
+            if len(h) == 1:
+                root[ord(h)] = number[h]
+        score = np.array([-np.inf, *(-np.inf if x is None else x for x in heads.values())])
+        ids = np.array([-1, *(self.pieces.ids.get(h, -1) for h in heads)])
+        return key[order], (order + 1).astype(np.int32), root, score, ids
+
+    def learn(self, keys: list[str]) -> None:
+        """Puts _best() of new segments into the cache, many at a time: those of one length go through
+        the positions together."""
+        by_size: dict[int, list[tuple[str, int, str]]] = {}
+        for key in keys:
+            lines, text = parts(key)
+            if 0 < len(text) <= WIDE and len(key) <= 64:
+                by_size.setdefault(len(text), []).append((key, lines, text))
+        for n, rows in by_size.items():
+            for at in range(0, len(rows), 1 << 14):
+                some = rows[at: at + (1 << 14)]
+                for (key, _, _), value in zip(some, self._best_all(n, some), strict=True):
+                    self.best.keep(key, value)
+
+    def _best_all(self, n: int, rows: list[tuple[str, int, str]]) -> list[tuple[bytes, float, float]]:
+        """_best() of segments with n characters each, given as (key, line ends, characters)."""
+        if self.trie is None:
+            self.trie = self._trie()
+        keys, nodes, root, scores, ids = self.trie
+        chars = np.frombuffer("".join(t for _, _, t in rows).encode("utf-32-le"), "<u4").reshape(-1, n).T.astype(np.int64)
+        first, second = np.full((2, n + 1, len(rows)), -np.inf)
+        first[0] = 0.0
+        back, piece = np.zeros((n + 1, len(rows)), np.int32), np.full((n + 1, len(rows)), -1, np.int32)
+        for i in range(n):
+            live, node = np.arange(len(rows)), root[chars[i]]
+            for j in range(i + 1, n + 1):
+                if j > i + 1:
+                    key = node.astype(np.int64) << 21 | chars[j - 1][live]
+                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    found = keys[at] == key
+                    live, node = live[found], nodes[at[found]]
+                    if not len(live):
+                        break
+                score, own = scores[node], ids[node]
+                if j == i + 1:  # a character without a piece is spelled
+                    spelled = (node < 0) | (own < 0)
+                    score, own = np.where(spelled, self.unknown, score), np.where(spelled, -1, own)
+                x, one, two = first[i][live], first[j][live], second[j][live]
+                total = x + score
+                better = total > one
+                second[j][live] = np.where(better, np.maximum(one, second[i][live] + score), np.maximum(two, total))
+                some = live[better]
+                first[j][some], back[j][some], piece[j][some] = total[better], i, own[better]
+                if j == i + 1:
+                    live, node = live[node >= 0], node[node >= 0]
+                    if not len(live):
+                        break
+        line = self.pieces.bytes[10]
+        out = []
+        for (_, lines, text), top, margin, b, p in zip(rows, first[n].tolist(), (first[n] - second[n]).tolist(), back.T.tolist(), piece.T.tolist(), strict=True):
+            end, cuts = n, []
+            while end and p[end] >= 0:
+                cuts.append(p[end])
+                end = b[end]
+            if not end:
+                cuts += [line] * lines
+                cuts.reverse()
+                coded = array("I", cuts).tobytes()
+            else:  # characters that are spelled
+                end, cuts = n, []
+                while end:
+                    cuts.append(text[b[end]: end])
+                    end = b[end]
+                cuts.reverse()
+                coded = self.ids(lines, cuts)
+            out.append((coded, top + lines * self.unknown, margin))
+        return out
+
     def _list(self, key: str) -> tuple[list[tuple[float, bytes]], bool]:
         """The n best of a segment, and whether all of them decode to the same."""
         lines, text = parts(key)
@@ -160,9 +248,10 @@ class Lattice:
         """The n best segmentations of a text as (score, ids), best first."""
         return self.encode_checked(text, n)[0]
 
-    def encode_checked(self, text: str, n: int = N_BEST) -> tuple[list[tuple[float, bytes]], bool]:
-        """encode(), and whether all segmentations decode to what the best one does."""
-        keys = self.pieces.segments(text)
+    def encode_checked(self, text: str, n: int = N_BEST, keys: list[str] | None = None) -> tuple[list[tuple[float, bytes]], bool]:
+        """encode(), and whether all segmentations decode to what the best one does; keys may give
+        the text's segments."""
+        keys = self.pieces.segments(text) if keys is None else keys
         if not keys:
             return [(0.0, b"")], True
         coded, scores, margins = zip(*map(self.best.__getitem__, keys), strict=True)
@@ -221,9 +310,12 @@ def segmented(docs: DataFrame, model: str, *, n: int = N_BEST) -> DataFrame:
         for batch in slices(batches, "text", 2 << 20):
             own.trim()
             out = []
-            for raw in utf8_values(batch.column("text")):
-                text = raw.decode()
-                ways, same = own.encode_checked(text, n)
+            raws = utf8_values(batch.column("text"))
+            texts = [raw.decode() for raw in raws]
+            keys = [own.pieces.segments(t) for t in texts]
+            own.learn(own.best.unknown(set().union(*keys)))
+            for raw, text, k in zip(raws, texts, keys, strict=True):
+                ways, same = own.encode_checked(text, n, k)
                 same = same and own.decode(ways[0][1]) == text
                 crc = 0
                 for _, ids in ways:

@@ -74,3 +74,16 @@ def test_scores_that_tie_up_to_rounding(own):
         ways = odd.nbest(text, 4)
         assert len(ways) == 4 and ways[0][0] == odd.forward(text)[1][-1]
     assert time.process_time() - began < 5
+
+
+def test_segments_together_as_one_by_one(own):
+    r = random.Random(12)
+    keys = set()
+    for _ in range(3000):
+        text = "".join(r.choice("theanioe é\n日\0 --==aab😀ß_") for _ in range(r.randint(0, 60)))
+        keys.update(own.pieces.segments(text))
+    fresh = segmentation.Lattice(PIECES)
+    fresh.learn(sorted(keys))
+    known = [k for k in keys if k in fresh.best]
+    assert len(known) > 0.9 * len(keys) and all(fresh.best[k] == own._best(k) for k in known)
+    fresh.learn([])
