@@ -258,5 +258,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         "n_bytes",
-        F.element_at("starts", -1).alias("last_start"),
+        F.try_element_at("starts", F.lit(-1)).alias("last_start"),
     )

@@ -114,6 +114,13 @@ def test_byte_bpe_tables(spark, data, library, whole):
     assert sorted(tuple(r)[:4] for r in rows) == sorted(bpe_row(library, *d) for d in whole)
 
 
+def test_byte_bpe_query_has_empty_texts(spark, library, tmp_path):
+    docs = [(1, ""), (2, None), (3, "a b")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.QUERIES["op11_byte_bpe"](spark, str(tmp_path)).collect()
+    assert sorted((tuple(r)[:4], r["last_start"]) for r in rows) == [(bpe_row(library, *d), n) for d, n in zip(docs, [None, None, 1], strict=True)]
+
+
 # 12
 
 
