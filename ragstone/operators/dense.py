@@ -26,7 +26,7 @@ from ragstone.functions.vectors import score_function
 from ragstone.operators.aggregate import METHODS
 from ragstone.operators.blocks import Best, paired
 from ragstone.operators.ranking import PLACES, top_k
-from ragstone.session import written
+from ragstone.session import BLOCK_FILES, written
 
 #: queries of a block at most, and rows that a task keeps of them (k of each); vectors of a block of
 #: the corpus, bytes of a product of two
@@ -174,7 +174,7 @@ def _search(queries: DataFrame, corpus: DataFrame, score: str, block: int, make:
     """Every block of queries (id, embedding, and their group if there are groups) with all rows of the corpus, which come to
     make(block).add(rows) in batches; make(block).rows() gives what is left."""
     spark = corpus.sparkSession
-    blocks = written(_packed(queries.coalesce(8), block), "query-blocks")
+    blocks = written(_packed(queries.coalesce(8), block), "query-blocks", BLOCK_FILES)
     n = blocks.count()
     if n == 0:
         return spark.createDataFrame([], schema)
@@ -189,7 +189,7 @@ def _search(queries: DataFrame, corpus: DataFrame, score: str, block: int, make:
             yield from own.rows()
 
         return corpus.mapInArrow(rows, schema)
-    stored = written(_packed(corpus, ROW_BLOCK, whole), "corpus-blocks")
+    stored = written(_packed(corpus, ROW_BLOCK, whole), "corpus-blocks", BLOCK_FILES)
     names = stored.columns
     numbered = blocks.select(F.monotonically_increasing_id().alias("query_block"), *(F.col(c).alias(f"query_{c}") for c in blocks.columns))
     asked = numbered.columns[1:]

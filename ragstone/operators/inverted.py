@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ragstone.functions.text import words
 from ragstone.operators.blocks import Best, paired
 from ragstone.operators.ranking import PLACES, top_k
-from ragstone.session import shared_path, written
+from ragstone.session import BLOCK_FILES, shared_path, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 20_000
@@ -111,7 +111,7 @@ class Index:
                 part = part.combine_chunks()
                 yield pa.RecordBatch.from_arrays(_block(part.column("id").chunk(0), part.column("tokens").chunk(0)), ["ids", "lengths", "terms", "df", "docs", "tf"])
 
-        docs.select("id", tokenize(F.col("text")).alias("tokens")).mapInArrow(rows, _columns(kind)).write.parquet(path)
+        docs.select("id", tokenize(F.col("text")).alias("tokens")).mapInArrow(rows, _columns(kind)).write.options(**BLOCK_FILES).parquet(path)
         return cls.open(spark, path, tokenize)
 
     @classmethod
@@ -154,7 +154,7 @@ class Index:
 
         # few tasks make full blocks
         blocks = lists.coalesce(8).mapInArrow(packed, f"query_ids array<{kinds[0]}>, sizes array<int>, tokens array<string>, weights array<double>")
-        blocks = written(blocks.withColumn("block", F.monotonically_increasing_id()), "query-blocks")
+        blocks = written(blocks.withColumn("block", F.monotonically_increasing_id()), "query-blocks", BLOCK_FILES)
         mean = self.length / self.n if self.length else 1.0
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ from ragstone.functions.text import words
 from ragstone.operators.blocks import Best, paired
 from ragstone.operators.inverted import BLOCK_DOCS, BLOCK_QUERIES, BLOCK_TERMS, BLOCK_TOKENS, EPSILON, K1, B, Index, gathered
 from ragstone.operators.ranking import PLACES, top_k
-from ragstone.session import written
+from ragstone.session import BLOCK_FILES, written
 
 
 class Lexical(Protocol):
@@ -143,10 +143,10 @@ def shard_topk(queries: DataFrame, docs: DataFrame, fit: Callable[[list[list[str
     frequencies, say) it takes from its shard."""
     kind = dict(docs.dtypes)["id"]
     schema = f"query_id {dict(queries.dtypes)['id']}, corpus_id {kind}, score double"
-    asked = written(_token_blocks(queries.coalesce(8), tokenize, "query_", BLOCK_TERMS, BLOCK_QUERIES).withColumn("block", F.monotonically_increasing_id()), "query-blocks")
+    asked = written(_token_blocks(queries.coalesce(8), tokenize, "query_", BLOCK_TERMS, BLOCK_QUERIES).withColumn("block", F.monotonically_increasing_id()), "query-blocks", BLOCK_FILES)
     n, shards = asked.count(), _token_blocks(docs, tokenize, "", tokens, most)
     if n > 1:
-        shards = written(shards, "shards")
+        shards = written(shards, "shards", BLOCK_FILES)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}

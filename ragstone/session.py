@@ -37,8 +37,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: how tables of blocks (rows of some MB each) are written: a row group each, for a writer holds
+#: a group, and a reader all of a group's rows, whatever their size
+BLOCK_FILES = {"parquet.block.row.count.limit": "1"}
+
+
+def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """The rows of df, written to the shared folder and read again."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import glob
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from ragstone.operators import blocks, inverted, lexical
@@ -89,3 +91,12 @@ def test_best_of_many_blocks():
         want = [(q, n, x) for q in range(6) for x, n in sorted(((x, n) for x, n in zip(s[q], ids, strict=True) if np.isfinite(x)), reverse=True)[:k]]
         got = [(a, b, c) for a, b, c in zip(i.tolist(), name.tolist(), score.tolist(), strict=True)]
         assert sorted(got) == sorted(want) and (more == -score).all()
+
+
+def test_blocks_are_row_groups_of_their_own(spark, monkeypatch, tmp_path):
+    """A task that writes or reads an index holds a block at a time, whatever the corpus."""
+    monkeypatch.setattr(inverted, "BLOCK_TOKENS", 200)
+    inverted.Index.build(corpus(spark, 3)[1], path=f"{tmp_path}/index")
+    groups = [m.row_group(i).num_rows for f in glob.glob(f"{tmp_path}/index/*.parquet") for m in [pq.read_metadata(f)] for i in range(m.num_row_groups)]
+    assert len(groups) > 20
+    assert set(groups) == {1}
