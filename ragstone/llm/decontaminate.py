@@ -215,7 +215,8 @@ def build_index(docs: DataFrame, path: str) -> DataFrame:
             })
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    slim.mapInArrow(rows, INDEX_SCHEMA).write.option("compression", "zstd").parquet(path)
+    # a row group is held whole by its writer and its reader, whatever its rows' size: one block each
+    slim.mapInArrow(rows, INDEX_SCHEMA).write.options(**{"compression": "zstd", "parquet.block.row.count.limit": "1"}).parquet(path)
     return docs.sparkSession.read.schema(INDEX_SCHEMA).parquet(path)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import glob
 import random
 import tracemalloc
 
+import pyarrow.parquet as pq
 import pytest
 
 pytest.importorskip("ragstone.llm")
@@ -66,3 +68,13 @@ def test_memory_of_a_chunk():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(chunk["grams"]) > 400_000 and peak < 200 << 20
+
+
+def test_blocks_are_row_groups_of_their_own(spark, monkeypatch, tmp_path):
+    """A task that writes or reads an index holds a block at a time, whatever the corpus."""
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 5) for i in range(90)], "doc_id long, text string").coalesce(1)
+    decontaminate.build_index(docs, f"{tmp_path}/index")
+    groups = [m.row_group(i).num_rows for f in glob.glob(f"{tmp_path}/index/*.parquet") for m in [pq.read_metadata(f)] for i in range(m.num_row_groups)]
+    assert len(groups) > 20
+    assert set(groups) == {1}
