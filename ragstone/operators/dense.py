@@ -1,6 +1,7 @@
 """Exact dense retrieval, of vectors and of documents that are made of chunks.
 
-`score_pairs` states all pairs as an expression, for small inputs.  `dense_topk` and
+`score_pairs` states all pairs as an expression, for small inputs; a score of one's own for large ones is a
+function of two matrices.  `dense_topk` and
 `dense_documents` are the way for large sides: queries are packed into blocks (at most
 QUERY_BLOCK vectors, fewer for a large k), a task multiplies its part of the corpus with a block, PRODUCT_BYTES of
 scores at a time, and sends on k rows of each query.  A query's k-th score so far is
@@ -31,6 +32,8 @@ from ragstone.session import BLOCK_FILES, written
 #: queries of a block at most, and rows that a task keeps of them (k of each); vectors of a block of
 #: the corpus, bytes of a product of two
 QUERY_BLOCK, KEPT, ROW_BLOCK, PRODUCT_BYTES = 16384, 400_000, 8192, 32 << 20
+#: a score of one's own: the rows of two matrices with each other
+Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def score_pairs(queries: DataFrame, corpus: DataFrame, name: str = "cos_sim", more: dict | None = None) -> DataFrame:
@@ -110,7 +113,7 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int, whole: str | None = N
 class Queries:
     """A block of query vectors."""
 
-    def __init__(self, ids: pa.Array, embeddings: pa.Array, score: str, groups: pa.Array | None = None):
+    def __init__(self, ids: pa.Array, embeddings: pa.Array, score: str | Score, groups: pa.Array | None = None):
         self.ids, self.embeddings, self.score, self.groups = ids, embeddings, score, groups
         size = pc.value_counts(pc.drop_null(pc.list_value_length(embeddings))).to_pylist()
         self.width = max(size, key=lambda x: (x["counts"], -x["values"]))["values"] if size else 1
@@ -153,9 +156,10 @@ class Queries:
         q, c = self.same(keys)
         step = max(PRODUCT_BYTES // (8 * max(len(m), 1)), 1)
         for at in range(0, len(self.m), step):
-            s = self.m[at: at + step] @ m.T
-            s[~self.sound[at: at + step]] = -1
-            s[:, ~good] = -1
+            own = callable(self.score)
+            s = self.score(self.m[at: at + step], m) if own else self.m[at: at + step] @ m.T
+            s[~self.sound[at: at + step]] = -np.inf if own else -1
+            s[:, ~good] = -np.inf if own else -1
             here = (q >= at) & (q < at + step)
             s[q[here] - at, c[here]] = -np.inf
             yield at, s
@@ -166,11 +170,11 @@ def _block(block: int | None, k: int | None) -> int:
     return block or max(min(QUERY_BLOCK, KEPT // (k or 100)), 1)
 
 
-def _queries(columns: list[pa.Array], score: str) -> Queries:
+def _queries(columns: list[pa.Array], score: str | Score) -> Queries:
     return Queries(*columns[:2], score, *columns[2:])
 
 
-def _search(queries: DataFrame, corpus: DataFrame, score: str, block: int, make: Callable[[Queries], object], schema: str, whole: str | None = None) -> DataFrame:
+def _search(queries: DataFrame, corpus: DataFrame, score: str | Score, block: int, make: Callable[[Queries], object], schema: str, whole: str | None = None) -> DataFrame:
     """Every block of queries (id, embedding, and their group if there are groups) with all rows of the corpus, which come to
     make(block).add(rows) in batches; make(block).rows() gives what is left."""
     spark = corpus.sparkSession
@@ -262,16 +266,19 @@ class _Groups:
             yield from self._named(pa.scalar(g, self.type), own.rows())
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int | None = 100, score: str = "cos_sim", block: int | None = None, by: str | None = None) -> DataFrame:
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int | None = 100, score: str | Score = "cos_sim", block: int | None = None, by: str | None = None) -> DataFrame:
     """query_id, corpus_id, score, rank: the k best of the corpus (id, embedding) for
     each query (id, embedding), a row never for itself; k None ranks all.  A vector that
     is null, holds a null, or has another width than most queries of its block scores -1
     with everything, as a zero vector does by cosine.
 
+    score may be a function: the scores of the rows of one matrix (queries) with those of another, a
+    row for each query; vectors as named above have no score then, and aren't ranked.
+
     by names a column of the corpus, not null, of few values: each gives a ranking of its own, in
     one pass over all of them.  Queries that have the column too are ranked in their own
     group only."""
-    if score not in ("cos_sim", "dot"):
+    if not callable(score) and score not in ("cos_sim", "dot"):
         return top_k(score_pairs(queries, corpus, score), k)
     schema = f"query_id {dict(queries.dtypes)['id']}, corpus_id {dict(corpus.dtypes)['id']}, score double"
     if by is None:
