@@ -70,11 +70,14 @@ def test_memory_of_a_chunk():
     assert len(chunk["grams"]) > 400_000 and peak < 200 << 20
 
 
-def test_blocks_are_row_groups_of_their_own(spark, monkeypatch, tmp_path):
+def test_blocks_are_row_groups_of_their_own(spark, tmp_path):
     """A task that writes or reads an index holds a block at a time, whatever the corpus."""
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
     docs = spark.createDataFrame([(i, f"some words of text {i} " * 5) for i in range(90)], "doc_id long, text string").coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 3)  # each batch is a block at least
     decontaminate.build_index(docs, f"{tmp_path}/index")
+    spark.conf.set(name, before)
     groups = [m.row_group(i).num_rows for f in glob.glob(f"{tmp_path}/index/*.parquet") for m in [pq.read_metadata(f)] for i in range(m.num_row_groups)]
     assert len(groups) > 20
     assert set(groups) == {1}
