@@ -35,6 +35,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 20_000
 #: queries, and their terms, in a block of queries at most
 BLOCK_QUERIES, BLOCK_TERMS = 4096, 500_000
+#: scores of a batch that a task sends on, about
+SCORES = 65_536
 
 
 def _columns(kind: str) -> str:
@@ -140,21 +142,7 @@ class Index:
     def search(self, queries: DataFrame, k: int = 100, *, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
         """query_id, corpus_id, score, rank: the k best of each query (id, text) among the
         documents that share a token with it."""
-        kinds = dict(queries.dtypes)["id"], self.blocks.schema["ids"].dataType.elementType.simpleString()
-        schema = f"query_id {kinds[0]}, corpus_id {kinds[1]}, score double"
-        asked = queries.select(F.col("id").alias("query_id"), F.explode(self.tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-        weighed = asked.join(self.inverse_frequencies(epsilon), "token").select("query_id", "token", (F.col("times") * F.col("idf")).alias("weight"))
-        lists = weighed.groupBy("query_id").agg(F.collect_list(F.struct("token", "weight")).alias("x")).select("query_id", F.col("x.token").alias("tokens"), F.col("x.weight").alias("weights"))
-
-        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in gathered(batches, "tokens", BLOCK_TERMS, BLOCK_QUERIES):
-                part = part.combine_chunks()
-                columns = part.column("query_id").chunk(0), pc.list_value_length(part.column("tokens").chunk(0)).cast(pa.int32()), part.column("tokens").chunk(0).flatten(), part.column("weights").chunk(0).flatten()
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], ["query_ids", "sizes", "tokens", "weights"])
-
-        # few tasks make full blocks
-        blocks = lists.coalesce(8).mapInArrow(packed, f"query_ids array<{kinds[0]}>, sizes array<int>, tokens array<string>, weights array<double>")
-        blocks = written(blocks.withColumn("block", F.monotonically_increasing_id()), "query-blocks", BLOCK_FILES)
+        blocks, schema = self._asked(queries, epsilon)
         mean = self.length / self.n if self.length else 1.0
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +159,47 @@ class Index:
 
         return top_k(paired(self.blocks, blocks, blocks.count()).mapInArrow(rows, schema), k)
 
+    def scores(self, queries: DataFrame, *, every: bool = False, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
+        """query_id, corpus_id, score of all documents that share a token with a query; with every
+        of all documents, where the others score 0.  A document's postings are in one block, so
+        a task sums its scores and no posting is shuffled."""
+        blocks, schema = self._asked(queries, epsilon, every)
+        mean = self.length / self.n if self.length else 1.0
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, _Search] = {}
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    one = {name: batch.column(name)[i] for name in batch.schema.names}
+                    number = one["block"].as_py()
+                    if number not in held:
+                        held[number] = _Search(one, 1)
+                    yield from held[number].all(one, k1, b, mean, every)
+
+        return paired(self.blocks, blocks, blocks.count()).mapInArrow(rows, schema)
+
+    def _asked(self, queries: DataFrame, epsilon: float, every: bool = False) -> tuple[DataFrame, str]:
+        """Blocks of queries with their terms' weights (with every also queries without any), stored,
+        and the schema of scores."""
+        kinds = dict(queries.dtypes)["id"], self.blocks.schema["ids"].dataType.elementType.simpleString()
+        schema = f"query_id {kinds[0]}, corpus_id {kinds[1]}, score double"
+        asked = queries.select(F.col("id").alias("query_id"), F.explode(self.tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+        weighed = asked.join(self.inverse_frequencies(epsilon), "token").select("query_id", "token", (F.col("times") * F.col("idf")).alias("weight"))
+        lists = weighed.groupBy("query_id").agg(F.collect_list(F.struct("token", "weight")).alias("x")).select("query_id", F.col("x.token").alias("tokens"), F.col("x.weight").alias("weights"))
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in gathered(batches, "tokens", BLOCK_TERMS, BLOCK_QUERIES):
+                part = part.combine_chunks()
+                columns = part.column("query_id").chunk(0), pc.list_value_length(part.column("tokens").chunk(0)).cast(pa.int32()), part.column("tokens").chunk(0).flatten(), part.column("weights").chunk(0).flatten()
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], ["query_ids", "sizes", "tokens", "weights"])
+
+        if every:
+            lists = queries.select(F.col("id").alias("query_id")).distinct().join(lists, "query_id", "left").select("query_id", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in lists.dtypes[1:]))
+        # few tasks make full blocks
+        blocks = lists.coalesce(8).mapInArrow(packed, f"query_ids array<{kinds[0]}>, sizes array<int>, tokens array<string>, weights array<double>")
+        blocks = written(blocks.withColumn("block", F.monotonically_increasing_id()), "query-blocks", BLOCK_FILES)
+        return blocks, schema
+
 
 class _Search:
     """A block of queries on its way through the documents of a task."""
@@ -185,27 +214,61 @@ class _Search:
         self.best = Best(len(sizes), k)
         self.type = None
 
-    def add(self, row: dict, k1: float, b: float, mean: float) -> None:
-        """One block of documents."""
-        ids = row["ids"].values
-        self.type = ids.type
-        names = np.array(ids.to_pylist())
+    def _lists(self, row: dict, k1: float, b: float, mean: float) -> tuple[np.ndarray, ...]:
+        """The block's lists of the terms that are asked for, one after the other: documents,
+        impacts, where each starts, and each term's list (-1: none)."""
         df = row["df"].values.to_numpy()
         lengths = row["lengths"].values.to_numpy()
-        # the block's lists of the terms that are asked for, one after the other
         here = pc.index_in(self.terms, value_set=row["terms"].values)
         local = pc.fill_null(here, -1).to_numpy(zero_copy_only=False)
         known = np.flatnonzero(local >= 0)
-        if not len(known):
-            return
         first, n = (np.cumsum(df) - df)[local[known]], df[local[known]].astype(np.int64)
         at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
         docs, tf = row["docs"].values.to_numpy()[at], row["tf"].values.to_numpy()[at]
         impact = tf * (k1 + 1) / (tf + (k1 * (1 - b + b * lengths / mean))[docs])
-        cut = np.concatenate([[0], np.cumsum(n)])
-        most, least = np.maximum.reduceat(impact, cut[:-1]), np.minimum.reduceat(impact, cut[:-1])
         slot = np.full(len(self.terms), -1)
         slot[known] = np.arange(len(known))
+        return docs, impact, np.concatenate([[0], np.cumsum(n)]), slot
+
+    def all(self, row: dict, k1: float, b: float, mean: float, every: bool) -> Iterator[pa.RecordBatch]:
+        """The scores of one block of documents."""
+        ids = row["ids"].values
+        docs, impact, cut, slot = self._lists(row, k1, b, mean)
+        slots, start, out, held = slot[self.term], 0, [], 0
+
+        def batch() -> pa.RecordBatch:
+            i, at, score = (np.concatenate(x) for x in zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([self.names.take(pa.array(i)), ids.take(pa.array(at)), pa.array(score)], ["query_id", "corpus_id", "score"])
+
+        for q, end in enumerate(self.ends.tolist()):
+            own, weight = slots[start:end], self.weight[start:end]
+            start = end
+            have = np.flatnonzero(own >= 0)
+            found, score = np.arange(0), np.zeros(0)
+            if len(have):
+                found, score = self._must(np.arange(len(have)), own[have], weight[have], cut, docs, impact, len(ids))
+            if every:
+                whole = np.zeros(len(ids))
+                whole[found] = score
+                found, score = np.arange(len(ids)), whole
+            if len(found):
+                out.append((np.full(len(found), q), found, score))
+                held += len(found)
+            if held >= SCORES:
+                yield batch()
+                out, held = [], 0
+        if out:
+            yield batch()
+
+    def add(self, row: dict, k1: float, b: float, mean: float) -> None:
+        """One block of documents."""
+        ids = row["ids"].values
+        self.type = ids.type
+        names = np.array(ids.to_pylist())
+        docs, impact, cut, slot = self._lists(row, k1, b, mean)
+        if len(cut) == 1:
+            return
+        most, least = np.maximum.reduceat(impact, cut[:-1]), np.minimum.reduceat(impact, cut[:-1])
         edge, out = self.best.edge, []
         slots, start = slot[self.term], 0
         for q, end in enumerate(self.ends.tolist()):
@@ -222,7 +285,7 @@ class _Search:
             order = np.argsort(bound, kind="stable")
             rest = np.cumsum(bound[order])
             lazy = min(int(np.searchsorted(rest, floor)), len(rest) - 1)  # these terms together don't reach it
-            found, score = self._must(order[lazy:], own, weight, cut, docs, impact, len(lengths))
+            found, score = self._must(order[lazy:], own, weight, cut, docs, impact, len(ids))
             for t in order[:lazy][::-1].tolist():
                 keep = score + rest[lazy - 1] >= floor
                 found, score, lazy = found[keep], score[keep], lazy - 1

@@ -58,26 +58,24 @@ def inverse_frequencies(counted: DataFrame, epsilon: float = EPSILON) -> DataFra
 
 
 def bm25(queries: DataFrame, docs: DataFrame, *, tokenize: Callable[[Column], Column] = words, k1: float = K1, b: float = B, epsilon: float = EPSILON, candidates: DataFrame | None = None) -> DataFrame:
-    """query_id, corpus_id, score of every pair that shares a token (others score 0).
+    """query_id, corpus_id, score of every pair that shares a token (others score 0), from an inverted
+    index of the corpus (inverted.py), whose tasks sum the scores of their documents.
 
     candidates (query_id, corpus_id) restricts the pairs: only their documents are
-    tokenised for postings, and only the pairs are summed.  Statistics are those of the
-    whole corpus.  Only postings of the queries' tokens are made; a frequent token's list
-    is split by the engine's skew handling, as is its side of the join."""
+    tokenised for postings, and only the pairs are summed, by a join.  Statistics are those of the
+    whole corpus.  Only postings of the queries' tokens are made."""
+    if candidates is None:
+        return Index.build(docs, tokenize).scores(queries, k1=k1, b=b, epsilon=epsilon)
     counted = frequencies(docs, tokenize)
     asked = queries.select(F.col("id").alias("query_id"), F.explode(tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
     idf = inverse_frequencies(counted, epsilon).join(asked.select("token").distinct(), "token", "left_semi")
-    if candidates is not None:
-        docs = docs.join(candidates.select(F.col("corpus_id").alias("id")).distinct(), "id", "left_semi")
+    docs = docs.join(candidates.select(F.col("corpus_id").alias("id")).distinct(), "id", "left_semi")
     weighed = postings(docs, tokenize, asked).join(idf.select("token", "idf"), "token").join(F.broadcast(statistics(counted).select("mean_length")))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     parts = weighed.select("token", F.col("id").alias("corpus_id"), part.alias("part"))
-    if candidates is None:
-        pairs = parts.join(asked, "token")
-    else:
-        # a candidate pair meets its query's tokens, then the document's
-        wanted = candidates.select("query_id", "corpus_id").distinct().join(asked, "query_id")
-        pairs = wanted.join(parts, ["corpus_id", "token"])
+    # a candidate pair meets its query's tokens, then the document's
+    wanted = candidates.select("query_id", "corpus_id").distinct().join(asked, "query_id")
+    pairs = wanted.join(parts, ["corpus_id", "token"])
     return pairs.groupBy("query_id", "corpus_id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
 
 
@@ -86,8 +84,9 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int | None = 100, *, token
     (inverted.py); with candidates from bm25(), which makes their pairs only.  With k None
     every document is ranked for every query, which is the whole product: those that
     share no token score 0."""
-    if k is not None and candidates is None:
-        return Index.build(docs, tokenize).search(queries, k, **options)
+    if candidates is None:
+        index = Index.build(docs, tokenize)
+        return top_k(index.scores(queries, every=True, **options), None) if k is None else index.search(queries, k, **options)
     scores = bm25(queries, docs, tokenize=tokenize, candidates=candidates, **options)
     if k is None:
         every = queries.select(F.col("id").alias("query_id")).distinct().join(docs.select(F.col("id").alias("corpus_id")).distinct())
