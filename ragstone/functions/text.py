@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,19 +74,32 @@ QUERY_PATTERNS = {
 ROUTES = [("table_query", "table-aware"), ("specific_fact", "small"), ("contextual", "large")]
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _holds(low: Column, patterns: list[str]) -> Column:
+    """Whether a lower-case text has any of the patterns; plain ones are searched as strings."""
+    return reduce(or_, (low.contains(p) if re.fullmatch(r"[\w ]+", p) else low.rlike(p) for p in patterns))
+
+
 def query_classes(text: Column) -> Column:
     """The classes of a question, in order; `general` without any."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = F.filter(F.array(*(F.when(low.rlike("|".join(p)), F.lit(name)) for name, p in QUERY_PATTERNS.items())), lambda x: x.isNotNull())
-    return F.when(F.size(found) == 0, F.array(F.lit("general"))).otherwise(found)
+    each = once(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array(*(F.when(_holds(low, p), F.lit(name)) for name, p in QUERY_PATTERNS.items())))
+    return once(F.filter(each, lambda x: x.isNotNull()), lambda found: F.when(F.size(found) == 0, F.array(F.lit("general"))).otherwise(found))
 
 
 def route(classes: Column) -> Column:
     """The chunk set that suits a question's classes."""
-    out = F.lit("medium")
-    for name, to in reversed(ROUTES):
-        out = F.when(F.array_contains(classes, name), F.lit(to)).otherwise(out)
-    return out
+
+    def first(own: Column) -> Column:
+        out = F.lit("medium")
+        for name, to in reversed(ROUTES):
+            out = F.when(F.array_contains(own, name), F.lit(to)).otherwise(out)
+        return out
+
+    return once(classes, first)
 
 
 #: fixed values: words that call for more search terms, and those terms
