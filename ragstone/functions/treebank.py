@@ -13,10 +13,14 @@ any other full stop, and after ? and !, white space ends a sentence.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragstone.functions.text import once
+
 #: fixed values: the treebank's conventions as (pattern, replacement), in order.  The
 #: rule marked by FINAL applies at the end of a sentence only.
 FINAL = r"""([^.])(\.)([\])}>"']*)\s*$"""
@@ -34,6 +38,8 @@ ENDINGS = [
     (r"(?i)\b(can)(not)\b", r" \1 \2 "), (r"(?i)\b(d)('ye)\b", r" \1 \2 "), (r"(?i)\b(gim)(me)\b", r" \1 \2 "), (r"(?i)\b(gon)(na)\b", r" \1 \2 "), (r"(?i)\b(got)(ta)\b", r" \1 \2 "),
     (r"(?i)\b(lem)(me)\b", r" \1 \2 "), (r"(?i)\b(more)('n)\b", r" \1 \2 "), (r"(?i)\b(wan)(na)\s", r" \1 \2 "), (r"(?i) ('t)(is)\b", r" \1 \2 "), (r"(?i) ('t)(was)\b", r" \1 \2 "),
 ]
+#: how many of the rules come first, for opening quotes and for closing ones with endings; what the words that are two look like
+QUOTES, CLOSED, TWO = 3, 4, ("cannot", "d'ye", "gimme", "gonna", "gotta", "lemme", "more'n", "wanna", "'tis", "'twas")
 #: where a sentence may end: a mark and what closes with it, before white space
 END = r"""([.?!]["')\]}]{0,3})[ \t\n\r\f]+"""
 #: what may stand around a word
@@ -57,10 +63,16 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[ \t\n\r\f]+"), "")
 
 
+def _asked(text: Column, rules: list[tuple[str, str]], *marks: str) -> Column:
+    """The rules over a text that has one of the marks (lower-case), without which none applies."""
+    return once(text, lambda t: F.when(once(F.lower(t), lambda low: reduce(or_, (low.contains(m) for m in marks))), _rewritten(t, rules)).otherwise(t))
+
+
 def treebank(sentence: Column, ends: bool = True) -> Column:
     """The words of one sentence (or, without ends, of a part before its end)."""
-    inner = _rewritten(sentence, [r for r in RULES if ends or r[0] != FINAL])
-    return _words(_rewritten(F.concat(F.lit(" "), inner, F.lit(" ")), ENDINGS))
+    marks = _rewritten(_asked(sentence, RULES[:QUOTES], '"', "``", "''"), [r for r in RULES[QUOTES:] if ends or r[0] != FINAL])
+    closed = _asked(F.concat(F.lit(" "), marks, F.lit(" ")), ENDINGS[:CLOSED], '"', "'")
+    return _words(_asked(closed, ENDINGS[CLOSED:], *TWO))
 
 
 def _parts(text: Column) -> Column:
@@ -72,8 +84,12 @@ def _goes_on(part: Column, known: Column) -> Column:
     """Whether no sentence ends after a part: its last word is an abbreviation, a letter with
     its full stop, or dots."""
     word = F.regexp_replace(F.regexp_extract(part, r"(\S+)$", 1), OPENING, "")
-    stem = F.lower(F.regexp_replace(word, r"\.$", ""))
-    return word.endswith(".") & (word.endswith("..") | stem.rlike(r"^\p{L}$") | F.array_contains(known, stem))
+
+    def so(word: Column) -> Column:
+        stem = F.lower(F.regexp_replace(word, r"\.$", ""))
+        return word.endswith(".") & (word.endswith("..") | stem.rlike(r"^\p{L}$") | F.array_contains(known, stem))
+
+    return once(word, so)
 
 
 def sentences(text: Column, known: Iterable[str] = ()) -> Column:
@@ -85,9 +101,9 @@ def sentences(text: Column, known: Iterable[str] = ()) -> Column:
 
 def treebank_words(text: Column, known: Iterable[str] = ()) -> Column:
     """The words of a text, sentence by sentence, given the abbreviations that are known."""
-    known, parts = _list(known), _parts(text)
-    last = F.size(parts) - 1
-    return F.flatten(F.transform(parts, lambda x, i: F.when(_goes_on(x, known) & (i < last), treebank(x, False)).otherwise(treebank(x))))
+    known = _list(known)
+    each = lambda parts: F.transform(parts, lambda x, i: F.when((i < F.size(parts) - 1) & _goes_on(x, known), treebank(x, False)).otherwise(treebank(x)))
+    return F.flatten(once(_parts(text), each))
 
 
 def _list(known: Iterable[str]) -> Column:

@@ -18,3 +18,15 @@ def test_a_text_meets_each_class_pattern_once(spark):
     assert got["hello"] == got[None] == got["What  is"] == (["general"], "medium")
     plan = docs.select(text.route(text.query_classes(F.col("text"))).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("compare.*") == 1 and plan.count("lower(") == 1
+
+
+def test_rules_for_quotes_and_two_words_run_only_where_they_can(spark):
+    lines = ['He CANNOT say "no".', "Gonna, gotta; more'n that 'Tis so: don't ``go''", "D'ye wanna lemme?", "plain words here, 3.14 (x)", "''quoted'' they'LL", "", '"', "cannot"]
+    df = spark.createDataFrame([(x,) for x in lines], "x string")
+    x = F.col("x")
+    plain = treebank._words(treebank._rewritten(F.concat(F.lit(" "), treebank._rewritten(x, treebank.RULES), F.lit(" ")), treebank.ENDINGS))
+    assert all(r["a"] == r["b"] for r in df.select(treebank.treebank(x).alias("a"), plain.alias("b")).collect())
+    plan = df.select(treebank.treebank(x).alias("w"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "cannot" in plan
+    assert all(any(m in w for m in treebank.TWO) for w in ("cannot", "d'ye", "gimme", "gonna", "gotta", "lemme", "more'n", "wanna", "'tis", "'twas"))
+    assert len(treebank.TWO) == len(treebank.ENDINGS[treebank.CLOSED:])
