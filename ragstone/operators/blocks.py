@@ -24,6 +24,17 @@ def paired(corpus: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     return corpus.crossJoin(queries.repartition(n))  # a partition for each block, about
 
 
+def cuts(sizes: np.ndarray, most: int, rows: int) -> list[int]:
+    """Where to cut rows of these sizes so that each part has about most, and at most so many rows."""
+    at, held = [0], 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > at[-1] and (held + n > most or i - at[-1] >= rows):
+            at.append(i)
+            held = 0
+        held += n
+    return [*at, len(sizes)]
+
+
 class Best:
     """The k best (score rounded, then id, both falling) of each of n queries so far; k None
     keeps all.  `edge` holds the rounded score that a new one must reach, so later blocks

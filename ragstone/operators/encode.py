@@ -116,13 +116,17 @@ class EmbeddingStore:
         return keyed.select("id", "digest").join(self.vectors(spark, name), "digest").select("id", "embedding")
 
 
+#: rows whose vectors a worker holds before it sends them on
+ROWS = 1024
+
+
 def encode(rows: DataFrame, encoder: Encoder, batch: int = 64) -> DataFrame:
     """id, embedding of rows (id, text).  The encoder travels once to each task (see
     WorkerEncoder for large ones); within a batch texts are taken by length, which models like."""
     schema = f"id {dict(rows.dtypes)['id']}, embedding array<float>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in (f.iloc[at: at + ROWS] for f in frames for at in range(0, len(f), ROWS)):
             order = f["text"].fillna("").str.len().sort_values(ascending=False).index
             made: dict = {}
             for at in range(0, len(order), batch):

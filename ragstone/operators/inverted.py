@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragstone.functions.text import words
-from ragstone.operators.blocks import Best, paired
+from ragstone.operators.blocks import Best, cuts, paired
 from ragstone.operators.ranking import PLACES, top_k
 from ragstone.session import BLOCK_FILES, shared_path, written
 
@@ -60,17 +60,6 @@ def _block(ids: pa.Array, tokens: pa.ListArray) -> list[pa.Array]:
     return [one(ids), one(lengths, pa.int32()), one(coded.dictionary), one(df, pa.int32()), one(key % max(n, 1), pa.int32()), one(tf, pa.int32())]
 
 
-def _cuts(sizes: np.ndarray, most: int, rows: int) -> list[int]:
-    """Where to cut rows of these sizes so that each part has about most, and at most so many rows."""
-    cuts, held = [0], 0
-    for i, n in enumerate(sizes.tolist()):
-        if i > cuts[-1] and (held + n > most or i - cuts[-1] >= rows):
-            cuts.append(i)
-            held = 0
-        held += n
-    return [*cuts, len(sizes)]
-
-
 def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int, rows: int) -> Iterator[pa.Table]:
     """The rows in tables whose list column has about most values; a longer single list stays
     whole."""
@@ -78,8 +67,8 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int, rows: in
     held = count = 0
     for batch in batches:
         sizes = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        cuts = _cuts(sizes, most, rows)
-        for a, b in zip(cuts, cuts[1:], strict=False):
+        ends = cuts(sizes, most, rows)
+        for a, b in zip(ends, ends[1:], strict=False):
             if a == b:
                 continue
             n = int(sizes[a:b].sum())

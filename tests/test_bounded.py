@@ -30,3 +30,19 @@ def test_rules_for_quotes_and_two_words_run_only_where_they_can(spark):
     assert "cannot" in plan
     assert all(any(m in w for m in treebank.TWO) for w in ("cannot", "d'ye", "gimme", "gonna", "gotta", "lemme", "more'n", "wanna", "'tis", "'twas"))
     assert len(treebank.TWO) == len(treebank.ENDINGS[treebank.CLOSED:])
+
+
+def test_texts_are_cut_a_bounded_number_at_a_time(spark, tmp_path):
+    seen = str(tmp_path)
+
+    def encode(texts):
+        import uuid
+
+        open(f"{seen}/{len(texts)}-{uuid.uuid4().hex}", "w").close()
+        return [[1.0, float(len(t))] for t in texts]
+
+    docs = spark.range(3000).select("id", F.lit("one. two").alias("text")).coalesce(1)
+    assert splitters.chunk_corpus(docs, "semantic", encode=encode).groupBy().agg(F.countDistinct("doc_id")).first()[0] == 3000
+    import os
+
+    assert max(int(f.split("-")[0]) for f in os.listdir(seen)) <= 2 * splitters.TEXTS
