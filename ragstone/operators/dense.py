@@ -330,32 +330,32 @@ class _Documents:
         by_id = np.lexsort((keys, owner))  # within each document by the chunks' ids, rising
         for first, s in self.queries.products(part.column("embedding"), keys):
             gone = np.argwhere(np.isneginf(s))
-            r = np.round(s, PLACES)
             with np.errstate(invalid="ignore"):  # where a chunk doesn't count
-                d = self._reduced(s, r, by_id, start, size)
+                d = self._reduced(s, by_id, start, size, self.best.edge[first: first + len(s)])
             n = np.broadcast_to(size, d.shape).copy() if len(gone) and self.with_best else np.broadcast_to(size, d.shape)
             for q, j in {(q, owner[c]) for q, c in gone.tolist()}:  # a chunk that doesn't count for a query
                 at = np.arange(cut[j], cut[j + 1])
                 at = at[np.isfinite(s[q, at])]
-                d[q, j] = _one(self.method, s[q, at], r[q, at], keys[at]) if len(at) else -np.inf
+                d[q, j] = _one(self.method, s[q, at], np.round(s[q, at], PLACES), keys[at]) if len(at) else -np.inf
                 if self.with_best:
                     n[q, j] = len(at)
             more = []
             if self.with_best:
-                def found(i, j, r=r):
+                def found(i, j, s=s):
                     """The best chunk of each pair: highest score, then highest id."""
                     out = np.zeros(len(i), np.int64)
                     for doc in np.unique(j):
                         mine = np.flatnonzero(j == doc)
                         at = by_id[cut[doc]: cut[doc + 1]]
-                        out[mine] = at[len(at) - 1 - np.argmax(r[np.ix_(i[mine], at[::-1])], axis=1)]
+                        out[mine] = at[len(at) - 1 - np.argmax(np.round(s[np.ix_(i[mine], at[::-1])], PLACES), axis=1)]
                     return out
 
                 more = [lambda i, j, n=n: n[i, j], lambda i, j: place[at] if len(at := found(i, j)) else place[:0], lambda i, j: keys[at] if len(at := found(i, j)) else keys[:0]]
             self.best.add_matrix(d, names, *more, first=first)
 
-    def _reduced(self, s: np.ndarray, r: np.ndarray, by_id: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Queries by documents."""
+    def _reduced(self, s: np.ndarray, by_id: np.ndarray, start: np.ndarray, size: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """Queries by documents.  Where chunks would have to be sorted, a document whose best chunk doesn't
+        reach a query's edge has that chunk's score, which is no less than its own."""
         if self.method == "max":
             return np.maximum.reduceat(s, start, axis=1)
         if self.method == "first":
@@ -366,13 +366,16 @@ class _Documents:
         if self.method == "weighted_position":
             w = 1 / (np.arange(len(by_id)) - np.repeat(start, size) + 1)
             return np.add.reduceat(s * w, start, axis=1) / np.add.reduceat(w, start)
-        out = np.empty((len(s), len(size)))
-        for n in np.unique(size):  # documents of one number of chunks are sorted at once
-            docs = np.flatnonzero(size == n)
-            at = by_id[start[docs][:, None] + np.arange(n)[::-1]]  # by id, falling
-            order = np.argsort(-r[:, at], axis=2, kind="stable")
+        out = np.maximum.reduceat(s, start, axis=1)
+        i, j = np.nonzero(out >= (edge - 2 * 10.0**-PLACES)[:, None])
+        for n in np.unique(size[j]):  # documents of one number of chunks are sorted at once
+            mine = np.flatnonzero(size[j] == n)
             w = 1 / np.arange(1, n + 1)
-            out[:, docs] = (np.take_along_axis(s[:, at], order, 2) * w).sum(axis=2) / w.sum()
+            for some in np.array_split(mine, max(len(mine) * int(n) * 32 // PRODUCT_BYTES, 1)):
+                q, doc = i[some], j[some]
+                own = s[q[:, None], by_id[start[doc][:, None] + np.arange(n)[::-1]]]  # by id, falling
+                order = np.argsort(-np.round(own, PLACES), axis=1, kind="stable")
+                out[q, doc] = (np.take_along_axis(own, order, 1) * w).sum(axis=1) / w.sum()
         return out
 
     def rows(self) -> Iterator[pa.RecordBatch]:

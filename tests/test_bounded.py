@@ -46,3 +46,21 @@ def test_texts_are_cut_a_bounded_number_at_a_time(spark, tmp_path):
     import os
 
     assert max(int(f.split("-")[0]) for f in os.listdir(seen)) <= 2 * splitters.TEXTS
+
+
+def test_weighted_rank_sorts_only_what_can_reach_the_edge(monkeypatch):
+    r = np.random.default_rng(3)
+    s = np.round(r.normal(size=(7, 60)), 2)
+    start = np.array([0, 1, 6, 11, 13, 30])
+    size = np.diff([*start, 60])
+    by_id = np.concatenate([r.permutation(np.arange(a, a + n)) for a, n in zip(start, size, strict=True)])
+    own = dense._Documents.__new__(dense._Documents)
+    own.method = "weighted_rank"
+    rank = np.empty(60, int)
+    rank[by_id] = np.arange(60)
+    want = np.array([[dense._one("weighted_rank", row[a: a + n], np.round(row[a: a + n], 9), rank[a: a + n]) for a, n in zip(start, size, strict=True)] for row in s])
+    assert np.allclose(own._reduced(s, by_id, start, size, np.full(7, -np.inf)), want)
+    edge = np.sort(want, axis=1)[:, -2]
+    got = own._reduced(s, by_id, start, size, edge)
+    keep = want >= edge[:, None]
+    assert np.allclose(got[keep], want[keep]) and (np.where(keep, -np.inf, got) < np.maximum(edge[:, None], -np.inf)).all() and (got >= want - 1e-12).all()
