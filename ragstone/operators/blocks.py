@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from ragstone.operators.ranking import PLACES
 
 
-def paired(corpus: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+def paired(corpus: DataFrame, queries: DataFrame, n: int, key: str = "block") -> DataFrame:
     """Every block of corpus with every one of n blocks of queries (one row a block, at most
-    some MB each).  Both sides are tables: a grid reads the corpus once for each block of queries."""
+    some MB each, its number in the column key).  Both sides are tables: a grid reads the corpus once for each block of queries."""
     if n <= 1:
         return corpus.join(F.broadcast(queries))
-    return corpus.crossJoin(queries.repartition(n))  # a partition for each block, about
+    return corpus.crossJoin(queries.repartitionByRange(n, key))  # a partition for each block
 
 
 def cuts(sizes: np.ndarray, most: int, rows: int) -> list[int]:

@@ -8,6 +8,9 @@ scores at a time, and sends on k rows of each query.  A query's k-th score so fa
 the edge that later products must reach (blocks.py).  One block of queries goes to the tasks as it is, and the
 corpus isn't moved; more blocks meet the blocks of the stored corpus in a grid.
 
+Where the k best vectors are asked, products are of single precision first: a tile that stays in a cache, and
+only pairs within its error of the edge are multiplied again in double precision, which alone ranks.
+
 `dense_documents` has a document's chunks beside each other and reduces their scores to
 the document's in the task, so neither pairs of query and chunk nor those of query
 and document leave it, but for the k best.
@@ -32,6 +35,9 @@ from ragstone.session import BLOCK_FILES, written
 #: queries of a block at most, and rows that a task keeps of them (k of each); vectors of a block of
 #: the corpus, bytes of a product of two
 QUERY_BLOCK, KEPT, ROW_BLOCK, PRODUCT_BYTES = 16384, 400_000, 8192, 32 << 20
+#: products of single precision at a time, and vectors of the corpus in them; what a sum of n such products may be off by n times (twice a
+#: rounding), as a part of the vectors' lengths; lengths up to which such products stay finite
+TILE, WIDE, ROUNDING, LONGEST = 1 << 20, 2048, 2.0**-23, 1e15
 #: a score of one's own: the rows of two matrices with each other
 Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -113,14 +119,15 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int, whole: str | None = N
 class Queries:
     """A block of query vectors."""
 
-    def __init__(self, ids: pa.Array, embeddings: pa.Array, score: str | Score, groups: pa.Array | None = None):
-        self.ids, self.embeddings, self.score, self.groups = ids, embeddings, score, groups
+    def __init__(self, ids: pa.Array, embeddings: pa.Array, score: str | Score, groups: pa.Array | None = None, block: int = QUERY_BLOCK):
+        self.ids, self.embeddings, self.score, self.groups, self.block = ids, embeddings, score, groups, block
         size = pc.value_counts(pc.drop_null(pc.list_value_length(embeddings))).to_pylist()
         self.width = max(size, key=lambda x: (x["counts"], -x["values"]))["values"] if size else 1
         self.m, self.sound = _matrix(embeddings, self.width)
         if score == "cos_sim":
             self.m, self.sound = _unit(self.m, self.sound)
         self.order: np.ndarray | None = None
+        self.single: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -130,7 +137,7 @@ class Queries:
         if self.groups is None:
             return self
         at = pc.indices_nonzero(pc.equal(self.groups, group))
-        return Queries(self.ids.take(at), self.embeddings.take(at), self.score)
+        return Queries(self.ids.take(at), self.embeddings.take(at), self.score, block=self.block)
 
     def same(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, key) of those that have the same id."""
@@ -150,11 +157,9 @@ class Queries:
     def products(self, embeddings: pa.Array, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(first query, scores of the queries from there on with all vectors), minus infinity for
         pairs of one id."""
-        m, good = _matrix(embeddings, self.width)
-        if self.score == "cos_sim":
-            m, good = _unit(m, good)
+        m, good = self.rows(embeddings)
         q, c = self.same(keys)
-        step = max(PRODUCT_BYTES // (8 * max(len(m), 1)), 1)
+        step = min(max(PRODUCT_BYTES // (8 * max(len(m), 1)), 1), self.block)
         for at in range(0, len(self.m), step):
             own = callable(self.score)
             s = self.score(self.m[at: at + step], m) if own else self.m[at: at + step] @ m.T
@@ -164,30 +169,81 @@ class Queries:
             s[q[here] - at, c[here]] = -np.inf
             yield at, s
 
-
-def _block(block: int | None, k: int | None) -> int:
+    def rows(self, embeddings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of the corpus as products take them, and which of them are sound."""
+        m, good = _matrix(embeddings, self.width)
+        return _unit(m, good) if self.score == "cos_sim" else (m, good)
+
+    def near(self, m: np.ndarray, good: np.ndarray, keys: np.ndarray, edge: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]] | None:
+        """(queries, vectors, scores) of all pairs whose score may reach the query's edge, without one so
+        far that of the k best of these vectors; none of one id.  None if single precision won't do."""
+        if self.single is None:
+            self.length = np.linalg.norm(self.m, axis=1)
+            self.single = self.m.astype(np.float32)
+        length = float(np.linalg.norm(m, axis=1).max(initial=0.0))
+        if not max(length, float(self.length.max(initial=0.0))) <= LONGEST:
+            return None
+        return self._near(m, good, keys, edge, k, (self.width + 4) * ROUNDING * length * self.length + 2 * 10.0**-PLACES)
+
+    def _near(self, m: np.ndarray, good: np.ndarray, keys: np.ndarray, edge: np.ndarray, k: int, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        columns, n = m.astype(np.float32), len(m)
+        q, c = self.same(keys)
+        order = np.argsort(q, kind="stable")
+        q, c = q[order], c[order]
+        first = bool(np.isneginf(edge).any())  # an edge is found over all vectors, else tiles are wide in queries too
+        width = n if first else min(n, WIDE)
+        step = min(max(TILE // max(width, 1), 1), self.block)
+        for at in range(0, len(self.m), step):
+            to = min(at + step, len(self.m))
+            a, z = np.searchsorted(q, (at, to))
+            floor = edge[at:to] - off[at:to]
+            for left in range(0, n, width):
+                s = self.single[at:to] @ columns[left: left + width].T
+                s[~self.sound[at:to]] = -1
+                s[:, ~good[left: left + width]] = -1
+                here = (c[a:z] >= left) & (c[a:z] < left + width)
+                s[q[a:z][here] - at, c[a:z][here] - left] = -np.inf
+                if first and k < n:
+                    new = np.isneginf(floor)
+                    floor[new] = np.partition(s[new], n - k, axis=1)[:, n - k] - 2 * off[at:to][new]
+                low = np.nextafter(floor.astype(np.float32), np.float32(-np.inf))
+                found = np.flatnonzero(s >= low[:, None])
+                if first:
+                    found = found[np.isfinite(s.ravel()[found])]
+                i, j = np.divmod(found, s.shape[1])
+                for some in range(0, len(i), TILE // 16):
+                    x, y = i[some: some + TILE // 16] + at, j[some: some + TILE // 16] + left
+                    value = np.einsum("ij,ij->i", self.m[x], m[y])
+                    value[~(self.sound[x] & good[y])] = -1
+                    yield x, y, value
+
+
+def _most(k: int | None) -> int:
     """Queries of a block."""
-    return block or max(min(QUERY_BLOCK, KEPT // (k or 100)), 1)
+    return max(min(QUERY_BLOCK, KEPT // (k or 100)), 1)
 
 
-def _queries(columns: list[pa.Array], score: str | Score) -> Queries:
-    return Queries(*columns[:2], score, *columns[2:])
+def _queries(columns: list[pa.Array], score: str | Score, block: int) -> Queries:
+    return Queries(*columns[:2], score, *columns[2:], block=block)
 
 
-def _search(queries: DataFrame, corpus: DataFrame, score: str | Score, block: int, make: Callable[[Queries], object], schema: str, whole: str | None = None) -> DataFrame:
+def _search(queries: DataFrame, corpus: DataFrame, score: str | Score, block: int | None, k: int | None, make: Callable[[Queries], object], schema: str, whole: str | None = None) -> DataFrame:
     """Every block of queries (id, embedding, and their group if there are groups) with all rows of the corpus, which come to
-    make(block).add(rows) in batches; make(block).rows() gives what is left."""
-    spark = corpus.sparkSession
-    blocks = written(_packed(queries.coalesce(8), block), "query-blocks", BLOCK_FILES)
-    n = blocks.count()
+    make(block).add(rows) in batches; make(block).rows() gives what is left.  Smaller blocks, if any are asked
+    for, are multiplied apart, but go to the tasks as many together as a block may hold, so that
+    the corpus isn't read for each of them."""
+    spark, most = corpus.sparkSession, max(_most(k), block or 1)
+    block = block or most
+    blocks = written(_packed(queries.coalesce(8), most), "query-blocks", BLOCK_FILES)
+    n, asked_for = blocks.agg(F.count("*"), F.coalesce(F.sum(F.size("id")), F.lit(0))).first()
     if n == 0:
         return spark.createDataFrame([], schema)
-    if n == 1:
+    if n == 1 and asked_for <= block:
         row = blocks.toArrow()  # one block
         sent = spark.sparkContext.broadcast([row.column(c).chunk(0)[0].values for c in row.column_names])
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = make(_queries(sent.value, score))
+            own = make(_queries(sent.value, score, block))
             for part in gathered(batches, ROW_BLOCK, whole):
                 yield from own.add(part)
             yield from own.rows()
@@ -204,12 +260,12 @@ def _search(queries: DataFrame, corpus: DataFrame, score: str | Score, block: in
             for i in range(batch.num_rows):
                 number = batch.column("query_block")[i].as_py()
                 if number not in held:
-                    held[number] = make(_queries([batch.column(c)[i].values for c in asked], score))
+                    held[number] = make(_queries([batch.column(c)[i].values for c in asked], score, block))
                 yield from held[number].add(pa.RecordBatch.from_arrays([batch.column(c)[i].values for c in names], names))
         for own in held.values():
             yield from own.rows()
 
-    return paired(stored, numbered, n).mapInArrow(pairs, schema)
+    return paired(stored, numbered, n, "query_block").mapInArrow(pairs, schema)
 
 
 def _keys(col: pa.Array) -> np.ndarray:
@@ -223,9 +279,11 @@ class _Vectors:
         self.queries, self.k, self.best, self.type = queries, k, Best(len(queries), k), None
 
     def add(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        self.type = part.column("id").type
+        if self.k is not None and not callable(self.queries.score) and self._near(part):
+            return
         # parts may be wide: of the product a slice of the vectors at a time
         step = max(PRODUCT_BYTES // (8 * max(len(self.queries), 1)), 256)
-        self.type = part.column("id").type
         for at in range(0, part.num_rows, step):
             some = part.slice(at, step)
             keys = _keys(some.column("id"))
@@ -235,6 +293,20 @@ class _Vectors:
                 yield from self.rows()
                 self.best = Best(len(self.queries), None)
 
+    def _near(self, part: pa.RecordBatch) -> bool:
+        """Adds the rows by products of single precision, if these will do."""
+        keys, best = _keys(part.column("id")), self.best
+        m, good = self.queries.rows(part.column("embedding"))
+        pairs = self.queries.near(m, good, keys, best.edge, self.k)
+        if pairs is None:
+            return False
+        for i, j, s in pairs:
+            keep = np.round(s, PLACES) >= best.edge[i]
+            best.add(i[keep], keys[j[keep]], s[keep])
+        if best.parts and (np.isneginf(best.edge).any() or best.held > 2 * self.k * best.n):
+            best.cut()
+        return True
+
     def rows(self) -> Iterator[pa.RecordBatch]:
         if self.best.parts:
             i, ids, s = self.best.cut()
@@ -282,9 +354,9 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int | None = 100, score
         return top_k(score_pairs(queries, corpus, score), k)
     schema = f"query_id {dict(queries.dtypes)['id']}, corpus_id {dict(corpus.dtypes)['id']}, score double"
     if by is None:
-        return top_k(_search(queries.select("id", "embedding"), corpus.select("id", "embedding"), score, _block(block, k), lambda q: _Vectors(q, k), schema), k)
+        return top_k(_search(queries.select("id", "embedding"), corpus.select("id", "embedding"), score, block, k, lambda q: _Vectors(q, k), schema), k)
     asked = queries.select("id", "embedding", *([by] if by in queries.columns else []))
-    found = _search(asked, corpus.select("id", "embedding", by), score, _block(block, k), lambda q: _Groups(q, k, by), f"`{by}` {dict(corpus.dtypes)[by]}, {schema}")
+    found = _search(asked, corpus.select("id", "embedding", by), score, block, k, lambda q: _Groups(q, k, by), f"`{by}` {dict(corpus.dtypes)[by]}, {schema}")
     return top_k(found, k, by=[by, "query_id"])
 
 
@@ -401,4 +473,4 @@ def dense_documents(queries: DataFrame, chunks: DataFrame, method: str = "max",
         schema += f", num_chunks_matched long, best_chunk_index {kinds['chunk_index']}, chunk_id string"
     rows = chunks.select("doc_id", "chunk_index", F.col("chunk_id").cast("string").alias("chunk_id"), "embedding")
     rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index", "chunk_id")
-    return top_k(_search(queries.select("id", "embedding"), rows, score, _block(block, k), lambda q: _Documents(q, k, method, best), schema, whole="doc_id"), k)
+    return top_k(_search(queries.select("id", "embedding"), rows, score, block, k, lambda q: _Documents(q, k, method, best), schema, whole="doc_id"), k)
