@@ -43,3 +43,9 @@ def is_table_line(line: Column) -> Column:
     """Two pipes, two tabs, or two wide gaps."""
     tabs = F.length(line) - F.length(F.replace(line, F.lit("\t"), F.lit("")))
     return (pipes(line) >= 2) | (tabs >= 2) | (F.regexp_count(line, F.lit(r"\s{3,}")) >= 2)
+
+
+def may_have_table_line(text: Column) -> Column:
+    """False only if no line of a text can be a table line: without pipe, tab and wide gap.  Lines needn't
+    be looked at then."""
+    return text.contains("|") | text.contains("\t") | text.rlike(r"[^\S\n]{3}")

@@ -10,12 +10,12 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"[ \t\n\r\f\x0B]+"
+SPACE = " \t\n\r\f\x0B"
 
 
 def strip(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(F.regexp_replace(c, "^" + SPACE, ""), SPACE + "$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def title_text(title: Column, text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ragstone.functions.vectors import min_max
 from ragstone.operators.lexical import bm25
 from ragstone.operators.ranking import top_k
+from ragstone.session import written
 
 ALPHA = 0.6
 
@@ -23,5 +24,5 @@ def fused(candidates: DataFrame, lexical: DataFrame, k: int | None, alpha: float
 
 def hybrid_search(queries: DataFrame, docs: DataFrame, dense_run: DataFrame, k: int = 100, alpha: float = ALPHA) -> DataFrame:
     """The k best of each query from the 2k best of dense_run, which is ranked alike."""
-    candidates = top_k(dense_run.select("query_id", "corpus_id", "score"), 2 * k)
+    candidates = written(top_k(dense_run.select("query_id", "corpus_id", "score"), 2 * k), "candidates")  # the search is run once
     return fused(candidates, bm25(queries, docs, candidates=candidates), k, alpha)

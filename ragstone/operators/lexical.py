@@ -66,7 +66,7 @@ def bm25(queries: DataFrame, docs: DataFrame, *, tokenize: Callable[[Column], Co
     whole corpus.  Only postings of the queries' tokens are made."""
     if candidates is None:
         return Index.build(docs, tokenize).scores(queries, k1=k1, b=b, epsilon=epsilon)
-    counted = frequencies(docs, tokenize)
+    counted = written(frequencies(docs, tokenize), "frequencies")  # for the sizes, for the mean, and for the terms that are asked
     asked = queries.select(F.col("id").alias("query_id"), F.explode(tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
     idf = inverse_frequencies(counted, epsilon).join(asked.select("token").distinct(), "token", "left_semi")
     docs = docs.join(candidates.select(F.col("corpus_id").alias("id")).distinct(), "id", "left_semi")

@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragstone.functions.tables import is_table_line
+from ragstone.functions.tables import is_table_line, may_have_table_line
 from ragstone.functions.text import strip, title_lines
 
 LEAST_WORDS, LEAST_CHARS = 50, 100
+#: windows of characters that are cut from one stretch of a text
+STRIP = 16
 
 
 def _with(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -36,7 +38,14 @@ def char_windows(text: Column, size: int = 512, overlap: int = 50) -> Column:
     overlap characters until one reaches the end, without those under LEAST_CHARS."""
     n, step = F.length(text), size - overlap
     last = F.ceil((n - size) / F.lit(step)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: strip(F.substring(text, i * step + 1, F.lit(size))))
+
+    def cut(part: Column, j: Column) -> Column:
+        first = j * STRIP
+        return F.transform(F.sequence(first, F.least(first + STRIP - 1, F.greatest(last, F.lit(0)))), lambda i: strip(F.substring(part, (i - first) * step + 1, F.lit(size))))
+
+    # a substring walks its text from the start, so windows are taken from strips of the text
+    strips = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(last, F.lit(0)) / STRIP).cast("int")), lambda j: F.substring(text, j * (STRIP * step) + 1, F.lit((STRIP - 1) * step + size)))
+    parts = F.flatten(F.transform(strips, cut))
     return F.when(n <= size, F.array(text)).otherwise(F.filter(parts, lambda p: F.length(p) >= LEAST_CHARS))
 
 
@@ -75,7 +84,8 @@ def _regions(lines: Column) -> Column:
 
 def _lined(docs: DataFrame, text: str) -> DataFrame:
     """docs with lines and regions beside the other columns."""
-    return docs.withColumn("lines", F.split(text, "\n")).withColumn("regions", _regions(F.col("lines")))
+    regions = F.when(may_have_table_line(F.col(text)), _regions(F.col("lines"))).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+    return docs.withColumn("lines", F.split(text, "\n")).withColumn("regions", regions)
 
 
 def table_regions(docs: DataFrame, text: str = "text") -> DataFrame:

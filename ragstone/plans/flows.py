@@ -48,7 +48,8 @@ def chunked_hybrid(corpus: DataFrame, queries: DataFrame, *, chunks: DataFrame |
     chunk scores to documents, reranked."""
     s, e = settings or Settings(), encoder or HashingEncoder()
     if chunks is None:
-        chunks = region_word_chunks(corpus, size, overlap) if words else region_char_chunks(corpus, size, overlap)
+        # cut once: for the vectors, for BM25's statistics and postings, and for the documents' names
+        chunks = written(region_word_chunks(corpus, size, overlap) if words else region_char_chunks(corpus, size, overlap), "chunks")
     texts = chunks.select(F.col("chunk_id").alias("id"), "text")
     dense = dense_topk(encode(queries, e), encode(texts, e), 2 * s.retrieve)
     found = hybrid_search(queries, texts, dense, s.retrieve, s.alpha).withColumnRenamed("corpus_id", "chunk_id").join(chunks.select("chunk_id", "doc_id", "chunk_index"), "chunk_id")
