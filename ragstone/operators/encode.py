@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from typing import Protocol
 from urllib.parse import quote
 
-import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -21,31 +20,6 @@ class Encoder(Protocol):
     def encode(self, texts: list[str]) -> list[list[float]]: ...
 
 
-class _Places(dict):
-    """Words' places in a vector by their hashes, and width more if they count down.  Words of a usual length are kept."""
-
-    def __init__(self, width: int):
-        self.width = width
-
-    def __missing__(self, word: str) -> int:
-        h = zlib.crc32(word.encode())
-        place = h % self.width + (0 if h >> 31 else self.width)
-        if len(word) <= WORD:
-            self[word] = place
-        return place
-
-    def bound(self) -> None:
-        """Before a text: starts anew where too many words are kept."""
-        if len(self) > WORDS:
-            self.clear()
-
-
-#: words that a process keeps before a text, and their greatest length
-WORDS, WORD = 100_000, 40
-#: of this process, by width
-_PLACES: dict[int, _Places] = {}
-
-
 class HashingEncoder:
     """Signed counts of hashed words, scaled to length 1: no model, the same anywhere."""
 
@@ -54,11 +28,13 @@ class HashingEncoder:
 
     def sums(self, texts: list[str]) -> list[list[float]]:
         """The counts; those of texts joined by white space are the sums of theirs."""
-        out, places = [], _PLACES.setdefault(self.width, _Places(self.width))
+        out = []
         for t in texts:
-            places.bound()
-            each = np.bincount([*map(places.__getitem__, t.lower().split())], minlength=2 * self.width)
-            out.append((each[: self.width] - each[self.width:]).astype(float).tolist())
+            v = [0.0] * self.width
+            for w in t.lower().split():
+                h = zlib.crc32(w.encode())
+                v[h % self.width] += 1.0 if h >> 31 else -1.0
+            out.append(v)
         return out
 
     def encode(self, texts: list[str]) -> list[list[float]]:
