@@ -178,7 +178,7 @@ def _prepare(question: str, documents: list) -> list[dict]:
     return [{"role": "user", "content": f"{question}\n{documents[0][0]}\n{len(documents)}"}]
 
 
-@query("messages_custom", f"WITH {BM_RUN} SELECT CAST(query_id AS VARCHAR) AS query_id, 1 AS n_messages, md5(b.text || chr(10) || concat_ws(' ', source, d.text) || chr(10) || n) AS content_md5 FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id DESC) AS i FROM run) JOIN documents d ON doc_id = corpus_id JOIN benchmark b ON item_id = query_id WHERE i = 1")
+@query("messages_custom", f"WITH {BM_RUN} SELECT CAST(query_id AS VARCHAR) AS query_id, 1 AS n_messages, md5(b.text || chr(10) || concat_ws(' ', source, d.text) || chr(10) || n) AS content_md5 FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM run) JOIN documents d ON doc_id = corpus_id JOIN benchmark b ON item_id = query_id WHERE rank = 1")
 def _(spark, d):
     m = generate.custom_messages(bm25_run(spark, d), questions(spark, d), corpus(spark, d), _prepare)
     return m.select("query_id", F.size("messages").alias("n_messages"), F.md5(F.col("messages")[0]["content"]).alias("content_md5"))
