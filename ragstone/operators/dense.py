@@ -10,6 +10,8 @@ corpus isn't moved; more blocks meet the blocks of the stored corpus in a grid.
 
 Where the k best vectors are asked, products are of single precision first: a tile that stays in a cache, and
 only pairs within its error of the edge are multiplied again in double precision, which alone ranks.
+A score of one's own that has a bound (Bounded) is found so too: products of single precision bound it from above, and only
+pairs that may reach the edge are scored.
 
 `dense_documents` has a document's chunks beside each other and reduces their scores to
 the document's in the task, so neither pairs of query and chunk nor those of query
@@ -19,6 +21,7 @@ and document leave it, but for the k best.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +41,30 @@ QUERY_BLOCK, KEPT, ROW_BLOCK, PRODUCT_BYTES = 16384, 400_000, 8192, 32 << 20
 #: products of single precision at a time, and vectors of the corpus in them; what a sum of n such products may be off by n times (twice a
 #: rounding), as a part of the vectors' lengths; lengths up to which such products stay finite
 TILE, WIDE, ROUNDING, LONGEST = 1 << 20, 2048, 2.0**-23, 1e15
+#: pairs that are scored at once where they stand alone, and the share of a tile from which on all of it is; for each of the k best
+#: of the first vectors, pairs that are scored to find an edge; tasks of a grid for each core
+PAIRS, DENSE, LIKELY, WAVES = 1 << 10, 1 / 4, 5, 4
 #: a score of one's own: the rows of two matrices with each other
 Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
+class Bounded(Protocol):
+    """A score of one's own with an upper bound that is a product: score(a, b) <= terms(a, scale) @ terms(b, scale).T
+    - least(scale), but for rounding, for any scale with positive numbers (one for each coordinate)."""
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray: ...
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Scores of the rows of a with those of b beside them, to the last bit those of a call; in single precision for such rows,
+        as far off as such sums may be."""
+
+    def scale(self, m: np.ndarray) -> np.ndarray: ...
+
+    def terms(self, m: np.ndarray, scale: np.ndarray) -> np.ndarray: ...
+
+    def least(self, scale: np.ndarray) -> float: ...
+
+
 def score_pairs(queries: DataFrame, corpus: DataFrame, name: str = "cos_sim", more: dict | None = None) -> DataFrame:
     """query_id, corpus_id, score of all pairs of (id, embedding) with different ids."""
     f = score_function(name, more)
@@ -217,6 +240,82 @@ class Queries:
                     value[~(self.sound[x] & good[y])] = -1
                     yield x, y, value
 
+    def reaching(self, m: np.ndarray, good: np.ndarray, keys: np.ndarray, edge: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]] | None:
+        """As near(), by the bound of a score of one's own.  None if single precision won't do."""
+        fit, score = good & np.isfinite(m).all(axis=1), self.score
+        if self.single is None:
+            self.finite = self.sound & np.isfinite(self.m).all(axis=1)
+            self.largest = float(np.abs(self.m[self.finite]).max(initial=0.0))
+            if self.largest <= LONGEST:
+                self.scale = score.scale(self.m[self.finite])
+                self.single = score.terms(np.where(self.finite[:, None], self.m, 0), self.scale)
+                self.length = np.linalg.norm(self.single, axis=1)
+                self.short = np.where(self.finite[:, None], self.m, 0).astype(np.float32)
+        largest = max(self.largest, float(np.abs(m[fit]).max(initial=0.0)))
+        if not largest <= LONGEST or k >= len(m):
+            return None
+        columns = score.terms(np.where(fit[:, None], m, 0), self.scale)
+        length = float(np.linalg.norm(columns, axis=1).max(initial=0.0))
+        off = (columns.shape[1] + 4) * ROUNDING * length * self.length + 1e-14 * self.width * largest + 2 * 10.0**-PLACES
+        sums = (self.width + 4) * ROUNDING * 2 * self.width * largest + 2 * 10.0**-PLACES
+        return self._reaching(m, fit, columns, keys, edge, k, off - score.least(self.scale), sums)
+
+    def _reaching(self, m: np.ndarray, fit: np.ndarray, columns: np.ndarray, keys: np.ndarray, edge: np.ndarray, k: int, off: np.ndarray, sums: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        n, score, short = len(m), self.score, np.where(fit[:, None], m, 0).astype(np.float32)
+        q, c = self.same(keys)
+        order = np.argsort(q, kind="stable")
+        q, c = q[order], c[order]
+        first = bool(np.isneginf(edge[self.finite]).any())  # an edge is found over all vectors
+        width = n if first else min(n, WIDE)
+        step = min(max(TILE // max(width, 1), 1), self.block)
+        room, all_fit = np.empty(step * width, np.float32), bool(fit.all())
+        for at in range(0, len(self.m), step):
+            to = min(at + step, len(self.m))
+            a, z = np.searchsorted(q, (at, to))
+            floor = np.where(self.finite[at:to], edge[at:to], np.inf)
+            for left in range(0, n, width):
+                right = min(left + width, n)
+                here = (c[a:z] >= left) & (c[a:z] < right)
+                own = q[a:z][here] - at, c[a:z][here] - left
+                s = np.matmul(self.single[at:to], columns[left:right].T, out=room[: (to - at) * (right - left)].reshape(to - at, right - left))
+                if not all_fit:
+                    s[:, ~fit[left:right]] = -np.inf
+                s[own] = -np.inf
+                new = np.flatnonzero(np.isneginf(floor))
+                if len(new):
+                    floor[new] = self._edges(s[new], self.m[at + new], m, k)
+                low = np.nextafter((floor - off[at:to]).astype(np.float32), np.float32(-np.inf))
+                found = np.flatnonzero(s >= low[:, None])
+                if len(found) > DENSE * s.size:
+                    s = score(self.m[at:to], m[left:right])
+                    s[:, ~fit[left:right]] = -np.inf
+                    s[own] = -np.inf
+                    i, j = np.nonzero((s >= (floor - 2 * 10.0**-PLACES)[:, None]) & np.isfinite(s))
+                    yield i + at, j + left, s[i, j]
+                    continue
+                if not len(found):
+                    continue
+                i, j, kept = *np.divmod(found, right - left), []
+                for some in range(0, len(i), PAIRS):
+                    x, y = i[some: some + PAIRS], j[some: some + PAIRS]
+                    value = score.pairs(self.short.take(x + at, axis=0), short.take(y + left, axis=0))
+                    kept.append(np.flatnonzero((value >= floor[x] - sums) & np.isfinite(s[x, y])) + some)
+                kept = np.concatenate(kept)
+                for some in range(0, len(kept), PAIRS):
+                    x, y = i[kept[some: some + PAIRS]], j[kept[some: some + PAIRS]]
+                    yield x + at, y + left, score.pairs(self.m[x + at], m[y + left])
+
+    def _edges(self, s: np.ndarray, own: np.ndarray, m: np.ndarray, k: int) -> np.ndarray:
+        """For each of own, whose scores with all of m are bounded by s, what k of m score at least: the k-th of some with the highest bounds."""
+        some = min(LIKELY * k, s.shape[1])
+        best = np.argpartition(s, s.shape[1] - some, axis=1)[:, s.shape[1] - some:]
+        value, step = np.empty(best.shape), max(PAIRS // some, 1)
+        for at in range(0, len(s), step):
+            i = best[at: at + step]
+            value[at: at + step] = self.score.pairs(np.repeat(own[at: at + step], some, axis=0), m[i.ravel()]).reshape(i.shape)
+        value[np.isneginf(np.take_along_axis(s, best, axis=1))] = -np.inf
+        return np.round(np.partition(value, some - k, axis=1)[:, some - k], PLACES)
+
 
 def _most(k: int | None) -> int:
     """Queries of a block."""
@@ -250,6 +349,8 @@ def _search(queries: DataFrame, corpus: DataFrame, score: str | Score, block: in
 
         return corpus.mapInArrow(rows, schema)
     stored = written(_packed(corpus, ROW_BLOCK, whole), "corpus-blocks", BLOCK_FILES)
+    if _bounded(score):  # the more vectors a task meets, the fewer may reach its edges: no more tasks than keep all cores busy
+        stored = stored.coalesce(-(-WAVES * spark.sparkContext.defaultParallelism // n))
     names = stored.columns
     numbered = blocks.select(F.monotonically_increasing_id().alias("query_block"), *(F.col(c).alias(f"query_{c}") for c in blocks.columns))
     asked = numbered.columns[1:]
@@ -268,6 +369,10 @@ def _search(queries: DataFrame, corpus: DataFrame, score: str | Score, block: in
     return paired(stored, numbered, n, "query_block").mapInArrow(pairs, schema)
 
 
+def _bounded(score: str | Score) -> bool:
+    return callable(score) and hasattr(score, "terms")
+
+
 def _keys(col: pa.Array) -> np.ndarray:
     return np.array(col.to_pylist())
 
@@ -280,7 +385,7 @@ class _Vectors:
 
     def add(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         self.type = part.column("id").type
-        if self.k is not None and not callable(self.queries.score) and self._near(part):
+        if self.k is not None and (not callable(self.queries.score) or _bounded(self.queries.score)) and self._near(part):
             return
         # parts may be wide: of the product a slice of the vectors at a time
         step = max(PRODUCT_BYTES // (8 * max(len(self.queries), 1)), 256)
@@ -297,13 +402,14 @@ class _Vectors:
         """Adds the rows by products of single precision, if these will do."""
         keys, best = _keys(part.column("id")), self.best
         m, good = self.queries.rows(part.column("embedding"))
-        pairs = self.queries.near(m, good, keys, best.edge, self.k)
+        find = self.queries.reaching if callable(self.queries.score) else self.queries.near
+        pairs = find(m, good, keys, best.edge, self.k)
         if pairs is None:
             return False
         for i, j, s in pairs:
             keep = np.round(s, PLACES) >= best.edge[i]
             best.add(i[keep], keys[j[keep]], s[keep])
-        if best.parts and (np.isneginf(best.edge).any() or best.held > 2 * self.k * best.n):
+        if best.parts and (np.isneginf(best.edge).any() or best.held > (1.2 if callable(self.queries.score) else 2) * self.k * best.n):
             best.cut()
         return True
 
@@ -345,7 +451,8 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int | None = 100, score
     with everything, as a zero vector does by cosine.
 
     score may be a function: the scores of the rows of one matrix (queries) with those of another, a
-    row for each query; vectors as named above have no score then, and aren't ranked.
+    row for each query; vectors as named above have no score then, and aren't ranked.  With a bound (Bounded) most
+    pairs needn't be scored.
 
     by names a column of the corpus, not null, of few values: each gives a ranking of its own, in
     one pass over all of them.  Queries that have the column too are ranked in their own

@@ -3,11 +3,11 @@ files written and read back, and operators with injected parts."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragstone.functions import text, treebank
+from ragstone.functions.vectors import CityBlock
 from ragstone.operators import analytics, dense, generate, hybrid, lexical, metrics, rerank, sampling, windows
 from ragstone.plans.catalog import BM25, BM_RUN, CHUNKED, FOUND, K, LINE_SQL, PAIRS, QRELS, RUN, TOP, V, WORD_PIECES, WORDS, bm25_run, corpus, dense_run, digest, half_judged, label_qrels, query, questions, read, six, vecs
 from ragstone.session import shared_path
@@ -50,16 +50,7 @@ def _(spark, d):
     return six(dense.dense_topk(v, v, K, block=150))
 
 
-def city_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Minus the sum of the differences, a coordinate at a time, for so many rows as stay in a cache."""
-    out, columns, step = np.zeros((len(a), len(b))), np.ascontiguousarray(b.T), max(32768 // max(len(b), 1), 1)
-    for at in range(0, len(a), step):
-        rows, some = a[at: at + step], out[at: at + step]
-        part = np.empty_like(some)
-        for x, y in zip(rows.T, columns, strict=True):
-            np.abs(np.subtract(x[:, None], y, out=part), out=part)
-            some -= part
-    return out
+city_block = CityBlock()
 
 
 @query("dense_own_score", f"WITH {V}, pairs AS (SELECT a.id AS query_id, b.id AS corpus_id, -list_sum(list_transform(range(1, 65), lambda i: abs(a.e[i] - b.e[i]))) AS score FROM v a JOIN v b ON a.id <> b.id) SELECT query_id, corpus_id, round(score, 6) AS score, rank FROM (SELECT *, {TOP} AS rank FROM pairs) WHERE rank <= {K}")
